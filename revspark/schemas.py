@@ -1,0 +1,53 @@
+"""Declared schemas of the engine's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+DATAFLOW_STEP = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("line", T.IntegerType()),
+    T.StructField("description", T.StringType()),
+])
+
+FINDINGS = T.StructType([
+    T.StructField("review_id", T.LongType()),
+    T.StructField("rule_id", T.StringType()),
+    T.StructField("severity", T.StringType()),
+    T.StructField("file", T.StringType()),
+    T.StructField("line", T.IntegerType()),
+    T.StructField("code_snippet", T.StringType()),
+    T.StructField("dataflow_path", T.ArrayType(DATAFLOW_STEP)),
+    T.StructField("message", T.StringType()),
+])
+
+FINDING_COLUMNS = [f.name for f in FINDINGS.fields]
+
+FILES = T.StructType([
+    T.StructField("review_id", T.LongType()),
+    T.StructField("file", T.StringType()),
+    T.StructField("content", T.StringType()),
+])
+
+REVIEWS = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("repo_name", T.StringType()),
+    T.StructField("pr_number", T.IntegerType()),
+    T.StructField("commit_sha", T.StringType()),
+    T.StructField("analyzed_at", T.TimestampType()),
+    T.StructField("status", T.StringType()),
+])
+
+WEBHOOKS = T.StructType([
+    T.StructField("payload", T.StringType()),
+    T.StructField("signature", T.StringType()),
+    T.StructField("event", T.StringType()),
+    T.StructField("ts", T.TimestampType()),
+])
+
+EVAL_CASES = T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("code", T.StringType()),
+    T.StructField("rule_id", T.StringType()),
+    T.StructField("expected", T.IntegerType()),
+])
