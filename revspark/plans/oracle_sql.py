@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from revspark.functions.text import CPP_EXTS, JS_EXTS
 from revspark.operators import line_rules as LR
+from revspark.operators.history import STATUS_RULES
+from revspark.sources.analogs import FINDINGS_SQL, REVIEWS_SQL
 from revspark.sources.code_files import oracle_code_files_sql
 
 
@@ -142,3 +144,44 @@ hit AS (
     out["l8_js_call_in_loop"] = loop_rule("js", LR.JS_LOOP_WORDS, LR.MSG_JS_LOOP)
     out["l9_generic_call_in_loop"] = loop_rule("generic", LR.GENERIC_LOOP_WORDS, LR.MSG_GENERIC_LOOP)
     return out
+
+
+def history_sql() -> dict[str, str]:
+    pre = f"WITH r AS ({REVIEWS_SQL}), f AS ({FINDINGS_SQL}), cf AS ({oracle_code_files_sql()})"
+    q1 = pre + """
+SELECT r.id, r.repo_name, r.pr_number, r.commit_sha, r.analyzed_at, r.status,
+  CAST((SELECT count(*) FROM f WHERE f.review_id = r.id) AS BIGINT) AS finding_count,
+  CAST((SELECT count(*) FROM f WHERE f.review_id = r.id AND f.severity = 'ERROR') AS BIGINT) AS error_count
+FROM r ORDER BY r.id DESC"""
+    cases = """cases AS (SELECT doc_id AS case_id, CAST(quality AS INTEGER) AS expected FROM labels),
+act AS (SELECT c.case_id, c.expected, (SELECT count(*) FROM documents d WHERE d.doc_id = c.case_id AND d.n_chars >= 400) AS actual FROM cases c),
+conf AS (SELECT
+  CAST(coalesce(sum(CASE WHEN expected > 0 AND actual > 0 THEN least(expected, actual) ELSE 0 END), 0) AS BIGINT) AS tp,
+  CAST(coalesce(sum(CASE WHEN expected > 0 AND actual > expected THEN actual - expected
+                         WHEN expected <= 0 AND actual > 0 THEN actual ELSE 0 END), 0) AS BIGINT) AS fp,
+  CAST(coalesce(sum(CASE WHEN expected > 0 AND actual = 0 THEN expected ELSE 0 END), 0) AS BIGINT) AS fn,
+  CAST(coalesce(sum(CASE WHEN expected <= 0 AND actual = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS tn
+  FROM act)"""
+    m2 = f"WITH {cases}," + """
+pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 100.0 ELSE tp * 100.0 / (tp + fp) END AS p,
+                 CASE WHEN tp + fn = 0 THEN 100.0 ELSE tp * 100.0 / (tp + fn) END AS r FROM conf)
+SELECT tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall,
+  round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 4) AS f1 FROM pr"""
+    rules = ",".join(STATUS_RULES)
+    return {
+        "q1_review_history": q1,
+        "q2_findings_of_review": pre + " SELECT * FROM f WHERE review_id IN (SELECT id FROM r)",
+        "q3_files_of_review": pre + " SELECT review_id, file AS file_path FROM cf WHERE review_id IN (SELECT id FROM r)",
+        "q4_file_content": pre + """ SELECT review_id, file AS file_path, min(content) AS content,
+            count(*) AS n_copies, count(*) > 1 AS duplicated FROM cf GROUP BY review_id, file""",
+        "q5_status_totals": pre + f""" SELECT (SELECT count(*) FROM r) AS total_reviews,
+            (SELECT count(*) FROM f) AS total_findings, '{rules}' AS rules""",
+        "q6_dashboard_totals": f"WITH q1 AS ({q1}) SELECT count(*) AS reviews, "
+            "CAST(coalesce(sum(finding_count), 0) AS BIGINT) AS findings, "
+            "CAST(coalesce(sum(error_count), 0) AS BIGINT) AS errors FROM q1",
+        "m1_confusion": f"WITH {cases} SELECT * FROM conf",
+        "m2_scores": m2,
+        "k2_review_status": pre + """ SELECT r.id AS review_id, CAST(count(f.review_id) AS BIGINT) AS n_files,
+            CASE WHEN count(f.review_id) = 0 THEN 'NO_CODE_FILES' ELSE 'SUCCESS' END AS status
+            FROM r LEFT JOIN f ON f.review_id = r.id GROUP BY r.id""",
+    }

@@ -9,11 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from revspark.operators import evaluate as EV
+from revspark.operators import history as H
 from revspark.operators import line_rules as LR
 from revspark.operators.lines import lines
 from revspark.plans import oracle_sql as O
+from revspark.sources import analogs as A
+from revspark.sources import sinks as K
 from revspark.sources.code_files import code_files
+from revspark.sources.tables import table
 
 OUT_COLS = ["review_id", "rule_id", "severity", "file", "line", "code_snippet", "message"]
 
@@ -28,10 +34,64 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for key, fn in LR.LINE_RULES.items():
         q[key] = _line_rule_query(fn)
+    q.update(_history_queries())
     return q
 
 
+def review_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """review_files(review_id, file_path, content) = the code corpus."""
+    return code_files(spark, sf_dir).select("review_id", F.col("file").alias("file_path"), "content")
+
+
+def eval_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """labels as cases (expected = quality); documents of 400+ chars as one finding each."""
+    cases = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("case_id"), F.lit("RULE-QUALITY").alias("rule_id"),
+        F.col("quality").cast("int").alias("expected"))
+    found = table(spark, sf_dir, "documents").filter(F.col("n_chars") >= 400).select(
+        F.col("doc_id").alias("case_id"), F.lit("RULE-QUALITY").alias("rule_id"))
+    return cases, found
+
+
+def _history_queries():
+    def q1(spark, d):
+        return H.review_history(A.reviews(spark, d), A.stored_findings(spark, d))
+
+    def q2(spark, d):
+        return H.findings_of_review(A.reviews(spark, d), A.stored_findings(spark, d))
+
+    def q3(spark, d):
+        # code files belong to reviews doc_id div 10; orders stand for the review table
+        return H.files_of_review(A.reviews(spark, d), review_files(spark, d))
+
+    def q4(spark, d):
+        return H.file_content(review_files(spark, d))
+
+    def q5(spark, d):
+        return H.status_totals(A.reviews(spark, d), A.stored_findings(spark, d))
+
+    def q6(spark, d):
+        return H.dashboard_totals(q1(spark, d))
+
+    def m1(spark, d):
+        return EV.confusion(*eval_cases(spark, d))
+
+    def m2(spark, d):
+        return EV.scores(m1(spark, d))
+
+    def k2(spark, d):
+        files = A.stored_findings(spark, d).select("review_id")
+        return K.review_status(A.reviews(spark, d), files)
+
+    return {
+        "q1_review_history": q1, "q2_findings_of_review": q2, "q3_files_of_review": q3,
+        "q4_file_content": q4, "q5_status_totals": q5, "q6_dashboard_totals": q6,
+        "m1_confusion": m1, "m2_scores": m2, "k2_review_status": k2,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s.update(O.line_rule_sql())
+    s.update(O.history_sql())
     return s
