@@ -72,52 +72,39 @@ def _var_msg(template: str) -> str:
     return f"{q(before)} || var || {q(after)}"
 
 
-def line_rule_sql() -> dict[str, str]:
-    pre = "WITH " + code_ctes()
+def line_rule_selects() -> dict[str, str]:
+    """Per line rule, one SELECT over the ``nc`` CTE of ``code_ctes``."""
     out = {}
-    # L1
-    out["l1_cpp_leak"] = pre + f""",
-agg AS (
-  SELECT review_id, file,
+    out["l1_cpp_leak"] = f"""
+SELECT n.review_id, {q(LR.RULE_LEAK)} AS rule_id, 'ERROR' AS severity, n.file, CAST(n.line AS INTEGER) AS line,
+       n.code_snippet, {q(LR.MSG_CPP_LEAK)} AS message
+FROM (SELECT review_id, file,
          max(CASE WHEN regexp_matches(code, {q(LR.CPP_ALLOC_RE)}) AND NOT contains(code, 'close')
                    AND NOT contains(code, 'free') THEN line END) AS alloc_line,
          max(CASE WHEN regexp_matches(code, {q(LR.CPP_CLOSE_RE)}) THEN line END) AS close_line
-  FROM nc WHERE lang = 'cpp' GROUP BY review_id, file
-),
-hit AS (
-  SELECT n.review_id, n.file, n.line, n.code_snippet FROM agg
-  JOIN nc n ON n.review_id = agg.review_id AND n.file = agg.file AND n.line = agg.alloc_line
-  WHERE agg.alloc_line > coalesce(agg.close_line, 0)
-)
-{_select_finding(LR.RULE_LEAK, 'ERROR', q(LR.MSG_CPP_LEAK), 'hit')}"""
-    # L4
-    out["l4_py_leak"] = pre + f""",
-agg AS (
-  SELECT review_id, file,
+      FROM nc WHERE lang = 'cpp' GROUP BY review_id, file) agg
+JOIN nc n ON n.review_id = agg.review_id AND n.file = agg.file AND n.line = agg.alloc_line
+WHERE agg.alloc_line > coalesce(agg.close_line, 0)"""
+    out["l4_py_leak"] = f"""
+SELECT n.review_id, {q(LR.RULE_LEAK)} AS rule_id, 'ERROR' AS severity, n.file, CAST(n.line AS INTEGER) AS line,
+       n.code_snippet, {q(LR.MSG_PY_LEAK)} AS message
+FROM (SELECT review_id, file,
          max(CASE WHEN regexp_matches(code, 'open\\(') AND NOT contains(code, '.close()') THEN line END) AS open_line,
          max(CASE WHEN contains(code, '.close()') THEN line END) AS close_line,
          bool_or(regexp_matches(code, {q(LR.PY_WITH_OPEN_RE)})) AS with_open
-  FROM nc WHERE lang = 'py' GROUP BY review_id, file
-),
-hit AS (
-  SELECT n.review_id, n.file, n.line, n.code_snippet FROM agg
-  JOIN nc n ON n.review_id = agg.review_id AND n.file = agg.file AND n.line = agg.open_line
-  WHERE NOT agg.with_open AND agg.open_line > coalesce(agg.close_line, 0)
-)
-{_select_finding(LR.RULE_LEAK, 'ERROR', q(LR.MSG_PY_LEAK), 'hit')}"""
+      FROM nc WHERE lang = 'py' GROUP BY review_id, file) agg
+JOIN nc n ON n.review_id = agg.review_id AND n.file = agg.file AND n.line = agg.open_line
+WHERE NOT agg.with_open AND agg.open_line > coalesce(agg.close_line, 0)"""
 
     def null_rule(lang, assign_re, group, match_sql, guard_sql, msg):
-        return pre + f""",
-asg AS (
-  SELECT review_id, file, line AS a_line, regexp_extract(code, {q(assign_re)}, {group}) AS var
-  FROM nc WHERE lang = {q(lang)}
-),
-hit AS (
-  SELECT l.review_id, l.file, l.line, l.code_snippet, a.var FROM nc l
-  JOIN asg a ON a.review_id = l.review_id AND a.file = l.file AND a.var <> '' AND a.a_line <= l.line
-  WHERE l.lang = {q(lang)} AND ({match_sql}) AND ({guard_sql})
-)
-{_select_finding(LR.RULE_NULL, 'ERROR', _var_msg(msg), 'hit')}"""
+        return f"""
+SELECT l.review_id, {q(LR.RULE_NULL)} AS rule_id, 'ERROR' AS severity, l.file, CAST(l.line AS INTEGER) AS line,
+       l.code_snippet, {_var_msg(msg).replace('var', 'a.var')} AS message
+FROM nc l
+JOIN (SELECT review_id, file, line AS a_line, regexp_extract(code, {q(assign_re)}, {group}) AS var
+      FROM nc WHERE lang = {q(lang)}) a
+  ON a.review_id = l.review_id AND a.file = l.file AND a.var <> '' AND a.a_line <= l.line
+WHERE l.lang = {q(lang)} AND ({match_sql}) AND ({guard_sql})"""
 
     out["l2_cpp_null_deref"] = null_rule(
         "cpp", LR.CPP_NULL_ASSIGN_RE, 1,
@@ -136,7 +123,7 @@ hit AS (
         LR.MSG_JS_NULL)
 
     def loop_rule(lang, words, msg):
-        return pre + "\n" + _select_finding(
+        return "\n" + _select_finding(
             LR.RULE_LOOP, "WARNING", q(msg), "nc", f"lang = {q(lang)} AND in_loop AND {_contains_any('code', words)}")
 
     out["l3_cpp_query_in_loop"] = loop_rule("cpp", LR.CPP_LOOP_WORDS, LR.MSG_CPP_LOOP)
@@ -146,6 +133,16 @@ hit AS (
     return out
 
 
+def line_rule_sql() -> dict[str, str]:
+    pre = "WITH " + code_ctes()
+    return {k: pre + v for k, v in line_rule_selects().items()}
+
+
+def line_findings_select() -> str:
+    """UNION ALL of every line rule (needs ``code_ctes``)."""
+    return "\nUNION ALL\n".join(line_rule_selects().values())
+
+
 def history_sql() -> dict[str, str]:
     pre = f"WITH r AS ({REVIEWS_SQL}), f AS ({FINDINGS_SQL}), cf AS ({oracle_code_files_sql()})"
     q1 = pre + """
@@ -185,3 +182,230 @@ SELECT tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall,
             CASE WHEN count(f.review_id) = 0 THEN 'NO_CODE_FILES' ELSE 'SUCCESS' END AS status
             FROM r LEFT JOIN f ON f.review_id = r.id GROUP BY r.id""",
     }
+
+
+# ---------------------------------------------------------------------------
+# P, S, D, E, K1 oracles
+# ---------------------------------------------------------------------------
+from revspark.functions.crypto import hmac_sha256_hex_sql  # noqa: E402
+from revspark.functions.text import SUPPORTED_EXTS  # noqa: E402
+from revspark.operators import enrich as EN  # noqa: E402
+from revspark.plans.review import ALL_RULES  # noqa: E402
+from revspark.sources import fixtures as FX  # noqa: E402
+from revspark.sources import scan as SC  # noqa: E402
+
+JT = "'^[\\x00-\\x20]+|[\\x00-\\x20]+$'"  # Java trim as a regex
+
+
+def jtrim_sql(x: str) -> str:
+    return f"regexp_replace({x}, {JT}, '', 'g')"
+
+
+def nonblank_sql(x: str) -> str:
+    return f"coalesce(regexp_matches({x}, '[^\\x00-\\x20]'), false)"
+
+
+def rule_lang_sql(p: str) -> str:
+    ext = f"lower(regexp_extract({p}, '^.+\\.([^.]*)$', 1))"
+    return (f"CASE WHEN suffix({p}, '.java') THEN 'java' WHEN {ext} IN {_in(CPP_EXTS)} THEN 'cpp' "
+            f"WHEN {ext} = 'py' THEN 'py' WHEN {ext} IN {_in(JS_EXTS)} THEN 'js' ELSE 'generic' END")
+
+
+def prompt_lang_sql(p: str) -> str:
+    def ends(*e):
+        return "(" + " OR ".join(f"suffix(lower({p}), '.{x}')" for x in e) + ")"
+    return (f"CASE WHEN {ends('cpp', 'h', 'hpp', 'cc', 'c')} THEN 'C++' WHEN {ends('py')} THEN 'Python' "
+            f"WHEN {ends('js', 'jsx')} THEN 'JavaScript' WHEN {ends('ts', 'tsx')} THEN 'TypeScript' "
+            f"WHEN {ends('go')} THEN 'Go' WHEN {ends('rs')} THEN 'Rust' ELSE 'Java' END")
+
+
+def supported_sql(p: str) -> str:
+    return f"coalesce(regexp_matches(lower({p}), '\\.({'|'.join(SUPPORTED_EXTS)})$'), false)"
+
+
+DOC_FILES_SQL = """SELECT CAST(doc_id // 10 AS BIGINT) AS review_id,
+  'docs/' || source || '/D' || CAST(doc_id AS VARCHAR) || '.' || ['txt', 'py', 'js', 'cpp'][doc_id % 4 + 1] AS file,
+  text AS content FROM documents"""
+
+
+def code_ctes_from(files_sql: str) -> str:
+    """``code_ctes`` over any files table (review_id, file, content)."""
+    base = code_ctes()
+    start = base.index("cf AS (")
+    end = base.index("fl AS (")
+    return base[:start] + f"cf AS ({files_sql}),\n" + base[end:]
+
+
+def paths_sql() -> str:
+    return f"WITH cf AS ({oracle_code_files_sql()}), paths AS (SELECT file AS path FROM cf UNION ALL SELECT url AS path FROM pages) "
+
+
+def enriched_sql() -> str:
+    """CTE ``ef``: line findings with rationale / fix / priority (needs code_ctes)."""
+    rows = []
+    for rule, lang, rat, fix in EN.DIMENSION_ROWS:
+        prio = EN.PRIORITY.get(rule, EN.DEFAULT_PRIORITY)
+        rows.append(f"({q(rule)}, {q(lang)}, {q(rat)}, {q(fix)}, {prio})")
+    dim = "(VALUES " + ", ".join(rows) + ") dim(rule_key, lang_key, rationale, fix, priority)"
+    keys = _in(EN.PRIORITY.keys())
+    return f"""
+lf AS ({line_findings_select()}),
+lk AS (SELECT *, CASE WHEN rule_id IN {keys} THEN rule_id ELSE '*' END AS rule_key,
+              {prompt_lang_sql('file')} AS lang_key FROM lf),
+ef AS (
+  SELECT lk.review_id, lk.rule_id, lk.severity, lk.file, lk.line, lk.code_snippet, lk.message,
+         coalesce(d1.rationale, d2.rationale) AS rationale, coalesce(d1.fix, d2.fix) AS fix_suggestion,
+         CAST(coalesce(d1.priority, d2.priority) AS INTEGER) AS priority_score
+  FROM lk LEFT JOIN {dim.replace('dim(', 'd1(')} ON d1.rule_key = lk.rule_key AND d1.lang_key = lk.lang_key AND d1.lang_key <> '*'
+          LEFT JOIN {dim.replace('dim(', 'd2(')} ON d2.rule_key = lk.rule_key AND d2.lang_key = '*'
+),
+rv AS (SELECT DISTINCT review_id, 'repo/R' || CAST(review_id AS VARCHAR) AS source,
+              sha256(CAST(review_id AS VARCHAR)) AS commit_sha,
+              TIMESTAMP '2024-01-01 00:00:00' + to_seconds(review_id) AS analyzed_at FROM cf)
+"""
+
+
+def more_sql() -> dict[str, str]:
+    out = {}
+    out["p1_rule_lang"] = paths_sql() + f"SELECT path, {rule_lang_sql('path')} AS lang FROM paths"
+    out["p2_prompt_lang"] = paths_sql() + f"SELECT path, {prompt_lang_sql('path')} AS language FROM paths"
+    out["p3_line_explode"] = "WITH " + code_ctes_from(DOC_FILES_SQL) + " SELECT review_id, file, line, raw FROM ln"
+    pre = "WITH " + code_ctes()
+    out["p4_comment_strip"] = pre + " SELECT review_id, file, line, code FROM ln"
+    out["p5_inside_loop"] = pre + " SELECT review_id, file, line FROM nc WHERE in_loop"
+    out["p6_blank_filter"] = pre + " SELECT review_id, file, count(*) AS n_code_lines FROM nc GROUP BY review_id, file"
+    user = ("'Language: ' || " + prompt_lang_sql("file") + " || chr(10) || 'Rule ID: ' || rule_id || chr(10) || "
+            "'Severity: ' || severity || chr(10) || 'File: ' || file || chr(10) || 'Line: ' || CAST(line AS VARCHAR) "
+            "|| chr(10) || 'Code Snippet:' || chr(10) || code_snippet || chr(10) || 'Message: ' || message")
+    sys_before, sys_after = EN.SYSTEM_PROMPT_FMT.split("%s")
+    system = f"{q(sys_before)} || {prompt_lang_sql('file')} || {q(sys_after)}"
+    out["p7_prompt_text"] = pre + f", lf AS ({line_findings_select()}) SELECT review_id, file, line, rule_id, " \
+        f"{system} AS system_prompt, {user} AS user_prompt FROM lf"
+
+    out["s1_file_scan"] = (f"WITH cf AS ({oracle_code_files_sql()}), allf AS (SELECT review_id, file, content FROM cf "
+                           f"UNION ALL {DOC_FILES_SQL}) SELECT * FROM allf WHERE {supported_sql('file')} "
+                           f"AND {nonblank_sql('content')}")
+    out["s2_supported_filter"] = paths_sql() + f"SELECT path, {supported_sql('path')} AS supported FROM paths"
+    out["s3_pr_files"] = (f"WITH cf AS ({oracle_code_files_sql()}), f AS (SELECT review_id, file FROM cf UNION ALL "
+                          "SELECT DISTINCT review_id, 'docs/R' || CAST(review_id AS VARCHAR) || '.md' FROM cf UNION ALL "
+                          "SELECT DISTINCT review_id, 'img/R' || CAST(review_id AS VARCHAR) || '.PNG' FROM cf) "
+                          f"SELECT review_id, file FROM f WHERE {supported_sql('file')}")
+    # S4 on the same payload text as the Spark job
+    sha = "sha256(CAST(o_orderkey AS VARCHAR))"
+    body = ("'{\"number\": ' || CAST(o_orderkey AS VARCHAR) || ', \"state\": \"open\", \"head\": ' || "
+            "CASE WHEN o_orderkey % 5 = 0 THEN '{\"ref\": \"b' || CAST(o_orderkey AS VARCHAR) || '\"}' "
+            "WHEN o_orderkey % 5 = 1 THEN '{\"ref\":\"b' || CAST(o_orderkey AS VARCHAR) || '\",\"sha\":\"\"}' "
+            f"ELSE '{{\"ref\": \"feature/' || CAST(o_orderkey AS VARCHAR) || '\", \"sha\": \"' || {sha} || '\"}}' END "
+            "|| ', \"base\": {\"ref\": \"main\", \"sha\": \"' || sha256(CAST(o_custkey AS VARCHAR)) || '\"}}'")
+
+    def extract(name):
+        key = f'"{name}"'
+        idx = f"strpos(body, '{key}')"
+        def loc(pos):  # 1-based position of '"' at or after pos, 0 if none
+            return f"(CASE WHEN strpos(substr(body, {pos}), '\"') = 0 THEN 0 ELSE strpos(substr(body, {pos}), '\"') + ({pos}) - 1 END)"
+        s0 = loc(f"{idx} + {len(key) + 1}")
+        e1 = loc(f"{s0} + 1")
+        return (f"CASE WHEN {idx} > 0 AND {s0} > 0 AND {e1} > 0 AND {e1} - 1 > {s0} "
+                f"THEN substr(body, {s0} + 1, {e1} - 1 - {s0}) ELSE 'unknown' END")
+    out["s4_pr_metadata"] = (f"WITH p AS (SELECT o_orderkey AS review_id, {body} AS body FROM orders) "
+                             f"SELECT review_id, {extract('sha')} AS head_sha, {extract('ref')} AS head_branch FROM p")
+    gh = SC.GITHUB_PR_RE
+    url_t = jtrim_sql("github_url")
+    out["s5_request_routing"] = f"""
+WITH rq AS (
+  SELECT page_id AS request_id, ['github', 'code', 'other'][page_id % 3 + 1] AS type,
+    CASE page_id % 4 WHEN 0 THEN 'https://github.com/o' || CAST(page_id % 13 AS VARCHAR) || '/r' || CAST(page_id % 5 AS VARCHAR) || '/pull/' || CAST(page_id AS VARCHAR)
+      WHEN 1 THEN '   ' WHEN 2 THEN url
+      ELSE '  see https://github.com/a-' || CAST(page_id AS VARCHAR) || '/b/pull/' || CAST(page_id * 7 AS VARCHAR) || '/files ' END AS github_url,
+    CASE WHEN page_id % 5 = 0 THEN ' ' ELSE html END AS code,
+    CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'page' || CAST(page_id AS VARCHAR) || '.js' END AS file_name
+  FROM pages
+),
+x AS (
+  SELECT *, type = 'github' AS is_gh, type = 'code' AS is_code, NOT {nonblank_sql('github_url')} AS blank_url,
+         NOT {nonblank_sql('code')} AS blank_code, coalesce(regexp_matches({url_t}, {q(gh)}), false) AS matched
+  FROM rq
+)
+SELECT request_id,
+  CASE WHEN is_gh AND NOT blank_url AND matched THEN 'github' WHEN is_code AND NOT blank_code THEN 'code' ELSE 'error' END AS route,
+  CASE WHEN is_gh AND NOT blank_url AND matched THEN regexp_extract({url_t}, {q(gh)}, 1) END AS owner,
+  CASE WHEN is_gh AND NOT blank_url AND matched THEN regexp_extract({url_t}, {q(gh)}, 2) END AS repo,
+  CASE WHEN is_gh AND NOT blank_url AND matched THEN CAST(regexp_extract({url_t}, {q(gh)}, 3) AS INTEGER) END AS pr_number,
+  CASE WHEN is_code AND NOT blank_code THEN (CASE WHEN {nonblank_sql('file_name')} THEN file_name ELSE {q(SC.DEFAULT_FILE_NAME)} END) END AS file_name,
+  CASE WHEN is_gh AND blank_url THEN {q(SC.ERR_URL_REQUIRED)} WHEN is_gh AND NOT matched THEN {q(SC.ERR_URL_INVALID)}
+       WHEN is_code AND blank_code THEN {q(SC.ERR_CODE_REQUIRED)} WHEN NOT is_gh AND NOT is_code THEN {q(SC.ERR_TYPE)} END AS error
+FROM x"""
+
+    out["d1_diff_parse"] = (f"WITH cf AS ({oracle_code_files_sql()}), {FX.DIFF_EXPECTED_SQL} "
+                            "SELECT diff_id, review_id, file, line FROM changed")
+    lf = line_findings_select()
+    out["d2_diff_scope"] = (pre + f", lf AS ({lf}), {FX.DIFF_EXPECTED_SQL} SELECT * FROM lf WHERE EXISTS "
+                            "(SELECT 1 FROM changed c WHERE c.review_id = lf.review_id AND c.file = lf.file "
+                            "AND c.line = lf.line)")
+    out["d3_run_rules"] = pre + f", lf AS ({lf}) SELECT * FROM lf"
+    rules = "(VALUES " + ", ".join(f"({q(r)}, {q(s)})" for r, s in ALL_RULES) + ") rl(rule_id, severity)"
+    out["d4_rule_stats"] = (pre + f", lf AS ({lf}) SELECT rl.rule_id, rl.severity, "
+                            f"CAST((SELECT count(*) FROM lf WHERE lf.rule_id = rl.rule_id) AS BIGINT) AS n_findings "
+                            f"FROM {rules}")
+    both = f"SELECT review_id, file, content FROM ({oracle_code_files_sql()}) UNION ALL {DOC_FILES_SQL}"
+    out["d5_scan_once"] = "WITH " + code_ctes_from(both) + f", lf AS ({lf}) SELECT * FROM lf"
+
+    en = pre + ", " + enriched_sql()
+    out["e1_enrich"] = en + " SELECT * FROM ef"
+    fb_r, fb_f = EN.FALLBACK_RATIONALE, EN.FALLBACK_FIX
+
+    def text_field(name):
+        jt = f"json_type(clean, '$.{name}')"
+        return (f"CASE WHEN empty THEN '' WHEN NOT ok THEN {q(fb_r if name == 'rationale' else fb_f)} "
+                f"WHEN {jt} IS NULL THEN '' WHEN {jt} = 'NULL' THEN 'null' WHEN {jt} IN ('OBJECT', 'ARRAY') THEN '' "
+                f"ELSE coalesce(json_extract_string(clean, '$.{name}'), '') END")
+    pj = "json_type(clean, '$.priorityScore')"
+    prio = (f"CASE WHEN empty THEN {EN.MISSING_PRIORITY} WHEN NOT ok THEN {EN.FALLBACK_PRIORITY} "
+            f"WHEN {pj} IS NULL OR {pj} = 'NULL' THEN {EN.MISSING_PRIORITY} "
+            f"WHEN {pj} = 'BOOLEAN' THEN CASE WHEN CAST(json_extract(clean, '$.priorityScore') AS BOOLEAN) THEN 1 ELSE 0 END "
+            f"WHEN {pj} = 'VARCHAR' THEN coalesce(CAST(trunc(TRY_CAST({jtrim_sql(chr(34) + 'x' + chr(34))} AS DOUBLE)) AS INTEGER), {EN.MISSING_PRIORITY}) "
+            f"WHEN {pj} IN ('OBJECT', 'ARRAY') THEN {EN.MISSING_PRIORITY} "
+            f"ELSE coalesce(CAST(trunc(TRY_CAST(json_extract(clean, '$.priorityScore') AS DOUBLE)) AS INTEGER), {EN.MISSING_PRIORITY}) END")
+    prio = prio.replace('"x"', "json_extract_string(clean, '$.priorityScore')")
+    out["e2_response_guard"] = f"""
+WITH {FX.RESPONSES_SQL},
+t AS (SELECT conv_id, turn, {jtrim_sql('coalesce(response, ' + "''" + ')')} AS t FROM responses),
+c AS (SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?s)^```[^\\n]*\\n.*```')
+        THEN {jtrim_sql("regexp_extract(t, '(?s)^```[^\\n]*\\n(.*)```', 1)")} ELSE t END AS clean FROM t),
+p AS (SELECT *, clean = '' AS empty, coalesce(json_valid(clean), false) AS ok FROM c)
+SELECT conv_id, turn, {text_field('rationale')} AS rationale, {text_field('fix')} AS fix,
+       CAST({prio} AS INTEGER) AS priority FROM p"""
+    bullet = ("'- **' || rule_id || '** `' || file || ':L' || CAST(line AS VARCHAR) || '` (Priority ' || "
+              "CAST(priority_score AS VARCHAR) || '/10)' || chr(10) || '  ' || rationale || chr(10) || chr(10)")
+    header = EN.REPORT_HEADER.replace("\n", "' || chr(10) || '")
+    out["e3_review_summary"] = en + f""",
+sm AS (SELECT review_id, string_agg({bullet}, '' ORDER BY file, line, rule_id, {bullet}) AS body FROM ef GROUP BY review_id)
+SELECT rv.review_id, '{header}' || coalesce(sm.body, {q(EN.REPORT_EMPTY)}) AS summary
+FROM rv LEFT JOIN sm ON sm.review_id = rv.review_id"""
+    cbody = ("'### Review: ' || severity || chr(10) || '**Rule**: ' || rule_id || ' | **Priority**: ' || "
+             "CAST(priority_score AS VARCHAR) || '/10' || chr(10) || chr(10) || rationale || chr(10) || chr(10) || "
+             "'**Fix**:' || chr(10) || '```' || chr(10) || fix_suggestion || chr(10) || '```'")
+    out["e4_review_request"] = en + f""",
+sm AS (SELECT review_id, string_agg({bullet}, '' ORDER BY file, line, rule_id, {bullet}) AS body FROM ef GROUP BY review_id),
+cm AS (SELECT review_id, list({{'path': file, 'line': line, 'side': 'RIGHT', 'body': {cbody}}}
+          ORDER BY file, line, {cbody}) AS comments FROM ef GROUP BY review_id)
+SELECT rv.review_id, to_json({{'body': '{header}' || coalesce(sm.body, {q(EN.REPORT_EMPTY)}), 'event': 'COMMENT',
+   'commit_id': rv.commit_sha, 'comments': coalesce(cm.comments, [])}})::VARCHAR AS request_json
+FROM rv LEFT JOIN sm ON sm.review_id = rv.review_id LEFT JOIN cm ON cm.review_id = rv.review_id"""
+    item = ("{'file': file, 'line': line, 'rule_id': rule_id, 'severity': severity, 'message': message, "
+            "'code_snippet': code_snippet, 'rationale': rationale, 'fix_suggestion': fix_suggestion, "
+            "'priority_score': priority_score}")
+    out["e5_result_document"] = en + f""",
+ag AS (SELECT review_id, count(*) AS n, list({item} ORDER BY file, line, rule_id, severity, message, code_snippet,
+          rationale, fix_suggestion, priority_score) AS findings FROM ef GROUP BY review_id)
+SELECT rv.review_id, rv.source, rv.analyzed_at, CAST(coalesce(ag.n, 0) AS BIGINT) AS finding_count,
+       to_json(coalesce(ag.findings, []))::VARCHAR AS findings_json
+FROM rv LEFT JOIN ag ON ag.review_id = rv.review_id"""
+    lim = []
+    for c, n in (("code_snippet", 2000), ("message", 1000), ("rationale", 2000), ("fix_suggestion", 3000)):
+        lim.append(f"substr({c}, 1, {n}) AS {c}, coalesce(length({c}) > {n}, false) AS {c}_overflow")
+    out["k1_persist_findings"] = en + f""" SELECT
+  row_number() OVER (ORDER BY review_id, file, line, rule_id, message, code_snippet) AS id,
+  review_id, rule_id, severity, file AS file_path, line AS line_number, priority_score, {', '.join(lim)}
+FROM ef"""
+    return out

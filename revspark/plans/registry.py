@@ -95,3 +95,133 @@ def oracle_sql() -> dict[str, str]:
     s.update(O.line_rule_sql())
     s.update(O.history_sql())
     return s
+
+
+# ---------------------------------------------------------------------------
+# P, S, D, E, K1 queries
+# ---------------------------------------------------------------------------
+from revspark.functions.text import not_blank, prompt_lang, rule_lang  # noqa: E402
+from revspark.operators import diffs as DF  # noqa: E402
+from revspark.operators import enrich as EN  # noqa: E402
+from revspark.operators.lines import code_lines, in_loop  # noqa: E402
+from revspark.plans import review as RV  # noqa: E402
+from revspark.session import scratch_table_dir  # noqa: E402
+from revspark.sources import fixtures as FX  # noqa: E402
+from revspark.sources import scan as SC  # noqa: E402
+
+FINDING_OUT = ["review_id", "rule_id", "severity", "file", "line", "code_snippet", "message"]
+DOC_EXTS = ["txt", "py", "js", "cpp"]
+
+
+def paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths to classify: code file names and page URLs."""
+    return code_files(spark, d).select(F.col("file").alias("path")).unionByName(
+        table(spark, d, "pages").select(F.col("url").alias("path")))
+
+
+def doc_files(spark: SparkSession, d: str) -> DataFrame:
+    """documents as source files (whole texts) with a rotating extension."""
+    docs = table(spark, d, "documents")
+    ext = F.element_at(F.array(*[F.lit(e) for e in DOC_EXTS]), (F.col("doc_id") % len(DOC_EXTS) + 1).cast("int"))
+    return docs.select((F.floor(F.col("doc_id") / 10)).cast("long").alias("review_id"),
+                       F.concat(F.lit("docs/"), F.col("source"), F.lit("/D"), F.col("doc_id").cast("string"),
+                                F.lit("."), ext).alias("file"),
+                       F.col("text").alias("content"))
+
+
+def code_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """One review per group of ten code files (review_id = doc_id div 10)."""
+    r = code_files(spark, d).select("review_id").distinct()
+    return r.select("review_id",
+                    F.concat(F.lit("repo/R"), F.col("review_id").cast("string")).alias("source"),
+                    F.sha2(F.col("review_id").cast("string"), 256).alias("commit_sha"),
+                    F.timestamp_seconds(F.lit(1704067200) + F.col("review_id")).alias("analyzed_at"))
+
+
+def line_findings(spark: SparkSession, d: str) -> DataFrame:
+    return LR.run_line_rules(lines(code_files(spark, d)))
+
+
+def enriched_findings(spark: SparkSession, d: str) -> DataFrame:
+    return EN.enrich(line_findings(spark, d))
+
+
+def _more_queries():
+    q = {}
+    q["p1_rule_lang"] = lambda s, d: paths(s, d).select("path", rule_lang(F.col("path")).alias("lang"))
+    q["p2_prompt_lang"] = lambda s, d: paths(s, d).select("path", prompt_lang(F.col("path")).alias("language"))
+    q["p3_line_explode"] = lambda s, d: lines(doc_files(s, d)).select("review_id", "file", "line", "raw")
+    q["p4_comment_strip"] = lambda s, d: lines(code_files(s, d)).select("review_id", "file", "line", "code")
+
+    def p5(s, d):
+        ln = lines(code_files(s, d))
+        return in_loop(code_lines(ln).select("review_id", "file", "line"), ln)
+    q["p5_inside_loop"] = p5
+    q["p6_blank_filter"] = lambda s, d: code_lines(lines(code_files(s, d))).groupBy("review_id", "file").agg(
+        F.count(F.lit(1)).alias("n_code_lines"))
+    q["p7_prompt_text"] = lambda s, d: EN.prompts(line_findings(s, d)).select(
+        "review_id", "file", "line", "rule_id", "system_prompt", "user_prompt")
+
+    q["s1_file_scan"] = lambda s, d: SC.source_files(code_files(s, d).unionByName(
+        doc_files(s, d).select("review_id", "file", "content"), allowMissingColumns=True)
+        .select("review_id", "file", "content"))
+    q["s2_supported_filter"] = lambda s, d: paths(s, d).select("path", SC.is_supported(F.col("path")).alias("supported"))
+    q["s3_pr_files"] = lambda s, d: SC.explode_pr_files(FX.pr_files_payloads(code_files(s, d)))
+    q["s4_pr_metadata"] = lambda s, d: SC.pr_metadata(FX.pr_metadata_payloads(table(s, d, "orders")))
+    q["s5_request_routing"] = lambda s, d: SC.route_requests(FX.requests_from_pages(table(s, d, "pages")))
+
+    q["d1_diff_parse"] = lambda s, d: DF.changed_lines(FX.diffs_from_code_files(code_files(s, d)),
+                                                       keys=("diff_id", "review_id"))
+
+    def d2(s, d):
+        ch = DF.changed_lines(FX.diffs_from_code_files(code_files(s, d)), keys=("diff_id", "review_id"))
+        return DF.scope_to_diff(line_findings(s, d), ch.select("review_id", "file", "line")).select(*FINDING_OUT)
+    q["d2_diff_scope"] = d2
+    q["d3_run_rules"] = lambda s, d: RV.run_rules(code_files(s, d)).select(*FINDING_OUT)
+    q["d4_rule_stats"] = lambda s, d: RV.rule_stats(RV.run_rules(code_files(s, d)))
+    q["d5_scan_once"] = lambda s, d: RV.run_rules_once_per_content(
+        code_files(s, d).select("review_id", "file", "content").unionByName(doc_files(s, d))).select(*FINDING_OUT)
+
+    q["e1_enrich"] = lambda s, d: enriched_findings(s, d).select(
+        *FINDING_OUT, "rationale", "fix_suggestion", "priority_score")
+
+    def e2(s, d):
+        r = FX.responses_from_conversations(table(s, d, "conversations"))
+        rat, fix, prio = EN.guard_response(F.col("response"))
+        return r.select("conv_id", "turn", rat.alias("rationale"), fix.alias("fix"), prio.alias("priority"))
+    q["e2_response_guard"] = e2
+    q["e3_review_summary"] = lambda s, d: EN.review_summary(code_reviews(s, d), enriched_findings(s, d))
+    q["e4_review_request"] = lambda s, d: EN.review_request(
+        code_reviews(s, d), EN.review_summary(code_reviews(s, d), enriched_findings(s, d)), enriched_findings(s, d))
+    q["e5_result_document"] = lambda s, d: EN.result_document(code_reviews(s, d), enriched_findings(s, d))
+
+    def k1(s, d):
+        import uuid
+        f = K.limit_columns(enriched_findings(s, d).select(
+            "review_id", "rule_id", "severity", F.col("file").alias("file_path"),
+            F.col("line").alias("line_number"), "code_snippet", "message", "rationale", "fix_suggestion",
+            "priority_score"))
+        f = K.with_row_ids(f, ["review_id", "file_path", "line_number", "rule_id", "message", "code_snippet"])
+        path = scratch_table_dir(s, f"review_findings_{uuid.uuid4().hex}")
+        K.persist_findings(f, path, mode="overwrite")
+        return s.read.parquet(path)
+    q["k1_persist_findings"] = k1
+    return q
+
+
+_base_queries = queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:  # noqa: F811
+    q = _base_queries()
+    q.update(_more_queries())
+    return q
+
+
+_base_oracle = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    s = _base_oracle()
+    s.update(O.more_sql())
+    return s
