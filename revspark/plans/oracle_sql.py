@@ -409,3 +409,100 @@ FROM rv LEFT JOIN ag ON ag.review_id = rv.review_id"""
   review_id, rule_id, severity, file AS file_path, line AS line_number, priority_score, {', '.join(lim)}
 FROM ef"""
     return out
+
+
+# ---------------------------------------------------------------------------
+# G oracles (recursive CTEs)
+# ---------------------------------------------------------------------------
+from revspark.operators import flow as FL  # noqa: E402
+
+
+def flow_ctes() -> str:
+    ids = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in FL.NODE_IDS.items())
+    defs = " UNION ALL ".join(
+        f"SELECT graph_id, node, {q(v)} AS var, {str(n).upper()} AS is_null, node || ':' || {q(v)} AS def_id "
+        f"FROM nodes WHERE node = {q(nd)}" for nd, v, n in FL.DEFS)
+    uses = " UNION ALL ".join(f"SELECT graph_id, node, {q(v)} AS var FROM nodes WHERE node = {q(nd)}"
+                              for nd, v in FL.USES)
+    return f"""
+ev AS (
+  SELECT CAST(user_id * 100000 + (CAST(date_trunc('week', ts) AS DATE) - DATE '1970-01-01') AS BIGINT) AS graph_id,
+         ts, event_id, event_type AS node FROM events
+),
+seq AS (
+  SELECT graph_id, node, lead(node) OVER (PARTITION BY graph_id ORDER BY ts, event_id) AS nxt,
+         row_number() OVER (PARTITION BY graph_id ORDER BY ts, event_id) AS rn FROM ev
+),
+edges AS (
+  SELECT DISTINCT graph_id, src, dst, 'UNCONDITIONAL' AS edge_type FROM (
+    SELECT graph_id, node AS src, nxt AS dst FROM seq WHERE nxt IS NOT NULL
+    UNION ALL SELECT graph_id, 'ENTRY', node FROM seq WHERE rn = 1
+    UNION ALL SELECT graph_id, node, 'EXIT' FROM seq WHERE nxt IS NULL) x
+),
+nodes AS (
+  SELECT DISTINCT graph_id, node, CASE node {ids} END AS node_id FROM (
+    SELECT graph_id, src AS node FROM edges UNION ALL SELECT graph_id, dst FROM edges) y
+),
+defs AS ({defs}),
+uses AS ({uses}),
+guards AS (SELECT graph_id, src, dst, {q(FL.GUARD_VAR)} AS var FROM edges WHERE src = {q(FL.GUARD_SRC)}),
+reach AS (
+  WITH RECURSIVE r(graph_id, node, def_id, var, def_node) AS (
+    SELECT d.graph_id, e.dst, d.def_id, d.var, d.node FROM defs d JOIN edges e ON e.graph_id = d.graph_id AND e.src = d.node
+    UNION
+    SELECT r.graph_id, e.dst, r.def_id, r.var, r.def_node FROM r JOIN edges e ON e.graph_id = r.graph_id AND e.src = r.node
+    WHERE r.node = r.def_node OR NOT EXISTS (SELECT 1 FROM defs k WHERE k.graph_id = r.graph_id AND k.node = r.node AND k.var = r.var)
+  ) SELECT * FROM r
+)
+"""
+
+
+def flow_sql() -> dict[str, str]:
+    pre = "WITH " + flow_ctes()
+    out = {}
+    out["g0_flow_edges"] = pre + " SELECT * FROM edges"
+    out["g1_degrees"] = pre + """ SELECT n.graph_id, n.node,
+        CAST((SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.src = n.node) AS BIGINT) AS out_degree,
+        CAST((SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.dst = n.node) AS BIGINT) AS in_degree
+      FROM nodes n"""
+    out["g2_gen_kill"] = pre + """ SELECT graph_id, node, def_id, 'gen' AS kind FROM defs
+      UNION ALL SELECT a.graph_id, a.node, b.def_id, 'kill' FROM defs a JOIN defs b
+        ON a.graph_id = b.graph_id AND a.var = b.var AND a.node <> b.node"""
+    out["g3_reaching_defs"] = pre + " SELECT graph_id, node, def_id FROM reach"
+    out["g4_def_use"] = pre + """ SELECT r.graph_id, r.def_node, u.node AS use_node, u.var, r.def_id
+      FROM uses u JOIN reach r ON r.graph_id = u.graph_id AND r.node = u.node AND r.var = u.var"""
+    barrier = f"({q(FL.CLOSE_NODE)}, {q(FL.ESCAPE_NODE)})"
+    leak = f"""
+lk AS (
+  WITH RECURSIVE p(graph_id, start, node, path) AS (
+    SELECT graph_id, node, node, [node] FROM nodes WHERE node = {q(FL.RESOURCE_DEF)} AND node NOT IN {barrier}
+    UNION ALL
+    SELECT p.graph_id, p.start, e.dst, list_append(p.path, e.dst) FROM p
+    JOIN edges e ON e.graph_id = p.graph_id AND e.src = p.node
+    WHERE p.node NOT IN {barrier} AND p.node <> 'EXIT' AND NOT list_contains(p.path, e.dst)
+  ) SELECT * FROM p WHERE node = 'EXIT'
+)"""
+    out["g5_leak_paths"] = pre + ", " + leak + " SELECT DISTINCT graph_id, start AS def_node FROM lk"
+    ids = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in FL.NODE_IDS.items())
+    out["g7_witness_path"] = pre + ", " + leak + f""",
+ranked AS (
+  SELECT graph_id, start, path, list_transform(path, lambda x: CASE x {ids} END) AS idp FROM lk
+),
+best AS (
+  SELECT graph_id, start, arg_min(path, [len(path)] || idp) AS path FROM ranked GROUP BY graph_id, start
+)
+SELECT graph_id, start AS def_node, array_to_string(path, ' -> ') AS witness FROM best"""
+    out["g6_unguarded_null"] = pre + """,
+ug AS (
+  WITH RECURSIVE u(graph_id, start, var, node) AS (
+    SELECT graph_id, node, var, node FROM defs WHERE is_null
+    UNION
+    SELECT u.graph_id, u.start, u.var, e.dst FROM u JOIN edges e ON e.graph_id = u.graph_id AND e.src = u.node
+    WHERE NOT EXISTS (SELECT 1 FROM guards g WHERE g.graph_id = e.graph_id AND g.src = e.src AND g.dst = e.dst
+                      AND g.var = u.var)
+  ) SELECT * FROM u
+)
+SELECT DISTINCT us.graph_id, us.node, us.var FROM uses us
+JOIN ug ON ug.graph_id = us.graph_id AND ug.node = us.node AND ug.var = us.var
+JOIN reach r ON r.graph_id = us.graph_id AND r.node = us.node AND r.var = us.var AND r.def_node = ug.start"""
+    return out

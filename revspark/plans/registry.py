@@ -225,3 +225,107 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     s = _base_oracle()
     s.update(O.more_sql())
     return s
+
+
+# ---------------------------------------------------------------------------
+# T and J queries (Java files of the code corpus)
+# ---------------------------------------------------------------------------
+from revspark.operators import java_rules as JR  # noqa: E402
+
+
+def java_tables(spark: SparkSession, d: str) -> JR.JavaTables:
+    cf = code_files(spark, d)
+    return JR.JavaTables(cf.filter(F.col("file").endswith(".java")).select("review_id", "file", "content"))
+
+
+def _java_queries():
+    q = {}
+    q["t1_tokens"] = lambda s, d: java_tables(s, d).t.select("review_id", "file", "line", "idx", "tok", "kind",
+                                                             "nd", "bd")
+    q["t2_scopes"] = lambda s, d: java_tables(s, d).braces.select(
+        "review_id", "file", F.col("o_pos").alias("open_pos"), F.col("c_pos").alias("close_pos"),
+        F.col("o_line").alias("open_line"), F.col("c_line").alias("close_line"), F.col("lvl").alias("depth"))
+    q["t3_calls"] = lambda s, d: java_tables(s, d).calls.select(
+        "review_id", "file", "name", "receiver", "call_line", "a_open", "a_close")
+    q["t4_fields"] = lambda s, d: java_tables(s, d).fields.select(
+        "review_id", "file", "c_open", "f_name", "type_text", "is_final")
+    for key, fn in JR.JAVA_RULES.items():
+        q[key] = (lambda f: lambda s, d: f(java_tables(s, d)).select(*FINDING_OUT))(fn)
+    return q
+
+
+_base_queries2 = queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:  # noqa: F811
+    q = _base_queries2()
+    q.update(_java_queries())
+    return q
+
+
+# ---------------------------------------------------------------------------
+# G queries (event-transition graphs)
+# ---------------------------------------------------------------------------
+from revspark.operators import flow as FL  # noqa: E402
+
+
+def flow_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    edges = FL.event_edges(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type"))
+    nodes = FL.flow_nodes(edges)
+    return {"edges": edges, "nodes": nodes, "defs": FL.flow_defs(nodes), "uses": FL.flow_uses(nodes),
+            "guards": FL.flow_guards(edges)}
+
+
+def _flow_queries():
+    q = {}
+    q["g0_flow_edges"] = lambda s, d: flow_tables(s, d)["edges"]
+    q["g1_degrees"] = lambda s, d: FL.degrees(flow_tables(s, d)["edges"])
+    q["g2_gen_kill"] = lambda s, d: FL.gen_kill(flow_tables(s, d)["defs"])
+
+    def g3(s, d):
+        t = flow_tables(s, d)
+        return FL.reaching_definitions(t["edges"], t["defs"]).select(FL.G, "node", "def_id")
+    q["g3_reaching_defs"] = g3
+
+    def g4(s, d):
+        t = flow_tables(s, d)
+        return FL.def_use_chains(FL.reaching_definitions(t["edges"], t["defs"]), t["uses"])
+    q["g4_def_use"] = g4
+
+    def g5(s, d):
+        t = flow_tables(s, d)
+        return FL.leak_paths(t["edges"], t["defs"]).select(FL.G, "def_node")
+    q["g5_leak_paths"] = g5
+
+    def g6(s, d):
+        t = flow_tables(s, d)
+        reach = FL.reaching_definitions(t["edges"], t["defs"])
+        return FL.unguarded_null_uses(t["edges"], t["defs"], t["uses"], t["guards"], reach)
+    q["g6_unguarded_null"] = g6
+
+    def g7(s, d):
+        t = flow_tables(s, d)
+        names = F.create_map(*[x for k, v in FL.NODE_IDS.items() for x in (F.lit(v), F.lit(k))])
+        lp = FL.leak_paths(t["edges"], t["defs"])
+        return lp.select(FL.G, "def_node", F.array_join(F.transform("path", lambda i: F.element_at(names, i)),
+                                                        " -> ").alias("witness"))
+    q["g7_witness_path"] = g7
+    return q
+
+
+_base_queries3 = queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:  # noqa: F811
+    q = _base_queries3()
+    q.update(_flow_queries())
+    return q
+
+
+_base_oracle2 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    s = _base_oracle2()
+    s.update(O.flow_sql())
+    return s
