@@ -506,3 +506,90 @@ SELECT DISTINCT us.graph_id, us.node, us.var FROM uses us
 JOIN ug ON ug.graph_id = us.graph_id AND ug.node = us.node AND ug.var = us.var
 JOIN reach r ON r.graph_id = us.graph_id AND r.node = us.node AND r.var = us.var AND r.def_node = ug.start"""
     return out
+
+
+# ---------------------------------------------------------------------------
+# W oracles
+# ---------------------------------------------------------------------------
+from revspark.streaming import intake as WI  # noqa: E402
+
+
+def webhooks_sql() -> str:
+    acts = "[" + ", ".join(q(a) for a in FX.WEBHOOK_ACTIONS) + "]"
+    full = ("'{\"action\": \"' || " + acts + "[event_id % 5 + 1] || '\", \"number\": ' || CAST(event_id AS VARCHAR) "
+            "|| ', \"repository\": {\"full_name\": \"o/r' || CAST(user_id AS VARCHAR) || "
+            "'\"}, \"pull_request\": {\"head\": {\"sha\": \"' || sha256(CAST(event_id AS VARCHAR)) || '\"}}}'")
+    return f"""
+wf AS (SELECT event_id, user_id, ts, {full} AS body FROM events),
+wp AS (SELECT event_id, ts, CASE WHEN event_id % 17 = 0 THEN substr(body, 1, CAST(floor(length(body) / 2) AS INTEGER))
+                                 ELSE body END AS payload FROM wf),
+hooks AS (
+  SELECT event_id, ts, payload,
+    CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'sha256=' || sha256(payload)
+         ELSE 'sha256=' || {hmac_sha256_hex_sql(FX.WEBHOOK_SECRET, 'payload')} END AS signature,
+    CASE WHEN event_id % 7 = 0 THEN 'push' ELSE 'pull_request' END AS event
+  FROM wp
+)"""
+
+
+def intake_sql() -> str:
+    acts = _in(WI.TRIGGER_ACTIONS)
+    return f"""
+ik AS (
+  SELECT *, coalesce(starts_with(signature, 'sha256=') AND signature = 'sha256=' || {hmac_sha256_hex_sql(FX.WEBHOOK_SECRET, 'payload')}, false) AS sig_ok,
+         coalesce(event = 'pull_request', false) AS is_pr,
+         coalesce(json_valid(payload), false) OR coalesce(payload, '') = '' AS json_ok,
+         coalesce(CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.action') END, '') AS action
+  FROM hooks
+),
+it AS (
+  SELECT *, sig_ok AND is_pr AND json_ok AND action IN {acts} AS triggered FROM ik
+),
+intake AS (
+  SELECT event_id,
+    CAST(CASE WHEN NOT sig_ok THEN {WI.OUT_UNAUTHORIZED[0]} WHEN NOT is_pr THEN {WI.OUT_NOT_PR[0]}
+              WHEN NOT json_ok THEN {WI.OUT_BAD_JSON[0]} ELSE 200 END AS INTEGER) AS status,
+    CASE WHEN NOT sig_ok THEN {q(WI.OUT_UNAUTHORIZED[1])} WHEN NOT is_pr THEN {q(WI.OUT_NOT_PR[1])}
+         WHEN NOT json_ok THEN {q(WI.OUT_BAD_JSON[1])} WHEN triggered THEN {q(WI.OUT_TRIGGERED[1])}
+         ELSE {q(WI.ACTION_IGNORED_FMT[0])} || action || {q(WI.ACTION_IGNORED_FMT[1])} END AS outcome,
+    triggered,
+    CASE WHEN triggered AND json_valid(payload) THEN coalesce(json_extract_string(payload, '$.repository.full_name'), '') END AS repo_name,
+    CASE WHEN triggered AND json_valid(payload) THEN coalesce(TRY_CAST(json_extract(payload, '$.number') AS INTEGER), 0) END AS pr_number,
+    CASE WHEN triggered AND json_valid(payload) THEN coalesce(json_extract_string(payload, '$.pull_request.head.sha'), '') END AS commit_sha
+  FROM it
+)"""
+
+
+def chain_sql(key_sql: str, gap_s: int) -> str:
+    g = gap_s * 1_000_000
+    return f"""
+ev AS (SELECT {key_sql} AS k, event_id AS id, epoch_us(ts) AS t FROM events),
+nx AS (SELECT e.k, e.id, e.t, (SELECT e2.id FROM ev e2 WHERE e2.k = e.k AND e2.t >= e.t + {g}
+                               ORDER BY e2.t, e2.id LIMIT 1) AS nxt FROM ev e),
+heads AS (SELECT k, arg_min(id, [t, id]) AS id FROM ev GROUP BY k),
+chain AS (
+  WITH RECURSIVE c(k, id) AS (
+    SELECT k, id FROM heads
+    UNION ALL SELECT nx.k, nx.nxt FROM c JOIN nx ON nx.id = c.id WHERE nx.nxt IS NOT NULL
+  ) SELECT * FROM c
+)"""
+
+
+def w_sql() -> dict[str, str]:
+    out = {}
+    w1 = "WITH " + webhooks_sql() + ", " + intake_sql() + " SELECT * FROM intake"
+    out["w1_webhook_intake"] = w1
+    out["w1_webhook_intake_stream"] = w1
+    w2 = "WITH " + chain_sql("user_id", 10 * 3600) + """
+SELECT e.k AS user_id, e.id AS event_id, e.id IN (SELECT id FROM chain) AS accepted FROM ev e"""
+    out["w2_throttle"] = w2
+    out["w2_throttle_stream"] = w2
+    g = 3600 * 1_000_000
+    out["w3_first_version"] = "WITH " + chain_sql("user_id % 20", 3600) + f""",
+sets AS (SELECT ev.k, ev.id AS set_id, ev.t AS st FROM ev JOIN chain ON chain.id = ev.id)
+SELECT e.k AS ttl_key, e.id AS event_id, s.set_id FROM ev e JOIN sets s ON s.k = e.k
+WHERE (s.st < e.t OR (s.st = e.t AND s.set_id <= e.id)) AND e.t < s.st + {g}"""
+    out["w5_live_history"] = f"""WITH f AS ({FINDINGS_SQL})
+SELECT review_id, count(*) AS finding_count, count(*) FILTER (WHERE severity = 'ERROR') AS error_count
+FROM f GROUP BY review_id"""
+    return out

@@ -329,3 +329,99 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     s = _base_oracle2()
     s.update(O.flow_sql())
     return s
+
+
+# ---------------------------------------------------------------------------
+# W queries (webhooks, throttle, TTL, continuous review, live history)
+# ---------------------------------------------------------------------------
+from revspark.streaming import intake as WI  # noqa: E402
+from revspark.streaming import review as WR  # noqa: E402
+from revspark.streaming import throttle as WT  # noqa: E402
+
+THROTTLE_GAP = 10 * 3600   # fixture: 10 hours on events by user_id (the service uses 10 s per client)
+TTL_GAP = 3600             # fixture: 1 hour on key user_id % 20
+TTL_KEYS = 20
+PRS_PER_REVIEW = 100       # fixture: PR number (event_id) div 100 names the code review it touches
+
+
+def stream_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A driver table as a file stream (glob path: the source needs a folder pattern)."""
+    schema = table(spark, d, name).schema
+    return spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/{name}.parque[t]")
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+
+
+def _w_queries():
+    q = {}
+    out_cols = ["event_id", "status", "outcome", "triggered", "repo_name", "pr_number", "commit_sha"]
+    q["w1_webhook_intake"] = lambda s, d: WI.intake(FX.webhooks_from_events(_events(s, d)), FX.WEBHOOK_SECRET) \
+        .select(*out_cols)
+
+    def w1s(s, d):
+        path = WR.fresh_dir(s, "w1")
+        st = WI.intake(FX.webhooks_from_events(stream_table(s, d, "events")), FX.WEBHOOK_SECRET).select(*out_cols)
+        st.writeStream.format("parquet").option("path", path + "/out") \
+            .option("checkpointLocation", path + "/ck").trigger(availableNow=True).start().awaitTermination()
+        return s.read.parquet(path + "/out")
+    q["w1_webhook_intake_stream"] = w1s
+
+    q["w2_throttle"] = lambda s, d: WT.throttle(_events(s, d), "user_id", "ts", "event_id", THROTTLE_GAP) \
+        .select("user_id", "event_id", "accepted")
+
+    def w2s(s, d):
+        path = WR.fresh_dir(s, "w2")
+        st = WT.throttle_stream(stream_table(s, d, "events"), "user_id", "ts", "event_id", THROTTLE_GAP,
+                                watermark="10 hours")
+        st.writeStream.format("parquet").option("path", path + "/out").outputMode("append") \
+            .option("checkpointLocation", path + "/ck").trigger(availableNow=True).start().awaitTermination()
+        return s.read.parquet(path + "/out")
+    q["w2_throttle_stream"] = w2s
+
+    def w3(s, d):
+        ev = _events(s, d).withColumn("ttl_key", F.col("user_id") % TTL_KEYS)
+        return WT.first_version(ev, "ttl_key", "ts", "event_id", TTL_GAP)
+    q["w3_first_version"] = w3
+
+    def w4(s, d):
+        path = WR.fresh_dir(s, "w4")
+        cf = code_files(s, d)
+        files = cf.select("review_id", "file", "content")
+        diffs = FX.diffs_from_code_files(cf)
+        hooks = FX.webhooks_from_events(stream_table(s, d, "events"))
+        WR.continuous_review(s, hooks, files, diffs, FX.WEBHOOK_SECRET, path, path + "/ck",
+                             lambda pr: F.floor(pr / PRS_PER_REVIEW).cast("long"))
+        return s.read.parquet(path + "/findings").select(
+            "repo_name", "pr_number", "commit_sha", "review_id", "rule_id", "severity", "file", "line",
+            "code_snippet", "message", "priority_score")
+    q["w4_continuous_review"] = w4
+
+    def w5(s, d):
+        path = WR.fresh_dir(s, "w5")
+        st = stream_table(s, d, "lineitem")
+        WR.live_history(s, A.findings_from_lineitem(st), path + "/out", path + "/ck")
+        return s.read.parquet(path + "/out").select(
+            "review_id", F.col("finding_count").cast("long").alias("finding_count"),
+            F.col("error_count").cast("long").alias("error_count"))
+    q["w5_live_history"] = w5
+    return q
+
+
+_base_queries4 = queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:  # noqa: F811
+    q = _base_queries4()
+    q.update(_w_queries())
+    return q
+
+
+_base_oracle3 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    s = _base_oracle3()
+    s.update(O.w_sql())
+    return s
