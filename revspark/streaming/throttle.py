@@ -125,9 +125,16 @@ def throttle_stream(stream: DataFrame, key: str, ts: str, eid: str, gap_seconds:
             if ok:
                 last = t
             acc.append(ok)
-        state.update((int(last),))
         if watermark:
-            state.setTimeoutTimestamp(int((last + gap_us) // 1000))
+            expires_ms = int((last + gap_us) // 1000)
+            if expires_ms <= state.getCurrentWatermarkMs():
+                # every later on-time event is accepted anyway: the state is no longer needed
+                state.remove()
+            else:
+                state.update((int(last),))
+                state.setTimeoutTimestamp(expires_ms)
+        else:
+            state.update((int(last),))
         yield pd.DataFrame({"k": rows["k"].astype("int64"), "id": rows["id"].astype("int64"), "accepted": acc})
 
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
