@@ -593,3 +593,140 @@ WHERE (s.st < e.t OR (s.st = e.t AND s.set_id <= e.id)) AND e.t < s.st + {g}"""
 SELECT review_id, count(*) AS finding_count, count(*) FILTER (WHERE severity = 'ERROR') AS error_count
 FROM f GROUP BY review_id"""
     return out
+
+
+# ---------------------------------------------------------------------------
+# T and J oracles
+# ---------------------------------------------------------------------------
+from revspark.operators import java_rules as JR  # noqa: E402
+from revspark.operators import tokens as TK  # noqa: E402
+from revspark.sources import code_files as CF  # noqa: E402
+
+# Java-rule oracles are generator goldens: the expected findings of every
+# template occurrence in the derived corpus (FIXTURES.md B1), placed at the
+# line the generator writes them to.  Columns: template, query key, rule id,
+# severity, line offset in the template, snippet, message, only in @Service
+# classes, copies.  $v / $n are the template's variable and chunk number, $L
+# the line of the finding.
+JAVA_EXPECTED = [
+    (0, "j1_resource_leak", JR.R_LEAK, "ERROR", 1, '$v = new FileInputStream("a//b")',
+     JR.MSG_LEAK.format("$v", "FileInputStream"), False, 1),
+    (3, "j2_null_deref", JR.R_NULL, "ERROR", 2, "log($v.length());", JR.MSG_NULL.format("$v", "$P"), False, 1),
+    (5, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "count++;", JR.MSG_SHARED.format("count"), True, 1),
+    (6, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "if (!map.containsKey(k)) {", JR.MSG_SHARED.format("map"),
+     True, 1),
+    (6, "j3b_check_then_act", JR.R_CONC, "WARNING", 1, "!map.containsKey(k)", JR.MSG_CTA, False, 1),
+    (7, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "return map;", JR.MSG_SHARED.format("map"), True, 1),
+    (7, "j3c_unsafe_publication", JR.R_CONC, "WARNING", 1, "return map;", JR.MSG_PUBLISH.format("map"), False, 1),
+    (8, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "userRepository.findById(id);",
+     JR.MSG_SHARED.format("userRepository"), True, 1),
+    (8, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "userRepository.findById(id)", JR.MSG_N1_LOOP, False, 1),
+    (9, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "ids.forEach(id -> userRepository.findById(id));",
+     JR.MSG_SHARED.format("userRepository"), True, 1),
+    (9, "j4b_query_in_stream", JR.R_N1, "WARNING", 1, "userRepository.findById(id)", JR.MSG_N1_STREAM, False, 1),
+    (10, "j3a_shared_field", JR.R_CONC, "WARNING", 3, "userRepository.save(a);",
+     JR.MSG_SHARED.format("userRepository"), True, 1),
+    (10, "j4a_query_in_loop", JR.R_N1, "WARNING", 3, "userRepository.save(a)", JR.MSG_N1_LOOP, False, 2),
+    (11, "j5_sql_concat", JR.R_SQL, "ERROR", 1, "st.executeQuery(\"select * from t where n = '\" + $v + \"'\")",
+     JR.MSG_SQL, False, 1),
+    (13, "j6_hardcoded_secret", JR.R_SECRET, "ERROR", 1, 'password = "p$n-$v"', JR.MSG_SECRET.format("password"),
+     False, 1),
+    (14, "j7_loop_bound", JR.R_LOOP, "WARNING", 1, "i <= xs.size()", JR.MSG_LOOP, False, 1),
+]
+
+
+def java_golden_cte() -> str:
+    """CTE ``jg``: expected Java findings of the corpus (review_id, rule_id,
+    severity, file, line, code_snippet, message, qkey)."""
+    tpl = CF.templates()
+    n_lines = ", ".join(f"({i}, {b.count('~') + 1})" for e, i, b in tpl if e == "java")
+    exp = ", ".join(
+        f"({t}, {q(k)}, {q(r)}, {q(s)}, {o}, {q(sn)}, {q(m)}, {str(svc).upper()}, {c})"
+        for t, k, r, s, o, sn, m, svc, c in JAVA_EXPECTED)
+    n_java = CF.template_counts()["java"]
+    return f"""
+jc AS (
+  SELECT doc_id, k, (doc_id * 31 + k * k * 17 + k) % {n_java} AS idx
+  FROM (SELECT doc_id, unnest(range(0, 2 + (doc_id // 5) % 6)) AS k FROM documents WHERE doc_id % 5 = 0) x
+),
+jn AS (SELECT jc.*, tl.n FROM jc JOIN (VALUES {n_lines}) tl(idx, n) ON tl.idx = jc.idx),
+js AS (
+  SELECT doc_id, k, idx,
+         CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 5 END + 1
+           + coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS start_line
+  FROM jn
+),
+jg AS (
+  SELECT CAST(d.doc_id // {CF.FILES_PER_REVIEW} AS BIGINT) AS review_id, e.rule_id, e.severity,
+         'src/' || d.source || '/F' || CAST(d.doc_id AS VARCHAR) || '.java' AS file,
+         CAST(js.start_line + e.off AS INTEGER) AS line,
+         replace(replace(e.snippet, '$v', 'v' || CAST(js.doc_id % 7 AS VARCHAR)), '$n', CAST(js.k AS VARCHAR)) AS code_snippet,
+         replace(replace(e.message, '$v', 'v' || CAST(js.doc_id % 7 AS VARCHAR)), '$P',
+                 CAST(js.start_line + e.off - 1 AS VARCHAR)) AS message,
+         e.qkey
+  FROM js JOIN documents d ON d.doc_id = js.doc_id
+  JOIN (VALUES {exp}) e(idx, qkey, rule_id, severity, off, snippet, message, svc, copies) ON e.idx = js.idx
+  CROSS JOIN LATERAL (SELECT unnest(range(e.copies)) AS copy_no) cp
+  WHERE NOT e.svc OR js.doc_id % 2 = 0
+)"""
+
+
+def token_ctes() -> str:
+    """T1 over the .java files of the corpus (needs ``cf``)."""
+    sp, tk = q(TK.SPECIAL_RE), q(TK.TOKEN_RE)
+    return f"""
+jf AS (SELECT review_id, file, content FROM cf WHERE suffix(file, '.java')),
+jp AS (SELECT review_id, file, regexp_split_to_array(content, {sp}) AS pieces,
+              list_append(regexp_extract_all(content, {sp}), '') AS specials FROM jf),
+jb AS (SELECT review_id, file, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i:
+         pieces[i] || CASE WHEN starts_with(specials[i], '/') THEN regexp_replace(specials[i], '[^\\n]', ' ', 'g')
+                          ELSE specials[i] END), '') AS clean FROM jp),
+jl AS (SELECT review_id, file, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text
+       FROM (SELECT review_id, file, string_split(clean, chr(10)) AS ls FROM jb) y),
+jt0 AS (SELECT review_id, file, line, unnest(range(0, len(ts))) AS idx, unnest(ts) AS tok
+        FROM (SELECT review_id, file, line, regexp_extract_all(text, {tk}) AS ts FROM jl) z),
+jt AS (
+  SELECT review_id, file, CAST(line AS INTEGER) AS line, CAST(idx AS INTEGER) AS idx, tok,
+         CAST(line AS BIGINT) * {TK.LINE_SHIFT} + idx AS pos,
+         CASE WHEN starts_with(tok, '"') THEN 'str' WHEN starts_with(tok, '''') THEN 'chr'
+              WHEN regexp_matches(tok, '^[A-Za-z_$]') THEN 'id' WHEN regexp_matches(tok, '^[0-9]') THEN 'num'
+              ELSE 'op' END AS kind,
+         CAST(sum(CASE WHEN tok IN ('(', '[', '{{') THEN 1 WHEN tok IN (')', ']', '}}') THEN -1 ELSE 0 END)
+              OVER (PARTITION BY review_id, file ORDER BY line, idx ROWS UNBOUNDED PRECEDING) AS INTEGER) AS nd,
+         CAST(sum(CASE WHEN tok = '{{' THEN 1 WHEN tok = '}}' THEN -1 ELSE 0 END)
+              OVER (PARTITION BY review_id, file ORDER BY line, idx ROWS UNBOUNDED PRECEDING) AS INTEGER) AS bd
+  FROM jt0
+)"""
+
+
+def java_sql() -> dict[str, str]:
+    out = {}
+    cf = f"cf AS ({oracle_code_files_sql()})"
+    out["t1_tokens"] = f"WITH {cf}, {token_ctes()} SELECT review_id, file, line, idx, tok, kind, nd, bd FROM jt"
+    out["t2_scopes"] = f"""WITH {cf}, {token_ctes()},
+br AS (SELECT review_id, file, pos, line, tok, CASE WHEN tok = '{{' THEN nd ELSE nd + 1 END AS lvl
+       FROM jt WHERE tok IN ('{{', '}}')),
+bp AS (SELECT *, lead(tok) OVER w AS c_tok, lead(pos) OVER w AS c_pos, lead(line) OVER w AS c_line
+       FROM br WINDOW w AS (PARTITION BY review_id, file, lvl ORDER BY pos))
+SELECT review_id, file, pos AS open_pos, c_pos AS close_pos, line AS open_line, c_line AS close_line, lvl AS depth
+FROM bp WHERE tok = '{{' AND c_tok = '}}'"""
+    pre = "WITH " + code_ctes() + ", " + java_golden_cte()
+    rules = "(VALUES " + ", ".join(f"({q(r)}, {q(sv)})" for r, sv in ALL_RULES) + ") rl(rule_id, severity)"
+    out["d3_run_rules"] = pre + f", af AS ({all_findings_select()}) SELECT * FROM af"
+    out["d4_rule_stats"] = pre + f""", af AS ({all_findings_select()}) SELECT rl.rule_id, rl.severity,
+        CAST((SELECT count(*) FROM af WHERE af.rule_id = rl.rule_id) AS BIGINT) AS n_findings FROM {rules}"""
+    both = f"SELECT review_id, file, content FROM ({oracle_code_files_sql()}) UNION ALL {DOC_FILES_SQL}"
+    out["d5_scan_once"] = "WITH " + code_ctes_from(both) + ", " + java_golden_cte() + \
+        f", af AS ({all_findings_select()}) SELECT * FROM af"
+    gold = f"WITH {java_golden_cte()}"
+    for key in JR.JAVA_RULES:
+        out[key] = gold + (f" SELECT review_id, rule_id, severity, file, line, code_snippet, message FROM jg "
+                           f"WHERE qkey = {q(key)}")
+    return out
+
+
+def all_findings_select() -> str:
+    """Line findings (needs code_ctes) UNION ALL Java goldens (needs jg)."""
+    return (line_findings_select() + "\nUNION ALL\nSELECT review_id, rule_id, severity, file, line, code_snippet, "
+            "message FROM jg")

@@ -425,3 +425,12 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     s = _base_oracle3()
     s.update(O.w_sql())
     return s
+
+
+_base_oracle4 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    s = _base_oracle4()
+    s.update(O.java_sql())
+    return s
