@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revspark.operators.tokens import (
-    EXPR_KEYWORDS, KEY, LINE_SHIFT, MODIFIERS, STMT_KEYWORDS, inside, nd_before, pairs, render, span_text, tokens,
+    CONCURRENT_ANNOTATIONS, CONCURRENT_INTERFACES, EXPR_KEYWORDS, KEY, LINE_SHIFT, MODIFIERS, STMT_KEYWORDS, inside, nd_before, pairs, render, span_text, tokens,
 )
 
 # Rule ids and messages.
@@ -54,8 +54,6 @@ MSG_LOOP = "Potential off-by-one error: Loop condition uses '<=' with size() or
 # Word lists of the rules.
 RESOURCE_WORDS = ["stream", "reader", "writer", "connection", "socket", "session", "resource", "closeable",
                   "autocloseable", "channel", "zipfile"]
-CONCURRENT_ANNOTATIONS = ["RestController", "Controller", "Service", "Component", "Repository"]
-CONCURRENT_INTERFACES = ["Runnable", "Callable"]
 THREAD_SAFE_WORDS = ["Atomic", "Concurrent", "Lock", "ReentrantLock", "Semaphore", "CountDownLatch"]
 COLLECTION_PREFIXES = ["List", "Map", "Set", "Collection", "ArrayList", "HashMap", "HashSet"]
 LOCK_CALLS = ["lock", "lockInterruptibly", "tryLock"]
@@ -147,59 +145,34 @@ class JavaTables:
             pp = self.parens.filter(
                 F.col("p1").rlike(r"^[A-Za-z_$]") & ~F.col("p1").isin(*STMT_KEYWORDS) & _typeish(F.col("p2"))
                 & F.col("c_n1").isin("{", "throws"))
-            t = self.t
-            # body '{': the token after ')' or the first '{' after a throws clause
-            nxt_brace = t.filter(F.col("tok") == "{").select(*KEY, F.col("pos").alias("b_pos"),
-                                                             F.col("stmt_start").alias("b_stmt"))
+            # body '{': the token after ')' or the next '{' after a throws clause (a window pointer)
             heads = pp.select(*KEY, F.col("p1").alias("m_name"), F.col("p1_pos").alias("name_pos"),
-                              "stmt_start", "c_pos", "c_n1", "c_n1_pos")
-            direct = heads.filter(F.col("c_n1") == "{").withColumn("b_pos", F.col("c_n1_pos"))
-            thrown = heads.filter(F.col("c_n1") == "throws").join(nxt_brace, KEY).filter(
-                (F.col("b_pos") > F.col("c_pos")) & (F.col("b_stmt") < F.col("c_pos"))) \
-                .groupBy(*heads.columns).agg(F.min("b_pos").alias("b_pos"))
-            bodies = direct.unionByName(thrown)
+                              F.when(F.col("c_n1") == "{", F.col("c_n1_pos")).otherwise(F.col("c_next_brace"))
+                              .alias("b_pos"),
+                              # a 'synchronized' modifier in the declaration, after the statement start
+                              (F.col("last_sync") > F.col("stmt_start")).alias("m_sync"))
             br = self.braces.select(*KEY, F.col("o_pos").alias("b_pos"), F.col("c_pos").alias("m_close"),
                                     F.col("o_line").alias("m_open_line"), F.col("c_line").alias("m_close_line"),
                                     F.col("lvl").alias("m_lvl"))
-            m = bodies.join(br, [*KEY, "b_pos"]).withColumnRenamed("b_pos", "m_open")
-            # 'synchronized' modifier among the declaration's tokens
-            sync = t.filter((F.col("tok") == "synchronized") & (F.col("n1") != "(")).select(
-                *KEY, F.col("pos").alias("s_pos"))
-            ms = m.join(sync, KEY, "left").withColumn(
-                "hit", (F.col("s_pos") > F.col("stmt_start")) & (F.col("s_pos") < F.col("name_pos")))
-            return ms.groupBy(*m.columns).agg(F.coalesce(F.max("hit"), F.lit(False)).alias("m_sync"))
+            return heads.join(br, [*KEY, "b_pos"]).withColumnRenamed("b_pos", "m_open")
         return self._get("methods", build)
 
     @property
     def classes(self) -> DataFrame:
         """Class / interface bodies with their concurrency flag."""
         def build():
-            t = self.t
-            kw = t.filter(F.col("tok").isin("class", "interface") & (F.col("p1") != ".")).select(
-                *KEY, F.col("pos").alias("kw_pos"), F.col("n1").alias("c_name"))
-            br = self.braces.select(*KEY, F.col("o_pos").alias("c_open"), F.col("c_pos").alias("c_close"),
-                                    F.col("o_line").alias("c_open_line"), F.col("c_line").alias("c_close_line"),
-                                    F.col("lvl").alias("c_lvl"), F.col("stmt_start").alias("decl_start"))
-            c = kw.join(br, KEY).filter((F.col("kw_pos") > F.col("decl_start")) & (F.col("kw_pos") < F.col("c_open")))
-            # annotations: last name of an '@' chain; implements: any listed interface name
-            ann_last = (F.col("kind") == "id") & (F.col("n1") != ".") & (
-                (F.col("p1") == "@") | ((F.col("p1") == ".") & (F.col("p3") == "@"))
-                | ((F.col("p1") == ".") & (F.col("p3") == ".") & (F.col("p5") == "@"))
-                | ((F.col("p1") == ".") & (F.col("p3") == ".") & (F.col("p5") == ".") & (F.col("p7") == "@")))
-            marks = t.filter((ann_last & F.col("tok").isin(*CONCURRENT_ANNOTATIONS))
-                             | F.col("tok").isin(*CONCURRENT_INTERFACES) | (F.col("tok") == "implements")) \
-                .select(*KEY, "pos", "tok", ann_last.alias("is_ann"))
-            j = c.join(marks, KEY, "left").filter(
-                F.col("pos").isNull() | ((F.col("pos") > F.col("decl_start")) & (F.col("pos") < F.col("c_open"))))
-            impl_pos = F.max(F.when(F.col("tok") == "implements", F.col("pos")))
-            g = j.groupBy(*c.columns).agg(
-                F.coalesce(F.max(F.col("is_ann") & F.col("tok").isin(*CONCURRENT_ANNOTATIONS)), F.lit(False))
-                .alias("by_ann"),
-                impl_pos.alias("impl_pos"),
-                F.max(F.when(F.col("tok").isin(*CONCURRENT_INTERFACES) & ~F.col("is_ann"), F.col("pos")))
-                .alias("iface_pos"))
-            conc = F.col("by_ann") | F.coalesce(F.col("iface_pos") > F.col("impl_pos"), F.lit(False))
-            return g.select(*c.columns, conc.alias("concurrent"))
+            # a '{' whose declaration (since the last ; { }) holds a class / interface keyword
+            br = self.braces.filter(F.col("last_class_kw") > F.col("stmt_start"))
+            names = self.t.select(*KEY, F.col("pos").alias("last_class_kw"), F.col("n1").alias("c_name"))
+            c = br.join(names, [*KEY, "last_class_kw"]).select(
+                *KEY, "c_name", F.col("last_class_kw").alias("kw_pos"), F.col("o_pos").alias("c_open"),
+                F.col("c_pos").alias("c_close"), F.col("o_line").alias("c_open_line"),
+                F.col("c_line").alias("c_close_line"), F.col("lvl").alias("c_lvl"),
+                F.col("stmt_start").alias("decl_start"),
+                (F.col("last_conc_ann") > F.col("stmt_start")).alias("by_ann"),
+                ((F.col("last_impl") > F.col("stmt_start")) & (F.col("last_iface") > F.col("last_impl")))
+                .alias("by_iface"))
+            return c.withColumn("concurrent", F.col("by_ann") | F.col("by_iface")).drop("by_ann", "by_iface")
         return self._get("classes", build)
 
     @property
@@ -350,13 +323,16 @@ def resource_leaks(jt: JavaTables) -> DataFrame:
     asg_text = span_text(t, asg.withColumn("v0", F.col("x_pos") + 1), [*KEY, "x_pos"], "v0", "next_semi", "l0", "l1",
                          out="x_text")
     escapes = ret_text.unionByName(asg_text)
-    r2 = res.alias("r")
-    closed = r2.join(closes.alias("c"), [*KEY, "var"]).filter(
-        (F.col("x_pos") > F.col("d_pos")) & (F.col("x_pos") < F.col("m_close")) & (F.col("x_pos") > F.col("m_open"))
-    ).select(*KEY, "d_pos")
-    escaped = r2.join(escapes, KEY).filter(
-        (F.col("x_pos") > F.col("d_pos")) & (F.col("x_pos") < F.col("m_close")) & F.col("x_text").contains(F.col("var"))
-    ).select(*KEY, "d_pos")
+    # closes / escapes are keyed by every method enclosing them: the tests below stay inside one method
+    # (no pairs across a whole file); the last close per (method, var) decides with one equi-join
+    cm = jt.in_methods(closes.withColumn("c_line", pline(F.col("x_pos"))), "x_pos", "c_line") \
+        .groupBy(*KEY, "m_open", "var").agg(F.max("x_pos").alias("last_close"))
+    closed = res.join(cm, [*KEY, "m_open", "var"]).filter(F.col("last_close") > F.col("d_pos")) \
+        .select(*KEY, "d_pos")
+    em = jt.in_methods(escapes.withColumn("e_line", pline(F.col("x_pos"))), "x_pos", "e_line") \
+        .select(*KEY, "m_open", "x_pos", "x_text")
+    escaped = res.join(em, [*KEY, "m_open"]).filter(
+        (F.col("x_pos") > F.col("d_pos")) & F.col("x_text").contains(F.col("var"))).select(*KEY, "d_pos")
     leak = res.join(closed, [*KEY, "d_pos"], "left_anti").join(escaped, [*KEY, "d_pos"], "left_anti")
     # snippet: declarator text from the name to the end of the initializer
     ends = leak.select(*KEY, "d_pos", "next_semi", F.col("line").alias("l0"), pline(F.col("next_semi")).alias("l1"))
@@ -414,7 +390,10 @@ def null_derefs(jt: JavaTables) -> DataFrame:
     then_end = F.when(F.col("c_n1") == "{", F.col("blk_end")).otherwise(F.col("c_next_semi"))
     ifs = ifs.select(*KEY, F.col("gvar").alias("var"), F.col("op"), F.col("c_pos").alias("if_c"),
                      then_end.alias("then_end"))
-    h = hit.alias("h").join(ifs.alias("g"), [*KEY, "var"])
+    # guards are compared only with dereferences of the same method (no pairs across a file)
+    ifs = jt.in_methods(ifs.withColumn("i_line", pline(F.col("if_c"))), "if_c", "i_line") \
+        .select(*KEY, "var", "op", "if_c", "then_end", "m_open")
+    h = hit.alias("h").join(ifs.alias("g"), [*KEY, "var", "m_open"])
     in_then = (F.col("h.pos") > F.col("g.if_c")) & (F.col("h.pos") <= F.col("g.then_end"))
     after_eq = (F.col("g.if_c") > F.col("h.def_pos")) & (F.col("g.if_c") < F.col("h.pos")) & (
         F.col("g.if_c") > F.col("h.m_open")) & ~in_then

@@ -41,6 +41,9 @@ EXPR_KEYWORDS = ["return", "throw", "else", "case", "do", "assert", "yield", "ne
 STMT_KEYWORDS = ["if", "for", "while", "switch", "catch", "synchronized", "try", "do", "else", "return", "new",
                  "throw", "assert", "super", "this", "finally"]
 SPACE_AFTER = ["if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "else", "try", "do", ";"]
+# Class markers of the concurrency rule.
+CONCURRENT_ANNOTATIONS = ["RestController", "Controller", "Service", "Component", "Repository"]
+CONCURRENT_INTERFACES = ["Runnable", "Callable"]
 BINOPS = ["<=", ">=", "==", "!=", "&&", "||", "+", "-", "*", "/", "%", "<", ">", "=", "+=", "-=", "*=", "/=",
           "?", ":", "->"]
 
@@ -83,13 +86,28 @@ def tokens(files: DataFrame, partitions: int | None = None) -> DataFrame:
     for i in (1, 2, 3):
         t = t.withColumn(f"n{i}", F.lead("tok", i).over(wo))
     t = t.withColumn("n1_pos", F.lead("pos", 1).over(wo))
-    # statement start: last ; { } before the token (a declaration's first token follows it)
-    t = t.withColumn("stmt_start", F.coalesce(F.last(F.when(F.col("tok").isin(";", "{", "}"), F.col("pos")),
-                                                     ignorenulls=True).over(
-        Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1).cast("long")))
-    # next ';' after the token: a growing frame over the reversed order stays linear
-    t = t.withColumn("next_semi", F.last(F.when(F.col("tok") == ";", F.col("pos")), ignorenulls=True).over(
-        Window.partitionBy(*KEY).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)))
+    # statement start: last ; { } before the token (a declaration's first token follows it), and the
+    # last position of a few markers before it -- all one growing-frame window pass, linear per file
+    before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    tok = F.col("tok")
+    ann_name = (F.col("kind") == "id") & (F.col("n1") != ".") & (
+        (F.col("p1") == "@") | ((F.col("p1") == ".") & (F.col("p3") == "@"))
+        | ((F.col("p1") == ".") & (F.col("p3") == ".") & (F.col("p5") == "@")))
+    marks = {
+        "stmt_start": tok.isin(";", "{", "}"),
+        "last_sync": (tok == "synchronized") & F.coalesce(F.col("n1") != "(", F.lit(True)),
+        "last_class_kw": tok.isin("class", "interface") & F.coalesce(F.col("p1") != ".", F.lit(True)),
+        "last_conc_ann": F.coalesce(ann_name & tok.isin(*CONCURRENT_ANNOTATIONS), F.lit(False)),
+        "last_impl": tok == "implements",
+        "last_iface": tok.isin(*CONCURRENT_INTERFACES) & F.coalesce(F.col("p1") != "@", F.lit(True)),
+    }
+    for name, cond in marks.items():
+        t = t.withColumn(name, F.coalesce(F.last(F.when(cond, F.col("pos")), ignorenulls=True).over(before),
+                                          F.lit(-1).cast("long")))
+    # next ';' and next '{' after the token: a growing frame over the reversed order stays linear
+    after = Window.partitionBy(*KEY).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("next_semi", F.last(F.when(tok == ";", F.col("pos")), ignorenulls=True).over(after)) \
+         .withColumn("next_brace", F.last(F.when(tok == "{", F.col("pos")), ignorenulls=True).over(after))
     return t
 
 
@@ -103,15 +121,18 @@ def pairs(t: DataFrame, open_tok: str, close_tok: str) -> DataFrame:
     bracket's neighbours.  Opens and closes at the same depth alternate, so
     the next bracket in (file, depth) order after an open is its close."""
     b = t.filter(F.col("tok").isin(open_tok, close_tok)).select(
-        *KEY, "pos", "line", "tok", "p1", "p2", "p3", "p1_pos", "n1", "n1_pos", "next_semi", "stmt_start",
+        *KEY, "pos", "line", "tok", "p1", "p2", "p3", "p1_pos", "n1", "n1_pos", "next_semi", "next_brace",
+        "stmt_start", "last_sync", "last_class_kw", "last_conc_ann", "last_impl", "last_iface",
         F.when(F.col("tok") == open_tok, F.col("nd")).otherwise(F.col("nd") + 1).alias("lvl"))
     w = Window.partitionBy(*KEY, "lvl").orderBy("pos")
     b = b.withColumn("c_tok", F.lead("tok").over(w)).withColumn("c_pos", F.lead("pos").over(w)) \
          .withColumn("c_line", F.lead("line").over(w)).withColumn("c_n1", F.lead("n1").over(w)) \
-         .withColumn("c_n1_pos", F.lead("n1_pos").over(w)).withColumn("c_next_semi", F.lead("next_semi").over(w))
+         .withColumn("c_n1_pos", F.lead("n1_pos").over(w)).withColumn("c_next_semi", F.lead("next_semi").over(w)) \
+         .withColumn("c_next_brace", F.lead("next_brace").over(w))
     return b.filter((F.col("tok") == open_tok) & (F.col("c_tok") == close_tok)).select(
         *KEY, F.col("pos").alias("o_pos"), F.col("line").alias("o_line"), "c_pos", "c_line", "lvl",
-        "p1", "p2", "p3", "p1_pos", "n1", "n1_pos", "c_n1", "c_n1_pos", "c_next_semi", "stmt_start")
+        "p1", "p2", "p3", "p1_pos", "n1", "n1_pos", "c_n1", "c_n1_pos", "c_next_semi", "c_next_brace", "stmt_start",
+        "last_sync", "last_class_kw", "last_conc_ann", "last_impl", "last_iface")
 
 
 def by_line(spans: DataFrame, start_line: str, end_line: str) -> DataFrame:
