@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revspark.session import ensure_checkpoint_dir
+from revspark.session import cut_lineage
 
 G = "graph_id"
 ENTRY, EXIT = "ENTRY", "EXIT"
@@ -143,8 +143,7 @@ def gen_kill(defs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ fixpoint loops
 
 def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut_lineage(df)
 
 
 def reaching_definitions(edges: DataFrame, defs: DataFrame) -> DataFrame:

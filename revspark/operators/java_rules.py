@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revspark.session import cut_lineage
 from revspark.operators.tokens import (
     CONCURRENT_ANNOTATIONS, CONCURRENT_INTERFACES, EXPR_KEYWORDS, KEY, LINE_SHIFT, MODIFIERS, STMT_KEYWORDS, inside, nd_before, pairs, render, span_text, tokens,
 )
@@ -111,13 +112,19 @@ def _fmt(template: str, *cols: Column) -> Column:
 class JavaTables:
     """Token-derived tables shared by the rules (built lazily, once)."""
 
-    def __init__(self, files: DataFrame):
-        self.t = tokens(files)
+    def __init__(self, files: DataFrame, materialize: bool = True):
+        self.materialize = materialize
         self._cache: dict[str, DataFrame] = {}
+        self.t = self._cut(tokens(files))
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """Materialise a shared table once in the checkpoint folder, so the ten
+        rules read it instead of recomputing it (and the lineage is cut)."""
+        return cut_lineage(df) if self.materialize else df
 
     def _get(self, name, fn):
         if name not in self._cache:
-            self._cache[name] = fn()
+            self._cache[name] = self._cut(fn())
         return self._cache[name]
 
     @property
@@ -622,6 +629,7 @@ def run_java_rules(files: DataFrame) -> DataFrame:
     jt = JavaTables(files)
     out = None
     for fn in JAVA_RULES.values():
-        df = fn(jt).select(*FINDING_COLS)
+        # each rule's findings (small) are materialised, so the union stays a short plan
+        df = jt._cut(fn(jt).select(*FINDING_COLS))
         out = df if out is None else out.unionByName(df)
     return out

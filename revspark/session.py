@@ -58,3 +58,18 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def cut_lineage(df):
+    """Materialise ``df`` into the shared checkpoint folder and cut its lineage.
+
+    ``Dataset.checkpoint(eager=True)`` runs the plan once to count and again to
+    write; caching first makes the write read the cached blocks, so the plan
+    runs once.  The cache is dropped right after."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out

@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revspark.session import ensure_checkpoint_dir
+from revspark.session import cut_lineage
 
 MAX_ROUNDS = 64
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut_lineage(df)
 
 
 def next_pointers(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: int) -> DataFrame:
