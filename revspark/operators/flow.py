@@ -35,6 +35,7 @@ RESOURCE_DEF, CLOSE_NODE, ESCAPE_NODE = "signup", "purchase", "error"
 GUARD_SRC, GUARD_VAR = "click", "acct"
 BUCKET_SECONDS = 60
 MAX_ROUNDS = 10_000
+SEEN_CUT_EVERY = 4
 
 
 # ------------------------------------------------------------ fixture tables
@@ -159,7 +160,7 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame) -> DataFrame:
     frontier = _cut(d.join(e.withColumnRenamed("src", "def_node"), [G, "def_node"])
                     .select(G, F.col("dst").alias("node"), "def_id", "var", "def_node").distinct())
     seen = frontier
-    for _ in range(MAX_ROUNDS):
+    for rnd in range(MAX_ROUNDS):
         if frontier.isEmpty():
             break
         passing = frontier.join(killers, [G, "node", "var"], "left_anti") \
@@ -167,7 +168,10 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame) -> DataFrame:
         nxt = passing.join(e.withColumnRenamed("src", "node"), [G, "node"]) \
             .select(G, F.col("dst").alias("node"), "def_id", "var", "def_node").distinct()
         new = _cut(nxt.join(seen, [G, "node", "def_id"], "left_anti"))
-        seen = _cut(seen.unionByName(new))
+        # the new facts are materialised every round; the accumulated set only every few rounds
+        seen = seen.unionByName(new)
+        if rnd % SEEN_CUT_EVERY == SEEN_CUT_EVERY - 1:
+            seen = _cut(seen)
         frontier = new
     return seen
 
@@ -189,7 +193,7 @@ def _reach_from(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None)
     e = edges.select(G, F.col("src").alias("node"), "dst")
     frontier = _cut(starts.withColumn("path", F.array(F.element_at(ids, F.col("node")))))
     seen = frontier
-    for _ in range(MAX_ROUNDS):
+    for rnd in range(MAX_ROUNDS):
         if frontier.isEmpty():
             break
         expand = frontier if blocked is None else frontier.join(blocked, [G, "start", "node"], "left_anti")
@@ -198,7 +202,10 @@ def _reach_from(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None)
             .alias("path"))
         best = nxt.groupBy(G, "start", "node").agg(F.min("path").alias("path"))
         new = _cut(best.join(seen, [G, "start", "node"], "left_anti"))
-        seen = _cut(seen.unionByName(new))
+        # the new facts are materialised every round; the accumulated set only every few rounds
+        seen = seen.unionByName(new)
+        if rnd % SEEN_CUT_EVERY == SEEN_CUT_EVERY - 1:
+            seen = _cut(seen)
         frontier = new
     return seen
 

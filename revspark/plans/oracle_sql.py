@@ -240,18 +240,20 @@ def paths_sql() -> str:
     return f"WITH cf AS ({oracle_code_files_sql()}), paths AS (SELECT file AS path FROM cf UNION ALL SELECT url AS path FROM pages) "
 
 
-def enriched_sql() -> str:
-    """CTE ``ef``: line findings with rationale / fix / priority (needs code_ctes)."""
+def enriched_sql(findings_cte: str | None = None) -> str:
+    """CTE ``ef``: findings with rationale / fix / priority (needs code_ctes).
+    Without ``findings_cte`` the line findings are used (CTE ``lf``)."""
     rows = []
     for rule, lang, rat, fix in EN.DIMENSION_ROWS:
         prio = EN.PRIORITY.get(rule, EN.DEFAULT_PRIORITY)
         rows.append(f"({q(rule)}, {q(lang)}, {q(rat)}, {q(fix)}, {prio})")
     dim = "(VALUES " + ", ".join(rows) + ") dim(rule_key, lang_key, rationale, fix, priority)"
     keys = _in(EN.PRIORITY.keys())
+    src = findings_cte or "lf"
+    head = "" if findings_cte else f"lf AS ({line_findings_select()}),\n"
     return f"""
-lf AS ({line_findings_select()}),
-lk AS (SELECT *, CASE WHEN rule_id IN {keys} THEN rule_id ELSE '*' END AS rule_key,
-              {prompt_lang_sql('file')} AS lang_key FROM lf),
+{head}lk AS (SELECT *, CASE WHEN rule_id IN {keys} THEN rule_id ELSE '*' END AS rule_key,
+              {prompt_lang_sql('file')} AS lang_key FROM {src}),
 ef AS (
   SELECT lk.review_id, lk.rule_id, lk.severity, lk.file, lk.line, lk.code_snippet, lk.message,
          coalesce(d1.rationale, d2.rationale) AS rationale, coalesce(d1.fix, d2.fix) AS fix_suggestion,
@@ -342,14 +344,6 @@ FROM x"""
     out["d2_diff_scope"] = (pre + f", lf AS ({lf}), {FX.DIFF_EXPECTED_SQL} SELECT * FROM lf WHERE EXISTS "
                             "(SELECT 1 FROM changed c WHERE c.review_id = lf.review_id AND c.file = lf.file "
                             "AND c.line = lf.line)")
-    out["d3_run_rules"] = pre + f", lf AS ({lf}) SELECT * FROM lf"
-    rules = "(VALUES " + ", ".join(f"({q(r)}, {q(s)})" for r, s in ALL_RULES) + ") rl(rule_id, severity)"
-    out["d4_rule_stats"] = (pre + f", lf AS ({lf}) SELECT rl.rule_id, rl.severity, "
-                            f"CAST((SELECT count(*) FROM lf WHERE lf.rule_id = rl.rule_id) AS BIGINT) AS n_findings "
-                            f"FROM {rules}")
-    both = f"SELECT review_id, file, content FROM ({oracle_code_files_sql()}) UNION ALL {DOC_FILES_SQL}"
-    out["d5_scan_once"] = "WITH " + code_ctes_from(both) + f", lf AS ({lf}) SELECT * FROM lf"
-
     en = pre + ", " + enriched_sql()
     out["e1_enrich"] = en + " SELECT * FROM ef"
     fb_r, fb_f = EN.FALLBACK_RATIONALE, EN.FALLBACK_FIX
@@ -730,3 +724,18 @@ def all_findings_select() -> str:
     """Line findings (needs code_ctes) UNION ALL Java goldens (needs jg)."""
     return (line_findings_select() + "\nUNION ALL\nSELECT review_id, rule_id, severity, file, line, code_snippet, "
             "message FROM jg")
+
+
+def w4_sql() -> dict[str, str]:
+    """W4 in batch form: triggered PRs -> their review's findings (line + Java),
+    scoped to the changed lines of the diff, enriched."""
+    pre = ("WITH " + code_ctes() + ", " + java_golden_cte() + ", " + webhooks_sql() + ", " + intake_sql() + ", "
+           + FX.DIFF_EXPECTED_SQL + f", af AS ({all_findings_select()}), "
+           "sc AS (SELECT * FROM af WHERE EXISTS (SELECT 1 FROM changed c WHERE c.review_id = af.review_id "
+           "AND c.file = af.file AND c.line = af.line)), " + enriched_sql("sc"))
+    return {"w4_continuous_review": pre + """,
+trig AS (SELECT DISTINCT repo_name, pr_number, commit_sha, CAST(pr_number // 100 AS BIGINT) AS review_id
+         FROM intake WHERE triggered)
+SELECT t.repo_name, t.pr_number, t.commit_sha, t.review_id, ef.rule_id, ef.severity, ef.file, ef.line,
+       ef.code_snippet, ef.message, ef.priority_score
+FROM trig t JOIN ef ON ef.review_id = t.review_id"""}

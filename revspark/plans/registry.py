@@ -20,6 +20,19 @@ from revspark.sources import analogs as A
 from revspark.sources import sinks as K
 from revspark.sources.code_files import code_files
 from revspark.sources.tables import table
+from revspark.functions.text import not_blank, prompt_lang, rule_lang
+from revspark.operators import diffs as DF
+from revspark.operators import enrich as EN
+from revspark.operators.lines import code_lines, in_loop
+from revspark.plans import review as RV
+from revspark.session import scratch_table_dir
+from revspark.sources import fixtures as FX
+from revspark.sources import scan as SC
+from revspark.operators import java_rules as JR
+from revspark.operators import flow as FL
+from revspark.streaming import intake as WI
+from revspark.streaming import review as WR
+from revspark.streaming import throttle as WT
 
 OUT_COLS = ["review_id", "rule_id", "severity", "file", "line", "code_snippet", "message"]
 
@@ -30,12 +43,8 @@ def _line_rule_query(fn) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for key, fn in LR.LINE_RULES.items():
-        q[key] = _line_rule_query(fn)
-    q.update(_history_queries())
-    return q
+def _line_queries():
+    return {key: _line_rule_query(fn) for key, fn in LR.LINE_RULES.items()}
 
 
 def review_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,24 +99,11 @@ def _history_queries():
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    s: dict[str, str] = {}
-    s.update(O.line_rule_sql())
-    s.update(O.history_sql())
-    return s
 
 
 # ---------------------------------------------------------------------------
 # P, S, D, E, K1 queries
 # ---------------------------------------------------------------------------
-from revspark.functions.text import not_blank, prompt_lang, rule_lang  # noqa: E402
-from revspark.operators import diffs as DF  # noqa: E402
-from revspark.operators import enrich as EN  # noqa: E402
-from revspark.operators.lines import code_lines, in_loop  # noqa: E402
-from revspark.plans import review as RV  # noqa: E402
-from revspark.session import scratch_table_dir  # noqa: E402
-from revspark.sources import fixtures as FX  # noqa: E402
-from revspark.sources import scan as SC  # noqa: E402
 
 FINDING_OUT = ["review_id", "rule_id", "severity", "file", "line", "code_snippet", "message"]
 DOC_EXTS = ["txt", "py", "js", "cpp"]
@@ -209,28 +205,11 @@ def _more_queries():
     return q
 
 
-_base_queries = queries
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:  # noqa: F811
-    q = _base_queries()
-    q.update(_more_queries())
-    return q
-
-
-_base_oracle = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    s = _base_oracle()
-    s.update(O.more_sql())
-    return s
 
 
 # ---------------------------------------------------------------------------
 # T and J queries (Java files of the code corpus)
 # ---------------------------------------------------------------------------
-from revspark.operators import java_rules as JR  # noqa: E402
 
 
 def java_tables(spark: SparkSession, d: str) -> JR.JavaTables:
@@ -254,19 +233,10 @@ def _java_queries():
     return q
 
 
-_base_queries2 = queries
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:  # noqa: F811
-    q = _base_queries2()
-    q.update(_java_queries())
-    return q
-
 
 # ---------------------------------------------------------------------------
 # G queries (event-transition graphs)
 # ---------------------------------------------------------------------------
-from revspark.operators import flow as FL  # noqa: E402
 
 
 def flow_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -313,30 +283,11 @@ def _flow_queries():
     return q
 
 
-_base_queries3 = queries
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:  # noqa: F811
-    q = _base_queries3()
-    q.update(_flow_queries())
-    return q
-
-
-_base_oracle2 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    s = _base_oracle2()
-    s.update(O.flow_sql())
-    return s
 
 
 # ---------------------------------------------------------------------------
 # W queries (webhooks, throttle, TTL, continuous review, live history)
 # ---------------------------------------------------------------------------
-from revspark.streaming import intake as WI  # noqa: E402
-from revspark.streaming import review as WR  # noqa: E402
-from revspark.streaming import throttle as WT  # noqa: E402
 
 THROTTLE_GAP = 10 * 3600   # fixture: 10 hours on events by user_id (the service uses 10 s per client)
 TTL_GAP = 3600             # fixture: 1 hour on key user_id % 20
@@ -409,28 +360,23 @@ def _w_queries():
     return q
 
 
-_base_queries4 = queries
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:  # noqa: F811
-    q = _base_queries4()
-    q.update(_w_queries())
-    return q
-
-
-_base_oracle3 = oracle_sql
-
+# ---------------------------------------------------------------------------
+# registry
+# ---------------------------------------------------------------------------
 
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    s = _base_oracle3()
-    s.update(O.w_sql())
-    return s
+QUERY_GROUPS = (_line_queries, _history_queries, _more_queries, _java_queries, _flow_queries, _w_queries)
+ORACLE_GROUPS = (O.line_rule_sql, O.history_sql, O.more_sql, O.java_sql, O.flow_sql, O.w_sql, O.w4_sql)
 
 
-_base_oracle4 = oracle_sql
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for group in QUERY_GROUPS:
+        q.update(group())
+    return q
 
 
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    s = _base_oracle4()
-    s.update(O.java_sql())
+def oracle_sql() -> dict[str, str]:
+    s: dict[str, str] = {}
+    for group in ORACLE_GROUPS:
+        s.update(group())
     return s
