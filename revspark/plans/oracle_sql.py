@@ -713,6 +713,35 @@ FROM bp WHERE tok = '{{' AND c_tok = '}}'"""
     both = f"SELECT review_id, file, content FROM ({oracle_code_files_sql()}) UNION ALL {DOC_FILES_SQL}"
     out["d5_scan_once"] = "WITH " + code_ctes_from(both) + ", " + java_golden_cte() + \
         f", af AS ({all_findings_select()}) SELECT * FROM af"
+    ident = "'^[A-Za-z_$]'"
+    typeish = (f"coalesce((regexp_matches(p2, {ident}) AND p2 NOT IN {_in(TK.MODIFIERS)} "
+               f"AND p2 NOT IN {_in(TK.EXPR_KEYWORDS)}) OR p2 IN ('>', ']'), false)")
+    out["t3_calls"] = f"""WITH {cf}, {token_ctes()},
+jw AS (SELECT *, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3,
+              lag(tok, 4) OVER w AS p4, lag(pos, 1) OVER w AS p1_pos, lag(pos, 2) OVER w AS p2_pos,
+              lag(pos, 4) OVER w AS p4_pos
+       FROM jt WINDOW w AS (PARTITION BY review_id, file ORDER BY pos)),
+pr AS (SELECT review_id, file, pos, line, tok, p1, p2, p1_pos, CASE WHEN tok = '(' THEN nd ELSE nd + 1 END AS lvl
+       FROM jw WHERE tok IN ('(', ')')),
+pp AS (SELECT *, lead(tok) OVER w AS c_tok, lead(pos) OVER w AS c_pos
+       FROM pr WINDOW w AS (PARTITION BY review_id, file, lvl ORDER BY pos)),
+calls AS (
+  SELECT pp.review_id, pp.file, pp.p1 AS name, pp.pos AS a_open, pp.c_pos AS a_close,
+         n.p1 AS m1, n.p2 AS m2, n.p3 AS m3, n.p4 AS m4, n.p2_pos AS m2_pos, n.p4_pos AS m4_pos, n.pos AS name_pos
+  FROM pp JOIN jw n ON n.review_id = pp.review_id AND n.file = pp.file AND n.pos = pp.p1_pos
+  WHERE pp.tok = '(' AND pp.c_tok = ')'
+    AND ((regexp_matches(pp.p1, {ident}) AND pp.p1 NOT IN {_in(TK.STMT_KEYWORDS)} AND NOT {typeish.replace('p2', 'pp.p2')})
+         OR (regexp_matches(pp.p1, {ident}) AND pp.p2 = '.' AND pp.p1 NOT IN {_in(TK.STMT_KEYWORDS)}))
+    AND coalesce(pp.p2, '') <> 'new'
+),
+rc AS (SELECT *, coalesce(m1 = '.' AND regexp_matches(m2, {ident}), false) AS r1,
+              coalesce(m1 = '.' AND regexp_matches(m2, {ident}), false)
+                AND coalesce(m3 = '.' AND regexp_matches(m4, {ident}), false) AS r2 FROM calls)
+SELECT review_id, file, name,
+       CASE WHEN r2 THEN m4 || '.' || m2 WHEN r1 THEN m2 ELSE '' END AS receiver,
+       CAST(floor((CASE WHEN r2 THEN m4_pos WHEN r1 THEN m2_pos ELSE name_pos END) / {TK.LINE_SHIFT}) AS INTEGER) AS call_line,
+       a_open, a_close
+FROM rc"""
     gold = f"WITH {java_golden_cte()}"
     for key in JR.JAVA_RULES:
         out[key] = gold + (f" SELECT review_id, rule_id, severity, file, line, code_snippet, message FROM jg "

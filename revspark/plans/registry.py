@@ -131,7 +131,7 @@ def code_reviews(spark: SparkSession, d: str) -> DataFrame:
     return r.select("review_id",
                     F.concat(F.lit("repo/R"), F.col("review_id").cast("string")).alias("source"),
                     F.sha2(F.col("review_id").cast("string"), 256).alias("commit_sha"),
-                    F.timestamp_seconds(F.lit(1704067200) + F.col("review_id")).alias("analyzed_at"))
+                    F.timestamp_seconds(F.lit(1704067200) + F.col("review_id")).cast("timestamp_ntz").alias("analyzed_at"))
 
 
 def line_findings(spark: SparkSession, d: str) -> DataFrame:
