@@ -742,6 +742,32 @@ SELECT review_id, file, name,
        CAST(floor((CASE WHEN r2 THEN m4_pos WHEN r1 THEN m2_pos ELSE name_pos END) / {TK.LINE_SHIFT}) AS INTEGER) AS call_line,
        a_open, a_close
 FROM rc"""
+    out["t4_fields"] = f"""WITH {cf}, {token_ctes()},
+jw AS (SELECT *, lag(tok, 1) OVER w AS p1,
+         coalesce(max(CASE WHEN tok IN (';', '{{', '}}') THEN pos END) OVER b, -1) AS stmt_start,
+         coalesce(max(CASE WHEN tok IN ('class', 'interface') AND coalesce(lag1, '') <> '.' THEN pos END) OVER b, -1)
+           AS last_class_kw
+       FROM (SELECT *, lag(tok, 1) OVER (PARTITION BY review_id, file ORDER BY pos) AS lag1,
+                    lead(tok, 1) OVER (PARTITION BY review_id, file ORDER BY pos) AS n1 FROM jt) x
+       WINDOW w AS (PARTITION BY review_id, file ORDER BY pos),
+              b AS (PARTITION BY review_id, file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+br AS (SELECT review_id, file, pos, tok, stmt_start, last_class_kw, CASE WHEN tok = '{{' THEN nd ELSE nd + 1 END AS lvl
+       FROM jw WHERE tok IN ('{{', '}}')),
+bp AS (SELECT *, lead(tok) OVER w AS c_tok, lead(pos) OVER w AS c_pos
+       FROM br WINDOW w AS (PARTITION BY review_id, file, lvl ORDER BY pos)),
+cls AS (SELECT review_id, file, pos AS c_open, c_pos AS c_close, lvl AS c_lvl FROM bp
+        WHERE tok = '{{' AND c_tok = '}}' AND last_class_kw > stmt_start),
+cand AS (SELECT jw.* FROM jw WHERE kind = 'id' AND n1 IN ('=', ';', ',')
+           AND NOT coalesce(p1 IN ('.', '=', '<', '@'), false) AND nd = bd),
+fl AS (SELECT c.review_id, c.file, k.c_open, c.pos AS f_pos, c.tok AS f_name, c.stmt_start
+       FROM cand c JOIN cls k ON k.review_id = c.review_id AND k.file = c.file
+        AND c.pos > k.c_open AND c.pos < k.c_close AND c.bd = k.c_lvl)
+SELECT f.review_id, f.file, f.c_open, f.f_name,
+       coalesce(string_agg(t.tok, '' ORDER BY t.pos) FILTER (WHERE t.tok NOT IN {_in(TK.MODIFIERS)} AND t.tok <> '@'
+                AND NOT coalesce(t.p1 = '@', false)), '') AS type_text,
+       coalesce(bool_or(t.tok = 'final'), false) AS is_final
+FROM fl f JOIN jw t ON t.review_id = f.review_id AND t.file = f.file AND t.pos > f.stmt_start AND t.pos < f.f_pos
+GROUP BY f.review_id, f.file, f.c_open, f.f_pos, f.f_name"""
     gold = f"WITH {java_golden_cte()}"
     for key in JR.JAVA_RULES:
         out[key] = gold + (f" SELECT review_id, rule_id, severity, file, line, code_snippet, message FROM jg "
