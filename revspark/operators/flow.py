@@ -154,9 +154,10 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame) -> DataFrame:
     unless that node kills it (defines the same var elsewhere); facts already
     known are dropped (left_anti), so the loop ends when no new fact appears.
     """
-    e = edges.select(G, "src", "dst")
-    d = defs.select(G, F.col("node").alias("def_node"), "var", "def_id")
-    killers = defs.select(G, F.col("node").alias("node"), "var")
+    # loop invariants are materialised once, not recomputed every round
+    e = _cut(edges.select(G, "src", "dst"))
+    d = _cut(defs.select(G, F.col("node").alias("def_node"), "var", "def_id"))
+    killers = d.select(G, F.col("def_node").alias("node"), "var")
     frontier = _cut(d.join(e.withColumnRenamed("src", "def_node"), [G, "def_node"])
                     .select(G, F.col("dst").alias("node"), "def_id", "var", "def_node").distinct())
     seen = frontier
@@ -190,7 +191,9 @@ def _reach_from(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None)
     (graph_id, start, node, path).
     """
     ids = F.create_map(*[x for k, v in NODE_IDS.items() for x in (F.lit(k), F.lit(v))])
-    e = edges.select(G, F.col("src").alias("node"), "dst")
+    e = _cut(edges.select(G, F.col("src").alias("node"), "dst"))
+    if blocked is not None:
+        blocked = _cut(blocked)
     frontier = _cut(starts.withColumn("path", F.array(F.element_at(ids, F.col("node")))))
     seen = frontier
     for rnd in range(MAX_ROUNDS):

@@ -25,7 +25,7 @@ from revspark.operators import diffs as DF
 from revspark.operators import enrich as EN
 from revspark.operators.lines import code_lines, in_loop
 from revspark.plans import review as RV
-from revspark.session import scratch_table_dir
+from revspark.session import cut_lineage, scratch_table_dir
 from revspark.sources import fixtures as FX
 from revspark.sources import scan as SC
 from revspark.operators import java_rules as JR
@@ -240,7 +240,8 @@ def _java_queries():
 
 
 def flow_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    edges = FL.event_edges(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type"))
+    # the edge table feeds every graph query and each fixpoint round: materialise it once
+    edges = cut_lineage(FL.event_edges(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")))
     nodes = FL.flow_nodes(edges)
     return {"edges": edges, "nodes": nodes, "defs": FL.flow_defs(nodes), "uses": FL.flow_uses(nodes),
             "guards": FL.flow_guards(edges)}
