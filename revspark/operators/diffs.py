@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revspark.functions.text import is_supported
+from revspark.session import cut_lineage
 
 
 def changed_lines(diffs: DataFrame, keys: tuple[str, ...] = ("diff_id",), partitions: int | None = None) -> DataFrame:
@@ -90,6 +91,8 @@ def scope_to_diff(findings: DataFrame, changed: DataFrame | None, key: str = "re
     """
     if changed is None:
         return findings
+    # findings are read by both branches below and are small next to their inputs: materialise once
+    findings = cut_lineage(findings)
     ch = changed.select(key, "file", "line").dropDuplicates()
     own = findings.join(ch, [key, "file", "line"], "left_semi")
     with_path = findings.filter(F.col("dataflow_path").isNotNull() & (F.size("dataflow_path") > 0))
