@@ -583,6 +583,7 @@ SELECT e.k AS user_id, e.id AS event_id, e.id IN (SELECT id FROM chain) AS accep
 sets AS (SELECT ev.k, ev.id AS set_id, ev.t AS st FROM ev JOIN chain ON chain.id = ev.id)
 SELECT e.k AS ttl_key, e.id AS event_id, s.set_id FROM ev e JOIN sets s ON s.k = e.k
 WHERE (s.st < e.t OR (s.st = e.t AND s.set_id <= e.id)) AND e.t < s.st + {g}"""
+    out["w3_first_version_stream"] = out["w3_first_version"]
     out["w5_live_history"] = f"""WITH f AS ({FINDINGS_SQL})
 SELECT review_id, count(*) AS finding_count, count(*) FILTER (WHERE severity = 'ERROR') AS error_count
 FROM f GROUP BY review_id"""

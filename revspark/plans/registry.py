@@ -329,7 +329,7 @@ def _w_queries():
                                 watermark="10 hours")
         st.writeStream.format("parquet").option("path", path + "/out").outputMode("append") \
             .option("checkpointLocation", path + "/ck").trigger(availableNow=True).start().awaitTermination()
-        return s.read.parquet(path + "/out")
+        return s.read.parquet(path + "/out").select("user_id", "event_id", "accepted")
     q["w2_throttle_stream"] = w2s
 
     def w3(s, d):
@@ -337,6 +337,16 @@ def _w_queries():
         return WT.first_version(ev, "ttl_key", "ts", "event_id", TTL_GAP)
     q["w3_first_version"] = w3
 
+    def w3s(s, d):
+        path = WR.fresh_dir(s, "w3")
+        ev = stream_table(s, d, "events").withColumn("ttl_key", F.col("user_id") % TTL_KEYS)
+        st = WT.throttle_stream(ev, "ttl_key", "ts", "event_id", TTL_GAP, watermark="1 hour")
+        st.select("ttl_key", "event_id", "set_id").writeStream.format("parquet").option("path", path + "/out") \
+            .outputMode("append").option("checkpointLocation", path + "/ck").trigger(availableNow=True) \
+            .start().awaitTermination()
+        return s.read.parquet(path + "/out")
+    q["w3_first_version_stream"] = w3s
+
     def w4(s, d):
         path = WR.fresh_dir(s, "w4")
         cf = code_files(s, d)

@@ -98,7 +98,9 @@ def first_version(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: i
 
 def throttle_stream(stream: DataFrame, key: str, ts: str, eid: str, gap_seconds: int,
                     watermark: str | None = None) -> DataFrame:
-    """W2 / W3 on a streaming DataFrame with keyed state (last accepted time)."""
+    """W2 / W3 on a streaming DataFrame with keyed state (time and id of the
+    last accepted event).  ``accepted`` answers W2; ``set_id`` (the accepted
+    event whose version is served) answers W3."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -109,33 +111,35 @@ def throttle_stream(stream: DataFrame, key: str, ts: str, eid: str, gap_seconds:
     if watermark:
         s = s.withWatermark("ts", watermark)
     out_schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("id", T.LongType()),
-                               T.StructField("accepted", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("last", T.LongType())])
+                               T.StructField("accepted", T.BooleanType()), T.StructField("set_id", T.LongType())])
+    state_schema = T.StructType([T.StructField("last", T.LongType()), T.StructField("last_id", T.LongType())])
 
     def fn(k, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        last, last_id = (state.get[0], state.get[1]) if state.exists else (None, None)
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "id"], kind="stable")
-        acc = []
-        for t in rows["t"].tolist():
+        acc, served = [], []
+        for t, i in zip(rows["t"].tolist(), rows["id"].tolist()):
             ok = last is None or t - last >= gap_us
             if ok:
-                last = t
+                last, last_id = t, int(i)
             acc.append(ok)
+            served.append(last_id)
         if watermark:
             expires_ms = int((last + gap_us) // 1000)
             if expires_ms <= state.getCurrentWatermarkMs():
                 # every later on-time event is accepted anyway: the state is no longer needed
                 state.remove()
             else:
-                state.update((int(last),))
+                state.update((int(last), int(last_id)))
                 state.setTimeoutTimestamp(expires_ms)
         else:
-            state.update((int(last),))
-        yield pd.DataFrame({"k": rows["k"].astype("int64"), "id": rows["id"].astype("int64"), "accepted": acc})
+            state.update((int(last), int(last_id)))
+        yield pd.DataFrame({"k": rows["k"].astype("int64"), "id": rows["id"].astype("int64"), "accepted": acc,
+                            "set_id": pd.Series(served, dtype="int64")})
 
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     return s.groupBy("k").applyInPandasWithState(fn, out_schema, state_schema, "append", timeout) \
-        .select(F.col("k").alias(key), F.col("id").alias(eid), "accepted")
+        .select(F.col("k").alias(key), F.col("id").alias(eid), "accepted", "set_id")
