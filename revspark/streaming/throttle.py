@@ -7,8 +7,7 @@ expression computes it directly.
 
 Batch twin (exact, distributed):
   1. next(i) = first event of the key at or after t_i + gap (an as-of
-     lookup: one sort-based window per key, which spills instead of holding a
-     group in memory);
+     lookup in gap-wide time buckets, see ``next_pointers``);
   2. the accepted events are the chain head, next(head), next(next(head)), ...
      found by pointer doubling: log2(chain length) rounds of joins on event
      ids (unique keys, so no hot key), each round checkpointed.
@@ -36,18 +35,42 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def next_pointers(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: int) -> DataFrame:
-    """(key, id, t_us, nxt): nxt = id of the first event with t >= t_i + gap."""
+    """(k, id, t, nxt): nxt = id of the first event (in (t, id) order) with
+    t >= t_i + gap.
+
+    Skew-safe: time is cut into buckets one gap wide.  The probe t_i + gap
+    lies in bucket b(t_i) + 1; a window over (key, bucket) finds the nearest
+    later event inside that bucket.  Probes left without one take the first
+    event of the next non-empty bucket, looked up once per (key, bucket) from
+    one summary row per non-empty bucket.  A key holding a large share of all
+    events is therefore spread over its time buckets.
+    """
+    g = gap_seconds * 1_000_000
     t_us = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.select(F.col(key).alias("k"), F.col(eid).alias("id"), t_us.alias("t"))
-    real = e.select("k", "t", F.lit(1).alias("kind"), "id", F.struct("t", "id").alias("ev"))
-    probe = e.select("k", (F.col("t") + gap_seconds * 1_000_000).alias("t"), F.lit(0).alias("kind"), "id",
-                     F.lit(None).cast("struct<t:bigint,id:bigint>").alias("ev"))
+    e = events.select(F.col(key).alias("k"), F.col(eid).alias("id"), t_us.alias("t")) \
+        .withColumn("b", F.floor(F.col("t") / g))
+    ev_t = "struct<t:bigint,id:bigint>"
+    real = e.select("k", "b", "t", F.lit(1).alias("kind"), "id", F.struct("t", "id").alias("ev"))
+    probe = e.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + g).alias("t"), F.lit(0).alias("kind"), "id",
+                     F.lit(None).cast(ev_t).alias("ev"))
     # in descending (t, kind, id) order a growing frame ends at the nearest later real event
-    w = Window.partitionBy("k").orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("id").desc()) \
+    w = Window.partitionBy("k", "b").orderBy(F.col("t").desc(), F.col("kind").desc(), F.col("id").desc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    u = real.unionByName(probe).withColumn("nx", F.last("ev", ignorenulls=True).over(w))
-    nxt = u.filter(F.col("kind") == 0).select(F.col("k"), "id", F.col("nx.id").alias("nxt"))
-    return e.join(nxt, ["k", "id"])
+    u = real.unionByName(probe).withColumn("nx", F.last("ev", ignorenulls=True).over(w)) \
+        .filter(F.col("kind") == 0).select("k", "b", "id", F.col("nx.id").alias("nxt"))
+    # unresolved probes: first event of the first non-empty bucket after b (one lookup per (k, b))
+    summ = e.groupBy("k", "b").agg(F.min_by("id", F.struct("t", "id")).alias("first_id"))
+    open_b = u.filter(F.col("nxt").isNull()).select("k", "b").distinct()
+    look = summ.select("k", "b", "first_id", F.lit(1).alias("kind")).unionByName(
+        open_b.select("k", "b", F.lit(None).cast("long").alias("first_id"), F.lit(0).alias("kind")))
+    # bucket descending, lookup row before the summary of its own bucket: the frame holds later buckets only
+    wb = Window.partitionBy("k").orderBy(F.col("b").desc(), F.col("kind").asc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    later = look.withColumn("later", F.last("first_id", ignorenulls=True).over(wb)) \
+        .filter(F.col("kind") == 0).select("k", "b", "later")
+    nxt = u.join(later, ["k", "b"], "left").select(
+        "k", "id", F.coalesce(F.col("nxt"), F.col("later")).alias("nxt"))
+    return e.select("k", "id", "t").join(nxt, ["k", "id"])
 
 
 def accepted_ids(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: int) -> DataFrame:
