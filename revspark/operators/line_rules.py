@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.functions.text import not_blank, prefixes, suffixes
+from revspark.functions.text import prefixes, suffixes
 from revspark.operators.lines import KEY, code_lines, in_loop, snippet
 
 # Rule ids, severities and messages of the line rules.
@@ -232,4 +232,4 @@ def run_line_rules(ln: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["LINE_RULES", "run_line_rules", "not_blank"]
+__all__ = ["LINE_RULES", "run_line_rules"]

@@ -20,7 +20,7 @@ from revspark.sources import analogs as A
 from revspark.sources import sinks as K
 from revspark.sources.code_files import code_files
 from revspark.sources.tables import table
-from revspark.functions.text import not_blank, prompt_lang, rule_lang
+from revspark.functions.text import prompt_lang, rule_lang
 from revspark.operators import diffs as DF
 from revspark.operators import enrich as EN
 from revspark.operators.lines import code_lines, in_loop
