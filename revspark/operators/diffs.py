@@ -39,7 +39,7 @@ def changed_lines(diffs: DataFrame, keys: tuple[str, ...] = ("diff_id",), partit
     rows = d.select(*keys, F.posexplode(F.split(F.col("diff_text"), "\n")).alias("pos", "l"))
     upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     l = F.col("l")
-    parts = F.split(l, " ")
+    parts = F.split(F.regexp_replace(l, " +$", ""), " ")  # like Java split: no trailing empties
     b_path = F.element_at(parts, 4)
     header_file = F.when(b_path.startswith("b/"), F.substring(b_path, 3, 1 << 30)).otherwise(b_path)
     is_git = l.startswith("diff --git ")
@@ -73,7 +73,7 @@ def changed_lines(diffs: DataFrame, keys: tuple[str, ...] = ("diff_id",), partit
 def changed_files(diffs: DataFrame) -> DataFrame:
     """Supported files named by ``diff --git`` headers, in a set."""
     rows = diffs.select("diff_id", F.explode(F.split(F.col("diff_text"), "\n")).alias("l"))
-    parts = F.split(F.col("l"), " ")
+    parts = F.split(F.regexp_replace(F.col("l"), " +$", ""), " ")
     b_path = F.element_at(parts, 4)
     f = F.when(b_path.startswith("b/"), F.substring(b_path, 3, 1 << 30)).otherwise(b_path)
     return rows.filter(F.col("l").startswith("diff --git ") & (F.size(parts) >= 4)) \
