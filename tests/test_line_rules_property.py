@@ -81,3 +81,71 @@ def test_cpp_rules_match_walk(spark, fs):
         got.update((r.file, r.rule_id, r.line, r.code_snippet, r.message) for r in fn(ln).collect())
     exp = Counter(x for name, c in src.items() for x in walk_cpp(name, c))
     assert got == exp
+
+
+PY_VOCAB = ['f = open("x")', "f.close()", "with open(p) as g:", "x = None", "x.name", "x[0]", "if x.name:",
+            "not x.y", "for i in xs:", "while ok:", "db.execute(q)", "cur.query(1)  # db.", "# comment", "",
+            "    y = None", "y.z  # y.", "xy.attr", "print(1)"]
+JS_VOCAB = ["let a = null;", "a.run();", "a?.run();", "if (a) a.run();", "var b = undefined;", "b.x && y;",
+            "typeof b.x;", "c = null", "c.go()", "for (const i of xs) {", "while (ok) {", "await load(i);",
+            "fetch(u);", "db.save(r);", "// fetch(1)", "}", "", "xs.forEach(f);", "q ? a.b : 1;"]
+
+
+def walk_generic(name, content, lang):
+    out = []
+    ls = re.split(r"\r?\n", content)
+    while ls and ls[-1] == "":
+        ls.pop()
+    in_with, has_open, open_line, open_snip, null_vars = False, False, 0, "", []
+    for i, raw in enumerate(ls):
+        if lang == "py":
+            k = raw.find("#")
+            code = raw[:k] if k >= 0 else raw
+        else:
+            code = strip(raw)
+        if not jtrim(code):
+            continue
+        if lang == "py":
+            if re.search(LR.PY_WITH_OPEN_RE, code):
+                in_with = True
+            if re.search(r"open\(", code) and not in_with and ".close()" not in code:
+                has_open, open_line, open_snip = True, i + 1, jtrim(raw)
+            if ".close()" in code:
+                has_open = False
+            m = re.search(LR.PY_NULL_ASSIGN_RE, code, re.A)
+            if m:
+                null_vars.append(m.group(1))
+            for v in null_vars:
+                if (v + "." in code or v + "[" in code) and not (
+                        "if" in code or "is not None" in code or "not " + v in code):
+                    out.append((LR.RULE_NULL, i + 1, jtrim(raw), LR.MSG_PY_NULL.format(var=v)))
+            if in_loop(ls, i) and any(w in code for w in LR.PY_LOOP_WORDS):
+                out.append((LR.RULE_LOOP, i + 1, jtrim(raw), LR.MSG_PY_LOOP))
+        else:
+            m = re.search(LR.JS_NULL_ASSIGN_RE, code, re.A)
+            if m:
+                null_vars.append(m.group(2))
+            for v in null_vars:
+                if v + "." in code and v + "?." not in code and "typeof" not in code:
+                    if not ("if" in code or "&&" in code or "?" in code):
+                        out.append((LR.RULE_NULL, i + 1, jtrim(raw), LR.MSG_JS_NULL.format(var=v)))
+            if in_loop(ls, i) and any(w in code for w in LR.JS_LOOP_WORDS):
+                out.append((LR.RULE_LOOP, i + 1, jtrim(raw), LR.MSG_JS_LOOP))
+    if lang == "py" and has_open and not in_with:
+        out.append((LR.RULE_LEAK, open_line, open_snip, LR.MSG_PY_LEAK))
+    return [(name, *x) for x in out]
+
+
+@settings(max_examples=10, deadline=None)
+@given(py=st.lists(st.lists(st.sampled_from(PY_VOCAB), min_size=1, max_size=20), min_size=1, max_size=3),
+       js=st.lists(st.lists(st.sampled_from(JS_VOCAB), min_size=1, max_size=20), min_size=1, max_size=3))
+def test_py_js_rules_match_walk(spark, py, js):
+    src = {f"p{i}.py": "\n".join(ls) + "\n" for i, ls in enumerate(py)}
+    src.update({f"j{i}.ts": "\n".join(ls) + "\n" for i, ls in enumerate(js)})
+    ln = lines(files_df(spark, src))
+    got = Counter()
+    for fn in (LR.py_leak, LR.py_none_access, LR.py_query_in_loop, LR.js_null_access, LR.js_call_in_loop):
+        got.update((r.file, r.rule_id, r.line, r.code_snippet, r.message) for r in fn(ln).collect())
+    exp = Counter(x for name, c in src.items()
+                  for x in walk_generic(name, c, "py" if name.endswith(".py") else "js"))
+    assert got == exp
