@@ -45,3 +45,41 @@ def test_reaching_defs_match_worklist(spark, gs):
     got = {(r.graph_id, r.node, r.def_id) for r in FL.reaching_definitions(edges, defs).collect()}
     exp = {(g, n, d) for g, es in enumerate(gs) for n, d in worklist(set(es))}
     assert got == exp
+
+
+def brute_witness(edges):
+    """Enumerate every simple path signup -> EXIT avoiding close/escape nodes;
+    keep the shortest, then the smallest by node ids."""
+    if not any(s == FL.RESOURCE_DEF for s, _ in edges):
+        return None
+    barrier = {FL.CLOSE_NODE, FL.ESCAPE_NODE}
+    succ = {}
+    for s, d in edges:
+        succ.setdefault(s, set()).add(d)
+    best = None
+    stack = [[FL.RESOURCE_DEF]]
+    while stack:
+        p = stack.pop()
+        n = p[-1]
+        if n == "EXIT":
+            key = (len(p), [FL.NODE_IDS[x] for x in p])
+            best = key if best is None or key < best else best
+            continue
+        if n in barrier:
+            continue
+        for d in succ.get(n, ()):
+            if d not in p:
+                stack.append(p + [d])
+    return best[1] if best else None
+
+
+@settings(max_examples=8, deadline=None)
+@given(gs=graphs)
+def test_leak_witness_matches_brute_force(spark, gs):
+    rows = [(g, s, d) for g, es in enumerate(gs) for s, d in set(es)]
+    edges = spark.createDataFrame(rows, "graph_id long, src string, dst string") \
+        .withColumn("edge_type", F.lit("UNCONDITIONAL"))
+    defs = FL.flow_defs(FL.flow_nodes(edges))
+    got = {r.graph_id: list(r.path) for r in FL.leak_paths(edges, defs).collect()}
+    exp = {g: w for g, es in enumerate(gs) if (w := brute_witness(set(es))) is not None}
+    assert got == exp
