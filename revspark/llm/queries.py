@@ -8,15 +8,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.llm import ann, byte_bpe, exact_dedup, minhash_dedup, packing
+from revspark.llm import ann, byte_bpe, chat, exact_dedup, licenses, minhash_dedup, packing, pii, suffix_dedup, toxicity
 from revspark.llm.common import read_table
 
 
+#: The conversation that op1 adds: control strings as ordinary text.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+#: Key of the registered PII query unless the session names one in PII_KEY_CONF.
+PII_KEY_CONF, PII_KEY = "revspark.pii.key", "example key, to be replaced"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    out = chat.read_back(chat.format_trees(chat.linear(table.unionByName(extra))))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, docs, read_table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, pattern)
@@ -27,6 +53,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymise(docs, spark.conf.get(PII_KEY_CONF, PII_KEY))
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), "pii")
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    kept = F.length("kept")
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -40,14 +79,32 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
+    "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_pii": op6_pii,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_nearest": op10_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+             n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM c),
+             e AS (SELECT *, list_reduce(list_prepend(replace(text, chr(9243), chr(9243) || '0'),
+                          ['<|im_start|>', '<|im_end|>', '<|endoftext|>', '<|startoftext|>', '<|system|>', '<|user|>', '<|assistant|>', '<|eot_id|>',
+                           '<|start_header_id|>', '<|end_header_id|>', '<|begin_of_text|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>']),
+                          lambda x, y: replace(x, y, y[1] || chr(9243) || '1' || y[2:])) AS esc FROM n)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(role) + length(esc) + 24)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
