@@ -9,12 +9,15 @@ becomes smallest, opening a new bin being one of the choices.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,59 +28,96 @@ END_ID = 1
 #: Pieces per shard on average: enough that the last, half-filled bins of a
 #: shard hardly count, few enough for one task.
 SHARD_PIECES = 32_768
-#: Words remembered per Python worker (two generations of this many).
-CACHE_WORDS = 250_000
+#: Words remembered per Python worker (two generations of this many, and as many pieces).
+CACHE_WORDS = 500_000
+#: Characters whose normal form (NFC, lower case) is their lower case, each on its own: Latin up to U+017F without U+0130.
+LATIN = re.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u017f]+")
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: itself if printable, else one from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordTokens:
-    """Token ids of whole texts by the ``tokenizers`` library, word by word.
+    """Token ids of whole texts by the ``tokenizers`` library, piece by piece.
 
     The normaliser and the pre-tokeniser of the file never join characters
     across ASCII white space, so a text's ids are those of its words one after
-    the other; each new word goes through the library once and its ids are kept
-    (a bounded cache of two generations).  Texts that hold a special token's
-    string are encoded whole, since the library cuts those out first."""
+    the other.  A word of LATIN characters (its normal form is its lower case)
+    is cut by the file's own split pattern and its pieces go to the library's
+    model; other words go through the library whole.  Each distinct word of a
+    batch is looked up once, in bounded caches of two generations.  Texts that
+    hold a special token's string are encoded whole, since the library cuts
+    those out first."""
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+        self.split = regex.compile(split["pattern"]["Regex"]).findall
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
+        self.code = self.dtype().dtype.char
+        self.model = self.tok.model.tokenize
+        self.letters = _byte_letters()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        known = self.tok.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in known]
-
-    def _missing(self, words: set[bytes]) -> None:
-        todo = []
-        for w in words:
-            if (ids := self.old.get(w)) is not None:
-                self.new[w] = ids
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = array(self.code, [t.id for t in self.model(letters)]).tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            if text.isascii() and text.isalpha():
+                ids = self._piece(text.lower())
+            elif LATIN.fullmatch(text):
+                ids = b"".join(map(self._piece, self.split(text.lower())))
             else:
-                todo.append(w)
-        for k in range(0, len(todo), 4096):
-            part = todo[k:k + 4096]
-            self.new.update(zip(part, self._encode(part)))
+                ids = array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        self.new[word] = ids
+        return ids
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string column without nulls."""
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
-        split, whole = [], {}
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                whole[i] = self._encode([t])[0]
-                split.append([])
-            else:
-                split.append(t.split())
-        if words := set().union(*split).difference(self.new):
-            self._missing(words)
-        get = self.new.__getitem__
-        return [np.frombuffer(whole[i] if i in whole else b"".join(map(get, ws)), self.dtype) for i, ws in enumerate(split)]
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        whole = {}
+        for s in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts.cast(pa.binary()), s).to_numpy(zero_copy_only=False)).tolist():
+                whole[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
+        words = pc.ascii_split_whitespace(texts)
+        ends = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        get = self.new.get
+        known = [get(w) or self._word(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        size = np.array([len(k) for k in known], np.int64) // np.dtype(self.dtype).itemsize
+        flat = np.frombuffer(b"".join(known), self.dtype)
+        codes = coded.indices.to_numpy()
+        n = size[codes]
+        stop = np.cumsum(n)
+        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat((np.cumsum(size) - size)[codes] - (stop - n), n)
+        all_ids = flat[at]
+        cuts = np.concatenate([[0], stop])[ends - ends[0]]
+        return [whole[i] if i in whole else all_ids[cuts[i]:cuts[i + 1]] for i in range(len(texts))]
 
 
 _WORKER: dict[str, WordTokens] = {}
@@ -99,13 +139,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     A document's ids are those of its whole text, then ``end_id``; null or
     empty text gives the single ``end_id``.  Only documents longer than
     ``capacity`` are cut."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _tokens(tokenizer_path)
         for b in batches:
             out: list[list] = [[], [], [], [], []] + ([[]] if with_ids else [])
-            for doc, own in zip(b.column(0).to_pylist(), enc.ids(b.column(1).cast(pa.binary()).to_pylist())):
+            for doc, own in zip(b.column(0).to_pylist(), enc.ids(b.column(1))):
                 ids = np.empty(len(own) + 1, "<u4")
                 ids[:-1] = own
                 ids[-1] = end_id
