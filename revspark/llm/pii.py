@@ -62,7 +62,7 @@ def permuted_text(x: str, key: str, kind: str) -> str:
     )
 
 
-def permuted_number(left: str, right: str, a: int, b: int, key: str, kind: str) -> str:
+def permuted_number(left: str, right: str, a: int | str, b: int | str, key: str, kind: str) -> str:
     """Feistel over a pair (left modulo a, right modulo b); gives struct(l, r)."""
     def moved(x: str, n: int, by: str, side: str) -> str:
         digest = f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, {_q(side)}, CAST(fr AS STRING), CAST({by} AS STRING)), 256)"
@@ -111,10 +111,14 @@ def _phone(key: str) -> str:
 
 
 def _ip(key: str) -> str:
-    part = "CAST(split(m, '[.]')[{}] AS BIGINT)".format
-    new = permuted_number(f"({part(0)} * 256 + {part(1)})", f"({part(2)} * 256 + {part(3)})", 65536, 65536, key, "ip")
-    text = "concat_ws('.', CAST(v.l DIV 256 AS STRING), CAST(v.l % 256 AS STRING), CAST(v.r DIV 256 AS STRING), CAST(v.r % 256 AS STRING))"
-    return f"aggregate(array({new}), '', (z_v, v) -> {text})"
+    """Each octet stays among the octets of as many digits, so the length stays too."""
+    text = "split(m, '[.]')[{}]".format
+    low = lambda k: f"element_at(array(0, 10, 100), length({text(k)}))"
+    many = lambda k: f"element_at(array(10, 90, 156), length({text(k)}))"
+    at = lambda k: f"(CAST({text(k)} AS BIGINT) - {low(k)})"
+    new = permuted_number(f"({at(0)} * {many(1)} + {at(1)})", f"({at(2)} * {many(3)} + {at(3)})", f"({many(0)} * {many(1)})", f"({many(2)} * {many(3)})", key, "ip")
+    octets = [f"CAST(v.{side} {op} {many(second)} + {low(k)} AS STRING)" for side, k, second, op in (("l", 0, 1, "DIV"), ("l", 1, 1, "%"), ("r", 2, 3, "DIV"), ("r", 3, 3, "%"))]
+    return f"aggregate(array({new}), '', (z_v, v) -> concat_ws('.', {', '.join(octets)}))"
 
 
 def _ssn(key: str) -> str:
@@ -161,19 +165,20 @@ def kind_of() -> str:
     return "CASE " + " ".join(f"WHEN m RLIKE {_q(f'^(?:{p})$')} THEN '{k}'" for k, p in PATTERNS.items()) + " END"
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text column pseudonymised and, added, pii: array<struct<kind, value>> of what was put in.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", list_col: str = "pii") -> DataFrame:
+    """``docs`` with the text column pseudonymised and, added as ``list_col``, array<struct<kind, value>> of what was put in.
 
     Null text stays null and empty text empty, both with an empty list.  All
     other columns and all rows, repeated ones too, pass through; an empty
-    table gives an empty result.  A column named pii in the input is replaced."""
+    table gives an empty result.  A column of that name in the input is
+    replaced; choose another name to keep it."""
     t = f"`{text_col}`"
     found = f"regexp_extract_all({t}, {_q(ANY)}, 0)"
     # Only texts with a digit or an at sign can hold a match.
     found = f"IF({t} RLIKE '[0-9@]', {found}, CAST(array() AS ARRAY<STRING>))"
-    out = docs.drop("pii").withColumn("pii", F.expr(f"transform({found}, m -> named_struct('old', m, 'kind', {kind_of()}, 'value', {pseudonym(key)}))"))
+    out = docs.withColumn(list_col, F.expr(f"transform({found}, m -> named_struct('old', m, 'kind', {kind_of()}, 'value', {pseudonym(key)}))"))
     between = f"split({t}, {_q(ANY)}, -1)"
-    whole = f"array_join(transform({between}, (bt, bi) -> IF(bi < size(pii), concat(bt, pii[bi].value), bt)), '')"
-    out = out.withColumn(text_col, F.expr(f"IF(coalesce(size(pii), 0) < 1, {t}, {whole})"))
-    changed = "transform(filter(pii, x -> x.old <> x.value), x -> named_struct('kind', x.kind, 'value', x.value))"
-    return out.withColumn("pii", F.expr(f"coalesce({changed}, CAST(array() AS ARRAY<STRUCT<kind: STRING, value: STRING>>))"))
+    whole = f"array_join(transform({between}, (bt, bi) -> IF(bi < size(`{list_col}`), concat(bt, `{list_col}`[bi].value), bt)), '')"
+    out = out.withColumn(text_col, F.expr(f"IF(coalesce(size(`{list_col}`), 0) < 1, {t}, {whole})"))
+    changed = f"transform(filter(`{list_col}`, x -> x.old <> x.value), x -> named_struct('kind', x.kind, 'value', x.value))"
+    return out.withColumn(list_col, F.expr(f"coalesce({changed}, CAST(array() AS ARRAY<STRUCT<kind: STRING, value: STRING>>))"))

@@ -198,21 +198,23 @@ def fit(start: Model, x: list[np.ndarray], y: np.ndarray) -> Model:
     return Model(start.buckets, w, v)
 
 
+def scorer(model: Model):
+    """Column function: text -> probability of label 1.  Null and empty texts have no terms and get the constant score."""
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        slots = model.slots()
+        for col in texts:
+            yield pa.array(model.scores([features_of(t, slots) for t in col.to_pylist()]), pa.float64())
+    return run
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of every row's whole text.
 
-    Null and empty texts have no terms and get the model's constant score.
     Repeated rows give repeated results; only the two columns are read.  An
     empty table gives an empty result."""
     small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = model.slots()
-        for b in batches:
-            s = model.scores([features_of(t, slots) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
-
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return id_text(docs, id_col, text_col).select("doc_id", scorer(model)("text").alias("score"))
 
 
 def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
