@@ -3,16 +3,18 @@
 A document's set holds its distinct word shingles.  One hash of each shingle
 fills BINS bins (the smallest hash per bin); empty bins copy the first filled
 bin of a fixed random order of their own (optimal densification).  ROWS bins
-make a band; documents that share a band's key meet in a bucket.
+make a band; documents that share a band's key meet in a bucket.  Documents
+with the same set are one class from the start, spoken for by one of them.
 
 Candidate edges are star-shaped: each bucket member is compared with one
 centre only, so a bucket of n gives n - 1 pairs.  A star can miss a link
-between two members that are both unlike the centre; therefore buckets whose
-members end in different components are looked at again with the components
-in hand: further rounds put every member of such a bucket to the smallest
-member of each other component's part, until no bucket gives a new pair.
-Documents with the same set are one class from the start and are linked
-without comparison.  All links are confirmed on full sets.
+between two members that are both unlike the centre.  Therefore buckets whose
+members end in different components are looked at once more: the members
+outside the bucket's largest component meet all members in blocks of bounded
+size, where pairs of different components are compared in memory (each pair in
+the first band it shares only) and just the links found come out.  Buckets
+with a single component, nearly all, need no second look, so no link that
+could join two components is lost.  All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ BANDS = BINS // ROWS
 PRIORITIES = 4
 #: Members of one centre that are compared in one group.
 STAR_MEMBERS = 512
+#: Bucket members in one block of the second look, on average.
+BLOCK = 256
 
 _MAX_WORDS = 400_000
 
@@ -150,13 +154,85 @@ def _compare(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     work.  Texts move once per edge end."""
     large = edges.groupBy("a").agg(F.ceil(F.count("*") / STAR_MEMBERS).alias("salts")).filter("salts > 1")
     salted = stored(edges.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt")), "star-edges")
-    roles = salted.select("a", "salt", F.col("b").alias("doc_id"), F.col("b").alias("member")).unionByName(
-        salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("member")))
-    withtext = roles.join(texts, "doc_id").select("a", "salt", "member", F.col("text").cast("binary").alias("text"))
+    roles = salted.select("a", "salt", F.col("b").alias("rep"), F.col("b").alias("member")).unionByName(
+        salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("rep"), F.lit(None).cast("long").alias("member")))
+    withtext = roles.join(texts.hint("merge"), "rep").select("a", "salt", "member", "text")
     return (withtext.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("member").asc_nulls_first())
             .mapInArrow(_confirm(words, percent), "a long, b long, ok boolean"))
 
 
+def _block_links(words: int, percent: int):
+    """Links between different components of a block of one or more buckets: odd members against all members."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(odd: pa.Table, members: pa.Table) -> pa.Table:
+        m_text, o_text = members.column("text"), odd.column("text")
+        m_rep, m_size = members.column("rep").to_numpy(), members.column("size").to_numpy()
+        m_key, m_keys = members.column("key").to_numpy(), _key_matrix(members)
+        # Components as small numbers; a link found here makes two of them one.
+        names, parts = np.unique(np.concatenate([members.column("comp").to_numpy(), odd.column("comp").to_numpy()]), return_inverse=True)
+        m_part, o_part = parts[:len(m_rep)], parts[len(m_rep):]
+        now = np.arange(len(names))
+        order = np.argsort(m_key, kind="stable")
+        sorted_keys = m_key[order]
+        sets: dict[int, np.ndarray] = {}
+
+        def of(rep: int, text: pa.Scalar) -> np.ndarray:
+            if rep not in sets:
+                sets[rep] = shingle_set(text.as_py(), words)
+            return sets[rep]
+
+        links = []
+        rows = zip(odd.column("key").to_pylist(), odd.column("rep").to_pylist(), odd.column("size").to_pylist(), o_part.tolist(), _key_matrix(odd))
+        for k, (key, rep, size, part, keys) in enumerate(rows):
+            at = order[np.searchsorted(sorted_keys, key):np.searchsorted(sorted_keys, key, "right")]
+            at = at[now[m_part[at]] != now[part]]
+            at = at[100 * np.minimum(m_size[at], size) >= percent * np.maximum(m_size[at], size)]
+            # Each pair counts in the first band it shares only.
+            band = int(np.flatnonzero(keys == key)[0])
+            at = at[(m_keys[at] == keys).argmax(axis=1) == band]
+            for j in at.tolist():
+                if now[m_part[j]] == now[part]:
+                    continue
+                mine, other = of(rep, o_text[k]), of(int(m_rep[j]), m_text[j])
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                if 100 * both >= percent * (len(mine) + len(other) - both):
+                    links.append((rep, int(m_rep[j])))
+                    now[now == now[part]] = now[m_part[j]]
+        cols = list(zip(*links)) if links else [[], []]
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+    return run
+
+
+def _key_matrix(rows: pa.Table) -> np.ndarray:
+    col = rows.column("keys").combine_chunks()
+    flat = (pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col).flatten()
+    return flat.to_numpy().reshape(rows.num_rows, BANDS)
+
+
+def _rest(buckets: DataFrame, comp: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links between members of one bucket that are still in different components.
+
+    Large buckets are cut into blocks of about BLOCK members, small ones
+    gathered; a cell is one block of odd members with one block of all."""
+    named = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    parts = named.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    tops = (parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+            .filter("parts > 1").select("key", F.col("top.comp").alias("top"), "n", (F.col("n") - F.col("top.n")).alias("odd")))
+    mixed = stored(named.join(tops, "key"), "mixed-buckets")
+    groups = max(1, mixed.count() // BLOCK)
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    cell = F.when(F.col("n") > BLOCK, F.col("key")).otherwise(F.pmod("key", F.lit(groups)))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.greatest(blocks(n), F.lit(1)) - 1)).alias(name)
+    own = lambda n, name: F.pmod(F.xxhash64("rep"), F.greatest(blocks(n), F.lit(1))).cast("int").alias(name)
+    full = mixed.withColumn("cell", cell).join(texts.hint("merge"), "rep")
+    cols = [F.col(c).alias(c) for c in ("cell", "key", "rep", "size", "comp", "keys", "text")]
+    odd = full.filter("comp <> top").select(*cols, own("odd", "i"), every("n", "j"))
+    members = full.select(*cols, every("odd", "i"), own("n", "j"))
+    by = ["cell", "i", "j"]
+    return odd.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(_block_links(words, percent), "a long, b long")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -165,7 +241,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     is doc_id = component_id.  Null, empty and white texts have an empty set
     and are linked with nothing.  A null id takes no part in links and keeps
     itself (component_id null, kept true).  Rows that repeat an id are linked
-    through it; if their texts differ, the greatest text is compared.  Other columns are never read.  An empty table gives an empty result."""
+    through it; if their texts differ, the greatest text is compared.  Other columns
+    are never read.  An empty table gives an empty result."""
     spark = docs.sparkSession
     small_batches(spark)
     base = id_text(docs, id_col, text_col)
@@ -184,17 +261,19 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     centre = slots.groupBy("key").agg(F.min(F.struct("rank", "rep", "size")).alias("c"), F.count("*").alias("n")).filter("n > 1")
     buckets = stored(slots.join(centre.select("key", "c"), "key").select("key", "rep", "size", F.col("c.rep").alias("centre"), F.col("c.size").alias("csize")), "buckets")
 
+    # The texts that can be compared move once; the join is the same at every size.
+    texts = base.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(feats) else base
+    near = buckets.select("rep").distinct().join(reps.select("rep", "keys"), "rep")
+    texts = stored(texts.withColumnRenamed("doc_id", "rep").hint("merge").join(near, "rep")
+                   .select("rep", "keys", F.col("text").cast("binary").alias("text")), "near-texts")
+
     fits = (F.least("size", "csize") * 100 >= F.greatest("size", "csize") * percent) & (F.col("rep") != F.col("centre"))
     edges = buckets.filter(fits).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    texts = base.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(feats) else base
-    done = stored(_compare(edges, texts, words, percent), "compared")
-    while True:
-        links = done.filter("ok").select("a", "b").unionByName(same)
-        comp = stored(components(links), "components")
-        more = stored(_between(buckets, comp, done, percent), "more-edges")
-        if more.isEmpty():
-            break
-        done = stored(done.unionByName(_compare(more, texts, words, percent)), "compared")
+    links = stored(_compare(edges, texts, words, percent).filter("ok").select("a", "b"), "links").unionByName(same)
+    comp = stored(components(links), "components")
+    rest = stored(_rest(buckets.select("key", "rep", "size"), comp, texts, words, percent), "links")
+    if not rest.isEmpty():
+        comp = stored(components(links.unionByName(rest)), "components")
     out = feats.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -203,20 +282,3 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 def _repeats(feats: DataFrame) -> bool:
     n = feats.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     return n[0] != n[1]
-
-
-def _between(buckets: DataFrame, comp: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but of different components that have not been compared.
-
-    Only buckets that still hold several components count, and of these only
-    pairs of one member outside the bucket's largest component with any other
-    member whose set size allows the similarity."""
-    named = buckets.select("key", "rep", "size").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    parts = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    tops = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.comp").alias("top"))
-    mixed = named.join(tops, "key")
-    odd = mixed.filter("comp <> top").select("key", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("size").alias("xs"))
-    pairs = odd.join(mixed.drop("top"), "key").filter((F.col("comp") != F.col("xc")) & (F.least("size", "xs") * 100 >= F.greatest("size", "xs") * percent))
-    pairs = pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    old = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(old, ["a", "b"], "left_anti")
