@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from revspark.session import cut_lineage
 from revspark.operators.tokens import (
-    EXPR_KEYWORDS, KEY, LINE_SHIFT, MODIFIERS, STMT_KEYWORDS, inside, nd_before, pairs, render, span_text, tokens,
+    EXPR_KEYWORDS, KEY, LINE_BITS, MODIFIERS, STMT_KEYWORDS, inside, nd_before, pairs, render, span_text, tokens,
 )
 
 # Rule ids and messages.
@@ -62,6 +62,8 @@ CTA_CALLS = ["put", "add", "set", "remove"]
 DB_SCOPE_WORDS = ["repository", "dao", "mapper", "manager", "db"]
 DB_METHOD_PREFIXES = ["find", "get", "save", "delete", "update", "select", "query", "insert"]
 STREAM_CALLS = ["map", "forEach", "flatMap", "filter"]
+BODY_KEYWORDS = ["if", "for", "while", "switch", "catch", "synchronized"]
+JUMPS = ["return", "throw", "break", "continue"]
 SQL_CALLS = ["executeQuery", "execute", "executeUpdate", "prepareStatement", "query"]
 SECRET_NAME_RE = r"(?i)(password|passwd|pwd|secret|api_?key|token)"
 # operators binding looser than '+' (a top-level one makes the argument something else)
@@ -74,7 +76,7 @@ PATH_TYPE = "array<struct<file:string,line:int,description:string>>"
 
 
 def pline(c: Column) -> Column:
-    return F.floor(c / LINE_SHIFT).cast("int")
+    return F.shiftright(c, LINE_BITS).cast("int")
 
 
 def _any(c: Column, words, how="contains") -> Column:
@@ -85,11 +87,18 @@ def _any(c: Column, words, how="contains") -> Column:
     return out
 
 
-def _typeish(tok: Column) -> Column:
+def _typeish(tok: Column, before: Column, before2: Column) -> Column:
     """A token that can end a type: a word that is no modifier/expression
-    keyword, or a closing '>' / ']'."""
+    keyword, the '>' of type arguments, or the ']' of '[]'.
+
+    A '>' after a capitalised name that follows '<', ',', '.' or a bound, after
+    '?', ']' or another '>', or after anything that follows '<', closes type
+    arguments; any other is a comparison.  ``before`` and ``before2`` are the
+    two tokens in front of ``tok``."""
     word = tok.rlike(r"^[A-Za-z_$]") & ~tok.isin(*MODIFIERS) & ~tok.isin(*EXPR_KEYWORDS)
-    return F.coalesce(word | tok.isin(">", "]"), F.lit(False))
+    argument = before.rlike(r"^[A-Z]") & before2.isin(",", ".", "extends", "super", "&")
+    closes = (tok == ">") & (before.isin(">", "]", "?") | argument | (before2 == "<"))
+    return F.coalesce(word, F.lit(False)) | F.coalesce(closes, F.lit(False)) | F.coalesce((tok == "]") & (before == "["), F.lit(False))
 
 
 def _finding(df: DataFrame, rule_id: str, severity: str, line: Column, snippet: Column, message: Column) -> DataFrame:
@@ -150,7 +159,7 @@ class JavaTables:
         m_close_line, m_name, m_sync, m_lvl (brace depth of the body)."""
         def build():
             pp = self.parens.filter(
-                F.col("p1").rlike(r"^[A-Za-z_$]") & ~F.col("p1").isin(*STMT_KEYWORDS) & _typeish(F.col("p2"))
+                F.col("p1").rlike(r"^[A-Za-z_$]") & ~F.col("p1").isin(*STMT_KEYWORDS) & _typeish(F.col("p2"), F.col("p3"), F.col("p4"))
                 & F.col("c_n1").isin("{", "throws"))
             # body '{': the token after ')' or the next '{' after a throws clause (a window pointer)
             heads = pp.select(*KEY, F.col("p1").alias("m_name"), F.col("p1_pos").alias("name_pos"),
@@ -196,31 +205,74 @@ class JavaTables:
 
     @property
     def calls(self) -> DataFrame:
-        """Calls (not declarations, not ``new``): name, receiver text,
-        start position/line of the call, argument parens."""
+        """Calls (not declarations, not ``new``): name, receiver text (the
+        whole postfix chain before the name, without spaces), start
+        position/line of the chain, argument parens."""
         def build():
-            pp = self.parens.filter(
-                F.col("p1").rlike(r"^[A-Za-z_$]") & ~F.col("p1").isin(*STMT_KEYWORDS)
-                & ~_typeish(F.col("p2")) | (F.col("p1").rlike(r"^[A-Za-z_$]") & (F.col("p2") == "."))
-                & ~F.col("p1").isin(*STMT_KEYWORDS))
+            named = F.col("p1").rlike(r"^[A-Za-z_$]") & ~F.col("p1").isin(*STMT_KEYWORDS)
+            pp = self.parens.filter(named & ((F.col("p2") == ".") | ~_typeish(F.col("p2"), F.col("p3"), F.col("p4"))))
             pp = pp.filter(F.coalesce(F.col("p2"), F.lit("")) != "new")
-            # receiver: up to two dotted names before the call name (read from the name token's lags)
-            t = self.t.select(*KEY, F.col("pos").alias("p1_pos"), F.col("p1").alias("m1"), F.col("p2").alias("m2"),
-                              F.col("p3").alias("m3"), F.col("p4").alias("m4"), F.col("p2_pos").alias("m2_pos"),
-                              F.col("p4_pos").alias("m4_pos"))
+            t = self.t.select(*KEY, F.col("pos").alias("p1_pos"), F.col("p1").alias("m1"), F.col("chain_start"))
             c = pp.join(t, [*KEY, "p1_pos"])
-            ident = r"^[A-Za-z_$]"
-            r1 = F.coalesce((F.col("m1") == ".") & F.col("m2").rlike(ident), F.lit(False))
-            r2 = r1 & F.coalesce((F.col("m3") == ".") & F.col("m4").rlike(ident), F.lit(False))
-            recv = F.when(r2, F.concat(F.col("m4"), F.lit("."), F.col("m2"))).when(r1, F.col("m2")).otherwise(F.lit(""))
-            start = F.when(r2, F.col("m4_pos")).when(r1, F.col("m2_pos")).otherwise(F.col("p1_pos"))
-            return c.select(*KEY, F.col("p1").alias("name"), F.col("p1_pos").alias("name_pos"),
-                            recv.alias("receiver"), start.alias("call_pos"), pline(start).alias("call_line"),
-                            F.col("o_pos").alias("a_open"), F.col("c_pos").alias("a_close"),
-                            F.col("o_line").alias("a_open_line"), F.col("c_line").alias("a_close_line"),
-                            F.col("lvl").alias("a_lvl"))
+            dotted = F.coalesce(F.col("m1") == ".", F.lit(False)) & F.col("chain_start").isNotNull()
+            start = F.when(dotted, F.col("chain_start")).otherwise(F.col("p1_pos"))
+            c = c.select(*KEY, F.col("p1").alias("name"), F.col("p1_pos").alias("name_pos"),
+                         start.alias("call_pos"), pline(start).alias("call_line"),
+                         F.col("o_pos").alias("a_open"), F.col("c_pos").alias("a_close"),
+                         F.col("o_line").alias("a_open_line"), F.col("c_line").alias("a_close_line"),
+                         F.col("lvl").alias("a_lvl"))
+            spans = c.filter("call_pos < name_pos").select(*KEY, "call_pos", "name_pos", F.col("call_line").alias("l0"),
+                                                           pline(F.col("name_pos")).alias("l1"))
+            toks = inside(self.t.select(*KEY, "line", "pos", "tok"), spans.withColumn("c0", F.col("call_pos") - 1),
+                          "c0", "name_pos", "l0", "l1")
+            text = toks.groupBy(*KEY, "name_pos").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
+            # the last token is the dot before the name
+            recv = F.array_join(F.transform(F.slice("_t", 1, F.size("_t") - 1), lambda x: x.getField("tok")), "")
+            return c.join(text.select(*KEY, "name_pos", recv.alias("receiver")), [*KEY, "name_pos"], "left") \
+                .withColumn("receiver", F.coalesce("receiver", F.lit("")))
         return self._get("calls", build)
 
+    @property
+    def heads(self) -> DataFrame:
+        """Control statements with a condition: kw, kw_pos, c_pos (closing
+        paren), body_end.  A body is a block, or one statement that goes on
+        through directly nested control statements (``for (...) if (...) {...}``)."""
+        def build():
+            h = self.parens.filter(F.col("p1").isin(*BODY_KEYWORDS)).filter(
+                ~((F.col("p1") == "while") & (F.col("p2") == "}") & (F.col("c_n1") == ";")))
+            br = self.braces.select(*KEY, F.col("o_pos").alias("c_n1_pos"), F.col("c_pos").alias("blk_end"))
+            h = h.join(br, [*KEY, "c_n1_pos"], "left").select(
+                *KEY, F.col("p1").alias("kw"), F.col("p1_pos").alias("kw_pos"), "o_pos", "c_pos", "o_line", "c_line", "c_n1", "c_n1_pos",
+                F.when(F.col("c_n1") == "{", F.col("blk_end")).when(~F.col("c_n1").isin(*BODY_KEYWORDS), F.col("c_next_semi")).alias("own_end"))
+            onward = Window.partitionBy(*KEY).orderBy(F.col("kw_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+            return h.withColumn("body_end", F.last("own_end", ignorenulls=True).over(onward)).drop("own_end")
+        return self._get("heads", build)
+
+    @property
+    def conditional(self) -> DataFrame:
+        """Spans that need not run when the code around them does: s_pos,
+        s_end, s_line, e_line, final.  Bodies of if / for / while / switch /
+        catch and of else; ``final`` spans (finally blocks) always run."""
+        def build():
+            h = self.heads.filter(F.col("kw") != "synchronized").select(*KEY, F.col("c_pos").alias("s_pos"), F.col("body_end").alias("s_end"), F.lit(False).alias("final"))
+            e = self.t.filter(F.col("tok").isin("else", "finally") & (F.col("n1") != "if"))
+            br = self.braces.select(*KEY, F.col("o_pos").alias("n1_pos"), F.col("c_pos").alias("blk_end"))
+            e = e.join(br, [*KEY, "n1_pos"], "left").select(
+                *KEY, F.col("pos").alias("s_pos"), F.when(F.col("n1") == "{", F.col("blk_end")).otherwise(F.col("next_semi")).alias("s_end"),
+                (F.col("tok") == "finally").alias("final"))
+            return h.unionByName(e).filter("s_end is not null").withColumn("s_line", pline(F.col("s_pos"))).withColumn("e_line", pline(F.col("s_end")))
+        return self._get("conditional", build)
+
+    def conditions_of(self, items: DataFrame, pos: str, line: str) -> DataFrame:
+        """Adds cond_start, cond_end (the innermost conditional span around the
+        item, null if there is none) and in_finally."""
+        keys = items.select(*KEY, F.col(pos).alias("pos"), F.col(line).alias("line")).distinct()
+        j = inside(keys, self.conditional, "s_pos", "s_end", "s_line", "e_line")
+        g = j.groupBy(*KEY, "pos").agg(
+            F.max(F.when(~F.col("final"), F.struct("s_pos", "s_end"))).alias("_s"), F.max("final").alias("in_finally"))
+        g = g.select(*KEY, F.col("pos").alias(pos), F.col("_s.s_pos").alias("cond_start"), F.col("_s.s_end").alias("cond_end"), "in_finally")
+        return items.join(g, [*KEY, pos], "left").withColumn("in_finally", F.coalesce("in_finally", F.lit(False)))
+
     def call_text(self, calls: DataFrame) -> DataFrame:
         """Rendered text of each call from its start to the closing paren."""
         spans = calls.select(*KEY, "call_pos", "a_close", pline(F.col("call_pos")).alias("l0"),
@@ -244,8 +296,9 @@ class JavaTables:
         def build():
             t = self.t
             cls = self.classes.select(*KEY, "c_open", "c_close", "c_open_line", "c_close_line", "c_lvl", "concurrent")
-            cand = t.filter((F.col("kind") == "id") & F.col("n1").isin("=", ";", ",")
-                            & ~F.coalesce(F.col("p1").isin(".", "=", "<", "@"), F.lit(False))
+            # a declarator's name follows its type, or a comma outside type arguments; words of initializers do not
+            named = _typeish(F.col("p1"), F.col("p2"), F.col("p3")) | F.coalesce((F.col("p1") == ",") & (F.col("angle") == 0), F.lit(False))
+            cand = t.filter((F.col("kind") == "id") & F.col("n1").isin("=", ";", ",") & named & (F.col("angle") == 0)
                             & (nd_before(t) == F.col("bd")) & (F.col("nd") == F.col("bd")))
             cand = cand.select(*KEY, "pos", "line", "bd", "stmt_start")
             j = inside(cand, cls, "c_open", "c_close", "c_open_line", "c_close_line").filter(
@@ -281,14 +334,14 @@ def _declarators(jt: JavaTables) -> DataFrame:
     """Local variable declarators inside method bodies: name, type text,
     initializer start, in try-with-resources header or not."""
     t = jt.t
-    cand = t.filter((F.col("kind") == "id") & F.col("n1").isin("=", ";", ",") & _typeish(F.col("p1"))
+    cand = t.filter((F.col("kind") == "id") & F.col("n1").isin("=", ";", ",") & _typeish(F.col("p1"), F.col("p2"), F.col("p3"))
                     & ~F.coalesce(F.col("p1").isin("."), F.lit(False)))
     cand = cand.select(*KEY, "pos", "line", "stmt_start", "n1", "next_semi", "nd", "bd", "p1")
     return jt.in_methods(cand, "pos", "line")
 
 
 def resource_leaks(jt: JavaTables) -> DataFrame:
-    """J1 (flow-insensitive)."""
+    """No close or escape that runs whenever the code after the declaration does."""
     t = jt.t
     dec = _declarators(jt)
     # innermost method only (the declaration belongs to one method body)
@@ -320,26 +373,26 @@ def resource_leaks(jt: JavaTables) -> DataFrame:
     closes = jt.calls.filter((F.col("name") == "close")).select(*KEY, F.col("receiver").alias("var"),
                                                                   F.col("name_pos").alias("x_pos"))
     # escapes: 'return' expression text containing v; assignment of text containing v to a field
-    rets = t.filter(F.col("tok") == "return").select(*KEY, F.col("pos").alias("x_pos"), "next_semi",
-                                                      F.col("line").alias("l0"), pline(F.col("next_semi")).alias("l1"))
-    ret_text = span_text(t, rets, [*KEY, "x_pos"], "x_pos", "next_semi", "l0", "l1", out="x_text")
-    assign = t.filter((F.col("tok") == "=") & (F.col("p1").rlike(r"^[A-Za-z_$]")) & (
+    rets = t.filter((F.col("tok") == "return") & (F.col("n1") != ";")).select(
+        *KEY, F.col("pos").alias("x_pos"), "next_semi", F.col("line").alias("l0"), pline(F.col("next_semi")).alias("l1"))
+    assign = t.filter(F.col("tok").isin("=", "+=", "-=", "*=", "/=") & (F.col("p1").rlike(r"^[A-Za-z_$]")) & (
         (F.col("p2") == ".") | ((F.col("p2") != ".") & (F.col("p1").startswith("field") | F.col("p1").rlike(r"^[A-Z]")))))
     asg = assign.select(*KEY, F.col("pos").alias("x_pos"), "next_semi", F.col("line").alias("l0"),
                         pline(F.col("next_semi")).alias("l1"))
-    asg_text = span_text(t, asg.withColumn("v0", F.col("x_pos") + 1), [*KEY, "x_pos"], "v0", "next_semi", "l0", "l1",
-                         out="x_text")
-    escapes = ret_text.unionByName(asg_text)
+    # the expression starts after the keyword or operator
+    spans = rets.unionByName(asg).withColumn("v0", F.col("x_pos") + 1)
+    escapes = span_text(t, spans, [*KEY, "x_pos"], "v0", "next_semi", "l0", "l1", out="x_text")
     # closes / escapes are keyed by every method enclosing them: the tests below stay inside one method
-    # (no pairs across a whole file); the last close per (method, var) decides with one equi-join
-    cm = jt.in_methods(closes.withColumn("c_line", pline(F.col("x_pos"))), "x_pos", "c_line") \
-        .groupBy(*KEY, "m_open", "var").agg(F.max("x_pos").alias("last_close"))
-    closed = res.join(cm, [*KEY, "m_open", "var"]).filter(F.col("last_close") > F.col("d_pos")) \
-        .select(*KEY, "d_pos")
-    em = jt.in_methods(escapes.withColumn("e_line", pline(F.col("x_pos"))), "x_pos", "e_line") \
-        .select(*KEY, "m_open", "x_pos", "x_text")
+    # (no pairs across a whole file).  One counts if every condition around it also holds the
+    # declaration, or if it is in a finally block
+    counts = F.col("in_finally") | (F.coalesce("cond_start", F.lit(-1)) < F.col("d_pos"))
+    cm = jt.in_methods(jt.conditions_of(closes.withColumn("c_line", pline(F.col("x_pos"))), "x_pos", "c_line"), "x_pos", "c_line") \
+        .select(*KEY, "m_open", "var", "x_pos", "cond_start", "in_finally")
+    closed = res.join(cm, [*KEY, "m_open", "var"]).filter((F.col("x_pos") > F.col("d_pos")) & counts).select(*KEY, "d_pos")
+    em = jt.in_methods(jt.conditions_of(escapes.withColumn("e_line", pline(F.col("x_pos"))), "x_pos", "e_line"), "x_pos", "e_line") \
+        .select(*KEY, "m_open", "x_pos", "x_text", "cond_start", "in_finally")
     escaped = res.join(em, [*KEY, "m_open"]).filter(
-        (F.col("x_pos") > F.col("d_pos")) & F.col("x_text").contains(F.col("var"))).select(*KEY, "d_pos")
+        (F.col("x_pos") > F.col("d_pos")) & counts & F.col("x_text").contains(F.col("var"))).select(*KEY, "d_pos")
     leak = res.join(closed, [*KEY, "d_pos"], "left_anti").join(escaped, [*KEY, "d_pos"], "left_anti")
     # snippet: declarator text from the name to the end of the initializer
     ends = leak.select(*KEY, "d_pos", "next_semi", F.col("line").alias("l0"), pline(F.col("next_semi")).alias("l1"))
@@ -353,7 +406,7 @@ def resource_leaks(jt: JavaTables) -> DataFrame:
 # ------------------------------------------------------------------ J2
 
 def null_derefs(jt: JavaTables) -> DataFrame:
-    """J2 (straight-line reaching definition, as-of join)."""
+    """A null definition that reaches a dereference past no guard."""
     t = jt.t
     defs = t.filter((F.col("kind") == "id") & (F.col("n1") == "=") & ~F.coalesce(F.col("p1") == ".", F.lit(False))) \
         .select(*KEY, F.col("tok").alias("var"), "pos", "line",
@@ -369,22 +422,22 @@ def null_derefs(jt: JavaTables) -> DataFrame:
                                                                               "is_null")
     um = um.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*KEY, "m_open", "m_close", "var", "pos",
                                                                               "line")
-    # as-of: last definition of var before the dereference within the method
-    ev = dm.select(*KEY, "m_open", "var", "pos", "line", "is_null", F.lit(True).alias("is_def"),
-                   F.lit(None).cast("long").alias("m_close")) \
-        .unionByName(um.select(*KEY, "m_open", "var", "pos", "line", F.lit(None).cast("boolean").alias("is_null"),
-                               F.lit(False).alias("is_def"), "m_close"))
-    wv = Window.partitionBy(*KEY, "m_open", "var").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ev = ev.withColumn("last_def", F.last(F.when(F.col("is_def"), F.struct("pos", "line", "is_null")),
-                                          ignorenulls=True).over(wv))
-    hit = ev.filter(~F.col("is_def") & F.col("last_def.is_null")).select(
-        *KEY, "m_open", "m_close", "var", "pos", "line", F.col("last_def.pos").alias("def_pos"),
-        F.col("last_def.line").alias("def_line"))
-    # guards: if (v != null) { deref } ; if (v == null) ... deref after it, outside its then-part
-    ifs = jt.parens.filter((F.col("p1") == "if")).select(*KEY, "o_pos", "c_pos", "n1", "c_n1", "c_n1_pos",
-                                                          "c_next_semi")
+    # A definition replaces the earlier ones where every condition around it holds the use too; a null
+    # definition reaches a use unless a later such definition lies between them
+    dm = jt.conditions_of(dm, "pos", "line").select(
+        *KEY, "m_open", "var", F.col("pos").alias("def_pos"), F.col("line").alias("def_line"), "is_null", "cond_end")
+    at = um.join(dm, [*KEY, "m_open", "var"]).filter(F.col("def_pos") < F.col("pos"))
+    kills = F.col("cond_end").isNull() | (F.col("cond_end") >= F.col("pos"))
+    last = at.groupBy(*KEY, "m_open", "m_close", "var", "pos", "line").agg(
+        F.max(F.when(kills, F.col("def_pos"))).alias("last_kill"),
+        F.collect_set(F.when(F.col("is_null"), F.struct("def_pos", "def_line"))).alias("_nulls"))
+    reach = F.filter("_nulls", lambda n: n["def_pos"] >= F.coalesce("last_kill", F.lit(-1)))
+    hit = last.withColumn("_d", F.array_min(reach)).filter(F.col("_d").isNotNull()).select(
+        *KEY, "m_open", "m_close", "var", "pos", "line", F.col("_d.def_pos").alias("def_pos"), F.col("_d.def_line").alias("def_line"))
+    # guards: if (v != null) { deref } ; if (v == null) whose then-part leaves or sets v ... deref after it
+    ifs = jt.heads.filter(F.col("kw") == "if").select(*KEY, "o_pos", "c_pos", "c_n1", F.col("body_end").alias("then_end"))
     cond = t.select(*KEY, F.col("pos").alias("o_pos"), F.col("n1").alias("a"), F.col("n2").alias("op"),
-                    F.col("n3").alias("b"), "n1_pos")
+                    F.col("n3").alias("b"))
     ifs = ifs.join(cond, [*KEY, "o_pos"])
     ifs = ifs.withColumn("gvar", F.when(F.col("b") == "null", F.col("a")).when(F.col("a") == "null", F.col("b")))
     ifs = ifs.filter(F.col("op").isin("==", "!=") & F.col("gvar").isNotNull())
@@ -392,17 +445,22 @@ def null_derefs(jt: JavaTables) -> DataFrame:
     close_of = t.select(*KEY, F.col("pos").alias("o_pos"), F.lead("pos", 4).over(
         Window.partitionBy(*KEY).orderBy("pos")).alias("_c4"))
     ifs = ifs.join(close_of, [*KEY, "o_pos"]).filter(F.col("_c4") == F.col("c_pos"))
-    br = jt.braces.select(*KEY, F.col("o_pos").alias("c_n1_pos"), F.col("c_pos").alias("blk_end"))
-    ifs = ifs.join(br, [*KEY, "c_n1_pos"], "left")
-    then_end = F.when(F.col("c_n1") == "{", F.col("blk_end")).otherwise(F.col("c_next_semi"))
-    ifs = ifs.select(*KEY, F.col("gvar").alias("var"), F.col("op"), F.col("c_pos").alias("if_c"),
-                     then_end.alias("then_end"))
+    # a block leaves if its last statement is a jump: the jump's ';' is followed by the block's '}'
+    semis = t.filter(F.col("tok") == ";").select(*KEY, F.col("pos").alias("next_semi"), F.col("n1_pos").alias("then_end"))
+    ends = t.filter(F.col("tok").isin(*JUMPS)).select(*KEY, "next_semi").join(semis, [*KEY, "next_semi"]) \
+        .select(*KEY, "then_end", F.lit(True).alias("jumps")).distinct()
+    ifs = ifs.join(ends, [*KEY, "then_end"], "left").select(
+        *KEY, F.col("gvar").alias("var"), F.col("op"), F.col("c_pos").alias("if_c"), "then_end",
+        F.coalesce(F.when(F.col("c_n1") == "{", F.col("jumps")).otherwise(F.col("c_n1").isin(*JUMPS)), F.lit(False)).alias("leaves"))
     # guards are compared only with dereferences of the same method (no pairs across a file)
     ifs = jt.in_methods(ifs.withColumn("i_line", pline(F.col("if_c"))), "if_c", "i_line") \
-        .select(*KEY, "var", "op", "if_c", "then_end", "m_open")
+        .select(*KEY, "var", "op", "if_c", "then_end", "m_open", "leaves")
+    sets = dm.filter(~F.col("is_null")).select(*KEY, "m_open", "var", F.col("def_pos").alias("set_pos"))
+    sets = ifs.join(sets, [*KEY, "m_open", "var"]).filter("set_pos > if_c and set_pos <= then_end").select(*KEY, "m_open", "var", "if_c", F.lit(True).alias("sets")).distinct()
+    ifs = ifs.join(sets, [*KEY, "m_open", "var", "if_c"], "left").withColumn("leaves", F.col("leaves") | F.coalesce("sets", F.lit(False)))
     h = hit.alias("h").join(ifs.alias("g"), [*KEY, "var", "m_open"])
     in_then = (F.col("h.pos") > F.col("g.if_c")) & (F.col("h.pos") <= F.col("g.then_end"))
-    after_eq = (F.col("g.if_c") > F.col("h.def_pos")) & (F.col("g.if_c") < F.col("h.pos")) & (
+    after_eq = F.col("g.leaves") & (F.col("g.if_c") > F.col("h.def_pos")) & (F.col("g.if_c") < F.col("h.pos")) & (
         F.col("g.if_c") > F.col("h.m_open")) & ~in_then
     guarded = h.filter(((F.col("g.op") == "!=") & in_then) | ((F.col("g.op") == "==") & after_eq)).select(
         *[F.col(f"h.{c}") for c in KEY], F.col("h.pos").alias("pos"), F.col("h.var").alias("var"))
@@ -421,7 +479,7 @@ def shared_field_access(jt: JavaTables) -> DataFrame:
     t = jt.t
     uses = t.filter((F.col("kind") == "id") & ~F.coalesce(F.col("p1").isin(".", "@"), F.lit(False))
                     & ~F.coalesce(F.col("n1").isin("(", "->"), F.lit(False))
-                    & ~(_typeish(F.col("p1")) & F.col("n1").isin("=", ";", ",", ")", ":"))) \
+                    & ~(_typeish(F.col("p1"), F.col("p2"), F.col("p3")) & F.col("n1").isin("=", ";", ",", ")", ":"))) \
         .select(*KEY, F.col("tok").alias("f_name"), "pos", "line")
     um = jt.in_methods(uses, "pos", "line", direct_only=True).filter(F.col("concurrent") & ~F.col("m_sync"))
     locks = jt.calls.filter(F.col("name").isin(*LOCK_CALLS)).select(*KEY, F.col("name_pos").alias("pos"),
@@ -445,12 +503,8 @@ def shared_field_access(jt: JavaTables) -> DataFrame:
 def check_then_act(jt: JavaTables) -> DataFrame:
     """If whose condition mentions containsKey / get / == null and whose
     then-part calls put / add / set / remove."""
-    ifs = jt.parens.filter(F.col("p1") == "if").select(
-        *KEY, F.col("p1_pos").alias("if_pos"), "o_pos", "c_pos", "o_line", "c_line", "c_n1", "c_n1_pos",
-        "c_next_semi")
-    br = jt.braces.select(*KEY, F.col("o_pos").alias("c_n1_pos"), F.col("c_pos").alias("blk_end"))
-    ifs = ifs.join(br, [*KEY, "c_n1_pos"], "left").withColumn(
-        "then_end", F.when(F.col("c_n1") == "{", F.col("blk_end")).otherwise(F.col("c_next_semi")))
+    ifs = jt.heads.filter(F.col("kw") == "if").select(
+        *KEY, F.col("kw_pos").alias("if_pos"), "o_pos", "c_pos", "o_line", "c_line", F.col("body_end").alias("then_end"))
     cond = span_text(jt.t, ifs.withColumn("a", F.col("o_pos") + 1).withColumn("b", F.col("c_pos") - 1),
                      [*KEY, "if_pos"], "a", "b", "o_line", "c_line", out="cond")
     ifs = ifs.join(cond, [*KEY, "if_pos"]).filter(
@@ -490,12 +544,8 @@ def _db_calls(jt: JavaTables) -> DataFrame:
 def query_in_loop(jt: JavaTables) -> DataFrame:
     """DB call inside for / while / do (header included), per enclosing loop."""
     t = jt.t
-    heads = jt.parens.filter(F.col("p1").isin("for", "while") & ~(
-        (F.col("p1") == "while") & (F.col("p2") == "}") & (F.col("c_n1") == ";")))
-    br = jt.braces.select(*KEY, F.col("o_pos").alias("c_n1_pos"), F.col("c_pos").alias("blk_end"))
-    heads = heads.join(br, [*KEY, "c_n1_pos"], "left")
-    loops = heads.select(*KEY, F.col("p1_pos").alias("l_pos"),
-                         F.when(F.col("c_n1") == "{", F.col("blk_end")).otherwise(F.col("c_next_semi")).alias("l_end"))
+    loops = jt.heads.filter(F.col("kw").isin("for", "while")).select(
+        *KEY, F.col("kw_pos").alias("l_pos"), F.col("body_end").alias("l_end"))
     dos = t.filter((F.col("tok") == "do") & (F.col("n1") == "{")).select(*KEY, F.col("pos").alias("l_pos"),
                                                                          F.col("n1_pos").alias("b_pos"))
     dbr = jt.braces.select(*KEY, F.col("o_pos").alias("b_pos"), F.col("c_next_semi").alias("l_end"))

@@ -3,7 +3,8 @@
 * T1 ``tokens(review_id, file, line, idx, pos, tok, kind, nd, bd)``:
   comments are blanked per file row (newlines kept, so line numbers hold),
   lines are exploded, and each line is tokenised with one regex.  ``pos`` is
-  a file-wide order key (line << 20 | index in line).  ``nd`` is the nesting
+  a file-wide order key (line << 32 | index in line; a string has fewer than
+  2 ** 31 lines and tokens, so lines never run into each other).  ``nd`` is the nesting
   depth after the token over ( [ { and ``bd`` the brace depth after it.
 * T2 bracket pairs and scopes (method, class, loops, if, synchronized,
   try-with-resources header, lambda);
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["review_id", "file"]
-LINE_SHIFT = 1 << 20
+LINE_BITS = 32
 
 # Lexical patterns.
 SPECIAL_RE = (r"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|"
@@ -72,17 +73,18 @@ def tokens(files: DataFrame, partitions: int | None = None) -> DataFrame:
     ln = f.select(*KEY, F.posexplode(F.split(F.col("clean"), "\n")).alias("l0", "text"))
     t = ln.select(*KEY, (F.col("l0") + 1).cast("int").alias("line"),
                   F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(TOKEN_RE), 0)).alias("idx", "tok"))
-    t = t.withColumn("pos", F.col("line").cast("long") * LINE_SHIFT + F.col("idx")) \
+    t = t.withColumn("pos", F.shiftleft(F.col("line").cast("long"), LINE_BITS) + F.col("idx")) \
          .withColumn("kind", _kind(F.col("tok")))
     w = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     nd_delta = F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
     bd_delta = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
-    t = t.withColumn("nd", F.sum(nd_delta).over(w).cast("int")).withColumn("bd", F.sum(bd_delta).over(w).cast("int"))
+    angle = F.when(F.col("tok") == "<", 1).when(F.col("tok") == ">", -1).otherwise(0)
+    t = t.withColumn("nd", F.sum(nd_delta).over(w).cast("int")).withColumn("bd", F.sum(bd_delta).over(w).cast("int")) \
+         .withColumn("angle", F.sum(angle).over(w).cast("int"))
     wo = Window.partitionBy(*KEY).orderBy("pos")
-    for i in range(1, 8):
+    for i in range(1, 6):
         t = t.withColumn(f"p{i}", F.lag("tok", i).over(wo))
-    for i in (1, 2, 4):
-        t = t.withColumn(f"p{i}_pos", F.lag("pos", i).over(wo))
+    t = t.withColumn("p1_pos", F.lag("pos", 1).over(wo))
     for i in (1, 2, 3):
         t = t.withColumn(f"n{i}", F.lead("tok", i).over(wo))
     t = t.withColumn("n1_pos", F.lead("pos", 1).over(wo))
@@ -104,6 +106,19 @@ def tokens(files: DataFrame, partitions: int | None = None) -> DataFrame:
     for name, cond in marks.items():
         t = t.withColumn(name, F.coalesce(F.last(F.when(cond, F.col("pos")), ignorenulls=True).over(before),
                                           F.lit(-1).cast("long")))
+    # angle brackets open since the statement's start: 0 outside a type's arguments
+    angle0 = F.last(F.when(tok.isin(";", "{", "}"), F.col("angle")), ignorenulls=True).over(before)
+    t = t.withColumn("angle", F.col("angle") - F.coalesce(angle0, F.lit(0)))
+    # start of the postfix chain (a.b(c).d) that the token belongs to: a token that does not carry one on
+    word = tok.rlike(r"^[A-Za-z_$]") & ~tok.isin(*STMT_KEYWORDS, *EXPR_KEYWORDS)
+    p1 = F.coalesce(F.col("p1"), F.lit(""))
+    after_word = p1.rlike(r"^[A-Za-z_$]") & ~p1.isin(*[k for k in STMT_KEYWORDS if k not in ("this", "super")], *EXPR_KEYWORDS)
+    carries = (tok.isin(".", ")", "]") | (p1 == ".") | ((tok == "(") & after_word) | ((tok == "[") & (after_word | p1.isin(")", "]")))
+               | (word & (p1 == "new")))
+    level = Window.partitionBy(*KEY, "lvl").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("lvl", F.least(F.col("nd"), F.col("nd") - nd_delta)) \
+         .withColumn("chain_start", F.last(F.when(~carries, F.col("pos")), ignorenulls=True).over(level)) \
+         .drop("lvl")
     # next ';' and next '{' after the token: a growing frame over the reversed order stays linear
     after = Window.partitionBy(*KEY).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("next_semi", F.last(F.when(tok == ";", F.col("pos")), ignorenulls=True).over(after)) \
@@ -121,7 +136,7 @@ def pairs(t: DataFrame, open_tok: str, close_tok: str) -> DataFrame:
     bracket's neighbours.  Opens and closes at the same depth alternate, so
     the next bracket in (file, depth) order after an open is its close."""
     b = t.filter(F.col("tok").isin(open_tok, close_tok)).select(
-        *KEY, "pos", "line", "tok", "p1", "p2", "p3", "p1_pos", "n1", "n1_pos", "next_semi", "next_brace",
+        *KEY, "pos", "line", "tok", "p1", "p2", "p3", "p4", "p1_pos", "n1", "n1_pos", "next_semi", "next_brace",
         "stmt_start", "last_sync", "last_class_kw", "last_conc_ann", "last_impl", "last_iface",
         F.when(F.col("tok") == open_tok, F.col("nd")).otherwise(F.col("nd") + 1).alias("lvl"))
     w = Window.partitionBy(*KEY, "lvl").orderBy("pos")
@@ -131,7 +146,7 @@ def pairs(t: DataFrame, open_tok: str, close_tok: str) -> DataFrame:
          .withColumn("c_next_brace", F.lead("next_brace").over(w))
     return b.filter((F.col("tok") == open_tok) & (F.col("c_tok") == close_tok)).select(
         *KEY, F.col("pos").alias("o_pos"), F.col("line").alias("o_line"), "c_pos", "c_line", "lvl",
-        "p1", "p2", "p3", "p1_pos", "n1", "n1_pos", "c_n1", "c_n1_pos", "c_next_semi", "c_next_brace", "stmt_start",
+        "p1", "p2", "p3", "p4", "p1_pos", "n1", "n1_pos", "c_n1", "c_n1_pos", "c_next_semi", "c_next_brace", "stmt_start",
         "last_sync", "last_class_kw", "last_conc_ann", "last_impl", "last_iface")
 
 

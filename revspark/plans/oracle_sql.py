@@ -602,23 +602,24 @@ from revspark.sources import code_files as CF  # noqa: E402
 # line the generator writes them to.  Columns: template, query key, rule id,
 # severity, line offset in the template, snippet, message, only in @Service
 # classes, copies.  $v / $n are the template's variable and chunk number, $L
-# the line of the finding.
+# the line of the finding, $P that of the null definition (always the template's second line).
 JAVA_EXPECTED = [
     (0, "j1_resource_leak", JR.R_LEAK, "ERROR", 1, '$v = new FileInputStream("a//b")',
      JR.MSG_LEAK.format("$v", "FileInputStream"), False, 1),
-    (3, "j2_null_deref", JR.R_NULL, "ERROR", 2, "log($v.length());", JR.MSG_NULL.format("$v", "$P"), False, 1),
+    (3, "j2_null_deref", JR.R_NULL, "ERROR", 2, "return $v.capacity();", JR.MSG_NULL.format("$v", "$P"), False, 1),
     (5, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "count++;", JR.MSG_SHARED.format("count"), True, 1),
-    (6, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "if (!map.containsKey(k)) {", JR.MSG_SHARED.format("map"),
+    (6, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "if (!map.containsKey(badge)) {", JR.MSG_SHARED.format("map"),
      True, 1),
-    (6, "j3b_check_then_act", JR.R_CONC, "WARNING", 1, "!map.containsKey(k)", JR.MSG_CTA, False, 1),
-    (7, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "return map;", JR.MSG_SHARED.format("map"), True, 1),
-    (7, "j3c_unsafe_publication", JR.R_CONC, "WARNING", 1, "return map;", JR.MSG_PUBLISH.format("map"), False, 1),
-    (8, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "userRepository.findById(id);",
+    (6, "j3b_check_then_act", JR.R_CONC, "WARNING", 1, "!map.containsKey(badge)", JR.MSG_CTA, False, 1),
+    (7, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "return map;", JR.MSG_SHARED.format("map"), True, 1),
+    (7, "j3c_unsafe_publication", JR.R_CONC, "WARNING", 2, "return map;", JR.MSG_PUBLISH.format("map"), False, 1),
+    (8, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "Badge b = userRepository.findByCode(codes[q]);",
      JR.MSG_SHARED.format("userRepository"), True, 1),
-    (8, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "userRepository.findById(id)", JR.MSG_N1_LOOP, False, 1),
-    (9, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "ids.forEach(id -> userRepository.findById(id));",
-     JR.MSG_SHARED.format("userRepository"), True, 1),
-    (9, "j4b_query_in_stream", JR.R_N1, "WARNING", 1, "userRepository.findById(id)", JR.MSG_N1_STREAM, False, 1),
+    (8, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "userRepository.findByCode(codes[q])", JR.MSG_N1_LOOP, False, 1),
+    (9, "j3a_shared_field", JR.R_CONC, "WARNING", 1,
+     "return codes.stream().map(c -> userRepository.findByCode(c)).toList();", JR.MSG_SHARED.format("userRepository"),
+     True, 1),
+    (9, "j4b_query_in_stream", JR.R_N1, "WARNING", 1, "userRepository.findByCode(c)", JR.MSG_N1_STREAM, False, 1),
     (10, "j3a_shared_field", JR.R_CONC, "WARNING", 3, "userRepository.save(a);",
      JR.MSG_SHARED.format("userRepository"), True, 1),
     (10, "j4a_query_in_loop", JR.R_N1, "WARNING", 3, "userRepository.save(a)", JR.MSG_N1_LOOP, False, 2),
@@ -626,7 +627,26 @@ JAVA_EXPECTED = [
      JR.MSG_SQL, False, 1),
     (13, "j6_hardcoded_secret", JR.R_SECRET, "ERROR", 1, 'password = "p$n-$v"', JR.MSG_SECRET.format("password"),
      False, 1),
-    (14, "j7_loop_bound", JR.R_LOOP, "WARNING", 1, "i <= xs.size()", JR.MSG_LOOP, False, 1),
+    (14, "j7_loop_bound", JR.R_LOOP, "WARNING", 1, "row <= grid.length()", JR.MSG_LOOP, False, 1),
+    # a later return that does not hand the resource out; a close on one path only
+    (16, "j1_resource_leak", JR.R_LEAK, "ERROR", 1, "r = new FileReader(path)", JR.MSG_LEAK.format("r", "FileReader"),
+     False, 1),
+    (17, "j1_resource_leak", JR.R_LEAK, "ERROR", 1, '$v = new FileInputStream("c")',
+     JR.MSG_LEAK.format("$v", "FileInputStream"), False, 1),
+    # an assignment on one path only; a guard that falls through (20 leaves: no finding)
+    (18, "j2_null_deref", JR.R_NULL, "ERROR", 5, "return $v.length();", JR.MSG_NULL.format("$v", "$P"), False, 1),
+    (19, "j2_null_deref", JR.R_NULL, "ERROR", 5, "audit($v.trim());", JR.MSG_NULL.format("$v", "$P"), False, 1),
+    # 21: words of an initializer are no fields; 22: a '>' that compares
+    (22, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "return n > count;", JR.MSG_SHARED.format("count"), True, 1),
+    # a loop without braces around an if; a chained receiver
+    (23, "j3a_shared_field", JR.R_CONC, "WARNING", 3, "userRepository.findOne(id);",
+     JR.MSG_SHARED.format("userRepository"), True, 1),
+    (23, "j4a_query_in_loop", JR.R_N1, "WARNING", 3, "userRepository.findOne(id)", JR.MSG_N1_LOOP, False, 1),
+    (23, "j4a_query_in_loop", JR.R_N1, "WARNING", 4, "userRepository.deleteAll(id)", JR.MSG_N1_LOOP, False, 1),
+    (24, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "userRepository.queryFor(q).getRows();",
+     JR.MSG_SHARED.format("userRepository"), True, 1),
+    (24, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "userRepository.queryFor(q)", JR.MSG_N1_LOOP, False, 1),
+    (24, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "userRepository.queryFor(q).getRows()", JR.MSG_N1_LOOP, False, 1),
 ]
 
 
@@ -658,7 +678,7 @@ jg AS (
          CAST(js.start_line + e.off AS INTEGER) AS line,
          replace(replace(e.snippet, '$v', 'v' || CAST(js.doc_id % 7 AS VARCHAR)), '$n', CAST(js.k AS VARCHAR)) AS code_snippet,
          replace(replace(e.message, '$v', 'v' || CAST(js.doc_id % 7 AS VARCHAR)), '$P',
-                 CAST(js.start_line + e.off - 1 AS VARCHAR)) AS message,
+                 CAST(js.start_line + 1 AS VARCHAR)) AS message,
          e.qkey
   FROM js JOIN documents d ON d.doc_id = js.doc_id
   JOIN (VALUES {exp}) e(idx, qkey, rule_id, severity, off, snippet, message, svc, copies) ON e.idx = js.idx
@@ -683,7 +703,7 @@ jt0 AS (SELECT review_id, file, line, unnest(range(0, len(ts))) AS idx, unnest(t
         FROM (SELECT review_id, file, line, regexp_extract_all(text, {tk}) AS ts FROM jl) z),
 jt AS (
   SELECT review_id, file, CAST(line AS INTEGER) AS line, CAST(idx AS INTEGER) AS idx, tok,
-         CAST(line AS BIGINT) * {TK.LINE_SHIFT} + idx AS pos,
+         CAST(line AS BIGINT) * {1 << TK.LINE_BITS} + idx AS pos,
          CASE WHEN starts_with(tok, '"') THEN 'str' WHEN starts_with(tok, '''') THEN 'chr'
               WHEN regexp_matches(tok, '^[A-Za-z_$]') THEN 'id' WHEN regexp_matches(tok, '^[0-9]') THEN 'num'
               ELSE 'op' END AS kind,
@@ -715,41 +735,48 @@ FROM bp WHERE tok = '{{' AND c_tok = '}}'"""
     out["d5_scan_once"] = "WITH " + code_ctes_from(both) + ", " + java_golden_cte() + \
         f", af AS ({all_findings_select()}) SELECT * FROM af"
     ident = "'^[A-Za-z_$]'"
-    typeish = (f"coalesce((regexp_matches(p2, {ident}) AND p2 NOT IN {_in(TK.MODIFIERS)} "
-               f"AND p2 NOT IN {_in(TK.EXPR_KEYWORDS)}) OR p2 IN ('>', ']'), false)")
+    def typeish(a: str, b: str, c: str) -> str:
+        """The twin of java_rules._typeish over the columns of a token and the two before it."""
+        return (f"(coalesce(regexp_matches({a}, {ident}) AND {a} NOT IN {_in(TK.MODIFIERS)} AND {a} NOT IN {_in(TK.EXPR_KEYWORDS)}, false) "
+                f"OR coalesce({a} = '>' AND ({b} IN ('>', ']', '?') OR (regexp_matches({b}, '^[A-Z]') "
+                f"AND {c} IN (',', '.', 'extends', 'super', '&')) OR {c} = '<'), false) OR coalesce({a} = ']' AND {b} = '[', false))")
+    starts = ("NOT (tok IN ('.', ')', ']') OR p1 = '.' OR (tok = '(' AND after_word) OR (tok = '[' AND (after_word OR p1 IN (')', ']'))) "
+              f"OR (regexp_matches(tok, {ident}) AND tok NOT IN {_in(TK.STMT_KEYWORDS)} AND tok NOT IN {_in(TK.EXPR_KEYWORDS)} AND p1 = 'new'))")
+    callable_ = [k for k in TK.STMT_KEYWORDS if k not in ("this", "super")]
     out["t3_calls"] = f"""WITH {cf}, {token_ctes()},
-jw AS (SELECT *, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3,
-              lag(tok, 4) OVER w AS p4, lag(pos, 1) OVER w AS p1_pos, lag(pos, 2) OVER w AS p2_pos,
-              lag(pos, 4) OVER w AS p4_pos
+jw0 AS (SELECT *, coalesce(lag(tok, 1) OVER w, '') AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3,
+              lag(tok, 4) OVER w AS p4, lag(pos, 1) OVER w AS p1_pos,
+              least(nd, nd - CASE WHEN tok IN ('(', '[', '{{') THEN 1 WHEN tok IN (')', ']', '}}') THEN -1 ELSE 0 END) AS deep
        FROM jt WINDOW w AS (PARTITION BY review_id, file ORDER BY pos)),
-pr AS (SELECT review_id, file, pos, line, tok, p1, p2, p1_pos, CASE WHEN tok = '(' THEN nd ELSE nd + 1 END AS lvl
+jw1 AS (SELECT *, regexp_matches(p1, {ident}) AND p1 NOT IN {_in(callable_)} AND p1 NOT IN {_in(TK.EXPR_KEYWORDS)} AS after_word FROM jw0),
+jw AS (SELECT *, max(CASE WHEN {starts} THEN pos END) OVER (PARTITION BY review_id, file, deep ORDER BY pos
+              ROWS UNBOUNDED PRECEDING) AS chain_start FROM jw1),
+pr AS (SELECT review_id, file, pos, line, tok, p1, p2, p3, p4, p1_pos, CASE WHEN tok = '(' THEN nd ELSE nd + 1 END AS lvl
        FROM jw WHERE tok IN ('(', ')')),
 pp AS (SELECT *, lead(tok) OVER w AS c_tok, lead(pos) OVER w AS c_pos
        FROM pr WINDOW w AS (PARTITION BY review_id, file, lvl ORDER BY pos)),
 calls AS (
-  SELECT pp.review_id, pp.file, pp.p1 AS name, pp.pos AS a_open, pp.c_pos AS a_close,
-         n.p1 AS m1, n.p2 AS m2, n.p3 AS m3, n.p4 AS m4, n.p2_pos AS m2_pos, n.p4_pos AS m4_pos, n.pos AS name_pos
+  SELECT pp.review_id, pp.file, pp.p1 AS name, pp.pos AS a_open, pp.c_pos AS a_close, n.pos AS name_pos,
+         CASE WHEN n.p1 = '.' AND n.chain_start IS NOT NULL THEN n.chain_start ELSE n.pos END AS call_pos
   FROM pp JOIN jw n ON n.review_id = pp.review_id AND n.file = pp.file AND n.pos = pp.p1_pos
-  WHERE pp.tok = '(' AND pp.c_tok = ')'
-    AND ((regexp_matches(pp.p1, {ident}) AND pp.p1 NOT IN {_in(TK.STMT_KEYWORDS)} AND NOT {typeish.replace('p2', 'pp.p2')})
-         OR (regexp_matches(pp.p1, {ident}) AND pp.p2 = '.' AND pp.p1 NOT IN {_in(TK.STMT_KEYWORDS)}))
-    AND coalesce(pp.p2, '') <> 'new'
-),
-rc AS (SELECT *, coalesce(m1 = '.' AND regexp_matches(m2, {ident}), false) AS r1,
-              coalesce(m1 = '.' AND regexp_matches(m2, {ident}), false)
-                AND coalesce(m3 = '.' AND regexp_matches(m4, {ident}), false) AS r2 FROM calls)
-SELECT review_id, file, name,
-       CASE WHEN r2 THEN m4 || '.' || m2 WHEN r1 THEN m2 ELSE '' END AS receiver,
-       CAST(floor((CASE WHEN r2 THEN m4_pos WHEN r1 THEN m2_pos ELSE name_pos END) / {TK.LINE_SHIFT}) AS INTEGER) AS call_line,
-       a_open, a_close
-FROM rc"""
+  WHERE pp.tok = '(' AND pp.c_tok = ')' AND regexp_matches(pp.p1, {ident}) AND pp.p1 NOT IN {_in(TK.STMT_KEYWORDS)}
+    AND (pp.p2 = '.' OR NOT {typeish('pp.p2', 'pp.p3', 'pp.p4')}) AND coalesce(pp.p2, '') <> 'new'
+)
+SELECT c.review_id, c.file, c.name, coalesce(string_agg(t.tok, '' ORDER BY t.pos), '') AS receiver,
+       CAST(c.call_pos // {1 << TK.LINE_BITS} AS INTEGER) AS call_line, c.a_open, c.a_close
+FROM calls c LEFT JOIN jw t ON t.review_id = c.review_id AND t.file = c.file AND t.pos >= c.call_pos AND t.pos < c.name_pos
+     AND NOT (t.tok = '.' AND t.pos = (SELECT max(x.pos) FROM jt x WHERE x.review_id = c.review_id AND x.file = c.file AND x.pos < c.name_pos))
+GROUP BY c.review_id, c.file, c.name, c.name_pos, c.call_pos, c.a_open, c.a_close"""
     out["t4_fields"] = f"""WITH {cf}, {token_ctes()},
-jw AS (SELECT *, lag(tok, 1) OVER w AS p1,
+ja AS (SELECT *, sum(CASE WHEN tok = '<' THEN 1 WHEN tok = '>' THEN -1 ELSE 0 END)
+                OVER (PARTITION BY review_id, file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ang FROM jt),
+jw AS (SELECT *, lag(tok, 1) OVER w AS p1, lag(tok, 2) OVER w AS p2, lag(tok, 3) OVER w AS p3,
+         ang - coalesce(arg_max(ang, CASE WHEN tok IN (';', '{{', '}}') THEN pos END) OVER b, 0) AS angle,
          coalesce(max(CASE WHEN tok IN (';', '{{', '}}') THEN pos END) OVER b, -1) AS stmt_start,
          coalesce(max(CASE WHEN tok IN ('class', 'interface') AND coalesce(lag1, '') <> '.' THEN pos END) OVER b, -1)
            AS last_class_kw
        FROM (SELECT *, lag(tok, 1) OVER (PARTITION BY review_id, file ORDER BY pos) AS lag1,
-                    lead(tok, 1) OVER (PARTITION BY review_id, file ORDER BY pos) AS n1 FROM jt) x
+                    lead(tok, 1) OVER (PARTITION BY review_id, file ORDER BY pos) AS n1 FROM ja) x
        WINDOW w AS (PARTITION BY review_id, file ORDER BY pos),
               b AS (PARTITION BY review_id, file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 br AS (SELECT review_id, file, pos, tok, stmt_start, last_class_kw, CASE WHEN tok = '{{' THEN nd ELSE nd + 1 END AS lvl
@@ -758,8 +785,8 @@ bp AS (SELECT *, lead(tok) OVER w AS c_tok, lead(pos) OVER w AS c_pos
        FROM br WINDOW w AS (PARTITION BY review_id, file, lvl ORDER BY pos)),
 cls AS (SELECT review_id, file, pos AS c_open, c_pos AS c_close, lvl AS c_lvl FROM bp
         WHERE tok = '{{' AND c_tok = '}}' AND last_class_kw > stmt_start),
-cand AS (SELECT jw.* FROM jw WHERE kind = 'id' AND n1 IN ('=', ';', ',')
-           AND NOT coalesce(p1 IN ('.', '=', '<', '@'), false) AND nd = bd),
+cand AS (SELECT jw.* FROM jw WHERE kind = 'id' AND n1 IN ('=', ';', ',') AND angle = 0 AND nd = bd
+           AND ({typeish('p1', 'p2', 'p3')} OR coalesce(p1 = ',', false))),
 fl AS (SELECT c.review_id, c.file, k.c_open, c.pos AS f_pos, c.tok AS f_name, c.stmt_start
        FROM cand c JOIN cls k ON k.review_id = c.review_id AND k.file = c.file
         AND c.pos > k.c_open AND c.pos < k.c_close AND c.bd = k.c_lvl)

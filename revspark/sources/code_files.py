@@ -1,11 +1,12 @@
 """``code_files(doc_id, review_id, file, content)`` derived from ``documents``.
 
-The driver gives no source-code table, so a deterministic corpus of small
-Java / C++ / Python / JS / Go files is derived from each document's id and
-source (FIXTURES.md B1).  The derivation is a pure per-row projection: the
-template dictionary is a literal map (about 40 entries, fixed size), so no
-join and no shuffle happen - on 100 TB of documents this is a map-only stage
-that reads two columns of the scan.
+The driver gives no source-code table, so a deterministic corpus of Java /
+C++ / Python / JS / Go files is derived from each document's id, source and
+text (FIXTURES.md B1): methods from the templates, and after them every line
+of the document's text as a comment line, so a file is as long as its
+document.  The derivation is a pure per-row projection: the template
+dictionary is a literal map (about 50 entries, fixed size), so no join and no
+shuffle happen - on 100 TB of documents this is a map-only stage.
 
 ``oracle_code_files_sql`` emits the same derivation as DuckDB SQL for the
 correctness oracle; both are generated from the single template block below.
@@ -24,19 +25,30 @@ TEMPLATES_TEXT = r"""
 java 0|  public void leak$n() throws Exception {~    FileInputStream $v = new FileInputStream("a//b");~    int d = $v.read();~  }
 java 1|  public void safe$n() throws Exception {~    try (FileInputStream $v = new FileInputStream("a")) {~      $v.read();~    }~  }
 java 2|  public void closed$n() throws Exception {~    FileInputStream $v = new FileInputStream("a");~    $v.close();~  }
-java 3|  public void nul$n() {~    String $v = null;~    log($v.length());~  }
-java 4|  public void guard$n() {~    String $v = null;~    if ($v != null) {~      log($v.length());~    }~  }
+java 3|  public int width$n() {~    StringBuilder $v = null;~    return $v.capacity();~  }
+java 4|  public int safeWidth$n() {~    StringBuilder $v = null;~    int w = 0;~    if ($v != null) w = $v.capacity();~    return w;~  }
 java 5|  public void inc$n() {~    count++;~  }
-java 6|  public void cta$n(String k) {~    if (!map.containsKey(k)) {~      map.put(k, k);~    }~  }
-java 7|  public Map<String,String> all$n() {~    return map;~  }
-java 8|  public void loop$n(List<String> ids) {~    for (String id : ids) {~      userRepository.findById(id);~    }~  }
-java 9|  public void stream$n(List<String> ids) {~    ids.forEach(id -> userRepository.findById(id));~  }
+java 6|  public void enrol$n(String badge, String desk) {~    if (!map.containsKey(badge)) {~      audit(badge);~      map.put(badge, desk);~    }~  }
+java 7|  public Map<String,String> directory$n() {~    audit("read");~    return map;~  }
+java 8|  public void recall$n(int[] codes) {~    for (int q = 0; q < codes.length; q++) {~      Badge b = userRepository.findByCode(codes[q]);~      audit(b);~    }~  }
+java 9|  public Object roster$n(List<Integer> codes) {~    return codes.stream().map(c -> userRepository.findByCode(c)).toList();~  }
 java 10|  public void nest$n(List<String> ids) {~    for (String a : ids) {~      while (more(a)) {~        userRepository.save(a);~      }~    }~  }
 java 11|  public void sql$n(Statement st, String $v) throws Exception {~    st.executeQuery("select * from t where n = '" + $v + "'");~  }
 java 12|  public void sqlok$n(Statement st) throws Exception {~    st.executeQuery("select 1 + 1");~  }
 java 13|  public void secret$n() {~    String password = "p$n-$v";~    /* apiKey = "not code" */~  }
-java 14|  public void bound$n(List<String> xs) {~    for (int i = 0; i <= xs.size(); i++) {~      log(xs.get(i));~    }~  }
+java 14|  public void scanRow$n(String grid) {~    for (int row = 0; row <= grid.length(); row++) {~      audit(grid.charAt(row));~    }~  }
 java 15|  public synchronized void sync$n() {~    count = count + 1;~  }
+java 16|  public int probe$n(String path) throws Exception {~    FileReader r = new FileReader(path);~    int b = 4;~    return b;~  }
+java 17|  public void maybe$n(boolean done) throws Exception {~    FileInputStream $v = new FileInputStream("c");~    if (done) {~      $v.close();~    }~  }
+java 18|  public int pick$n(boolean vip) {~    String $v = null;~    if (vip) {~      $v = "gold";~    }~    return $v.length();~  }
+java 19|  public void tell$n() {~    String $v = null;~    if ($v == null) {~      audit("none");~    }~    audit($v.trim());~  }
+java 20|  public void quiet$n() {~    String $v = null;~    if ($v == null) {~      return;~    }~    audit($v.trim());~  }
+java 21|  private long limit$n = 60 * SPAN;~  public long span$n() {~    return SPAN + 1;~  }
+java 22|  public boolean over$n(int n) {~    return n > count;~  }
+java 23|  public void sweep$n(List<String> ids, boolean dry) {~    for (String id : ids)~      if (!dry) {~        userRepository.findOne(id);~        userRepository.deleteAll(id);~      }~  }
+java 24|  public void pages$n(List<String> qs) {~    for (String q : qs) {~      userRepository.queryFor(q).getRows();~    }~  }
+java 25|  public void tiny$n() { int a = 1; audit(a); }
+java 26|  public void shut$n(boolean done) throws Exception {~    FileInputStream $v = new FileInputStream("c");~    try {~      audit($v.read());~    } finally {~      if (done) $v.close();~    }~  }
 cpp 0|void a$n() {~  FILE* $v = fopen("x", "r");~  puts("open http://x");~}
 cpp 1|void b$n() {~  char* $v = malloc(8);~  free($v);~}
 cpp 2|void c$n() {~  T* $v = nullptr;~  $v->run();~}
@@ -100,9 +112,9 @@ def _count_expr(ext: Column) -> Column:
 
 
 def code_files_from_documents(docs: DataFrame) -> DataFrame:
-    """Per-row projection documents(doc_id, source) -> code_files."""
+    """Per-row projection documents(doc_id, source, text) -> code_files."""
     tmap = F.create_map(*[x for e, i, b in templates() for x in (F.lit(f"{e}:{i}"), F.lit(b))])
-    d = docs.select("doc_id", "source")
+    d = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), (F.col("doc_id") % 5 + 1).cast("int"))
     d = d.withColumn("ext", ext).withColumn("n_tpl", _count_expr(F.col("ext")))
     chunks = F.transform(
@@ -142,6 +154,8 @@ def code_files_from_documents(docs: DataFrame) -> DataFrame:
         F.lit("~"),
         F.lit("\n"),
     )
+    mark = F.when(F.col("ext") == "py", F.lit("# ")).otherwise(F.lit("// "))
+    content = F.concat(content, F.lit("\n"), mark, F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\n"), mark)))
     file = F.concat(F.lit("src/"), F.col("source"), F.lit("/F"), F.col("doc_id").cast("string"),
                     F.lit("."), F.col("ext"))
     return d.select(
@@ -171,14 +185,15 @@ def oracle_code_files_sql() -> str:
     )
     return f"""
 SELECT doc_id, review_id, file,
-       replace(replace(replace(raw, '$d', CAST(doc_id AS VARCHAR)), '$v', 'v' || CAST(doc_id % 7 AS VARCHAR)), '~', chr(10)) AS content
+       replace(replace(replace(raw, '$d', CAST(doc_id AS VARCHAR)), '$v', 'v' || CAST(doc_id % 7 AS VARCHAR)), '~', chr(10))
+         || chr(10) || mark || replace(text, chr(10), chr(10) || mark) AS content
 FROM (
-  SELECT d.doc_id, d.doc_id // {FILES_PER_REVIEW} AS review_id,
+  SELECT d.doc_id, any_value(d.text) AS text, CASE d.ext WHEN 'py' THEN '# ' ELSE '// ' END AS mark, d.doc_id // {FILES_PER_REVIEW} AS review_id,
          'src/' || d.source || '/F' || CAST(d.doc_id AS VARCHAR) || '.' || d.ext AS file,
          CASE d.ext WHEN 'java' THEN {java_header} WHEN 'py' THEN '# F$d' ELSE '// F$d' END
            || '~' || string_agg(replace(t.body, '$n', CAST(c.k AS VARCHAR)), '~' ORDER BY c.k)
            || '~' || CASE d.ext WHEN 'java' THEN {_sql_str(JAVA_FOOTER)} ELSE '' END AS raw
-  FROM (SELECT doc_id, source, {ext_list}[doc_id % 5 + 1] AS ext FROM documents) d
+  FROM (SELECT doc_id, source, coalesce(text, '') AS text, {ext_list}[doc_id % 5 + 1] AS ext FROM documents) d
   JOIN (SELECT doc_id, unnest(range(0, 2 + (doc_id // 5) % 6)) AS k FROM documents) c ON c.doc_id = d.doc_id
   JOIN (VALUES {values}) t(ext, idx, body)
     ON t.ext = d.ext AND t.idx = (d.doc_id * 31 + c.k * c.k * 17 + c.k) % (CASE d.ext {counts} END)
