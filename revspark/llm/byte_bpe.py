@@ -15,11 +15,13 @@ match's length.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +60,9 @@ class ByteBPE:
             self.auto.add_word(t[::-1].decode("latin-1"), r)
         self.auto.make_automaton()
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int]] | None] = {}
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.table = pa.array([self.bytes_of.get(r, b"") for r in range(max(self.bytes_of) + 1)], pa.binary())
 
     def merged(self, data: bytes) -> list[int]:
         """The merges by definition: join the lowest-ranked neighbouring parts until none can be joined."""
@@ -167,22 +170,41 @@ class ByteBPE:
                 before, token = path[-1] if path else -1, self._shorter(too_long)
         return tuple(path)
 
-    def encode(self, text: str) -> list[int]:
-        matches = self.find(text)
-        try:
-            return list(chain.from_iterable(map(self.new.__getitem__, matches)))
-        except KeyError:
-            pass
+    def _remember(self, match: str) -> bytes:
+        """Ids of a match that is not in the newer cache, as packed 32-bit numbers."""
+        ids = self.old.get(match)
+        if ids is None:
+            ids = array("i", self._match(match.encode("utf-8"))).tobytes()
+        if len(match) <= CACHE_BYTES:
+            self.new[match] = ids
+        return ids
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the ids of all texts one after the other, and where each text's begin and end.
+
+        Each distinct match of the batch is looked up once."""
         if len(self.new) > CACHE_MATCHES:
             self.old, self.new = self.new, {}
-        extra: dict[str, tuple[int, ...]] = {}
-        for m in matches:
-            if m not in self.new and m not in extra:
-                ids = self.old.get(m) or self._match(m.encode("utf-8"))
-                (self.new if len(m) <= CACHE_BYTES else extra)[m] = ids
-        if extra:
-            return list(chain.from_iterable(extra.get(m) or self.new[m] for m in matches))
-        return list(chain.from_iterable(map(self.new.__getitem__, matches)))
+        found = [self.find(t) for t in texts]
+        coded = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+        get = self.new.get
+        known = [get(m) or self._remember(m) for m in coded.dictionary.to_pylist()]
+        size = np.array([len(k) for k in known], np.int64) >> 2
+        codes = coded.indices.to_numpy()
+        n = size[codes]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(stop[-1]) + np.repeat((np.cumsum(size) - size)[codes] - stop[:-1], n)
+        ends = np.cumsum([0] + [len(f) for f in found])
+        return stop[ends], np.frombuffer(b"".join(known), np.int32)[at]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[1].tolist()
+
+    def decode_batch(self, offsets: np.ndarray, ids: pa.Array) -> pa.Array:
+        """The bytes of each run of ids, as a binary column."""
+        parts = pc.take(self.table, ids)
+        starts = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset:parts.offset + len(parts) + 1]
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(starts[offsets].astype(np.int32)), parts.buffers()[2]])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -203,11 +225,8 @@ def encoder(path: str, pattern: str):
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _codec(path, pattern)
         for col in texts:
-            ids = [bpe.encode(t or "") for t in col.to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            offsets, ids = bpe.encode_batch([t or "" for t in col.to_pylist()])
+            yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
     return encode
 
 
@@ -217,7 +236,10 @@ def decoder(path: str, pattern: str):
     def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _codec(path, pattern)
         for col in ids:
-            yield pa.array([bpe.decode(x or []) for x in col.to_pylist()], pa.binary())
+            if col.null_count:
+                col = pa.array([x or [] for x in col.to_pylist()], pa.list_(pa.int32()))
+            offsets = col.offsets.to_numpy()
+            yield bpe.decode_batch(offsets - offsets[0], col.flatten())
     return decode
 
 
