@@ -50,7 +50,7 @@ def changed_lines(diffs: DataFrame, keys: tuple[str, ...] = ("diff_id",), partit
     tracked = F.col("cur").isNotNull() & ~is_git
     is_hunk = tracked & l.startswith("@@ ")
     start = F.regexp_extract(l, r"\+(\d+)", 1)
-    rows = rows.withColumn("hunk_start", F.when(is_hunk & (start != ""), start.cast("long"))) \
+    rows = rows.withColumn("hunk_start", F.when(is_hunk & (start != ""), start.try_cast("long"))) \
                .withColumn("is_hunk", is_hunk)
     rows = rows.withColumn("hunk_pos", F.last(F.when(F.col("is_hunk"), F.col("pos")), ignorenulls=True).over(upto))
     # '+++' is a file header only before the first hunk of the file; inside a hunk it is added text

@@ -34,7 +34,6 @@ USES = [("error", "acct"), ("purchase", "acct"), ("error", "nav"), ("click", "na
 RESOURCE_DEF, CLOSE_NODE, ESCAPE_NODE = "signup", "purchase", "error"
 GUARD_SRC, GUARD_VAR = "click", "acct"
 BUCKET_SECONDS = 60
-MAX_ROUNDS = 10_000
 SEEN_CUT_EVERY = 4
 
 
@@ -161,9 +160,9 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame) -> DataFrame:
     frontier = _cut(d.join(e.withColumnRenamed("src", "def_node"), [G, "def_node"])
                     .select(G, F.col("dst").alias("node"), "def_id", "var", "def_node").distinct())
     seen = frontier
-    for rnd in range(MAX_ROUNDS):
-        if frontier.isEmpty():
-            break
+    rnd = 0
+    # every round adds facts that were not known; there are finitely many
+    while not frontier.isEmpty():
         passing = frontier.join(killers, [G, "node", "var"], "left_anti") \
             .unionByName(frontier.filter(F.col("node") == F.col("def_node")))  # its own def node regenerates it
         nxt = passing.join(e.withColumnRenamed("src", "node"), [G, "node"]) \
@@ -173,7 +172,7 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame) -> DataFrame:
         seen = seen.unionByName(new)
         if rnd % SEEN_CUT_EVERY == SEEN_CUT_EVERY - 1:
             seen = _cut(seen)
-        frontier = new
+        frontier, rnd = new, rnd + 1
     return seen
 
 
@@ -196,9 +195,9 @@ def _reach_from(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None)
         blocked = _cut(blocked)
     frontier = _cut(starts.withColumn("path", F.array(F.element_at(ids, F.col("node")))))
     seen = frontier
-    for rnd in range(MAX_ROUNDS):
-        if frontier.isEmpty():
-            break
+    rnd = 0
+    # every round adds facts that were not known; there are finitely many
+    while not frontier.isEmpty():
         expand = frontier if blocked is None else frontier.join(blocked, [G, "start", "node"], "left_anti")
         nxt = expand.join(e, [G, "node"]).select(
             G, "start", F.col("dst").alias("node"), F.concat("path", F.array(F.element_at(ids, F.col("dst"))))
@@ -209,7 +208,7 @@ def _reach_from(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None)
         seen = seen.unionByName(new)
         if rnd % SEEN_CUT_EVERY == SEEN_CUT_EVERY - 1:
             seen = _cut(seen)
-        frontier = new
+        frontier, rnd = new, rnd + 1
     return seen
 
 

@@ -232,6 +232,26 @@ class JavaTables:
                 .withColumn("receiver", F.coalesce("receiver", F.lit("")))
         return self._get("calls", build)
 
+    @property
+    def scopes(self) -> DataFrame:
+        """Every brace block with its kind (class, method, lambda, a
+        statement keyword, array or block) and the name of a class or method."""
+        def build():
+            b = self.braces.withColumn("prev_pos", F.col("p1_pos"))
+            closers = self.parens.select(*KEY, F.col("c_pos").alias("prev_pos"), F.col("p1").alias("head"))
+            b = b.join(closers, [*KEY, "prev_pos"], "left")
+            m = self.methods.select(*KEY, F.col("m_open").alias("o_pos"), "m_name")
+            c = self.classes.select(*KEY, F.col("c_open").alias("o_pos"), "c_name")
+            b = b.join(m, [*KEY, "o_pos"], "left").join(c, [*KEY, "o_pos"], "left")
+            kind = (F.when(F.col("c_name").isNotNull(), F.lit("class")).when(F.col("m_name").isNotNull(), F.lit("method"))
+                    .when(F.col("p1") == "->", F.lit("lambda")).when(F.col("p1").isin("else", "do", "try", "finally"), F.col("p1"))
+                    .when(F.col("head").isin(*BODY_KEYWORDS, "try"), F.col("head"))
+                    .when(F.col("p1").isin("=", "]"), F.lit("array")).otherwise(F.lit("block")))
+            return b.select(*KEY, F.col("o_pos").alias("open_pos"), F.col("c_pos").alias("close_pos"), F.col("o_line").alias("open_line"),
+                            F.col("c_line").alias("close_line"), F.col("lvl").alias("depth"), kind.alias("kind"),
+                            F.coalesce("c_name", "m_name").alias("name"))
+        return self._get("scopes", build)
+
     @property
     def heads(self) -> DataFrame:
         """Control statements with a condition: kw, kw_pos, c_pos (closing
@@ -679,7 +699,6 @@ def run_java_rules(files: DataFrame) -> DataFrame:
     jt = JavaTables(files)
     out = None
     for fn in JAVA_RULES.values():
-        # each rule's findings (small) are materialised, so the union stays a short plan
-        df = jt._cut(fn(jt).select(*FINDING_COLS))
+        df = fn(jt).select(*FINDING_COLS)
         out = df if out is None else out.unionByName(df)
     return out

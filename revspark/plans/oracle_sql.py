@@ -11,7 +11,7 @@ from __future__ import annotations
 from revspark.functions.text import CPP_EXTS, JS_EXTS
 from revspark.operators import line_rules as LR
 from revspark.operators.history import STATUS_RULES
-from revspark.sources.analogs import FINDINGS_SQL, REVIEWS_SQL
+from revspark.sources.analogs import FINDINGS_SQL, PR_FILES_SQL, REVIEWS_SQL
 from revspark.sources.code_files import oracle_code_files_sql
 
 
@@ -178,7 +178,8 @@ SELECT tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall,
             "CAST(coalesce(sum(error_count), 0) AS BIGINT) AS errors FROM q1",
         "m1_confusion": f"WITH {cases} SELECT * FROM conf",
         "m2_scores": m2,
-        "k2_review_status": pre + """ SELECT r.id AS review_id, CAST(count(f.review_id) AS BIGINT) AS n_files,
+        "k2_review_status": f"""WITH r AS ({REVIEWS_SQL}), f AS (SELECT * FROM ({PR_FILES_SQL}) x WHERE {supported_sql('file')})
+            SELECT r.id AS review_id, CAST(count(f.review_id) AS BIGINT) AS n_files,
             CASE WHEN count(f.review_id) = 0 THEN 'NO_CODE_FILES' ELSE 'SUCCESS' END AS status
             FROM r LEFT JOIN f ON f.review_id = r.id GROUP BY r.id""",
     }
@@ -242,7 +243,7 @@ def paths_sql() -> str:
 
 def enriched_sql(findings_cte: str | None = None) -> str:
     """CTE ``ef``: findings with rationale / fix / priority (needs code_ctes).
-    Without ``findings_cte`` the line findings are used (CTE ``lf``)."""
+    Without ``findings_cte`` the findings of every rule are used (CTE ``lf``)."""
     rows = []
     for rule, lang, rat, fix in EN.DIMENSION_ROWS:
         prio = EN.PRIORITY.get(rule, EN.DEFAULT_PRIORITY)
@@ -250,7 +251,7 @@ def enriched_sql(findings_cte: str | None = None) -> str:
     dim = "(VALUES " + ", ".join(rows) + ") dim(rule_key, lang_key, rationale, fix, priority)"
     keys = _in(EN.PRIORITY.keys())
     src = findings_cte or "lf"
-    head = "" if findings_cte else f"lf AS ({line_findings_select()}),\n"
+    head = "" if findings_cte else f"{java_golden_cte()}, lf AS ({all_findings_select()}),\n"
     return f"""
 {head}lk AS (SELECT *, CASE WHEN rule_id IN {keys} THEN rule_id ELSE '*' END AS rule_key,
               {prompt_lang_sql('file')} AS lang_key FROM {src}),
@@ -281,7 +282,7 @@ def more_sql() -> dict[str, str]:
             "|| chr(10) || 'Code Snippet:' || chr(10) || code_snippet || chr(10) || 'Message: ' || message")
     sys_before, sys_after = EN.SYSTEM_PROMPT_FMT.split("%s")
     system = f"{q(sys_before)} || {prompt_lang_sql('file')} || {q(sys_after)}"
-    out["p7_prompt_text"] = pre + f", lf AS ({line_findings_select()}) SELECT review_id, file, line, rule_id, " \
+    out["p7_prompt_text"] = pre + f", {java_golden_cte()}, lf AS ({all_findings_select()}) SELECT review_id, file, line, rule_id, " \
         f"{system} AS system_prompt, {user} AS user_prompt FROM lf"
 
     out["s1_file_scan"] = (f"WITH cf AS ({oracle_code_files_sql()}), allf AS (SELECT review_id, file, content FROM cf "
@@ -340,8 +341,9 @@ FROM x"""
 
     out["d1_diff_parse"] = (f"WITH cf AS ({oracle_code_files_sql()}), {FX.DIFF_EXPECTED_SQL} "
                             "SELECT diff_id, review_id, file, line FROM changed")
-    lf = line_findings_select()
-    out["d2_diff_scope"] = (pre + f", lf AS ({lf}), {FX.DIFF_EXPECTED_SQL} SELECT * FROM lf WHERE EXISTS "
+    lf = all_findings_select()
+    out["s6_changed_files"] = f"WITH cf AS ({oracle_code_files_sql()}) SELECT doc_id AS diff_id, file FROM cf WHERE {supported_sql('file')}"
+    out["d2_diff_scope"] = (pre + f", {java_golden_cte()}, lf AS ({lf}), {FX.DIFF_EXPECTED_SQL} SELECT * FROM lf WHERE EXISTS "
                             "(SELECT 1 FROM changed c WHERE c.review_id = lf.review_id AND c.file = lf.file "
                             "AND c.line = lf.line)")
     en = pre + ", " + enriched_sql()
@@ -397,7 +399,7 @@ SELECT rv.review_id, rv.source, rv.analyzed_at, CAST(coalesce(ag.n, 0) AS BIGINT
 FROM rv LEFT JOIN ag ON ag.review_id = rv.review_id"""
     lim = []
     for c, n in (("code_snippet", 2000), ("message", 1000), ("rationale", 2000), ("fix_suggestion", 3000)):
-        lim.append(f"substr({c}, 1, {n}) AS {c}, coalesce(length({c}) > {n}, false) AS {c}_overflow")
+        lim.append(f"{c}, coalesce(length({c}) > {n}, false) AS {c}_overflow")
     out["k1_persist_findings"] = en + f""" SELECT
   row_number() OVER (ORDER BY review_id, file, line, rule_id, message, code_snippet) AS id,
   review_id, rule_id, severity, file AS file_path, line AS line_number, priority_score, {', '.join(lim)}
@@ -459,6 +461,9 @@ def flow_sql() -> dict[str, str]:
         CAST((SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.src = n.node) AS BIGINT) AS out_degree,
         CAST((SELECT count(*) FROM edges e WHERE e.graph_id = n.graph_id AND e.dst = n.node) AS BIGINT) AS in_degree
       FROM nodes n"""
+    out["g1_neighbours"] = pre + """ SELECT graph_id, src AS node, dst AS neighbour, 'successor' AS kind FROM edges
+      UNION ALL SELECT graph_id, dst, src, 'predecessor' FROM edges"""
+    out["g1_remove_edges"] = pre + " SELECT graph_id, src, dst FROM edges EXCEPT SELECT graph_id, src, dst FROM guards"
     out["g2_gen_kill"] = pre + """ SELECT graph_id, node, def_id, 'gen' AS kind FROM defs
       UNION ALL SELECT a.graph_id, a.node, b.def_id, 'kill' FROM defs a JOIN defs b
         ON a.graph_id = b.graph_id AND a.var = b.var AND a.node <> b.node"""
@@ -584,9 +589,9 @@ sets AS (SELECT ev.k, ev.id AS set_id, ev.t AS st FROM ev JOIN chain ON chain.id
 SELECT e.k AS ttl_key, e.id AS event_id, s.set_id FROM ev e JOIN sets s ON s.k = e.k
 WHERE (s.st < e.t OR (s.st = e.t AND s.set_id <= e.id)) AND e.t < s.st + {g}"""
     out["w3_first_version_stream"] = out["w3_first_version"]
-    out["w5_live_history"] = f"""WITH f AS ({FINDINGS_SQL})
-SELECT review_id, count(*) AS finding_count, count(*) FILTER (WHERE severity = 'ERROR') AS error_count
-FROM f GROUP BY review_id"""
+    out["w5_live_history"] = f"""WITH f AS ({FINDINGS_SQL}), r AS ({REVIEWS_SQL})
+SELECT r.id AS review_id, count(f.review_id) AS finding_count, count(*) FILTER (WHERE f.severity = 'ERROR') AS error_count
+FROM r LEFT JOIN f ON f.review_id = r.id GROUP BY r.id"""
     return out
 
 
@@ -719,13 +724,22 @@ def java_sql() -> dict[str, str]:
     out = {}
     cf = f"cf AS ({oracle_code_files_sql()})"
     out["t1_tokens"] = f"WITH {cf}, {token_ctes()} SELECT review_id, file, line, idx, tok, kind, nd, bd FROM jt"
+    # on the corpus a block's kind can be read off the line that opens it
     out["t2_scopes"] = f"""WITH {cf}, {token_ctes()},
-br AS (SELECT review_id, file, pos, line, tok, CASE WHEN tok = '{{' THEN nd ELSE nd + 1 END AS lvl
-       FROM jt WHERE tok IN ('{{', '}}')),
+br AS (SELECT review_id, file, pos, line, tok, CASE WHEN tok = '{{' THEN nd ELSE nd + 1 END AS lvl,
+              lag(tok) OVER (PARTITION BY review_id, file ORDER BY pos) AS prev
+       FROM jt QUALIFY tok IN ('{{', '}}')),
 bp AS (SELECT *, lead(tok) OVER w AS c_tok, lead(pos) OVER w AS c_pos, lead(line) OVER w AS c_line
-       FROM br WINDOW w AS (PARTITION BY review_id, file, lvl ORDER BY pos))
-SELECT review_id, file, pos AS open_pos, c_pos AS close_pos, line AS open_line, c_line AS close_line, lvl AS depth
-FROM bp WHERE tok = '{{' AND c_tok = '}}'"""
+       FROM br WINDOW w AS (PARTITION BY review_id, file, lvl ORDER BY pos)),
+hd AS (SELECT bp.*, jl.text FROM bp JOIN jl ON jl.review_id = bp.review_id AND jl.file = bp.file AND jl.line = bp.line
+       WHERE tok = '{{' AND c_tok = '}}'),
+kd AS (SELECT *, CASE WHEN lvl = 1 THEN 'class' WHEN lvl = 2 THEN 'method' WHEN prev IN ('else', 'do', 'try', 'finally') THEN prev
+         WHEN regexp_matches(text, '^ *try *[(]') THEN 'try' ELSE regexp_extract(text, '^ *(if|for|while|switch|catch|synchronized) *[(]', 1) END AS kind
+       FROM hd)
+SELECT review_id, file, pos AS open_pos, c_pos AS close_pos, line AS open_line, c_line AS close_line, lvl AS depth, kind,
+       CASE kind WHEN 'class' THEN regexp_extract(text, 'class ([A-Za-z0-9_]+)', 1)
+                 WHEN 'method' THEN regexp_extract(text, '([A-Za-z0-9_]+)[(]', 1) END AS name
+FROM kd"""
     pre = "WITH " + code_ctes() + ", " + java_golden_cte()
     rules = "(VALUES " + ", ".join(f"({q(r)}, {q(sv)})" for r, sv in ALL_RULES) + ") rl(rule_id, severity)"
     out["d3_run_rules"] = pre + f", af AS ({all_findings_select()}) SELECT * FROM af"

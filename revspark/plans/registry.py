@@ -89,8 +89,8 @@ def _history_queries():
         return EV.scores(m1(spark, d))
 
     def k2(spark, d):
-        files = A.stored_findings(spark, d).select("review_id")
-        return K.review_status(A.reviews(spark, d), files)
+        files = A.pull_request_files(spark, d)
+        return K.review_status(A.reviews(spark, d), files.filter(SC.is_supported(F.col("file"))))
 
     return {
         "q1_review_history": q1, "q2_findings_of_review": q2, "q3_files_of_review": q3,
@@ -134,12 +134,14 @@ def code_reviews(spark: SparkSession, d: str) -> DataFrame:
                     F.timestamp_seconds(F.lit(1704067200) + F.col("review_id")).cast("timestamp_ntz").alias("analyzed_at"))
 
 
-def line_findings(spark: SparkSession, d: str) -> DataFrame:
-    return LR.run_line_rules(lines(code_files(spark, d)))
+def all_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of every rule over the code corpus."""
+    return RV.run_rules(code_files(spark, d))
 
 
 def enriched_findings(spark: SparkSession, d: str) -> DataFrame:
-    return EN.enrich(line_findings(spark, d))
+    """Enriched once and written: summaries, comments and documents all read it."""
+    return cut_lineage(EN.enrich(all_findings(spark, d)))
 
 
 def _more_queries():
@@ -155,7 +157,7 @@ def _more_queries():
     q["p5_inside_loop"] = p5
     q["p6_blank_filter"] = lambda s, d: code_lines(lines(code_files(s, d))).groupBy("review_id", "file").agg(
         F.count(F.lit(1)).alias("n_code_lines"))
-    q["p7_prompt_text"] = lambda s, d: EN.prompts(line_findings(s, d)).select(
+    q["p7_prompt_text"] = lambda s, d: EN.prompts(all_findings(s, d)).select(
         "review_id", "file", "line", "rule_id", "system_prompt", "user_prompt")
 
     q["s1_file_scan"] = lambda s, d: SC.source_files(code_files(s, d).unionByName(
@@ -166,12 +168,13 @@ def _more_queries():
     q["s4_pr_metadata"] = lambda s, d: SC.pr_metadata(FX.pr_metadata_payloads(table(s, d, "orders")))
     q["s5_request_routing"] = lambda s, d: SC.route_requests(FX.requests_from_pages(table(s, d, "pages")))
 
+    q["s6_changed_files"] = lambda s, d: DF.changed_files(FX.diffs_from_code_files(code_files(s, d)))
     q["d1_diff_parse"] = lambda s, d: DF.changed_lines(FX.diffs_from_code_files(code_files(s, d)),
                                                        keys=("diff_id", "review_id"))
 
     def d2(s, d):
         ch = DF.changed_lines(FX.diffs_from_code_files(code_files(s, d)), keys=("diff_id", "review_id"))
-        return DF.scope_to_diff(line_findings(s, d), ch.select("review_id", "file", "line")).select(*FINDING_OUT)
+        return DF.scope_to_diff(all_findings(s, d), ch.select("review_id", "file", "line")).select(*FINDING_OUT)
     q["d2_diff_scope"] = d2
     q["d3_run_rules"] = lambda s, d: RV.run_rules(code_files(s, d)).select(*FINDING_OUT)
     q["d4_rule_stats"] = lambda s, d: RV.rule_stats(RV.run_rules(code_files(s, d)))
@@ -182,24 +185,28 @@ def _more_queries():
         *FINDING_OUT, "rationale", "fix_suggestion", "priority_score")
 
     def e2(s, d):
+        s.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         r = FX.responses_from_conversations(table(s, d, "conversations"))
         rat, fix, prio = EN.guard_response(F.col("response"))
         return r.select("conv_id", "turn", rat.alias("rationale"), fix.alias("fix"), prio.alias("priority"))
     q["e2_response_guard"] = e2
     q["e3_review_summary"] = lambda s, d: EN.review_summary(code_reviews(s, d), enriched_findings(s, d))
-    q["e4_review_request"] = lambda s, d: EN.review_request(
-        code_reviews(s, d), EN.review_summary(code_reviews(s, d), enriched_findings(s, d)), enriched_findings(s, d))
+
+    def e4(s, d):
+        found, reviews = enriched_findings(s, d), code_reviews(s, d)
+        return EN.review_request(reviews, EN.review_summary(reviews, found), found)
+    q["e4_review_request"] = e4
     q["e5_result_document"] = lambda s, d: EN.result_document(code_reviews(s, d), enriched_findings(s, d))
 
     def k1(s, d):
         import uuid
-        f = K.limit_columns(enriched_findings(s, d).select(
+        f = K.flag_overflow(enriched_findings(s, d).select(
             "review_id", "rule_id", "severity", F.col("file").alias("file_path"),
             F.col("line").alias("line_number"), "code_snippet", "message", "rationale", "fix_suggestion",
             "priority_score"))
         f = K.with_row_ids(f, ["review_id", "file_path", "line_number", "rule_id", "message", "code_snippet"])
         path = scratch_table_dir(s, f"review_findings_{uuid.uuid4().hex}")
-        K.persist_findings(f, path, mode="overwrite")
+        K.persist_findings(f, path)
         return s.read.parquet(path)
     q["k1_persist_findings"] = k1
     return q
@@ -221,9 +228,8 @@ def _java_queries():
     q = {}
     q["t1_tokens"] = lambda s, d: java_tables(s, d).t.select("review_id", "file", "line", "idx", "tok", "kind",
                                                              "nd", "bd")
-    q["t2_scopes"] = lambda s, d: java_tables(s, d).braces.select(
-        "review_id", "file", F.col("o_pos").alias("open_pos"), F.col("c_pos").alias("close_pos"),
-        F.col("o_line").alias("open_line"), F.col("c_line").alias("close_line"), F.col("lvl").alias("depth"))
+    q["t2_scopes"] = lambda s, d: java_tables(s, d).scopes.select(
+        "review_id", "file", "open_pos", "close_pos", "open_line", "close_line", "depth", "kind", "name")
     q["t3_calls"] = lambda s, d: java_tables(s, d).calls.select(
         "review_id", "file", "name", "receiver", "call_line", "a_open", "a_close")
     q["t4_fields"] = lambda s, d: java_tables(s, d).fields.select(
@@ -251,6 +257,18 @@ def _flow_queries():
     q = {}
     q["g0_flow_edges"] = lambda s, d: flow_tables(s, d)["edges"]
     q["g1_degrees"] = lambda s, d: FL.degrees(flow_tables(s, d)["edges"])
+
+
+    def g1n(s, d):
+        t = flow_tables(s, d)
+        return FL.successors(t["edges"], t["nodes"]).select(FL.G, "node", F.col("dst").alias("neighbour"), F.lit("successor").alias("kind")) \
+            .unionByName(FL.predecessors(t["edges"], t["nodes"]).select(FL.G, "node", F.col("src").alias("neighbour"), F.lit("predecessor").alias("kind")))
+    q["g1_neighbours"] = g1n
+
+    def g1r(s, d):
+        t = flow_tables(s, d)
+        return FL.remove_edge(t["edges"], t["guards"]).select(FL.G, "src", "dst")
+    q["g1_remove_edges"] = g1r
     q["g2_gen_kill"] = lambda s, d: FL.gen_kill(flow_tables(s, d)["defs"])
 
     def g3(s, d):
@@ -363,8 +381,8 @@ def _w_queries():
     def w5(s, d):
         path = WR.fresh_dir(s, "w5")
         st = stream_table(s, d, "lineitem")
-        WR.live_history(s, A.findings_from_lineitem(st), path + "/out", path + "/ck")
-        return s.read.parquet(path + "/out").select(
+        WR.live_history(s, A.findings_from_lineitem(st), A.reviews(s, d), path + "/out", path + "/ck")
+        return WR.read_history(s, path + "/out").select(
             "review_id", F.col("finding_count").cast("long").alias("finding_count"),
             F.col("error_count").cast("long").alias("error_count"))
     q["w5_live_history"] = w5

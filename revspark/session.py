@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,8 +38,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting wins.  Only when it is unset (tests, local runs) a
-    fresh scratch folder is created and registered.
+    The cluster's setting wins.  Only when it is unset and Spark runs on this
+    machine alone (tests, local runs) a fresh scratch folder is created and
+    registered; on a cluster without the setting this raises.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -49,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="revspark-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
@@ -62,15 +66,11 @@ def scratch_table_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` into the shared checkpoint folder and cut its lineage.
+    """Write ``df`` once into the shared checkpoint folder and read it back.
 
-    ``Dataset.checkpoint(eager=True)`` runs the plan once to count and again to
-    write; caching first makes the write read the cached blocks, so the plan
-    runs once.  The cache is dropped right after."""
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    Cuts the lineage at a table that every executor can read; a later step
+    reads only the columns it uses.  One pass over the plan, nothing cached."""
+    spark = df.sparkSession
+    path = scratch_table_dir(spark, uuid.uuid4().hex)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

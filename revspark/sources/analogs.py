@@ -44,6 +44,14 @@ def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_from_lineitem(table(spark, sf_dir, "lineitem"))
 
 
+def pull_request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(review_id, file): one file per line item; every third is no source file."""
+    ext = F.element_at(F.array(F.lit(".java"), F.lit(".md"), F.lit(".py")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("long").alias("review_id"),
+        F.concat(F.lit("src/P"), F.col("l_partkey").cast("string"), ext).alias("file"))
+
+
 # SQL twins for the oracle (same mappings).
 REVIEWS_SQL = """SELECT CAST(o_orderkey AS BIGINT) AS id, 'o/r' || CAST(o_custkey AS VARCHAR) AS repo_name,
   CAST(o_orderkey AS INTEGER) AS pr_number, sha256(CAST(o_orderkey AS VARCHAR)) AS commit_sha,
@@ -52,3 +60,5 @@ FINDINGS_SQL = """SELECT CAST(l_orderkey AS BIGINT) AS review_id, 'RULE-00' || C
   CASE WHEN l_returnflag = 'R' THEN 'ERROR' ELSE 'WARNING' END AS severity,
   'src/P' || CAST(l_partkey AS VARCHAR) || '.java' AS file_path, CAST(l_linenumber AS INTEGER) AS line_number
   FROM lineitem"""
+PR_FILES_SQL = """SELECT CAST(l_orderkey AS BIGINT) AS review_id,
+  'src/P' || CAST(l_partkey AS VARCHAR) || ['.java', '.md', '.py'][l_partkey % 3 + 1] AS file FROM lineitem"""

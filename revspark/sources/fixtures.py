@@ -20,7 +20,8 @@ WEBHOOK_ACTIONS = ["opened", "synchronize", "reopened", "closed", "edited"]
 def diffs_from_code_files(cf: DataFrame) -> DataFrame:
     """One unified diff per file: hunks of 10 lines, '+' on every 3rd line,
     '-' on every 7th, context otherwise."""
-    lines = F.split(F.col("content"), "\n")
+    cf = cf.withColumn("_lines", F.split(F.col("content"), "\n"))
+    lines = F.col("_lines")
     n = F.size(lines)
 
     def one(i: Column) -> Column:

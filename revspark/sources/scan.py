@@ -71,6 +71,9 @@ def route_requests(requests: DataFrame) -> DataFrame:
     blank_url = ~not_blank(F.col("github_url"))
     blank_code = ~not_blank(F.col("code"))
     is_gh, is_code = F.coalesce(t == "github", F.lit(False)), F.coalesce(t == "code", F.lit(False))
+    # a number that is no int names no pull request
+    number = F.regexp_extract(url, GITHUB_PR_RE, 3).try_cast("int")
+    matched = matched & number.isNotNull()
     gh_ok = is_gh & ~blank_url & matched
     code_ok = is_code & ~blank_code
     error = (F.when(is_gh & blank_url, F.lit(ERR_URL_REQUIRED))
@@ -83,7 +86,7 @@ def route_requests(requests: DataFrame) -> DataFrame:
         F.when(gh_ok, F.lit("github")).when(code_ok, F.lit("code")).otherwise(F.lit("error")).alias("route"),
         F.when(gh_ok, owner).alias("owner"),
         F.when(gh_ok, F.regexp_extract(url, GITHUB_PR_RE, 2)).alias("repo"),
-        F.when(gh_ok, F.regexp_extract(url, GITHUB_PR_RE, 3).cast("int")).alias("pr_number"),
+        F.when(gh_ok, number).alias("pr_number"),
         F.when(code_ok, fname).alias("file_name"),
         error.alias("error"),
     )

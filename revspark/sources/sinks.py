@@ -1,6 +1,7 @@
 """Sinks K1 (persist findings / reviews / files) and K2 (review status).
 
-Rows get dense, deterministic ids without a global single-task window:
+Texts are stored whole, with a flag where they exceed the reference's column
+limits.  Rows get dense, deterministic ids without a global single-task window:
 range-partition by the sort key, number rows inside each partition, and add
 the running total of the per-partition counts (a table with one row per
 partition, so its broadcast is bounded by the partition count).
@@ -17,7 +18,9 @@ from revspark.session import ensure_checkpoint_dir
 LIMITS = {"code_snippet": 2000, "message": 1000, "rationale": 2000, "fix_suggestion": 3000}
 
 
-def with_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", partitions: int | None = None) -> DataFrame:
+def with_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", partitions: int | None = None,
+                 after: int = 0) -> DataFrame:
+    """Dense ids in the order of ``order_cols``, from ``after`` + 1 on."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -34,29 +37,33 @@ def with_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", parti
     )
     # one row per partition: bounded by the partition count, safe to broadcast
     out = local.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(id_col, (F.col("_off") + F.col("_rn")).cast("long")).drop("_pid", "_rn", "_off")
+    return out.withColumn(id_col, (F.col("_off") + F.col("_rn") + after).cast("long")).drop("_pid", "_rn", "_off")
 
 
-def limit_columns(df: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
-    """Cut text columns to the table limits and flag what was cut."""
+def flag_overflow(df: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """Flag texts longer than the reference table's columns; the text itself is stored whole."""
     for c, n in limits.items():
         if c in df.columns:
-            df = df.withColumn(f"{c}_overflow", F.coalesce(F.length(c) > n, F.lit(False))) \
-                   .withColumn(c, F.substring(c, 1, n))
+            df = df.withColumn(f"{c}_overflow", F.coalesce(F.length(c) > n, F.lit(False)))
     return df
 
 
-def persist_findings(findings: DataFrame, path: str, mode: str = "append") -> None:
-    """K1: append review_findings rows as Parquet partitioned by rule."""
-    findings.write.mode(mode).partitionBy("rule_id").parquet(path)
-
+def last_id(spark, path: str, id_col: str = "id") -> int:
+    """Largest id of the stored table; 0 if nothing is stored yet."""
+    from pyspark.errors import AnalysisException
 
-def persist_reviews(reviews: DataFrame, path: str, mode: str = "append") -> None:
-    reviews.write.mode(mode).partitionBy("repo_name").parquet(path)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+    return stored.agg(F.max(id_col)).first()[0] or 0
 
 
-def persist_files(files: DataFrame, path: str, mode: str = "append") -> None:
-    files.write.mode(mode).parquet(path)
+def persist_findings(findings: DataFrame, path: str, mode: str = "append") -> None:
+    """K1: append review_findings rows as Parquet partitioned by rule."""
+    findings.write.mode(mode).partitionBy("rule_id").parquet(path)
 
 
 def review_status(reviews: DataFrame, files: DataFrame, review_key: str = "id") -> DataFrame:

@@ -22,6 +22,8 @@ ACTION_IGNORED_FMT = ("PR action '", "' ignored")
 def intake(webhooks: DataFrame, secret: str) -> DataFrame:
     """webhooks(payload, signature, event, ...) -> + status, outcome,
     triggered, repo_name, pr_number, commit_sha."""
+    # of a repeated key the last value counts
+    webhooks.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     sig = F.col("signature")
     expected = F.concat(F.lit("sha256="), hmac_sha256_hex(secret, F.col("payload")))
     sig_ok = F.coalesce(sig.startswith("sha256=") & (sig == expected), F.lit(False))

@@ -9,8 +9,8 @@ effect on top of the checkpointed source offsets.  Reviews are keyed by
 (repo, pr, sha); duplicate deliveries in a batch collapse to one review.
 
 W5: a streaming aggregate of stored findings per review in ``complete``
-mode; each trigger rewrites the history table (tests use ``availableNow``,
-a deployment ``processingTime='30 seconds'``).
+mode, joined to the reviews (a review without findings counts 0); each
+trigger writes the whole history into a folder of its own.
 """
 
 from __future__ import annotations
@@ -58,19 +58,34 @@ def continuous_review(spark: SparkSession, webhook_stream: DataFrame, files: Dat
     q.awaitTermination()
 
 
-def live_history(spark: SparkSession, findings_stream: DataFrame, out_dir: str, checkpoint: str) -> None:
-    """Per-review counts over the stored-findings stream, complete mode."""
+def live_history(spark: SparkSession, findings_stream: DataFrame, reviews: DataFrame, out_dir: str, checkpoint: str,
+                 trigger: dict | None = None) -> None:
+    """Per-review counts over the stored-findings stream, complete mode.
+
+    Every review has a row, also without findings.  Each trigger writes a
+    folder of its own; ``read_history`` reads the latest finished one, so a
+    reader never sees half a table.  ``trigger``: arguments of the stream's
+    trigger (default: until the source is drained)."""
     agg = findings_stream.groupBy("review_id").agg(
         F.count(F.lit(1)).alias("finding_count"),
         F.count_if(F.col("severity") == "ERROR").alias("error_count"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        rows = reviews.select(F.col("id").alias("review_id"), "repo_name", "pr_number", "commit_sha", "analyzed_at").join(batch, "review_id", "left")
+        rows = rows.fillna(0, ["finding_count", "error_count"])
+        rows.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(run).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+         .trigger(**(trigger or {"availableNow": True})).start())
     q.awaitTermination()
 
 
+def read_history(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The history as of the latest trigger."""
+    rows = spark.read.parquet(out_dir)
+    latest = rows.agg(F.max("batch_id")).first()[0]
+    return rows.filter(F.col("batch_id") == latest).drop("batch_id")
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return scratch_table_dir(spark, f"{name}_{uuid.uuid4().hex}")

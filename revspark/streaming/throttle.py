@@ -27,9 +27,6 @@ from pyspark.sql import types as T
 
 from revspark.session import cut_lineage
 
-MAX_ROUNDS = 64
-
-
 def _cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
@@ -80,7 +77,8 @@ def accepted_ids(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: in
     reached = _cut(heads)
     jump = nodes.select("id", F.col("nxt").alias("to")).filter(F.col("to").isNotNull())
     jump = _cut(jump)
-    for _ in range(MAX_ROUNDS):
+    # pointers double every round and only lead forward in time: the loop ends when none is left
+    while True:
         step = reached.join(jump, "id").select("k", F.col("to").alias("id"))
         step = _cut(step)
         if step.isEmpty():

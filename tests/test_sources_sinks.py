@@ -26,5 +26,14 @@ def test_row_ids_dense_unique_and_ordered(spark):
 
 def test_limits_flag_overflow(spark):
     df = spark.createDataFrame([("a" * 2500, "m")], "code_snippet string, message string")
-    r = K.limit_columns(df).collect()[0]
-    assert len(r.code_snippet) == 2000 and r.code_snippet_overflow and not r.message_overflow
+    r = K.flag_overflow(df).collect()[0]
+    assert len(r.code_snippet) == 2500 and r.code_snippet_overflow and not r.message_overflow
+
+
+def test_ids_go_on_after_the_stored_ones(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    for k in range(2):
+        df = spark.range(5).select((F.col("id") + 10 * k).alias("k"), F.lit("R").alias("rule_id"))
+        K.persist_findings(K.with_row_ids(df, ["k"], partitions=2, after=K.last_id(spark, path)), path)
+    rows = sorted((r.id, r.k) for r in spark.read.parquet(path).collect())
+    assert rows == [(k + 1, k if k < 5 else k + 5) for k in range(10)]
