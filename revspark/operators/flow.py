@@ -9,104 +9,28 @@ checkpointed into the shared checkpoint folder (``spark.checkpoint.dir``),
 which cuts the lineage and survives executor loss.
 
 Tables
-  flow_edges(graph_id, src, dst, edge_type)          (a set)
-  flow_defs(graph_id, node, var, def_id, is_null)
-  flow_uses(graph_id, node, var)
-  flow_guards(graph_id, src, dst, var)               guarding edges per var
-  node ids: flow_nodes(graph_id, node, node_id, label)
-
-The event fixture (FIXTURES.md B2) derives these tables from ``events``.
+  edges(graph_id, src, dst, edge_type)               (a set)
+  nodes(graph_id, node, node_id, file, line, label)  node_id orders witness paths
+  defs(graph_id, node, var, def_id, is_null)         a parameter is a def at ENTRY
+  uses(graph_id, node, var)
+  guards(graph_id, src, dst, var)                    guarding edges per var
+  resources / closes / escapes(graph_id, node, var)  for the leak search
+
+``sources.event_flow`` derives such tables from ``events``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revspark.session import cut_lineage
 
 G = "graph_id"
 ENTRY, EXIT = "ENTRY", "EXIT"
-# Event-graph fixture (FIXTURES.md B2).
-NODE_IDS = {"ENTRY": 0, "EXIT": 1, "click": 2, "error": 3, "purchase": 4, "signup": 5, "view": 6}
-DEFS = [("view", "nav", True), ("click", "nav", False), ("signup", "acct", True), ("purchase", "acct", False)]
-USES = [("error", "acct"), ("purchase", "acct"), ("error", "nav"), ("click", "nav")]
-RESOURCE_DEF, CLOSE_NODE, ESCAPE_NODE = "signup", "purchase", "error"
-GUARD_SRC, GUARD_VAR = "click", "acct"
-BUCKET_SECONDS = 60
 SEEN_CUT_EVERY = 4
 
 
-# ------------------------------------------------------------ fixture tables
-
-def graph_key(events: DataFrame) -> DataFrame:
-    week = F.date_trunc("week", F.col("ts"))
-    gid = F.col("user_id") * 100000 + F.datediff(F.to_date(week), F.lit("1970-01-01"))
-    return events.select(gid.cast("long").alias(G), "ts", "event_id", F.col("event_type").alias("node"))
-
-
-def event_edges(events: DataFrame) -> DataFrame:
-    """Distinct consecutive (src, dst) pairs per graph in (ts, event_id)
-    order, plus ENTRY -> first and last -> EXIT.
-
-    Skew-safe: events are ordered inside (graph, minute) buckets; only one
-    summary row per non-empty bucket is ordered per graph to stitch the
-    pairs that cross bucket borders.  A graph holding a large share of all
-    events is therefore spread over many tasks.
-    """
-    e = graph_key(events).withColumn(
-        "bucket", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / BUCKET_SECONDS))
-    order = [F.col("ts"), F.col("event_id")]
-    w = Window.partitionBy(G, "bucket").orderBy(*order)
-    inner = e.withColumn("dst", F.lead("node").over(w)).filter(F.col("dst").isNotNull()) \
-        .select(G, F.col("node").alias("src"), "dst")
-    summ = e.groupBy(G, "bucket").agg(
-        F.min_by("node", F.struct(*order)).alias("first"), F.max_by("node", F.struct(*order)).alias("last"))
-    wb = Window.partitionBy(G).orderBy("bucket")
-    summ = summ.withColumn("next_first", F.lead("first").over(wb)) \
-        .withColumn("is_first", F.row_number().over(wb) == 1) \
-        .withColumn("is_last", F.lead("bucket").over(wb).isNull())
-    border = summ.filter(F.col("next_first").isNotNull()).select(G, F.col("last").alias("src"),
-                                                                  F.col("next_first").alias("dst"))
-    entry = summ.filter("is_first").select(G, F.lit(ENTRY).alias("src"), F.col("first").alias("dst"))
-    exit_ = summ.filter("is_last").select(G, F.col("last").alias("src"), F.lit(EXIT).alias("dst"))
-    return inner.unionByName(border).unionByName(entry).unionByName(exit_).distinct() \
-        .withColumn("edge_type", F.lit("UNCONDITIONAL"))
-
-
-def _lookup(pairs, key_col, value_name):
-    m = F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
-    return F.element_at(m, key_col).alias(value_name)
-
-
-def flow_nodes(edges: DataFrame) -> DataFrame:
-    n = edges.select(G, F.col("src").alias("node")).unionByName(edges.select(G, F.col("dst").alias("node"))).distinct()
-    return n.select(G, "node", _lookup(NODE_IDS.items(), F.col("node"), "node_id"), F.col("node").alias("label"))
-
-
-def flow_defs(nodes: DataFrame) -> DataFrame:
-    rows = []
-    for node, var, is_null in DEFS:
-        rows.append(nodes.filter(F.col("node") == node).select(
-            G, "node", F.lit(var).alias("var"), F.lit(is_null).alias("is_null")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("def_id", F.concat(F.col("node"), F.lit(":"), F.col("var")))
-
-
-def flow_uses(nodes: DataFrame) -> DataFrame:
-    out = None
-    for node, var in USES:
-        r = nodes.filter(F.col("node") == node).select(G, "node", F.lit(var).alias("var"))
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-def flow_guards(edges: DataFrame) -> DataFrame:
-    return edges.filter(F.col("src") == GUARD_SRC).select(G, "src", "dst", F.lit(GUARD_VAR).alias("var"))
-
-
 # ------------------------------------------------------------------- G1 / G2
 
 def successors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -182,28 +106,38 @@ def def_use_chains(reach: DataFrame, uses: DataFrame) -> DataFrame:
         G, "def_node", F.col("node").alias("use_node"), "var", "def_id")
 
 
-def _reach_from(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
-    """BFS carrying the lexicographically smallest shortest path (node ids).
-
-    starts(graph_id, start, node) with node = start; ``blocked(graph_id,
-    start, node)`` nodes are reached but not expanded.  Returns
-    (graph_id, start, node, path).
-    """
-    ids = F.create_map(*[x for k, v in NODE_IDS.items() for x in (F.lit(k), F.lit(v))])
-    e = _cut(edges.select(G, F.col("src").alias("node"), "dst"))
-    if blocked is not None:
-        blocked = _cut(blocked)
-    frontier = _cut(starts.withColumn("path", F.array(F.element_at(ids, F.col("node")))))
-    seen = frontier
-    rnd = 0
-    # every round adds facts that were not known; there are finitely many
+def parameter_defs(params: DataFrame) -> DataFrame:
+    """params(graph_id, var) as definitions at ENTRY (never null)."""
+    return params.select(G, F.lit(ENTRY).alias("node"), "var", F.concat(F.lit(ENTRY + ":"), "var").alias("def_id"),
+                         F.lit(False).alias("is_null"))
+
+
+def _reach_from(starts: DataFrame, edges: DataFrame, nodes: DataFrame, blocked: DataFrame | None = None,
+                without: DataFrame | None = None) -> DataFrame:
+    """BFS of all (graph, var, start) at once, carrying the shortest path (of
+    equal ones the smallest by node ids).
+
+    starts(graph_id, var, start, node) with node = start; ``blocked(graph_id,
+    var, node)`` nodes are reached but not expanded; ``without(graph_id, var,
+    src, dst)`` edges do not exist for that var.  Returns (graph_id, var,
+    start, node, path of node ids)."""
+    key = [G, "var", "start", "node"]
+    ids = nodes.select(G, F.col("node").alias("dst"), "node_id")
+    e = _cut(edges.select(G, F.col("src").alias("node"), "dst").join(ids, [G, "dst"]))
+    blocked = None if blocked is None else _cut(blocked.select(G, "var", "node").distinct())
+    without = None if without is None else _cut(without.select(G, "var", F.col("src").alias("node"), "dst").distinct())
+    own = nodes.select(G, "node", "node_id")
+    frontier = _cut(starts.select(*key).join(own, [G, "node"]).select(*key, F.array("node_id").alias("path")))
+    seen, rnd = frontier, 0
+    # every round adds nodes that were not reached; there are finitely many
     while not frontier.isEmpty():
-        expand = frontier if blocked is None else frontier.join(blocked, [G, "start", "node"], "left_anti")
-        nxt = expand.join(e, [G, "node"]).select(
-            G, "start", F.col("dst").alias("node"), F.concat("path", F.array(F.element_at(ids, F.col("dst"))))
-            .alias("path"))
-        best = nxt.groupBy(G, "start", "node").agg(F.min("path").alias("path"))
-        new = _cut(best.join(seen, [G, "start", "node"], "left_anti"))
+        expand = frontier if blocked is None else frontier.join(blocked, [G, "var", "node"], "left_anti")
+        nxt = expand.join(e, [G, "node"])
+        if without is not None:
+            nxt = nxt.join(without, [G, "var", "node", "dst"], "left_anti")
+        nxt = nxt.select(G, "var", "start", F.col("dst").alias("node"), F.concat("path", F.array("node_id")).alias("path"))
+        best = nxt.groupBy(*key).agg(F.min("path").alias("path"))
+        new = _cut(best.join(seen, key, "left_anti"))
         # the new facts are materialised every round; the accumulated set only every few rounds
         seen = seen.unionByName(new)
         if rnd % SEEN_CUT_EVERY == SEEN_CUT_EVERY - 1:
@@ -212,43 +146,33 @@ def _reach_from(starts: DataFrame, edges: DataFrame, blocked: DataFrame | None)
     return seen
 
 
-def leak_paths(edges: DataFrame, defs: DataFrame) -> DataFrame:
-    """G5 + G7: resource defs from which EXIT is reachable through nodes that
-    neither close nor escape the resource (the def node itself included),
-    with the witness path (shortest, then smallest node ids)."""
-    starts = defs.filter(F.col("node") == RESOURCE_DEF).select(G, F.col("node").alias("start"), "node")
-    nodes = flow_nodes(edges)
-    barrier = nodes.filter(F.col("node").isin(CLOSE_NODE, ESCAPE_NODE)).select(G, "node")
-    blocked = starts.select(G, "start").distinct().join(barrier, G)
-    # a barrier node is never expanded nor counted as reaching EXIT
-    r = _reach_from(starts.join(blocked, [G, "start", "node"], "left_anti"), edges, blocked)
-    return r.filter(F.col("node") == EXIT).select(G, F.col("start").alias("def_node"), "path")
+def leak_paths(edges: DataFrame, nodes: DataFrame, resources: DataFrame, closes: DataFrame, escapes: DataFrame) -> DataFrame:
+    """G5 + G7: resource definitions from which EXIT is reachable through nodes
+    that neither close nor let escape the resource (the definition's own node
+    included), with the witness path (shortest, then smallest node ids)."""
+    barrier = closes.select(G, "var", "node").unionByName(escapes.select(G, "var", "node")).distinct()
+    starts = resources.select(G, "var", F.col("node").alias("start"), "node").join(barrier, [G, "var", "node"], "left_anti")
+    r = _reach_from(starts, edges, nodes, blocked=barrier)
+    return r.filter(F.col("node") == EXIT).select(G, "var", F.col("start").alias("def_node"), "path")
 
 
-def unguarded_null_uses(edges: DataFrame, defs: DataFrame, uses: DataFrame, guards: DataFrame,
+def unguarded_null_uses(edges: DataFrame, nodes: DataFrame, defs: DataFrame, uses: DataFrame, guards: DataFrame,
                         reach: DataFrame) -> DataFrame:
     """One row per (graph, use node, var) when some null def of var both
     reaches the use (G3) and has a path to it without a guarding edge for var
     (the two may be different paths; def node = use node counts)."""
-    null_defs = defs.filter("is_null").select(G, F.col("node").alias("start"), "var")
-    e = edges.select(G, "src", "dst")
-    # per var: drop that var's guarding edges, then BFS from every null def
-    out = None
-    for var in [v for _, v, n in DEFS if n]:
-        ev = remove_edge(e, guards.filter(F.col("var") == var))
-        st = null_defs.filter(F.col("var") == var).select(G, "start", F.col("start").alias("node"))
-        r = _reach_from(st, ev.withColumn("edge_type", F.lit("UNCONDITIONAL")), None) \
-            .select(G, "start", "node", F.lit(var).alias("var"))
-        out = r if out is None else out.unionByName(r)
-    cand = uses.select(G, "node", "var").join(out, [G, "node", "var"])
+    starts = defs.filter("is_null").select(G, "var", F.col("node").alias("start"), "node")
+    r = _reach_from(starts, edges, nodes, without=guards).select(G, "var", "start", "node")
+    cand = uses.select(G, "node", "var").join(r, [G, "node", "var"])
     ok = cand.join(reach.select(G, "node", "var", F.col("def_node").alias("start")), [G, "node", "var", "start"],
                    "left_semi")
     return ok.select(G, "node", "var").distinct()
 
 
-def witness_steps(path, graph_file):
-    """G7 steps as (file, line, description): line = node id (-1 for ENTRY/EXIT)."""
-    names = F.create_map(*[x for k, v in NODE_IDS.items() for x in (F.lit(v), F.lit(k))])
-    return F.transform(path, lambda i: F.struct(
-        graph_file.alias("file"), F.when(i <= 1, F.lit(-1)).otherwise(i).cast("int").alias("line"),
-        F.element_at(names, i).alias("description")))
+def witness_steps(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds steps array<struct<file, line, description>> of each path."""
+    at = paths.select(*[c for c in paths.columns], F.posexplode("path").alias("at", "node_id"))
+    keys = [c for c in paths.columns if c != "path"]
+    named = at.join(nodes.select(G, "node_id", "file", "line", "label"), [G, "node_id"])
+    steps = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "file", "line", F.col("label").alias("description")))).alias("_s"))
+    return steps.select(*keys, F.transform("_s", lambda x: F.struct(x["file"].alias("file"), x["line"].alias("line"), x["description"].alias("description"))).alias("steps"))

@@ -410,16 +410,16 @@ FROM ef"""
 # ---------------------------------------------------------------------------
 # G oracles (recursive CTEs)
 # ---------------------------------------------------------------------------
-from revspark.operators import flow as FL  # noqa: E402
+from revspark.sources import event_flow as EF  # noqa: E402
 
 
 def flow_ctes() -> str:
-    ids = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in FL.NODE_IDS.items())
+    ids = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in EF.NODE_IDS.items())
     defs = " UNION ALL ".join(
         f"SELECT graph_id, node, {q(v)} AS var, {str(n).upper()} AS is_null, node || ':' || {q(v)} AS def_id "
-        f"FROM nodes WHERE node = {q(nd)}" for nd, v, n in FL.DEFS)
+        f"FROM nodes WHERE node = {q(nd)}" for nd, v, n in EF.DEFS)
     uses = " UNION ALL ".join(f"SELECT graph_id, node, {q(v)} AS var FROM nodes WHERE node = {q(nd)}"
-                              for nd, v in FL.USES)
+                              for nd, v in EF.USES)
     return f"""
 ev AS (
   SELECT CAST(user_id * 100000 + (CAST(date_trunc('week', ts) AS DATE) - DATE '1970-01-01') AS BIGINT) AS graph_id,
@@ -441,7 +441,7 @@ nodes AS (
 ),
 defs AS ({defs}),
 uses AS ({uses}),
-guards AS (SELECT graph_id, src, dst, {q(FL.GUARD_VAR)} AS var FROM edges WHERE src = {q(FL.GUARD_SRC)}),
+guards AS (SELECT graph_id, src, dst, {q(EF.GUARD_VAR)} AS var FROM edges WHERE src = {q(EF.GUARD_SRC)}),
 reach AS (
   WITH RECURSIVE r(graph_id, node, def_id, var, def_node) AS (
     SELECT d.graph_id, e.dst, d.def_id, d.var, d.node FROM defs d JOIN edges e ON e.graph_id = d.graph_id AND e.src = d.node
@@ -470,11 +470,11 @@ def flow_sql() -> dict[str, str]:
     out["g3_reaching_defs"] = pre + " SELECT graph_id, node, def_id FROM reach"
     out["g4_def_use"] = pre + """ SELECT r.graph_id, r.def_node, u.node AS use_node, u.var, r.def_id
       FROM uses u JOIN reach r ON r.graph_id = u.graph_id AND r.node = u.node AND r.var = u.var"""
-    barrier = f"({q(FL.CLOSE_NODE)}, {q(FL.ESCAPE_NODE)})"
+    barrier = f"({q(EF.CLOSE_NODE)}, {q(EF.ESCAPE_NODE)})"
     leak = f"""
 lk AS (
   WITH RECURSIVE p(graph_id, start, node, path) AS (
-    SELECT graph_id, node, node, [node] FROM nodes WHERE node = {q(FL.RESOURCE_DEF)} AND node NOT IN {barrier}
+    SELECT graph_id, node, node, [node] FROM nodes WHERE node = {q(EF.RESOURCE_DEF)} AND node NOT IN {barrier}
     UNION ALL
     SELECT p.graph_id, p.start, e.dst, list_append(p.path, e.dst) FROM p
     JOIN edges e ON e.graph_id = p.graph_id AND e.src = p.node
@@ -482,7 +482,7 @@ lk AS (
   ) SELECT * FROM p WHERE node = 'EXIT'
 )"""
     out["g5_leak_paths"] = pre + ", " + leak + " SELECT DISTINCT graph_id, start AS def_node FROM lk"
-    ids = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in FL.NODE_IDS.items())
+    ids = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in EF.NODE_IDS.items())
     out["g7_witness_path"] = pre + ", " + leak + f""",
 ranked AS (
   SELECT graph_id, start, path, list_transform(path, lambda x: CASE x {ids} END) AS idp FROM lk
@@ -490,7 +490,8 @@ ranked AS (
 best AS (
   SELECT graph_id, start, arg_min(path, [len(path)] || idp) AS path FROM ranked GROUP BY graph_id, start
 )
-SELECT graph_id, start AS def_node, array_to_string(path, ' -> ') AS witness FROM best"""
+SELECT graph_id, start AS def_node, array_to_string(path, ' -> ') AS witness,
+       list_transform(path, lambda x: CASE WHEN x IN ('ENTRY', 'EXIT') THEN -1 ELSE CASE x {ids} END END) AS lines FROM best"""
     out["g6_unguarded_null"] = pre + """,
 ug AS (
   WITH RECURSIVE u(graph_id, start, var, node) AS (

@@ -30,6 +30,7 @@ from revspark.sources import fixtures as FX
 from revspark.sources import scan as SC
 from revspark.operators import java_rules as JR
 from revspark.operators import flow as FL
+from revspark.sources import event_flow as EF
 from revspark.streaming import intake as WI
 from revspark.streaming import review as WR
 from revspark.streaming import throttle as WT
@@ -247,10 +248,15 @@ def _java_queries():
 
 def flow_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     # the edge table feeds every graph query and each fixpoint round: materialise it once
-    edges = cut_lineage(FL.event_edges(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")))
-    nodes = FL.flow_nodes(edges)
-    return {"edges": edges, "nodes": nodes, "defs": FL.flow_defs(nodes), "uses": FL.flow_uses(nodes),
-            "guards": FL.flow_guards(edges)}
+    edges = cut_lineage(EF.event_edges(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")))
+    nodes = EF.flow_nodes(edges)
+    return {"edges": edges, "nodes": nodes, "defs": EF.flow_defs(nodes), "uses": EF.flow_uses(nodes),
+            "guards": EF.flow_guards(edges), "resources": EF.flow_marks(nodes, EF.RESOURCE_DEF),
+            "closes": EF.flow_marks(nodes, EF.CLOSE_NODE), "escapes": EF.flow_marks(nodes, EF.ESCAPE_NODE)}
+
+
+def leak_paths(t: dict[str, DataFrame]) -> DataFrame:
+    return FL.leak_paths(t["edges"], t["nodes"], t["resources"], t["closes"], t["escapes"])
 
 
 def _flow_queries():
@@ -283,21 +289,20 @@ def _flow_queries():
 
     def g5(s, d):
         t = flow_tables(s, d)
-        return FL.leak_paths(t["edges"], t["defs"]).select(FL.G, "def_node")
+        return leak_paths(t).select(FL.G, "def_node")
     q["g5_leak_paths"] = g5
 
     def g6(s, d):
         t = flow_tables(s, d)
         reach = FL.reaching_definitions(t["edges"], t["defs"])
-        return FL.unguarded_null_uses(t["edges"], t["defs"], t["uses"], t["guards"], reach)
+        return FL.unguarded_null_uses(t["edges"], t["nodes"], t["defs"], t["uses"], t["guards"], reach)
     q["g6_unguarded_null"] = g6
 
     def g7(s, d):
         t = flow_tables(s, d)
-        names = F.create_map(*[x for k, v in FL.NODE_IDS.items() for x in (F.lit(v), F.lit(k))])
-        lp = FL.leak_paths(t["edges"], t["defs"])
-        return lp.select(FL.G, "def_node", F.array_join(F.transform("path", lambda i: F.element_at(names, i)),
-                                                        " -> ").alias("witness"))
+        steps = FL.witness_steps(leak_paths(t).select(FL.G, "def_node", "path"), t["nodes"])
+        return steps.select(FL.G, "def_node", F.array_join("steps.description", " -> ").alias("witness"),
+                            F.transform("steps", lambda x: x["line"]).alias("lines"))
     q["g7_witness_path"] = g7
     return q
 

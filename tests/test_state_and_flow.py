@@ -4,6 +4,7 @@ from conftest import SF01
 from pyspark.sql import functions as F
 
 from revspark.operators import flow as FL
+from revspark.sources import event_flow as EF
 from revspark.streaming import throttle as WT
 
 
@@ -56,10 +57,10 @@ def test_reaching_defs_and_leak_small_graph(spark):
         [(1, "ENTRY", "signup"), (1, "signup", "view"), (1, "view", "EXIT"), (1, "signup", "purchase"),
          (1, "purchase", "EXIT"), (2, "ENTRY", "signup"), (2, "signup", "error"), (2, "error", "EXIT")],
         "graph_id long, src string, dst string").withColumn("edge_type", F.lit("UNCONDITIONAL"))
-    nodes = FL.flow_nodes(edges)
-    defs = FL.flow_defs(nodes)
+    nodes = EF.flow_nodes(edges)
+    defs = EF.flow_defs(nodes)
     reach = {(r.graph_id, r.node, r.def_id) for r in FL.reaching_definitions(edges, defs).collect()}
     assert (1, "EXIT", "signup:acct") in reach and (1, "EXIT", "purchase:acct") in reach
     assert (1, "purchase", "signup:acct") in reach
-    leaks = [(r.graph_id, list(r.path)) for r in FL.leak_paths(edges, defs).collect()]
+    leaks = [(r.graph_id, list(r.path)) for r in FL.leak_paths(edges, nodes, *(EF.flow_marks(nodes, n) for n in (EF.RESOURCE_DEF, EF.CLOSE_NODE, EF.ESCAPE_NODE))).collect()]
     assert leaks == [(1, [5, 6, 1])]
