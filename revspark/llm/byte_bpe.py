@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, small_batches
+from revspark.llm.common import id_text, small_batches, worker_cache
 
 #: Encoded matches remembered per Python worker (two generations of this many).
-CACHE_MATCHES = 400_000
+CACHE_MATCHES = 250_000
 #: Token pairs remembered per Python worker.
-FITS = 1_000_000
+FITS = 500_000
 NEVER = 1 << 60
 #: Longer matches are not remembered.
 CACHE_BYTES = 64
@@ -210,13 +210,8 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_WORKER: dict[tuple[str, str], ByteBPE] = {}
-
-
 def _codec(path: str, pattern: str) -> ByteBPE:
-    if (path, pattern) not in _WORKER:
-        _WORKER[path, pattern] = ByteBPE(read_ranks(path), pattern)
-    return _WORKER[path, pattern]
+    return worker_cache(("bytes", path, pattern), lambda: ByteBPE(read_ranks(path), pattern))
 
 
 def encoder(path: str, pattern: str):

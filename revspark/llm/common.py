@@ -27,6 +27,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), ROOT]))
 
 
+_WORKER: dict = {}
+
+
+def worker_cache(key, make):
+    """make(), kept by this Python worker until another operator asks for its own.
+
+    Workers live on from task to task; one operator's caches must not stay
+    beside the next one's."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, small_batches, stored
+from revspark.llm.common import id_text, small_batches, stored, worker_cache
 from revspark.llm.components import components
 
 BINS = 128
@@ -42,7 +42,8 @@ STAR_MEMBERS = 512
 #: Bucket members in one block of the second look, on average.
 BLOCK = 256
 
-_MAX_WORDS = 400_000
+#: Word hashes remembered per Python worker.
+MAX_WORDS = 300_000
 
 
 class _Hashes(dict):
@@ -55,9 +56,6 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser (a bijection of 64-bit values)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -73,9 +71,10 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     ws = text.lower().split()
     if not ws:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > _MAX_WORDS:
-        _HASHES.clear()
-    h = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
+    known = worker_cache("minhash", _Hashes)
+    if len(known) > MAX_WORDS:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
     size = min(words, len(ws))
     n = len(ws) - size + 1
     s = np.full(n, size, np.uint64)

@@ -9,6 +9,7 @@ becomes smallest, opening a new bin being one of the choices.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, small_batches, stored
+from revspark.llm.common import id_text, small_batches, stored, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -29,7 +30,7 @@ END_ID = 1
 #: shard hardly count, few enough for one task.
 SHARD_PIECES = 32_768
 #: Words remembered per Python worker (two generations of this many, and as many pieces).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Characters whose normal form (NFC, lower case) is their lower case, each on its own: Latin up to U+017F without U+0130.
 LATIN = re.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u017f]+")
 
@@ -120,16 +121,9 @@ class WordTokens:
         return [whole[i] if i in whole else all_ids[cuts[i]:cuts[i + 1]] for i in range(len(texts))]
 
 
-_WORKER: dict[str, WordTokens] = {}
-
-
 def _tokens(path: str) -> WordTokens:
-    if path not in _WORKER:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _WORKER[path] = WordTokens(path)
-    return _WORKER[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return worker_cache(("words", path), lambda: WordTokens(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,

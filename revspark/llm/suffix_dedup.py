@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, shared_path, shuffle_partitions, small_batches, stored
+from revspark.llm.common import id_text, shared_path, shuffle_partitions, small_batches, stored, worker_cache
 
 LENGTH = 200
 PERIOD = 133
@@ -106,7 +106,9 @@ class _Rolling:
         return _mix(h)
 
 
-_NAME, _PLACE = _Rolling(0x5EED1), _Rolling(0x5EED2)
+def _rolling() -> tuple[_Rolling, _Rolling]:
+    """The two fingerprints: of names, and of the ranges that names are sorted in."""
+    return worker_cache("rolling", lambda: (_Rolling(0x5EED1), _Rolling(0x5EED2)))
 
 
 class _Chunk:
@@ -122,9 +124,10 @@ class _Chunk:
         self.sums = None
 
     def names(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        name, place = _rolling()
         if self.sums is None:
-            self.sums = _NAME.sums(self.data), _PLACE.sums(self.data)
-        return _NAME.windows(self.sums[0], at, width), _PLACE.windows(self.sums[1], at, width)
+            self.sums = name.sums(self.data), place.sums(self.data)
+        return name.windows(self.sums[0], at, width), place.windows(self.sums[1], at, width)
 
     def samples(self) -> np.ndarray:
         width = LENGTH - PERIOD + 1
