@@ -95,13 +95,3 @@ def is_loop_marker(raw: Column) -> Column:
     'while(' or contains '.forEach' / '.map('."""
     starts = raw.rlike(r"^[\x00-\x20]*(for|while)(\(| [\x00-\x20]*[^\x00-\x20])")
     return starts | raw.contains(".forEach") | raw.contains(".map(")
-
-
-def suffixes(word: Column) -> Column:
-    """All non-empty suffixes of a string, as an array."""
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: word.substr(i, F.length(word)))
-
-
-def prefixes(word: Column) -> Column:
-    """All non-empty prefixes of a string, as an array."""
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: word.substr(F.lit(1), i))

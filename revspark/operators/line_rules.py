@@ -22,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.functions.text import prefixes, suffixes
-from revspark.operators.lines import KEY, code_lines, in_loop, snippet
+from revspark.operators.lines import KEY, code_lines, snippet
 
 # Rule ids, severities and messages of the line rules.
 RULE_LEAK = "RULE-001-RESOURCE-LEAK"
@@ -123,8 +122,11 @@ def _null_rule(ln: DataFrame, lang: str, assign_re: str, group: int, candidates,
         c.select(*KEY, F.col("line").alias("a_line"), F.regexp_extract("code", assign_re, group).alias("var"))
         .filter(F.col("var") != "")
     )
+    # only files with an assignment, and of each name only the pieces as long as one of the file's assigned names
+    lengths = assigns.groupBy(*KEY).agg(F.collect_set(F.length("var")).alias("lengths"))
     derefs = (
-        c.select(*KEY, "line", "raw", "code", F.array_distinct(candidates(F.col("code"))).alias("vars"))
+        c.join(lengths, KEY)
+        .select(*KEY, "line", "raw", "code", F.array_distinct(candidates(F.col("code"))).alias("vars"))
         .filter(F.size("vars") > 0)
         .select(*KEY, "line", "raw", "code", F.explode("vars").alias("var"))
     )
@@ -137,19 +139,24 @@ def _runs_before(code, ch: str):
     return F.regexp_extract_all(code, F.lit(r"(\w+)" + ch), 1)
 
 
-def _all_suffixes(arr):
-    return F.flatten(F.transform(arr, suffixes))
+def _fitting(word):
+    return F.filter(F.col("lengths"), lambda n: n <= F.length(word))
 
 
-def _all_prefixes(arr):
-    return F.flatten(F.transform(arr, prefixes))
+def _suffixes(arr):
+    """The suffixes of each word that are as long as one of the file's assigned names."""
+    return F.flatten(F.transform(arr, lambda w: F.transform(_fitting(w), lambda n: w.substr(F.length(w) - n + 1, n))))
+
+
+def _prefixes(arr):
+    return F.flatten(F.transform(arr, lambda w: F.transform(_fitting(w), lambda n: w.substr(F.lit(1), n))))
 
 
 def cpp_null_deref(ln: DataFrame) -> DataFrame:
     """L2: ``var->`` or ``*var`` after ``var = nullptr|NULL|0;`` with no if/!/==."""
     def cands(code):
-        return F.concat(_all_suffixes(_runs_before(code, "->")),
-                        _all_prefixes(F.regexp_extract_all(code, F.lit(r"\*(\w+)"), 1)))
+        return F.concat(_suffixes(_runs_before(code, "->")),
+                        _prefixes(F.regexp_extract_all(code, F.lit(r"\*(\w+)"), 1)))
 
     def guard(code, var):
         return ~code.contains("if") & ~code.contains("!") & ~code.contains("==")
@@ -160,7 +167,7 @@ def cpp_null_deref(ln: DataFrame) -> DataFrame:
 def py_none_access(ln: DataFrame) -> DataFrame:
     """``var.`` or ``var[`` after ``var = None``; not if / is not None / not var."""
     def cands(code):
-        return F.concat(_all_suffixes(_runs_before(code, r"\.")), _all_suffixes(_runs_before(code, r"\[")))
+        return F.concat(_suffixes(_runs_before(code, r"\.")), _suffixes(_runs_before(code, r"\[")))
 
     def guard(code, var):
         return ~code.contains("if") & ~code.contains("is not None") & ~code.contains(F.concat(F.lit("not "), var))
@@ -171,7 +178,7 @@ def py_none_access(ln: DataFrame) -> DataFrame:
 def js_null_access(ln: DataFrame) -> DataFrame:
     """``var.`` after ``var = null|undefined``; not ?. / typeof / if / && / ?."""
     def cands(code):
-        return _all_suffixes(_runs_before(code, r"\."))
+        return _suffixes(_runs_before(code, r"\."))
 
     def guard(code, var):
         return (~code.contains(F.concat(var, F.lit("?."))) & ~code.contains("typeof")
@@ -184,8 +191,7 @@ def js_null_access(ln: DataFrame) -> DataFrame:
 
 def _loop_rule(ln: DataFrame, langs: list[str], words: list[str], message: str) -> DataFrame:
     c = code_lines(ln.filter(F.col("lang").isin(*langs)))
-    cand = c.filter(_contains_any(F.col("code"), words)).select(*KEY, "line", "raw")
-    hit = in_loop(cand, ln.filter(F.col("lang").isin(*langs)))
+    hit = c.filter(F.col("in_loop") & _contains_any(F.col("code"), words)).select(*KEY, "line", "raw")
     return _finding(hit.withColumn("code_snippet", snippet()), RULE_LOOP, "WARNING", message)
 
 

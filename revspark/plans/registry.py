@@ -23,7 +23,7 @@ from revspark.sources.tables import table
 from revspark.functions.text import prompt_lang, rule_lang
 from revspark.operators import diffs as DF
 from revspark.operators import enrich as EN
-from revspark.operators.lines import code_lines, in_loop
+from revspark.operators.lines import code_lines
 from revspark.plans import review as RV
 from revspark.session import cut_lineage, scratch_table_dir
 from revspark.sources import fixtures as FX
@@ -153,8 +153,7 @@ def _more_queries():
     q["p4_comment_strip"] = lambda s, d: lines(code_files(s, d)).select("review_id", "file", "line", "code")
 
     def p5(s, d):
-        ln = lines(code_files(s, d))
-        return in_loop(code_lines(ln).select("review_id", "file", "line"), ln)
+        return code_lines(lines(code_files(s, d))).filter("in_loop").select("review_id", "file", "line")
     q["p5_inside_loop"] = p5
     q["p6_blank_filter"] = lambda s, d: code_lines(lines(code_files(s, d))).groupBy("review_id", "file").agg(
         F.count(F.lit(1)).alias("n_code_lines"))
