@@ -831,9 +831,15 @@ def w4_sql() -> dict[str, str]:
            + FX.DIFF_EXPECTED_SQL + f", af AS ({all_findings_select()}), "
            "sc AS (SELECT * FROM af WHERE EXISTS (SELECT 1 FROM changed c WHERE c.review_id = af.review_id "
            "AND c.file = af.file AND c.line = af.line)), " + enriched_sql("sc"))
-    return {"w4_continuous_review": pre + """,
+    trig = """,
 trig AS (SELECT DISTINCT repo_name, pr_number, commit_sha, CAST(pr_number // 100 AS BIGINT) AS review_id
-         FROM intake WHERE triggered)
+         FROM intake WHERE triggered)"""
+    return {"w4_continuous_review": pre + trig + """
 SELECT t.repo_name, t.pr_number, t.commit_sha, t.review_id, ef.rule_id, ef.severity, ef.file, ef.line,
        ef.code_snippet, ef.message, ef.priority_score
-FROM trig t JOIN ef ON ef.review_id = t.review_id"""}
+FROM trig t JOIN ef ON ef.review_id = t.review_id""", "w4_reviews": pre + trig + """,
+nf AS (SELECT review_id, count(*) AS n FROM cf GROUP BY 1), ne AS (SELECT review_id, count(*) AS n FROM ef GROUP BY 1)
+SELECT t.*, CASE WHEN nf.n IS NULL THEN 'NO_CODE_FILES' ELSE 'SUCCESS' END AS status,
+       coalesce(nf.n, 0) AS file_count, coalesce(ne.n, 0) AS finding_count
+FROM trig t LEFT JOIN nf USING (review_id) LEFT JOIN ne USING (review_id)""", "w4_files": pre + trig + """
+SELECT t.*, cf.file FROM trig t JOIN cf USING (review_id)"""}

@@ -369,7 +369,7 @@ def _w_queries():
         return s.read.parquet(path + "/out")
     q["w3_first_version_stream"] = w3s
 
-    def w4(s, d):
+    def w4_run(s, d):
         path = WR.fresh_dir(s, "w4")
         cf = code_files(s, d)
         files = cf.select("review_id", "file", "content")
@@ -377,10 +377,17 @@ def _w_queries():
         hooks = FX.webhooks_from_events(stream_table(s, d, "events"))
         WR.continuous_review(s, hooks, files, diffs, FX.WEBHOOK_SECRET, path, path + "/ck",
                              lambda pr: F.floor(pr / PRS_PER_REVIEW).cast("long"))
-        return s.read.parquet(path + "/findings").select(
+        return path
+
+    def w4(s, d):
+        return s.read.parquet(w4_run(s, d) + "/findings").select(
             "repo_name", "pr_number", "commit_sha", "review_id", "rule_id", "severity", "file", "line",
             "code_snippet", "message", "priority_score")
     q["w4_continuous_review"] = w4
+    q["w4_reviews"] = lambda s, d: s.read.parquet(w4_run(s, d) + "/reviews").select(
+        "repo_name", "pr_number", "commit_sha", "review_id", "status", "file_count", "finding_count")
+    q["w4_files"] = lambda s, d: s.read.parquet(w4_run(s, d) + "/files").select(
+        "repo_name", "pr_number", "commit_sha", "review_id", "file")
 
     def w5(s, d):
         path = WR.fresh_dir(s, "w5")

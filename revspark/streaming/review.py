@@ -2,11 +2,12 @@
 
 W4: webhook deliveries stream -> W1 intake -> triggered PRs ->
 ``foreachBatch``: join the PR's files and diff -> rules (D3) -> diff scope
-(D2) -> enrichment (E1) -> append to the findings / reviews tables (K1).
+(D2) -> enrichment (E1) -> reviews, files, findings and documents (K1, E3, E4).
 Each micro-batch writes into its own ``batch_id`` folder with overwrite, so a
 replayed batch (after a failure) replaces its own output: exactly-once
 effect on top of the checkpointed source offsets.  Reviews are keyed by
-(repo, pr, sha); duplicate deliveries in a batch collapse to one review.
+(repo, pr, sha); deliveries that repeat one, in the same batch or a later
+one, add nothing.
 
 W5: a streaming aggregate of stored findings per review in ``complete``
 mode, joined to the reviews (a review without findings counts 0); each
@@ -17,44 +18,82 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revspark.functions.text import is_supported
 from revspark.operators import diffs as DF
 from revspark.operators import enrich as EN
 from revspark.plans import review as RV
-from revspark.session import scratch_table_dir
+from revspark.session import cut_lineage, scratch_table_dir
 from revspark.streaming.intake import intake
 
 
-def review_batch(triggered: DataFrame, files: DataFrame, diffs: DataFrame | None) -> DataFrame:
-    """One micro-batch of W4: triggered(repo_name, pr_number, commit_sha,
-    review_id) x files(review_id, file, content) -> enriched, scoped findings
-    keyed by (repo_name, pr_number, commit_sha)."""
-    prs = triggered.select("repo_name", "pr_number", "commit_sha", "review_id").dropDuplicates(
-        ["repo_name", "pr_number", "commit_sha"])
-    f = files.join(prs.select("review_id").distinct(), "review_id", "left_semi")
-    found = RV.run_rules(f)
+KEYS = ["repo_name", "pr_number", "commit_sha", "review_id"]
+OUTPUTS = ("reviews", "files", "findings", "documents")
+
+
+def review_batch(prs: DataFrame, files: DataFrame, diffs: DataFrame | None) -> dict[str, DataFrame]:
+    """The four outputs of reviewing ``prs`` (KEYS, one row per review).
+
+    files: the changed files of supported kinds.  findings: rules on these
+    files, scoped to the changed lines, enriched.  reviews: one row per PR with
+    its counts; without any supported file the status is NO_CODE_FILES and no
+    rule runs.  documents: summary and request body."""
+    ids = prs.select("review_id").distinct()
+    code = files.join(ids, "review_id", "left_semi").filter(is_supported(F.col("file")))
+    changed = None
     if diffs is not None:
-        d = diffs.join(prs.select("review_id").distinct(), "review_id", "left_semi")
-        ch = DF.changed_lines(d, keys=("diff_id", "review_id")).select("review_id", "file", "line")
-        found = DF.scope_to_diff(found, ch)
-    enriched = EN.enrich(found)
-    return prs.join(enriched, "review_id")
+        d = diffs.join(ids, "review_id", "left_semi")
+        named = DF.changed_files(d.select(F.col("review_id").alias("diff_id"), "diff_text")).select(F.col("diff_id").alias("review_id"), "file").distinct()
+        code = code.join(named, ["review_id", "file"], "left_semi")
+        changed = DF.changed_lines(d, keys=("diff_id", "review_id")).select("review_id", "file", "line")
+    code = cut_lineage(code)
+    found = RV.run_rules(code)
+    if changed is not None:
+        found = DF.scope_to_diff(found, changed)
+    # read by three outputs
+    found = cut_lineage(EN.enrich(found))
+    n_files = code.groupBy("review_id").agg(F.count(F.lit(1)).alias("file_count"))
+    n_found = found.groupBy("review_id").agg(F.count(F.lit(1)).alias("finding_count"))
+    reviews = prs.join(n_files, "review_id", "left").join(n_found, "review_id", "left").fillna(0, ["file_count", "finding_count"]) \
+        .withColumn("status", F.when(F.col("file_count") == 0, "NO_CODE_FILES").otherwise("SUCCESS"))
+    one = prs.groupBy("review_id").agg(F.min("commit_sha").alias("commit_sha"))
+    summary = EN.review_summary(one, found)
+    comments = EN.review_request(one, summary, found).drop("commit_sha")
+    documents = prs.select(*KEYS).join(summary, "review_id").join(comments, "review_id")
+    return {"reviews": reviews, "files": prs.join(code.select("review_id", "file"), "review_id"),
+            "findings": prs.join(found, "review_id"), "documents": documents}
+
+
+def stored_reviews(spark: SparkSession, out_dir: str, before: int) -> DataFrame | None:
+    """Reviews that batches before this one have stored."""
+    try:
+        return spark.read.parquet(f"{out_dir}/reviews").filter(F.col("batch_id") < before)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def continuous_review(spark: SparkSession, webhook_stream: DataFrame, files: DataFrame, diffs: DataFrame | None,
-                      secret: str, out_dir: str, checkpoint: str, pr_to_review) -> None:
-    """Run W4 until the source is drained (availableNow)."""
+                      secret: str, out_dir: str, checkpoint: str, pr_to_review, trigger: dict | None = None) -> None:
+    """Run W4 until the source is drained (or by ``trigger``, arguments of the stream's trigger)."""
     trig = intake(webhook_stream, secret).filter("triggered")
     trig = trig.withColumn("review_id", pr_to_review(F.col("pr_number")))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        out = review_batch(batch, files, diffs)
-        out.write.mode("overwrite").parquet(f"{out_dir}/findings/batch_id={batch_id}")
+        prs = batch.select(*KEYS).dropDuplicates(KEYS[:3])
+        known = stored_reviews(spark, out_dir, batch_id)
+        if known is not None:
+            prs = prs.join(known.select(*KEYS[:3]), KEYS[:3], "left_anti")
+        # written once: the signatures are checked once per batch
+        for name, out in review_batch(cut_lineage(prs), files, diffs).items():
+            out.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
 
     q = (trig.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+         .trigger(**(trigger or {"availableNow": True})).start())
     q.awaitTermination()
 
 
