@@ -101,10 +101,18 @@ def _typeish(tok: Column, before: Column, before2: Column) -> Column:
     return F.coalesce(word, F.lit(False)) | F.coalesce(closes, F.lit(False)) | F.coalesce((tok == "]") & (before == "["), F.lit(False))
 
 
-def _finding(df: DataFrame, rule_id: str, severity: str, line: Column, snippet: Column, message: Column) -> DataFrame:
+def _steps(*steps: tuple[Column, str]) -> Column:
+    """A dataflow path in the finding's file: (line, description) pairs."""
+    return F.array(*[F.struct(F.col("file").alias("file"), line.cast("int").alias("line"), F.lit(text).alias("description"))
+                     for line, text in steps])
+
+
+def _finding(df: DataFrame, rule_id: str, severity: str, line: Column, snippet: Column, message: Column,
+             path: Column | None = None) -> DataFrame:
+    path = F.lit(None) if path is None else path
     return df.select(
         "review_id", F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), "file",
-        line.cast("int").alias("line"), snippet.alias("code_snippet"), F.lit(None).cast(PATH_TYPE).alias("dataflow_path"),
+        line.cast("int").alias("line"), snippet.alias("code_snippet"), path.cast(PATH_TYPE).alias("dataflow_path"),
         message.alias("message"))
 
 
@@ -420,7 +428,8 @@ def resource_leaks(jt: JavaTables) -> DataFrame:
                           out="snip")
     out = leak.join(decl_text, [*KEY, "d_pos"], "left")
     return _finding(out, R_LEAK, "ERROR", F.col("line"), F.col("snip"),
-                    _fmt(MSG_LEAK, F.col("var"), F.col("type_text")))
+                    _fmt(MSG_LEAK, F.col("var"), F.col("type_text")),
+                    _steps((F.col("line"), "resource opened"), (F.col("m_close_line"), "method ends with the resource open")))
 
 
 # ------------------------------------------------------------------ J2
@@ -489,7 +498,8 @@ def null_derefs(jt: JavaTables) -> DataFrame:
     keep = keep.groupBy(*KEY, "m_open", "line", "var").agg(F.min("def_line").alias("def_line"))
     out = keep.join(jt.lines_text, [*KEY, "line"], "left")
     return _finding(out, R_NULL, "ERROR", F.col("line"), F.col("line_text"),
-                    _fmt(MSG_NULL, F.col("var"), F.col("def_line")))
+                    _fmt(MSG_NULL, F.col("var"), F.col("def_line")),
+                    _steps((F.col("def_line"), "null assigned"), (F.col("line"), "dereferenced")))
 
 
 # ------------------------------------------------------------------ J3

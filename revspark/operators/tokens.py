@@ -50,11 +50,11 @@ BINOPS = ["<=", ">=", "==", "!=", "&&", "||", "+", "-", "*", "/", "%", "<", ">",
 
 
 def blank_comments(content: Column) -> Column:
-    """Replace every comment by spaces (newlines kept); strings stay."""
+    """Replace every comment by one space and its newlines; strings stay."""
     pieces = F.split(content, SPECIAL_RE)
     specials = F.concat(F.regexp_extract_all(content, F.lit(SPECIAL_RE), 0), F.array(F.lit("")))
     kept = F.zip_with(pieces, specials, lambda p, s: F.concat(
-        p, F.when(s.startswith("/"), F.regexp_replace(s, r"[^\n]", " ")).otherwise(s)))
+        p, F.when(s.startswith("/"), F.concat(F.lit(" "), F.regexp_replace(s, r"[^\n]+", ""))).otherwise(s)))
     return F.array_join(kept, "")
 
 

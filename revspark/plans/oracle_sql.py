@@ -341,11 +341,11 @@ FROM x"""
 
     out["d1_diff_parse"] = (f"WITH cf AS ({oracle_code_files_sql()}), {FX.DIFF_EXPECTED_SQL} "
                             "SELECT diff_id, review_id, file, line FROM changed")
-    lf = all_findings_select()
+    lf = findings_with_steps_select()
     out["s6_changed_files"] = f"WITH cf AS ({oracle_code_files_sql()}) SELECT doc_id AS diff_id, file FROM cf WHERE {supported_sql('file')}"
-    out["d2_diff_scope"] = (pre + f", {java_golden_cte()}, lf AS ({lf}), {FX.DIFF_EXPECTED_SQL} SELECT * FROM lf WHERE EXISTS "
+    out["d2_diff_scope"] = (pre + f", {java_golden_cte()}, lf AS ({lf}), {FX.DIFF_EXPECTED_SQL} SELECT lf.* EXCLUDE (path_lines) FROM lf WHERE EXISTS "
                             "(SELECT 1 FROM changed c WHERE c.review_id = lf.review_id AND c.file = lf.file "
-                            "AND c.line = lf.line)")
+                            "AND (c.line = lf.line OR list_contains(lf.path_lines, c.line)))")
     en = pre + ", " + enriched_sql()
     out["e1_enrich"] = en + " SELECT * FROM ef"
     fb_r, fb_f = EN.FALLBACK_RATIONALE, EN.FALLBACK_FIX
@@ -672,7 +672,7 @@ jc AS (
 ),
 jn AS (SELECT jc.*, tl.n FROM jc JOIN (VALUES {n_lines}) tl(idx, n) ON tl.idx = jc.idx),
 js AS (
-  SELECT doc_id, k, idx,
+  SELECT doc_id, k, idx, n,
          CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 5 END + 1
            + coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
            AS start_line
@@ -685,7 +685,9 @@ jg AS (
          replace(replace(e.snippet, '$v', 'v' || CAST(js.doc_id % 7 AS VARCHAR)), '$n', CAST(js.k AS VARCHAR)) AS code_snippet,
          replace(replace(e.message, '$v', 'v' || CAST(js.doc_id % 7 AS VARCHAR)), '$P',
                  CAST(js.start_line + 1 AS VARCHAR)) AS message,
-         e.qkey
+         e.qkey,
+         CASE e.qkey WHEN 'j1_resource_leak' THEN [CAST(js.start_line + e.off AS INTEGER), CAST(js.start_line + js.n - 1 AS INTEGER)]
+                     WHEN 'j2_null_deref' THEN [CAST(js.start_line + 1 AS INTEGER), CAST(js.start_line + e.off AS INTEGER)] END AS path_lines
   FROM js JOIN documents d ON d.doc_id = js.doc_id
   JOIN (VALUES {exp}) e(idx, qkey, rule_id, severity, off, snippet, message, svc, copies) ON e.idx = js.idx
   CROSS JOIN LATERAL (SELECT unnest(range(e.copies)) AS copy_no) cp
@@ -813,7 +815,8 @@ FROM fl f JOIN jw t ON t.review_id = f.review_id AND t.file = f.file AND t.pos >
 GROUP BY f.review_id, f.file, f.c_open, f.f_pos, f.f_name"""
     gold = f"WITH {java_golden_cte()}"
     for key in JR.JAVA_RULES:
-        out[key] = gold + (f" SELECT review_id, rule_id, severity, file, line, code_snippet, message FROM jg "
+        steps = ", path_lines" if key in ("j1_resource_leak", "j2_null_deref") else ""
+        out[key] = gold + (f" SELECT review_id, rule_id, severity, file, line, code_snippet, message{steps} FROM jg "
                            f"WHERE qkey = {q(key)}")
     return out
 
@@ -824,13 +827,19 @@ def all_findings_select() -> str:
             "message FROM jg")
 
 
+def findings_with_steps_select() -> str:
+    """All findings with the lines of their dataflow path (null without one)."""
+    return (f"SELECT *, CAST(NULL AS INTEGER[]) AS path_lines FROM ({line_findings_select()}) x\nUNION ALL\n"
+            "SELECT review_id, rule_id, severity, file, line, code_snippet, message, path_lines FROM jg")
+
+
 def w4_sql() -> dict[str, str]:
     """W4 in batch form: triggered PRs -> their review's findings (line + Java),
     scoped to the changed lines of the diff, enriched."""
     pre = ("WITH " + code_ctes() + ", " + java_golden_cte() + ", " + webhooks_sql() + ", " + intake_sql() + ", "
-           + FX.DIFF_EXPECTED_SQL + f", af AS ({all_findings_select()}), "
+           + FX.DIFF_EXPECTED_SQL + f", af AS ({findings_with_steps_select()}), "
            "sc AS (SELECT * FROM af WHERE EXISTS (SELECT 1 FROM changed c WHERE c.review_id = af.review_id "
-           "AND c.file = af.file AND c.line = af.line)), " + enriched_sql("sc"))
+           "AND c.file = af.file AND (c.line = af.line OR list_contains(af.path_lines, c.line)))), " + enriched_sql("sc"))
     trig = """,
 trig AS (SELECT DISTINCT repo_name, pr_number, commit_sha, CAST(pr_number // 100 AS BIGINT) AS review_id
          FROM intake WHERE triggered)"""

@@ -224,6 +224,9 @@ def java_tables(spark: SparkSession, d: str) -> JR.JavaTables:
     return JR.JavaTables(cf.filter(F.col("file").endswith(".java")).select("review_id", "file", "content"))
 
 
+PATH_RULES = ("j1_resource_leak", "j2_null_deref")
+
+
 def _java_queries():
     q = {}
     q["t1_tokens"] = lambda s, d: java_tables(s, d).t.select("review_id", "file", "line", "idx", "tok", "kind",
@@ -235,7 +238,8 @@ def _java_queries():
     q["t4_fields"] = lambda s, d: java_tables(s, d).fields.select(
         "review_id", "file", "c_open", "f_name", "type_text", "is_final")
     for key, fn in JR.JAVA_RULES.items():
-        q[key] = (lambda f: lambda s, d: f(java_tables(s, d)).select(*FINDING_OUT))(fn)
+        steps = [F.transform("dataflow_path", lambda x: x["line"]).alias("path_lines")] if key in PATH_RULES else []
+        q[key] = (lambda f, extra: lambda s, d: f(java_tables(s, d)).select(*FINDING_OUT, *extra))(fn, steps)
     return q
 
 
