@@ -338,6 +338,23 @@ SELECT request_id,
   CASE WHEN is_gh AND blank_url THEN {q(SC.ERR_URL_REQUIRED)} WHEN is_gh AND NOT matched THEN {q(SC.ERR_URL_INVALID)}
        WHEN is_code AND blank_code THEN {q(SC.ERR_CODE_REQUIRED)} WHEN NOT is_gh AND NOT is_code THEN {q(SC.ERR_TYPE)} END AS error
 FROM x"""
+    routed = out["s5_request_routing"].replace("SELECT request_id,", "SELECT request_id, code,", 1)
+    base = oracle_code_files_sql()
+    req_files = (f"SELECT r.request_id AS review_id, c.file, c.content FROM routed r JOIN ({base}) c ON c.review_id = r.pr_number // 10 "
+                 f"WHERE r.route = 'github' AND {supported_sql('c.file')} UNION ALL "
+                 f"SELECT request_id, file_name, code FROM routed WHERE route = 'code' AND {supported_sql('file_name')}")
+    ctes = code_ctes_from(req_files)[len("WITH "):] if code_ctes_from(req_files).startswith("WITH ") else code_ctes_from(req_files)
+    out["r1_request_to_result"] = f"""WITH routed AS ({routed}), {ctes}, {java_golden_cte()},
+lf AS ({line_findings_select()} UNION ALL
+       SELECT r.request_id, j.rule_id, j.severity, j.file, j.line, j.code_snippet, j.message FROM jg j
+       JOIN routed r ON r.route = 'github' AND r.pr_number // 10 = j.review_id),
+{enriched_sql('lf')},
+nf AS (SELECT review_id, count(*) AS n FROM cf GROUP BY 1),
+ne AS (SELECT review_id, count(*) AS n, max(priority_score) AS top FROM ef GROUP BY 1)
+SELECT r.request_id, r.route, CASE WHEN nf.n IS NULL THEN 'NO_CODE_FILES' ELSE 'SUCCESS' END AS status,
+       coalesce(nf.n, 0) AS file_count, coalesce(ne.n, 0) AS finding_count, ne.top AS top_priority
+FROM routed r LEFT JOIN nf ON nf.review_id = r.request_id LEFT JOIN ne ON ne.review_id = r.request_id WHERE r.error IS NULL"""
+
 
     out["d1_diff_parse"] = (f"WITH cf AS ({oracle_code_files_sql()}), {FX.DIFF_EXPECTED_SQL} "
                             "SELECT diff_id, review_id, file, line FROM changed")

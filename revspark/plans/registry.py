@@ -209,6 +209,14 @@ def _more_queries():
         K.persist_findings(f, path)
         return s.read.parquet(path)
     q["k1_persist_findings"] = k1
+
+    def r1(s, d):
+        import uuid
+        cf = code_files(s, d)
+        return RV.requests_to_results(
+            FX.requests_from_pages(table(s, d, "pages")), FX.pr_files_payloads(cf), cf,
+            lambda pr: F.floor(pr / 10).cast("long"), scratch_table_dir(s, f"request_findings_{uuid.uuid4().hex}"))
+    q["r1_request_to_result"] = r1
     return q
 
 
