@@ -18,7 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         sides = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = sides.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    # written, so that the join below deals both sides out itself and a node with very many links can be split
+    least = stored(sides.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
     to = sides.join(least, "a")
     if large:
         out = to.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -151,7 +151,7 @@ def _compare(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     A centre's members are cut into groups of STAR_MEMBERS, each with a copy
     of the centre's text, so a centre with very many members is many tasks'
     work.  Texts move once per edge end."""
-    large = edges.groupBy("a").agg(F.ceil(F.count("*") / STAR_MEMBERS).alias("salts")).filter("salts > 1")
+    large = stored(edges.groupBy("a").agg(F.ceil(F.count("*") / STAR_MEMBERS).alias("salts")).filter("salts > 1"), "large-stars")
     salted = stored(edges.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt")), "star-edges")
     roles = salted.select("a", "salt", F.col("b").alias("rep"), F.col("b").alias("member")).unionByName(
         salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("rep"), F.lit(None).cast("long").alias("member")))
@@ -257,7 +257,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     slots = reps.select("rep", "size", F.posexplode("keys").alias("band", "key"))
     rank = F.when(F.col("band") % PRIORITIES == 0, F.col("rep")).otherwise(F.xxhash64("rep", F.col("band") % PRIORITIES))
     slots = slots.select("key", "rep", "size", rank.alias("rank"))
-    centre = slots.groupBy("key").agg(F.min(F.struct("rank", "rep", "size")).alias("c"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join deals both sides out itself and a bucket with very many members can be split
+    centre = stored(slots.groupBy("key").agg(F.min(F.struct("rank", "rep", "size")).alias("c"), F.count("*").alias("n")).filter("n > 1"), "centres")
     buckets = stored(slots.join(centre.select("key", "c"), "key").select("key", "rep", "size", F.col("c.rep").alias("centre"), F.col("c.size").alias("csize")), "buckets")
 
     # The texts that can be compared move once; the join is the same at every size.
@@ -267,7 +268,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
                    .select("rep", "keys", F.col("text").cast("binary").alias("text")), "near-texts")
 
     fits = (F.least("size", "csize") * 100 >= F.greatest("size", "csize") * percent) & (F.col("rep") != F.col("centre"))
-    edges = buckets.filter(fits).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = stored(buckets.filter(fits).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "edges")
     links = stored(_compare(edges, texts, words, percent).filter("ok").select("a", "b"), "links").unionByName(same)
     comp = stored(components(links), "components")
     rest = stored(_rest(buckets.select("key", "rep", "size"), comp, texts, words, percent), "links")
