@@ -160,10 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
             found = [features_of(t, slots).astype(np.int16).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["label", "features"])
 
-    # Bounded: ``rows`` rows of at most ``features`` two-byte numbers.
-    table = rows_df.mapInArrow(extract, "label int, features binary").orderBy("features", "label").toArrow()
-    y = np.array(table.column("label").to_pylist()) != 0
-    x = [np.frombuffer(f, np.int16).astype(np.int64) for f in table.column("features").to_pylist()]
+    # Bounded: ``rows`` rows of at most ``features`` two-byte numbers.  Sorted, so that their order
+    # does not depend on the partitioning.
+    table = rows_df.mapInArrow(extract, "label int, features binary").toArrow()
+    found = sorted(zip(table.column("features").to_pylist(), table.column("label").to_pylist()))
+    y = np.array([label != 0 for _, label in found])
+    x = [np.frombuffer(f, np.int16).astype(np.int64) for f, _ in found]
     return fit(empty, x, y)
 
 
