@@ -235,6 +235,13 @@ def java_tables(spark: SparkSession, d: str) -> JR.JavaTables:
 PATH_RULES = ("j1_resource_leak", "j2_null_deref")
 
 
+def _java_rule_query(fn, with_path: bool):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        steps = [F.transform("dataflow_path", lambda x: x["line"]).alias("path_lines")] if with_path else []
+        return fn(java_tables(spark, d)).select(*FINDING_OUT, *steps)
+    return run
+
+
 def _java_queries():
     q = {}
     q["t1_tokens"] = lambda s, d: java_tables(s, d).t.select("review_id", "file", "line", "idx", "tok", "kind",
@@ -246,8 +253,7 @@ def _java_queries():
     q["t4_fields"] = lambda s, d: java_tables(s, d).fields.select(
         "review_id", "file", "c_open", "f_name", "type_text", "is_final")
     for key, fn in JR.JAVA_RULES.items():
-        steps = [F.transform("dataflow_path", lambda x: x["line"]).alias("path_lines")] if key in PATH_RULES else []
-        q[key] = (lambda f, extra: lambda s, d: f(java_tables(s, d)).select(*FINDING_OUT, *extra))(fn, steps)
+        q[key] = _java_rule_query(fn, key in PATH_RULES)
     return q
 
 

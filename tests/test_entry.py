@@ -10,3 +10,10 @@ def test_entry_runs(spark):
 
 def test_oracle_keys_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registry_needs_no_session():
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True)
