@@ -91,7 +91,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest": op10_nearest,
 }
 
+def op3_sql() -> str:
+    """Every window against every template, without MinHash."""
+    def q(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    values = ", ".join(f"({k}, {q(name)}, {q(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    classes = " ".join(f"WHEN len(t) = {n} THEN {licenses.length_class(n)}" for n in range(1, 200))
+    words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+    shingles = ("CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) "
+                "WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END")
+    return f"""
+        WITH tp(tid, license_id, text) AS (VALUES {values}),
+             ts AS (SELECT tid, license_id, list_distinct({shingles}) AS t FROM (SELECT tid, license_id, {words} AS ws FROM tp)),
+             tc AS (SELECT *, CASE {classes} END AS c FROM ts),
+             ds AS (SELECT doc_id, {shingles} AS s FROM (SELECT doc_id, {words} AS ws FROM documents)),
+             h AS (SELECT doc_id, s, license_id, t, c, unnest(range(0, len(s), greatest(1, c // 2))) AS pos
+                   FROM ds JOIN tc ON list_has_any(s, t)),
+             m AS (SELECT doc_id, license_id, c, pos, max(len(list_intersect(t, s[pos + 1:pos + ceil(1.5 * c)::BIGINT])) / len(t)) AS share
+                   FROM h GROUP BY ALL)
+        SELECT doc_id, license_id, max(share) AS containment, min(pos)::INT AS first_word, count(*) AS n_windows
+        FROM m WHERE share >= {licenses.SHARE} GROUP BY ALL"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": op3_sql(),
     "op1_chat": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
