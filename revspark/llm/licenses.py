@@ -28,7 +28,9 @@ GROWTH = 1.25
 #: Templates at most; their MinHash rows and shingles are broadcast.
 MAX_TEMPLATES = 10_000
 
-#: License notices to look for (fixed values).
+#: License notices to look for (fixed values).  An id names what its notice
+#: establishes: where two licenses or versions would share 0.8 of a notice, the
+#: template is cut down to the part that tells them apart, or the id has no version.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -40,6 +42,55 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited"),
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("Proprietary", "This software is the confidential and proprietary information of"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0"),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements"),
+    ("MIT", "Licensed under the MIT License"),
+    ("MIT", "Distributed under the MIT License"),
+    ("MIT", "This project is licensed under the terms of the MIT license"),
+    ("MIT", "Use of this source code is governed by an MIT-style license"),
+    ("BSD", "Use of this source code is governed by a BSD-style license"),
+    ("BSD", "Licensed under the BSD License"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("GPL-family", "This program is free software: you can redistribute it and/or modify it"),
+    ("GPL", "under the terms of the GNU General Public License"),
+    ("GPL-2.0", "GNU General Public License version 2"),
+    ("GPL-2.0", "GNU General Public License v2"),
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("GPL-3.0", "GNU General Public License v3"),
+    ("LGPL", "under the terms of the GNU Lesser General Public License"),
+    ("LGPL", "under the terms of the GNU Library General Public License"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3"),
+    ("AGPL", "under the terms of the GNU Affero General Public License"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3"),
+    ("MPL-1", "The contents of this file are subject to the Mozilla Public License"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License 2.0"),
+    ("EPL", "made available under the terms of the Eclipse Public License"),
+    ("CDDL", "subject to the terms of the Common Development and Distribution License"),
+    ("EUPL", "Licensed under the EUPL"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISC", "Licensed under the ISC License"),
+    ("0BSD", "without fee is hereby granted. The software is provided"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("WTFPL", "Do What The Fuck You Want To Public License"),
+    ("Artistic", "under the terms of the Artistic License"),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("CC0-1.0", "Licensed under CC0 1.0"),
+    ("CC0-1.0", "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    *((x, f"SPDX-License-Identifier: {x}") for x in (
+        "Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0",
+        "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "Zlib")),
 )
 
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from revspark.llm import chat, licenses, pii
 
@@ -82,6 +83,42 @@ def test_licenses_are_found_where_they_are(spark, messy, empty):
     assert licenses.scan(empty, licenses.templates(spark)).collect() == []
 
 
+#: What a license line in a text looks like, apart from the templates.
+LICENSE_LINE = r"(?i)licen[cs]|rights reserved|copyright|permission is|free software|public domain"
+
+
+def test_each_license_line_of_the_documents_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = licenses.scan(docs, licenses.templates(spark)).select("doc_id").distinct()
+    lines = docs.selectExpr("doc_id", "explode(split(text, '\\n')) line").filter(F.col("line").rlike(LICENSE_LINE) & (F.length("line") < 200))
+    assert {r.line for r in lines.select("line").distinct().collect()} >= {"All rights reserved."}
+    assert [r.line for r in lines.join(found, "doc_id", "left_anti").select("line").distinct().collect()] == []
+
+
+def test_common_license_headers_are_found_and_told_apart(spark):
+    gnu = ("This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n"
+           " * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.")
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    cases = [
+        ("Copyright (c) 2020 Someone. All rights reserved.", {"All-Rights-Reserved"}),
+        ("Licensed under the MIT License", {"MIT"}),
+        (gnu.format("", 3), {"GPL", "GPL-family"}), (gnu.format("Lesser ", 3), {"LGPL", "GPL-family"}), (gnu.format("Affero ", 3), {"AGPL", "GPL-family"}),
+        ("released as GNU General Public License version 2", {"GPL-2.0"}), ("released as GNU General Public License, version 3", {"GPL-3.0"}),
+        (f"{isc}, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"", {"ISC"}),
+        (f"{isc}.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"", {"0BSD"}),
+        ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at", {"EPL"}),
+        ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+        ("# SPDX-License-Identifier: BSD-3-Clause", {"BSD-3-Clause"}), ("# SPDX-License-Identifier: MIT", {"MIT"}),
+        ("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", set()),
+        ("all rights are reserved for the license of the mind", set()),
+    ]
+    df = spark.createDataFrame([(k, f"x y z {t} a b c") for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(df, licenses.templates(spark)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license_id)
+    assert [got.get(k, set()) for k in range(len(cases))] == [want for _, want in cases]
+
+
 def luhn(s):
     d = [int(c) for c in s][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
