@@ -40,10 +40,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates (five words, similarity 0.8), unchanged; rows without an id stay."""
-    kept = minhash_dedup.near_dedup(docs, words=5, percent=80).filter("kept and doc_id is not null").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near duplicates (five words, similarity 0.8), unchanged: the one with the smallest id.
+
+    Rows are compared, not ids: each has a written key of its own, so rows that
+    share an id or have none take part with their own texts.  A row without an
+    id comes after all others; of one id the smallest text digest is first."""
+    keyed = stored(docs.withColumn("__row_key", F.monotonically_increasing_id()), "near-rows")
+    near = minhash_dedup.near_dedup(keyed, words=5, percent=80, id_col="__row_key").select(F.col("doc_id").alias("__row_key"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row_key")
+    first = near.join(keyed.select("__row_key", rank.alias("rank")), "__row_key").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    kept = first.select(F.col("rank.__row_key").alias("__row_key"))
+    return keyed.join(kept, "__row_key", "left_semi").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,6 +106,25 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, messy, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
 
 
+def test_near_stage_compares_rows_not_ids(spark):
+    rng = random.Random(17)
+    a, b, c, d = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(4))
+    text = lambda ws, *more: " ".join([*ws, *more])
+    rows = [
+        (5, text(a)), (5, text(b)),               # one id, two texts: both are looked at
+        (7, text(a, "x")), (8, text(b, "x")),     # near copies of one and of the other
+        (3, text(c)), (9, text(c, "y")), (9, text(d)),  # id 9: one text is a near copy, the other is not
+        (None, text(d, "z")),                     # near copy of a row with an id
+        (None, "n1 n2 n3 n4 n5 n6"), (None, "n1 n2 n3 n4 n5 n6"),  # near copies among rows without an id
+        (None, None), (None, ""), (11, None),     # no words: alone
+    ]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_stage(spark, df, "")
+    assert out.columns == df.columns
+    want = [rows[k] for k in (0, 1, 4, 6, 8, 10, 11, 12)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
