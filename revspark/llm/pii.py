@@ -4,7 +4,12 @@ E-mail addresses, payment card numbers (Luhn-valid), phone numbers, IPv4
 addresses, US social security numbers (of valid areas) and calendar dates are
 found, validated and replaced by keyed Feistel permutations of their own
 format: a card stays a Luhn-valid card of its length and grouping, a date a
-valid date in its notation, a letter a letter.  The permutation depends on the
+valid date in its notation, a letter a letter.  A date with slashes is read
+as day/month; where that is no calendar day, as month/day, and it becomes one
+of the days that are read so too.  A phone number has ten digits grouped 3-3-4,
+or a plus sign, 8 to 15 digits and any grouping; its country code stays.
+Digits that follow such a number in a grouping of its own kind are taken as
+part of it.  The permutation depends on the
 key and the kind only, so equal values get equal pseudonyms in all documents
 and different values of one format stay different.  Anything that fails its
 validation is left alone.
@@ -23,6 +28,11 @@ ROUNDS = 8
 FIRST_DAY = "1800-01-01"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_GAP = r"[ ./\x{A0}\x{202F}\x{2011}-]"
+#: After a plus sign: a card, a date, an address or a social security number.
+_NO_PHONE = rf"\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{4}}(?!\d)|\d{{4}}[ -]\d{{6}}[ -]\d{{5}}(?!\d)|\d{{4}}([-/])\d\d\1\d\d(?!\d)|\d\d([./])\d\d\2\d{{4}}(?!\d)|\d{{3}}-\d\d-\d{{4}}(?!\d)|(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+#: Country codes of one and of two digits; all others have three.
+_CODES = (r"^[17]", r"^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
 #: Every pattern can only start at the start of its run of characters, and its
 #: runs are possessive or of bounded length: matching is linear in the text.
 PATTERNS = {
@@ -30,7 +40,8 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d/-]|\.\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+             rf"|(?<![\p{{L}}\d+])\+(?!{_NO_PHONE})\(?[1-9](?:(?:{_GAP}?\(|\){_GAP}?|{_GAP})?\d){{7,14}}(?!\d)",
     "card": r"(?<![\p{L}\d])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\d])",
 }
 ANY = "|".join(PATTERNS.values())
@@ -104,10 +115,11 @@ def _card(key: str) -> str:
 
 
 def _phone(key: str) -> str:
-    """The ten national digits are permuted; a country code stays."""
+    """The national digits are permuted; a country code stays."""
     digits = "regexp_replace(m, '[^0-9]', '')"
-    new = permuted_text("right(d, 10)", key, "phone")
-    return _let("d", digits, _let("w", new, _in_place("m", "w", "(length(d) - 10)")))
+    code = f"IF(m LIKE '+%', CASE WHEN d RLIKE {_q(_CODES[0])} THEN 1 WHEN d RLIKE {_q(_CODES[1])} THEN 2 ELSE 3 END, 0)"
+    new = permuted_text(f"substr(d, 1 + {code})", key, "phone")
+    return _let("d", digits, _let("w", new, _in_place("m", "w", code)))
 
 
 def _ip(key: str) -> str:
@@ -132,16 +144,36 @@ def _ssn(key: str) -> str:
     return f"aggregate(array({new}), '', (z_v, v) -> {text})"
 
 
+def _late_day(key: str) -> str:
+    """Month/day dates: the days of the 400 years after the 12th of a month, which are no day/month, are permuted among themselves.
+
+    Such days are numbered on their own: 88497 = 9 * 9833.  The month of a
+    number is among the five nearest to its share of the 4800."""
+    first = f"(datediff(add_months(DATE'{FIRST_DAY}', {{0}}), DATE'{FIRST_DAY}') - 12 * {{0}})".format
+    month = "((CAST(substr(m, 7, 4) AS INT) - 1800) * 12 + CAST(substr(m, 1, 2) AS INT) - 1)"
+    number = f"({first(month)} + CAST(substr(m, 4, 2) AS INT) - 13)"
+    new = permuted_number("(u % 9)", "(u DIV 9)", 9, 9833, key, "date month/day")
+    near = "CAST(floor(j / 18.436875D) AS INT)"
+    at = f"array_max(filter(sequence({near} - 2, {near} + 2), k -> {first('k')} <= j))"
+    day = f"date_format(date_add(add_months(DATE'{FIRST_DAY}', k0), CAST(12 + j - {first('k0')} AS INT)), 'MM/dd/yyyy')"
+    text = f"aggregate(transform(array({new}), v -> v.r * 9 + v.l), '', (z_j, j) -> {_let('k0', at, day)})"
+    return _let("u", number, text)
+
+
 def _date(key: str) -> str:
-    """Dates of the 400 years from FIRST_DAY; others, and days that do not exist, stay."""
+    """Dates of the 400 years from FIRST_DAY; others, and days that do not exist, stay.
+
+    A date with slashes that is no day/month is read as month/day."""
     shape = "CASE WHEN m LIKE '____-%' THEN 'yyyy-MM-dd' WHEN m LIKE '____/%' THEN 'yyyy/MM/dd' WHEN m LIKE '__.%' THEN 'dd.MM.yyyy' ELSE 'dd/MM/yyyy' END"
     day = ("CASE WHEN substr(m, 5, 1) IN ('-', '/') THEN make_day(substr(m, 1, 4), substr(m, 6, 2), substr(m, 9, 2)) "
            "ELSE make_day(substr(m, 7, 4), substr(m, 4, 2), substr(m, 1, 2)) END")
     day = day.replace("make_day(", "concat_ws('-', ")
-    days = f"datediff(try_cast({day} AS DATE), DATE'{FIRST_DAY}')"
+    since = f"datediff(try_cast({{}} AS DATE), DATE'{FIRST_DAY}')".format
     new = permuted_number("(n % 189)", "(n DIV 189)", 189, 773, key, "date")
     text = f"aggregate(array({new}), '', (z_v, v) -> date_format(date_add(DATE'{FIRST_DAY}', CAST(v.r * 189 + v.l AS INT)), {shape}))"
-    return _let("n", days, f"IF(n BETWEEN 0 AND 146096, {text}, m)")
+    other = since("concat_ws('-', substr(m, 7, 4), substr(m, 1, 2), substr(m, 4, 2))")
+    late = f"IF(m LIKE '__/%' AND substr(m, 4, 2) > '12' AND {other} BETWEEN 0 AND 146096, {_late_day(key)}, m)"
+    return _let("n", since(day), f"IF(n BETWEEN 0 AND 146096, {text}, {late})")
 
 
 def _email(key: str) -> str:

@@ -1,4 +1,5 @@
 """Operators 1, 3 and 6 against plain Python; their plans hold no Python."""
+import datetime as dt
 import hashlib
 import random
 import re
@@ -159,6 +160,49 @@ def test_pii_permutations_are_one_to_one(spark):
     assert spark.createDataFrame([(x,) for x in got[len(ssn):len(ssn) + len(dates)]], "d string").selectExpr("count(try_cast(d AS DATE)) n").first().n == len(dates)
 
 
+def test_pii_month_day_dates(spark):
+    days = [dt.date(1800, 1, 1) + dt.timedelta(days=k) for k in [*range(0, 1500), *range(72_900, 73_600), *range(145_000, 146_097)]]
+    late = [f"{d:%m/%d}/{d.year:04d}" for d in days if d.day > 12]
+    stay = ["13/32/1999", "02/30/2001", "02/29/1999", "12/31/1799", "00/13/1999"]
+    df = spark.createDataFrame([(k, f"on {x}, so") for k, x in enumerate(["12/31/1999", *late, *stay])], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    new = [got[k].text[3:-4] for k in range(len(got))]
+    changed, left = new[:1 + len(late)], new[1 + len(late):]
+    assert left == stay and changed[0] != "12/31/1999"
+    assert len(set(changed[1:])) == len(late)
+    for x in changed:
+        month, day, year = map(int, x.split("/"))
+        assert re.fullmatch(r"\d\d/\d\d/\d{4}", x) and day > 12 and dt.date(year, month, day) and 1800 <= year < 2200
+    assert sum(x != y for x, y in zip(late, changed[1:])) > 0.99 * len(late) and got[0].pii[0].kind == "date"
+
+
+def test_pii_month_day_numbering_is_whole(spark):
+    # Every number of a day after the 12th finds its month among the five that are looked at.
+    first = [(dt.date(1800 + k // 12, k % 12 + 1, 1) - dt.date(1800, 1, 1)).days - 12 * k for k in range(4800)] + [9 * 9833]
+    assert first[4800] == 146_097 - 4800 * 12
+    for k in range(4800):
+        assert all(k - 2 <= int(j / 18.436875) <= k + 2 for j in (first[k], first[k + 1] - 1))
+
+
+def test_pii_international_phones(spark):
+    private = ["+44 20 7946 0958", "+33 1 42 68 53 00", "+15551234567", "+49 (0)30 1234567", "+353 1 234 5678", "+33.1.42.68.53.00",
+               "+1 555 123 4567", "+1 (555) 123-4567", "+34 912\u00a0345\u202f678", "+7-495-123-45-67", "+4930/1234567", "+298 12345"]
+    cards = ["4111-1111-1111-1111"]
+    fixed = ["+1234567", "+1234567890123456", "a+12345678", "1+12345678", "++12345678", "+0123456789"]
+    rows = [(1, "; ".join(private)), (2, "; ".join(fixed)), (3, f"+{cards[0]}"), (4, "tel:" + private[0] + ". 90 people")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    new = got[1].text.split("; ")
+    code = ["44", "33", "1", "49", "353", "33", "1", "1", "34", "7", "49", "298"]
+    for old, x, c in zip(private, new, code):
+        assert x != old and re.sub(r"\d", "#", x) == re.sub(r"\d", "#", old) and x.startswith(f"+{c}")
+    assert [x.kind for x in got[1].pii] == ["phone"] * len(private)
+    digits = [re.sub(r"\D", "", x) for x in new]
+    assert digits[2] == digits[6] == digits[7] and digits[1] == digits[5]
+    assert got[2].text == rows[1][1]
+    assert [x.kind for x in got[3].pii] == ["card"]
+    assert got[4].text == f"tel:{new[0]}. 90 people"
+
+
 def test_registered_chat_digests(spark):
     from revspark.llm import queries
 
