@@ -5,9 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -15,8 +12,3 @@ def spark():
     s = get_spark(master="local[4]", shuffle_partitions=4)
     yield s
     s.stop()
-
-
-def files_df(spark, sources: dict, review_id: int = 0):
-    rows = [(review_id, k, v) for k, v in sources.items()]
-    return spark.createDataFrame(rows, "review_id long, file string, content string")

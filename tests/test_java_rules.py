@@ -1,6 +1,6 @@
 """Java rules on programs written from the rule descriptions, several shapes per rule."""
 import pytest
-from conftest import SF01, files_df
+from file_tables import SF01, files_df
 
 from revspark.operators import java_rules as J
 

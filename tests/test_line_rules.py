@@ -1,5 +1,5 @@
 """Line rules: goldens on the derived corpus and hand-made edge cases."""
-from conftest import SF01, files_df
+from file_tables import SF01, files_df
 
 from revspark.operators import line_rules as LR
 from revspark.operators.lines import lines

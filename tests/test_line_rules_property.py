@@ -5,7 +5,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import files_df
+from file_tables import files_df
 from revspark.operators import line_rules as LR
 from revspark.operators.lines import lines
 

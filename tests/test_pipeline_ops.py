@@ -2,7 +2,7 @@
 import hashlib
 import hmac
 
-from conftest import files_df
+from file_tables import files_df
 from pyspark.sql import functions as F
 
 from revspark.operators import diffs as DF

@@ -1,5 +1,5 @@
 """Throttle / TTL against a brute-force walk, streaming = batch, flow graphs."""
-from conftest import SF01
+from file_tables import SF01
 
 from pyspark.sql import functions as F
 
