@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.llm import ann, byte_bpe, chat, exact_dedup, licenses, minhash_dedup, packing, pii, suffix_dedup, toxicity
+from revspark.llm import ann, byte_bpe, chat, exact_dedup, licenses, merkle, minhash_dedup, packing, pii, suffix_dedup, toxicity
 from revspark.llm.common import read_table
 
 
@@ -78,6 +78,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    out = merkle.verify(merkle.manifest(read_table(spark, sf_dir, "documents"), tampered))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_packing": op2_packing,
@@ -89,8 +95,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_nearest": op10_nearest,
+    "op13_merkle": op13_merkle,
 }
 
+
 def op3_sql() -> str:
     """Every window against every template, without MinHash."""
     def q(x: str) -> str:
@@ -114,7 +122,57 @@ def op3_sql() -> str:
         FROM m WHERE share >= {licenses.SHARE} GROUP BY ALL"""
 
 
+def op13_sql() -> str:
+    """Level by level over (group, level, position): parents, then siblings of every ancestor; crc32 has no SQL function, so it is a table-driven fold."""
+    def part(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(part, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+    low = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    # crc32 of the decimal digits: one byte at a time, eight shifts each.
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    shifts = "c"
+    for _ in range(8):
+        shifts = f"list_transform([{shifts}], lambda c: {step})[1]"
+    byte = shifts.replace("[c]", "[xor(a, ascii(b)::BIGINT)]", 1)
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda a, b: {byte.replace('ascii(b)::BIGINT', 'b')}), 4294967295)"
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS own FROM documents),
+             l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+             t AS (SELECT lang, 0 AS lvl, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM l
+                   UNION ALL
+                   SELECT lang, lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 8),
+             s AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE n = 1),
+             u AS (SELECT 0 AS lvl, pos, subroot AS node, count(*) OVER () AS n FROM s
+                   UNION ALL
+                   SELECT lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM u WHERE n > 1 GROUP BY lvl, pos // 8),
+             h AS (SELECT max(lvl) AS height FROM u),
+             k AS (SELECT l.lang, max(lvl) AS depth FROM t JOIN l ON l.lang IS NOT DISTINCT FROM t.lang AND l.pos = 0 GROUP BY l.lang),
+             a AS (SELECT l.doc_id, l.leaf, l.own, l.lang, l.pos AS lpos, g.lvl AS step, g.pos AS p, g.node,
+                          CASE WHEN g.pos < l.pos // (8 ** g.lvl)::BIGINT THEN 0 ELSE 1 END AS side
+                   FROM l JOIN t g ON g.lang IS NOT DISTINCT FROM l.lang AND g.pos // 8 = l.pos // (8 ** (g.lvl + 1))::BIGINT AND g.pos <> l.pos // (8 ** g.lvl)::BIGINT
+                   UNION ALL
+                   SELECT l.doc_id, l.leaf, l.own, l.lang, l.pos, k.depth + g.lvl, g.pos, g.node, CASE WHEN g.pos < s.pos // (8 ** g.lvl)::BIGINT THEN 0 ELSE 1 END
+                   FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN k ON k.lang IS NOT DISTINCT FROM l.lang
+                          JOIN u g ON g.pos // 8 = s.pos // (8 ** (g.lvl + 1))::BIGINT AND g.pos <> s.pos // (8 ** g.lvl)::BIGINT),
+             b AS (SELECT lang, lpos, step, coalesce(string_agg(node, '' ORDER BY p) FILTER (side = 0), '') AS lft, coalesce(string_agg(node, '' ORDER BY p) FILTER (side = 1), '') AS rgt
+                   FROM a GROUP BY ALL),
+             steps AS (SELECT l.lang, l.pos AS lpos, l.doc_id, l.leaf, l.own, coalesce(list(struct_pack(step := y.step, l := coalesce(b.lft, ''), r := coalesce(b.rgt, '')) ORDER BY y.step) FILTER (y.step IS NOT NULL), []) AS sides
+                       FROM l JOIN k ON k.lang IS NOT DISTINCT FROM l.lang CROSS JOIN h
+                       LEFT JOIN (SELECT unnest(range(0, 64)) AS step) y ON y.step < k.depth + h.height
+                       LEFT JOIN b ON b.lang IS NOT DISTINCT FROM l.lang AND b.lpos = l.pos AND b.step = y.step GROUP BY ALL),
+             f AS (SELECT *, list_reduce(list_prepend(own, list_transform(sides, lambda x: x.l || '|' || x.r)),
+                             lambda c, x: sha256(split_part(x, '|', 1) || c || split_part(x, '|', 2))) AS folded_root FROM steps),
+             r AS (SELECT node AS root FROM u WHERE n = 1)
+        SELECT doc_id, leaf, s.subroot, r.root, sha256(array_to_string(list_transform(sides, lambda x: x.l || x.r), '')) AS proof_sha256,
+               folded_root, folded_root = r.root AS verified
+        FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang CROSS JOIN r"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle": op13_sql(),
     "op3_licenses": op3_sql(),
     "op1_chat": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
