@@ -18,10 +18,27 @@ BATCH_ROWS = 256
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch sent to Python, unless the session names a bound of its own.
+BATCH_BYTES = 2 << 20
+BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes (the same bound for every
+    operator, so it does not matter which was built last), and let Python
+    workers look for this package where the driver found it."""
+    if spark.conf.get(BATCH_BYTES_CONF, None) is None:
+        spark.conf.set(BATCH_BYTES_CONF, str(BATCH_BYTES))
+    package_path(spark)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Set the session's Arrow batch size for the operator that is being built,
-    and let Python workers look for this package where the driver found it."""
+    """Set the session's Arrow batch size for the operator that is being built."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    package_path(spark)
+
+
+def package_path(spark: SparkSession) -> None:
     environment = spark.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), ROOT]))

@@ -121,7 +121,8 @@ class WordTokens:
         return [whole[i] if i in whole else all_ids[cuts[i]:cuts[i + 1]] for i in range(len(texts))]
 
 
-def _tokens(path: str) -> WordTokens:
+def token_encoder(path: str) -> WordTokens:
+    """This Python worker's encoder of the tokenizer file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return worker_cache(("words", path), lambda: WordTokens(path))
 
@@ -136,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     small_batches(docs.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _tokens(tokenizer_path)
+        enc = token_encoder(tokenizer_path)
         for b in batches:
             out: list[list] = [[], [], [], [], []] + ([[]] if with_ids else [])
             for doc, own in zip(b.column(0).to_pylist(), enc.ids(b.column(1))):

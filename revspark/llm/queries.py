@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.llm import ann, byte_bpe, chat, exact_dedup, licenses, merkle, minhash_dedup, packing, pii, suffix_dedup, toxicity
-from revspark.llm.common import read_table
+from revspark.llm import ann, byte_bpe, chat, exact_dedup, licenses, merkle, minhash_dedup, packing, pii, suffix_dedup, token_store, toxicity
+from revspark.llm.common import read_table, shared_path
 
 
 #: The conversation that op1 adds: control strings as ordinary text.
@@ -78,6 +78,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-store")
+    token_store.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.checksums(spark, path)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
     out = merkle.verify(merkle.manifest(read_table(spark, sf_dir, "documents"), tampered))
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_nearest": op10_nearest,
+    "op12_token_store": op12_token_store,
     "op13_merkle": op13_merkle,
 }
 
