@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.llm import ann, byte_bpe, chat, exact_dedup, licenses, merkle, minhash_dedup, packing, pii, suffix_dedup, token_store, toxicity
+from revspark.llm import ann, byte_bpe, chat, exact_dedup, licenses, merkle, minhash_dedup, packing, pii, runs, suffix_dedup, token_store, toxicity
 from revspark.llm.common import read_table, shared_path
 
 
@@ -78,6 +78,15 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(read_table(spark, sf_dir, "documents"), runs.planted_order)
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period",
+        F.expr("length * 1000 div period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-store")
     token_store.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_nearest": op10_nearest,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_token_store": op12_token_store,
     "op13_merkle": op13_merkle,
 }
