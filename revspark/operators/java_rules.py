@@ -4,14 +4,11 @@ Semantics follow the reference rules; accepted lexical gaps are listed per
 rule.  Every rule is a composition of filters, windows (already clustered by
 file) and line-keyed containment joins from ``tokens``:
 
-* J1 resource leak: resource-typed local declarations ``left_anti`` a later
-  ``v.close()`` / escape in the same method (flow-insensitive; the
-  path-sensitive form is G5 on flow tables).
-* J2 null dereference: as-of join of each ``v.`` dereference to the last
-  definition of v before it in the method; null literal kept; ``left_anti``
-  guard scopes (then-part of ``if (v != null)``, code after ``if (v == null)``
-  outside its then-part).  Straight-line order stands in for paths (G6 is the
-  path form).
+* J1 resource leak: a path of the method from a resource-typed local
+  declaration to its end without ``v.close()`` or an escape.
+* J2 null dereference: a path from ``v = null`` to a ``v.`` dereference with no
+  other definition of v and no null test of v in between.  Both walk the
+  statements of the methods that have such names (``paths``).
 * J3a/b/c concurrency: fields x name uses ``left_anti`` synchronized blocks,
   ``min`` per (method, field); if-conditions x then-part calls; ``return f;``
   x collection fields.
@@ -31,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revspark.operators import paths
 from revspark.session import cut_lineage
 from revspark.operators.tokens import (
     EXPR_KEYWORDS, KEY, LINE_BITS, MODIFIERS, STMT_KEYWORDS, inside, nd_before, pairs, render, span_text, tokens,
@@ -63,7 +61,6 @@ DB_SCOPE_WORDS = ["repository", "dao", "mapper", "manager", "db"]
 DB_METHOD_PREFIXES = ["find", "get", "save", "delete", "update", "select", "query", "insert"]
 STREAM_CALLS = ["map", "forEach", "flatMap", "filter"]
 BODY_KEYWORDS = ["if", "for", "while", "switch", "catch", "synchronized"]
-JUMPS = ["return", "throw", "break", "continue"]
 SQL_CALLS = ["executeQuery", "execute", "executeUpdate", "prepareStatement", "query"]
 SECRET_NAME_RE = r"(?i)(password|passwd|pwd|secret|api_?key|token)"
 # operators binding looser than '+' (a top-level one makes the argument something else)
@@ -277,29 +274,18 @@ class JavaTables:
         return self._get("heads", build)
 
     @property
-    def conditional(self) -> DataFrame:
-        """Spans that need not run when the code around them does: s_pos,
-        s_end, s_line, e_line, final.  Bodies of if / for / while / switch /
-        catch and of else; ``final`` spans (finally blocks) always run."""
+    def resources(self) -> DataFrame:
+        """J1's resource declarations."""
+        return self._get("resources", lambda: _resources(self))
+
+    @property
+    def paths(self) -> DataFrame:
+        """Leaks and reached dereferences on the paths of each method (``paths.FOUND_DDL``)."""
         def build():
-            h = self.heads.filter(F.col("kw") != "synchronized").select(*KEY, F.col("c_pos").alias("s_pos"), F.col("body_end").alias("s_end"), F.lit(False).alias("final"))
-            e = self.t.filter(F.col("tok").isin("else", "finally") & (F.col("n1") != "if"))
-            br = self.braces.select(*KEY, F.col("o_pos").alias("n1_pos"), F.col("c_pos").alias("blk_end"))
-            e = e.join(br, [*KEY, "n1_pos"], "left").select(
-                *KEY, F.col("pos").alias("s_pos"), F.when(F.col("n1") == "{", F.col("blk_end")).otherwise(F.col("next_semi")).alias("s_end"),
-                (F.col("tok") == "finally").alias("final"))
-            return h.unionByName(e).filter("s_end is not null").withColumn("s_line", pline(F.col("s_pos"))).withColumn("e_line", pline(F.col("s_end")))
-        return self._get("conditional", build)
-
-    def conditions_of(self, items: DataFrame, pos: str, line: str) -> DataFrame:
-        """Adds cond_start, cond_end (the innermost conditional span around the
-        item, null if there is none) and in_finally."""
-        keys = items.select(*KEY, F.col(pos).alias("pos"), F.col(line).alias("line")).distinct()
-        j = inside(keys, self.conditional, "s_pos", "s_end", "s_line", "e_line")
-        g = j.groupBy(*KEY, "pos").agg(
-            F.max(F.when(~F.col("final"), F.struct("s_pos", "s_end"))).alias("_s"), F.max("final").alias("in_finally"))
-        g = g.select(*KEY, F.col("pos").alias(pos), F.col("_s.s_pos").alias("cond_start"), F.col("_s.s_end").alias("cond_end"), "in_finally")
-        return items.join(g, [*KEY, pos], "left").withColumn("in_finally", F.coalesce("in_finally", F.lit(False)))
+            events = self._cut(_resource_events(self).unionByName(_null_events(self)))
+            statements = _statement_rows(self, events.select(*KEY, "m_open").distinct())
+            return paths.find_paths(events.unionByName(statements))
+        return self._get("paths", build)
 
     def call_text(self, calls: DataFrame) -> DataFrame:
         """Rendered text of each call from its start to the closing paren."""
@@ -368,8 +354,8 @@ def _declarators(jt: JavaTables) -> DataFrame:
     return jt.in_methods(cand, "pos", "line")
 
 
-def resource_leaks(jt: JavaTables) -> DataFrame:
-    """No close or escape that runs whenever the code after the declaration does."""
+def _resources(jt: JavaTables) -> DataFrame:
+    """Resource-typed local declarations outside try headers: d_pos, var, type_text and the innermost method."""
     t = jt.t
     dec = _declarators(jt)
     # innermost method only (the declaration belongs to one method body)
@@ -392,11 +378,18 @@ def resource_leaks(jt: JavaTables) -> DataFrame:
     g = g.withColumn("type_toks", F.when(F.col("_idx") > 0, F.slice("_toks", F.size("_toks") - F.col("_idx") + 2,
                                                                      F.col("_idx"))).otherwise(F.col("_toks")))
     g = g.withColumn("type_text", F.array_join("type_toks", ""))
-    res = dec.select(*KEY, F.col("pos").alias("d_pos"), "line", "m_open", "m_close", "m_open_line", "m_close_line",
+    res = dec.select(*KEY, F.col("pos").alias("d_pos"), "line", "m_open", "m_close", "m_close_line",
                      "next_semi").join(g.select(*KEY, "d_pos", "type_text", "in_twr"), [*KEY, "d_pos"])
     res = res.filter(_any(F.lower(F.col("type_text")), RESOURCE_WORDS) & ~F.col("in_twr"))
     names = t.select(*KEY, F.col("pos").alias("d_pos"), F.col("tok").alias("var"))
-    res = res.join(names, [*KEY, "d_pos"])
+    return res.join(names, [*KEY, "d_pos"])
+
+
+def _resource_events(jt: JavaTables) -> DataFrame:
+    """Openings, and closes and escapes of the names opened in their method."""
+    t = jt.t
+    res = jt.resources
+    names = res.select(*KEY, "m_open", "var").distinct()
     # closes: v.close() with receiver text exactly v
     closes = jt.calls.filter((F.col("name") == "close")).select(*KEY, F.col("receiver").alias("var"),
                                                                   F.col("name_pos").alias("x_pos"))
@@ -407,24 +400,70 @@ def resource_leaks(jt: JavaTables) -> DataFrame:
         (F.col("p2") == ".") | ((F.col("p2") != ".") & (F.col("p1").startswith("field") | F.col("p1").rlike(r"^[A-Z]")))))
     asg = assign.select(*KEY, F.col("pos").alias("x_pos"), "next_semi", F.col("line").alias("l0"),
                         pline(F.col("next_semi")).alias("l1"))
-    # the expression starts after the keyword or operator
+    # the expression starts after the keyword or operator, which is where the escape counts: inside its statement
     spans = rets.unionByName(asg).withColumn("v0", F.col("x_pos") + 1)
-    escapes = span_text(t, spans, [*KEY, "x_pos"], "v0", "next_semi", "l0", "l1", out="x_text")
-    # closes / escapes are keyed by every method enclosing them: the tests below stay inside one method
-    # (no pairs across a whole file).  One counts if every condition around it also holds the
-    # declaration, or if it is in a finally block
-    counts = F.col("in_finally") | (F.coalesce("cond_start", F.lit(-1)) < F.col("d_pos"))
-    cm = jt.in_methods(jt.conditions_of(closes.withColumn("c_line", pline(F.col("x_pos"))), "x_pos", "c_line"), "x_pos", "c_line") \
-        .select(*KEY, "m_open", "var", "x_pos", "cond_start", "in_finally")
-    closed = res.join(cm, [*KEY, "m_open", "var"]).filter((F.col("x_pos") > F.col("d_pos")) & counts).select(*KEY, "d_pos")
-    em = jt.in_methods(jt.conditions_of(escapes.withColumn("e_line", pline(F.col("x_pos"))), "x_pos", "e_line"), "x_pos", "e_line") \
-        .select(*KEY, "m_open", "x_pos", "x_text", "cond_start", "in_finally")
-    escaped = res.join(em, [*KEY, "m_open"]).filter(
-        (F.col("x_pos") > F.col("d_pos")) & counts & F.col("x_text").contains(F.col("var"))).select(*KEY, "d_pos")
-    leak = res.join(closed, [*KEY, "d_pos"], "left_anti").join(escaped, [*KEY, "d_pos"], "left_anti")
+    escapes = span_text(t, spans, [*KEY, "x_pos"], "v0", "next_semi", "l0", "l1", out="x_text").withColumn("x_pos", F.col("x_pos") + 1)
+    # closes and escapes are keyed by every method enclosing them: the tests below stay inside one method
+    cm = jt.in_methods(closes.withColumn("c_line", pline(F.col("x_pos"))), "x_pos", "c_line").select(*KEY, "m_open", "var", "x_pos")
+    em = jt.in_methods(escapes.withColumn("e_line", pline(F.col("x_pos"))), "x_pos", "e_line").select(*KEY, "m_open", "x_pos", "x_text")
+    ended = cm.join(names, [*KEY, "m_open", "var"], "left_semi").unionByName(
+        em.join(names, [*KEY, "m_open"]).filter(F.col("x_text").contains(F.col("var"))).drop("x_text"))
+    return _event(res.withColumnRenamed("d_pos", "pos"), "open").unionByName(_event(ended.withColumnRenamed("x_pos", "pos"), "close"))
+
+
+def _event(df: DataFrame, kind: Column | str) -> DataFrame:
+    """A row of ``paths.ROWS_DDL``."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return df.select(*KEY, "m_open", "pos", kind.alias("kind"), "var", F.lit(-1).cast("long").alias("at"))
+
+
+def _null_events(jt: JavaTables) -> DataFrame:
+    """Definitions, dereferences and null tests of the names that a method sets to null."""
+    t = jt.t
+    defs = t.filter((F.col("kind") == "id") & (F.col("n1") == "=") & ~F.coalesce(F.col("p1") == ".", F.lit(False))) \
+        .select(*KEY, F.col("tok").alias("var"), "pos", "line",
+                ((F.col("n2") == "null") & F.col("n3").isin(";", ",", ")")).alias("is_null"))
+    uses = t.filter((F.col("kind") == "id") & (F.col("n1") == ".") & F.col("n2").rlike(r"^[A-Za-z_$]")
+                    & ~F.coalesce(F.col("p1") == ".", F.lit(False))) \
+        .select(*KEY, F.col("tok").alias("var"), "pos", "line")
+    # innermost method of each event
+    w = Window.partitionBy(*KEY, "pos").orderBy(F.col("m_open").desc())
+    own = lambda df: jt.in_methods(df, "pos", "line").withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    dm = jt._cut(own(defs).select(*KEY, "m_open", "var", "pos", "is_null"))
+    names = dm.filter("is_null").select(*KEY, "m_open", "var").distinct()
+    at = [*KEY, "m_open", "var"]
+    # conditions that are exactly  v op null  (3 tokens between the parens)
+    nullness = F.when(F.col("n3") == "null", F.col("n1")).when(F.col("n1") == "null", F.col("n3"))
+    cond = t.filter((F.col("tok") == "(") & (F.col("p1") == "if") & F.col("n2").isin("==", "!=")).select(
+        *KEY, F.col("pos").alias("o_pos"), nullness.alias("var"), F.col("n2").alias("op"))
+    tests = jt.heads.filter(F.col("kw") == "if").join(cond, [*KEY, "o_pos"]).filter(F.col("var").isNotNull())
+    fourth = t.select(*KEY, F.col("pos").alias("o_pos"), F.lead("pos", 4).over(Window.partitionBy(*KEY).orderBy("pos")).alias("_c4"))
+    tests = tests.join(fourth, [*KEY, "o_pos"]).filter(F.col("_c4") == F.col("c_pos")).select(*KEY, "var", "op", F.col("c_pos").alias("pos"), F.col("c_line").alias("line"))
+    tests = jt.in_methods(tests, "pos", "line")
+    return (_event(dm.join(names, at, "left_semi"), F.when(F.col("is_null"), "null").otherwise("set"))
+            .unionByName(_event(own(uses).join(names, at, "left_semi"), "use"))
+            .unionByName(_event(tests.join(names, at, "left_semi"), F.when(F.col("op") == "!=", "ne").otherwise("eq"))))
+
+
+def _statement_rows(jt: JavaTables, methods: DataFrame) -> DataFrame:
+    """Keywords, brackets and statement ends inside ``methods`` (KEY, m_open)."""
+    t = jt.t.filter(F.col("tok").isin(*paths.WORDS, "{", "}", ";")).select(*KEY, "pos", "line", "tok", "p1", "p1_pos")
+    heads = jt.parens.filter(F.col("p1").isin(*BODY_KEYWORDS, "try")).select(*KEY, F.col("p1_pos").alias("pos"), "c_pos")
+    bare = F.coalesce(F.col("p1").isin("{", "}", ";", ":"), F.lit(True))
+    at = F.when((F.col("tok") == "{") & ~bare, F.col("p1_pos")).otherwise(F.coalesce("c_pos", F.lit(-1)))
+    spans = jt.methods.join(methods, [*KEY, "m_open"], "left_semi").select(*KEY, "m_open", "m_close", "m_open_line", "m_close_line")
+    rows = t.join(heads, [*KEY, "pos"], "left").select(
+        *KEY, "pos", "line", F.col("tok").alias("kind"), F.when((F.col("tok") == "if") & (F.col("p1") == "else"), "else").alias("var"), at.cast("long").alias("at"))
+    return inside(rows, spans, "m_open", "m_close", "m_open_line", "m_close_line").select(*KEY, "m_open", "pos", "kind", "var", "at")
+
+
+def resource_leaks(jt: JavaTables) -> DataFrame:
+    """A path from the declaration to the method's end without a close or an escape."""
+    found = jt.paths.filter(F.col("what") == "leak").select(*KEY, "m_open", F.col("pos").alias("d_pos"))
+    leak = jt.resources.join(found, [*KEY, "m_open", "d_pos"], "left_semi")
     # snippet: declarator text from the name to the end of the initializer
     ends = leak.select(*KEY, "d_pos", "next_semi", F.col("line").alias("l0"), pline(F.col("next_semi")).alias("l1"))
-    decl_text = span_text(t, ends.withColumn("e", F.col("next_semi") - 1), [*KEY, "d_pos"], "d_pos", "e", "l0", "l1",
+    decl_text = span_text(jt.t, ends.withColumn("e", F.col("next_semi") - 1), [*KEY, "d_pos"], "d_pos", "e", "l0", "l1",
                           out="snip")
     out = leak.join(decl_text, [*KEY, "d_pos"], "left")
     return _finding(out, R_LEAK, "ERROR", F.col("line"), F.col("snip"),
@@ -435,67 +474,9 @@ def resource_leaks(jt: JavaTables) -> DataFrame:
 # ------------------------------------------------------------------ J2
 
 def null_derefs(jt: JavaTables) -> DataFrame:
-    """A null definition that reaches a dereference past no guard."""
-    t = jt.t
-    defs = t.filter((F.col("kind") == "id") & (F.col("n1") == "=") & ~F.coalesce(F.col("p1") == ".", F.lit(False))) \
-        .select(*KEY, F.col("tok").alias("var"), "pos", "line",
-                ((F.col("n2") == "null") & F.col("n3").isin(";", ",", ")")).alias("is_null"))
-    derefs = t.filter((F.col("kind") == "id") & (F.col("n1") == ".") & F.col("n2").rlike(r"^[A-Za-z_$]")
-                      & ~F.coalesce(F.col("p1") == ".", F.lit(False))) \
-        .select(*KEY, F.col("tok").alias("var"), "pos", "line")
-    dm = jt.in_methods(defs, "pos", "line")
-    um = jt.in_methods(derefs, "pos", "line")
-    # innermost method of each event
-    w = Window.partitionBy(*KEY, "pos").orderBy(F.col("m_open").desc())
-    dm = dm.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*KEY, "m_open", "var", "pos", "line",
-                                                                              "is_null")
-    um = um.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*KEY, "m_open", "m_close", "var", "pos",
-                                                                              "line")
-    # A definition replaces the earlier ones where every condition around it holds the use too; a null
-    # definition reaches a use unless a later such definition lies between them
-    dm = jt.conditions_of(dm, "pos", "line").select(
-        *KEY, "m_open", "var", F.col("pos").alias("def_pos"), F.col("line").alias("def_line"), "is_null", "cond_end")
-    at = um.join(dm, [*KEY, "m_open", "var"]).filter(F.col("def_pos") < F.col("pos"))
-    kills = F.col("cond_end").isNull() | (F.col("cond_end") >= F.col("pos"))
-    last = at.groupBy(*KEY, "m_open", "m_close", "var", "pos", "line").agg(
-        F.max(F.when(kills, F.col("def_pos"))).alias("last_kill"),
-        F.collect_set(F.when(F.col("is_null"), F.struct("def_pos", "def_line"))).alias("_nulls"))
-    reach = F.filter("_nulls", lambda n: n["def_pos"] >= F.coalesce("last_kill", F.lit(-1)))
-    hit = last.withColumn("_d", F.array_min(reach)).filter(F.col("_d").isNotNull()).select(
-        *KEY, "m_open", "m_close", "var", "pos", "line", F.col("_d.def_pos").alias("def_pos"), F.col("_d.def_line").alias("def_line"))
-    # guards: if (v != null) { deref } ; if (v == null) whose then-part leaves or sets v ... deref after it
-    ifs = jt.heads.filter(F.col("kw") == "if").select(*KEY, "o_pos", "c_pos", "c_n1", F.col("body_end").alias("then_end"))
-    cond = t.select(*KEY, F.col("pos").alias("o_pos"), F.col("n1").alias("a"), F.col("n2").alias("op"),
-                    F.col("n3").alias("b"))
-    ifs = ifs.join(cond, [*KEY, "o_pos"])
-    ifs = ifs.withColumn("gvar", F.when(F.col("b") == "null", F.col("a")).when(F.col("a") == "null", F.col("b")))
-    ifs = ifs.filter(F.col("op").isin("==", "!=") & F.col("gvar").isNotNull())
-    # the condition must be exactly  v op null  (3 tokens between the parens)
-    close_of = t.select(*KEY, F.col("pos").alias("o_pos"), F.lead("pos", 4).over(
-        Window.partitionBy(*KEY).orderBy("pos")).alias("_c4"))
-    ifs = ifs.join(close_of, [*KEY, "o_pos"]).filter(F.col("_c4") == F.col("c_pos"))
-    # a block leaves if its last statement is a jump: the jump's ';' is followed by the block's '}'
-    semis = t.filter(F.col("tok") == ";").select(*KEY, F.col("pos").alias("next_semi"), F.col("n1_pos").alias("then_end"))
-    ends = t.filter(F.col("tok").isin(*JUMPS)).select(*KEY, "next_semi").join(semis, [*KEY, "next_semi"]) \
-        .select(*KEY, "then_end", F.lit(True).alias("jumps")).distinct()
-    ifs = ifs.join(ends, [*KEY, "then_end"], "left").select(
-        *KEY, F.col("gvar").alias("var"), F.col("op"), F.col("c_pos").alias("if_c"), "then_end",
-        F.coalesce(F.when(F.col("c_n1") == "{", F.col("jumps")).otherwise(F.col("c_n1").isin(*JUMPS)), F.lit(False)).alias("leaves"))
-    # guards are compared only with dereferences of the same method (no pairs across a file)
-    ifs = jt.in_methods(ifs.withColumn("i_line", pline(F.col("if_c"))), "if_c", "i_line") \
-        .select(*KEY, "var", "op", "if_c", "then_end", "m_open", "leaves")
-    sets = dm.filter(~F.col("is_null")).select(*KEY, "m_open", "var", F.col("def_pos").alias("set_pos"))
-    sets = ifs.join(sets, [*KEY, "m_open", "var"]).filter("set_pos > if_c and set_pos <= then_end").select(*KEY, "m_open", "var", "if_c", F.lit(True).alias("sets")).distinct()
-    ifs = ifs.join(sets, [*KEY, "m_open", "var", "if_c"], "left").withColumn("leaves", F.col("leaves") | F.coalesce("sets", F.lit(False)))
-    h = hit.alias("h").join(ifs.alias("g"), [*KEY, "var", "m_open"])
-    in_then = (F.col("h.pos") > F.col("g.if_c")) & (F.col("h.pos") <= F.col("g.then_end"))
-    after_eq = F.col("g.leaves") & (F.col("g.if_c") > F.col("h.def_pos")) & (F.col("g.if_c") < F.col("h.pos")) & (
-        F.col("g.if_c") > F.col("h.m_open")) & ~in_then
-    guarded = h.filter(((F.col("g.op") == "!=") & in_then) | ((F.col("g.op") == "==") & after_eq)).select(
-        *[F.col(f"h.{c}") for c in KEY], F.col("h.pos").alias("pos"), F.col("h.var").alias("var"))
-    keep = hit.join(guarded, [*KEY, "pos", "var"], "left_anti")
-    # one finding per (statement line, var) per method
-    keep = keep.groupBy(*KEY, "m_open", "line", "var").agg(F.min("def_line").alias("def_line"))
+    """A null definition that reaches a dereference on a path past no guard; one finding per (line, name) of a method."""
+    hit = jt.paths.filter(F.col("what") == "null").withColumns({"line": pline(F.col("pos")), "def_line": pline(F.col("def_pos"))})
+    keep = hit.groupBy(*KEY, "m_open", "line", "var").agg(F.min("def_line").alias("def_line"))
     out = keep.join(jt.lines_text, [*KEY, "line"], "left")
     return _finding(out, R_NULL, "ERROR", F.col("line"), F.col("line_text"),
                     _fmt(MSG_NULL, F.col("var"), F.col("def_line")),
