@@ -50,7 +50,7 @@ def changed_lines(diffs: DataFrame, keys: tuple[str, ...] = ("diff_id",), partit
     tracked = F.col("cur").isNotNull() & ~is_git
     is_hunk = tracked & l.startswith("@@ ")
     start = F.regexp_extract(l, r"\+(\d+)", 1)
-    rows = rows.withColumn("hunk_start", F.when(is_hunk & (start != ""), start.try_cast("long"))) \
+    rows = rows.withColumn("hunk_start", F.when(is_hunk & (start != ""), start.try_cast("int").cast("long"))) \
                .withColumn("is_hunk", is_hunk)
     rows = rows.withColumn("hunk_pos", F.last(F.when(F.col("is_hunk"), F.col("pos")), ignorenulls=True).over(upto))
     # '+++' is a file header only before the first hunk of the file; inside a hunk it is added text
@@ -66,6 +66,9 @@ def changed_lines(diffs: DataFrame, keys: tuple[str, ...] = ("diff_id",), partit
     base = F.coalesce(F.col("last_start.hunk_start"), F.lit(0))
     base_cum = F.coalesce(F.col("last_start.cum"), F.lit(0))
     line = base + (F.col("cum") - 1 - base_cum)
+    # counting on past the largest int goes on at the smallest, as int arithmetic does
+    span = F.lit(1 << 32)
+    line = F.pmod(line + F.lit(1 << 31), span) - F.lit(1 << 31)
     return rows.filter("plus").select(*keys, F.col("cur").alias("file"), line.cast("int").alias("line")) \
         .dropDuplicates()
 

@@ -627,26 +627,26 @@ from revspark.sources import code_files as CF  # noqa: E402
 # classes, copies.  $v / $n are the template's variable and chunk number, $L
 # the line of the finding, $P that of the null definition (always the template's second line).
 JAVA_EXPECTED = [
-    (0, "j1_resource_leak", JR.R_LEAK, "ERROR", 1, '$v = new FileInputStream("a//b")',
-     JR.MSG_LEAK.format("$v", "FileInputStream"), False, 1),
+    (0, "j1_resource_leak", JR.R_LEAK, "ERROR", 1, '$v = FileChannel.open(log, "r//w")',
+     JR.MSG_LEAK.format("$v", "FileChannel"), False, 1),
     (3, "j2_null_deref", JR.R_NULL, "ERROR", 2, "return $v.capacity();", JR.MSG_NULL.format("$v", "$P"), False, 1),
-    (5, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "count++;", JR.MSG_SHARED.format("count"), True, 1),
-    (6, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "if (!map.containsKey(badge)) {", JR.MSG_SHARED.format("map"),
+    (5, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "visits += 2;", JR.MSG_SHARED.format("visits"), True, 1),
+    (6, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "if (desks.get(badge) == null) {", JR.MSG_SHARED.format("desks"),
      True, 1),
-    (6, "j3b_check_then_act", JR.R_CONC, "WARNING", 1, "!map.containsKey(badge)", JR.MSG_CTA, False, 1),
-    (7, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "return map;", JR.MSG_SHARED.format("map"), True, 1),
-    (7, "j3c_unsafe_publication", JR.R_CONC, "WARNING", 2, "return map;", JR.MSG_PUBLISH.format("map"), False, 1),
-    (8, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "Badge b = userRepository.findByCode(codes[q]);",
-     JR.MSG_SHARED.format("userRepository"), True, 1),
-    (8, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "userRepository.findByCode(codes[q])", JR.MSG_N1_LOOP, False, 1),
+    (6, "j3b_check_then_act", JR.R_CONC, "WARNING", 1, "desks.get(badge) == null", JR.MSG_CTA, False, 1),
+    (7, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "return desks;", JR.MSG_SHARED.format("desks"), True, 1),
+    (7, "j3c_unsafe_publication", JR.R_CONC, "WARNING", 2, "return desks;", JR.MSG_PUBLISH.format("desks"), False, 1),
+    (8, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "Badge b = badgeRepository.findByCode(codes[q]);",
+     JR.MSG_SHARED.format("badgeRepository"), True, 1),
+    (8, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "badgeRepository.findByCode(codes[q])", JR.MSG_N1_LOOP, False, 1),
     (9, "j3a_shared_field", JR.R_CONC, "WARNING", 1,
-     "return codes.stream().map(c -> userRepository.findByCode(c)).toList();", JR.MSG_SHARED.format("userRepository"),
+     "return codes.stream().map(c -> badgeRepository.findByCode(c)).toList();", JR.MSG_SHARED.format("badgeRepository"),
      True, 1),
-    (9, "j4b_query_in_stream", JR.R_N1, "WARNING", 1, "userRepository.findByCode(c)", JR.MSG_N1_STREAM, False, 1),
-    (10, "j3a_shared_field", JR.R_CONC, "WARNING", 3, "userRepository.save(a);",
-     JR.MSG_SHARED.format("userRepository"), True, 1),
-    (10, "j4a_query_in_loop", JR.R_N1, "WARNING", 3, "userRepository.save(a)", JR.MSG_N1_LOOP, False, 2),
-    (11, "j5_sql_concat", JR.R_SQL, "ERROR", 1, "st.executeQuery(\"select * from t where n = '\" + $v + \"'\")",
+    (9, "j4b_query_in_stream", JR.R_N1, "WARNING", 1, "badgeRepository.findByCode(c)", JR.MSG_N1_STREAM, False, 1),
+    (10, "j3a_shared_field", JR.R_CONC, "WARNING", 3, "badgeRepository.save(a);",
+     JR.MSG_SHARED.format("badgeRepository"), True, 1),
+    (10, "j4a_query_in_loop", JR.R_N1, "WARNING", 3, "badgeRepository.save(a)", JR.MSG_N1_LOOP, False, 2),
+    (11, "j5_sql_concat", JR.R_SQL, "ERROR", 1, "st.executeUpdate(\"delete from badges where code = \" + $v)",
      JR.MSG_SQL, False, 1),
     (13, "j6_hardcoded_secret", JR.R_SECRET, "ERROR", 1, 'password = "p$n-$v"', JR.MSG_SECRET.format("password"),
      False, 1),
@@ -660,16 +660,23 @@ JAVA_EXPECTED = [
     (18, "j2_null_deref", JR.R_NULL, "ERROR", 5, "return $v.length();", JR.MSG_NULL.format("$v", "$P"), False, 1),
     (19, "j2_null_deref", JR.R_NULL, "ERROR", 5, "audit($v.trim());", JR.MSG_NULL.format("$v", "$P"), False, 1),
     # 21: words of an initializer are no fields; 22: a '>' that compares
-    (22, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "return n > count;", JR.MSG_SHARED.format("count"), True, 1),
+    (22, "j3a_shared_field", JR.R_CONC, "WARNING", 1, "return n > visits;", JR.MSG_SHARED.format("visits"), True, 1),
     # a loop without braces around an if; a chained receiver
-    (23, "j3a_shared_field", JR.R_CONC, "WARNING", 3, "userRepository.findOne(id);",
-     JR.MSG_SHARED.format("userRepository"), True, 1),
-    (23, "j4a_query_in_loop", JR.R_N1, "WARNING", 3, "userRepository.findOne(id)", JR.MSG_N1_LOOP, False, 1),
-    (23, "j4a_query_in_loop", JR.R_N1, "WARNING", 4, "userRepository.deleteAll(id)", JR.MSG_N1_LOOP, False, 1),
-    (24, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "userRepository.queryFor(q).getRows();",
-     JR.MSG_SHARED.format("userRepository"), True, 1),
-    (24, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "userRepository.queryFor(q)", JR.MSG_N1_LOOP, False, 1),
-    (24, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "userRepository.queryFor(q).getRows()", JR.MSG_N1_LOOP, False, 1),
+    (23, "j3a_shared_field", JR.R_CONC, "WARNING", 3, "badgeRepository.findOne(id);",
+     JR.MSG_SHARED.format("badgeRepository"), True, 1),
+    (23, "j4a_query_in_loop", JR.R_N1, "WARNING", 3, "badgeRepository.findOne(id)", JR.MSG_N1_LOOP, False, 1),
+    (23, "j4a_query_in_loop", JR.R_N1, "WARNING", 4, "badgeRepository.deleteAll(id)", JR.MSG_N1_LOOP, False, 1),
+    (24, "j3a_shared_field", JR.R_CONC, "WARNING", 2, "badgeRepository.queryFor(q).getRows();",
+     JR.MSG_SHARED.format("badgeRepository"), True, 1),
+    (24, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "badgeRepository.queryFor(q)", JR.MSG_N1_LOOP, False, 1),
+    (24, "j4a_query_in_loop", JR.R_N1, "WARNING", 2, "badgeRepository.queryFor(q).getRows()", JR.MSG_N1_LOOP, False, 1),
+    # paths: a return and a throw before the close (27 closes on both branches, 32 in a switch, 33 on nested branches)
+    (28, "j1_resource_leak", JR.R_LEAK, "ERROR", 1, '$v = open("f")', JR.MSG_LEAK.format("$v", "Reader"), False, 1),
+    (31, "j1_resource_leak", JR.R_LEAK, "ERROR", 1, '$v = open("g")', JR.MSG_LEAK.format("$v", "Reader"), False, 1),
+    # a null that comes round the loop; a loop that may not run or is left early (29 sets on both branches, 35 in a do body)
+    (30, "j2_null_deref", JR.R_NULL, "ERROR", 1, "for (int i = 0; i < 3; i++) {audit($v.trim()); $v = null; }",
+     JR.MSG_NULL.format("$v", "$P"), False, 1),
+    (34, "j2_null_deref", JR.R_NULL, "ERROR", 7, "return $v.length();", JR.MSG_NULL.format("$v", "$P"), False, 1),
 ]
 
 

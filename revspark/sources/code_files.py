@@ -22,33 +22,42 @@ from revspark.sources.tables import table
 # The fixture templates (FIXTURES.md B1), one per line as
 # "ext idx|body"; "~" is a line break, "$v" a variable name, "$n" the chunk no.
 TEMPLATES_TEXT = r"""
-java 0|  public void leak$n() throws Exception {~    FileInputStream $v = new FileInputStream("a//b");~    int d = $v.read();~  }
-java 1|  public void safe$n() throws Exception {~    try (FileInputStream $v = new FileInputStream("a")) {~      $v.read();~    }~  }
-java 2|  public void closed$n() throws Exception {~    FileInputStream $v = new FileInputStream("a");~    $v.close();~  }
+java 0|  public long meter$n(File log) throws Exception {~    FileChannel $v = FileChannel.open(log, "r//w");~    long seen = $v.size();~    return seen;~  }
+java 1|  public int peek$n(Socket line) throws Exception {~    try (Reader $v = wrap(line)) {~      return $v.read();~    }~  }
+java 2|  public void drain$n(Socket line) throws Exception {~    BufferedWriter $v = wrap(line);~    $v.flush();~    $v.close();~  }
 java 3|  public int width$n() {~    StringBuilder $v = null;~    return $v.capacity();~  }
 java 4|  public int safeWidth$n() {~    StringBuilder $v = null;~    int w = 0;~    if ($v != null) w = $v.capacity();~    return w;~  }
-java 5|  public void inc$n() {~    count++;~  }
-java 6|  public void enrol$n(String badge, String desk) {~    if (!map.containsKey(badge)) {~      audit(badge);~      map.put(badge, desk);~    }~  }
-java 7|  public Map<String,String> directory$n() {~    audit("read");~    return map;~  }
-java 8|  public void recall$n(int[] codes) {~    for (int q = 0; q < codes.length; q++) {~      Badge b = userRepository.findByCode(codes[q]);~      audit(b);~    }~  }
-java 9|  public Object roster$n(List<Integer> codes) {~    return codes.stream().map(c -> userRepository.findByCode(c)).toList();~  }
-java 10|  public void nest$n(List<String> ids) {~    for (String a : ids) {~      while (more(a)) {~        userRepository.save(a);~      }~    }~  }
-java 11|  public void sql$n(Statement st, String $v) throws Exception {~    st.executeQuery("select * from t where n = '" + $v + "'");~  }
+java 5|  public void arrive$n() {~    visits += 2;~  }
+java 6|  public void enrol$n(String badge, String desk) {~    if (desks.get(badge) == null) {~      audit(badge);~      desks.put(badge, desk);~    }~  }
+java 7|  public Map<String,String> directory$n() {~    audit("read");~    return desks;~  }
+java 8|  public void recall$n(int[] codes) {~    for (int q = 0; q < codes.length; q++) {~      Badge b = badgeRepository.findByCode(codes[q]);~      audit(b);~    }~  }
+java 9|  public Object roster$n(List<Integer> codes) {~    return codes.stream().map(c -> badgeRepository.findByCode(c)).toList();~  }
+java 10|  public void nest$n(List<String> ids) {~    for (String a : ids) {~      while (more(a)) {~        badgeRepository.save(a);~      }~    }~  }
+java 11|  public void prune$n(Statement st, String $v) throws Exception {~    st.executeUpdate("delete from badges where code = " + $v);~  }
 java 12|  public void sqlok$n(Statement st) throws Exception {~    st.executeQuery("select 1 + 1");~  }
 java 13|  public void secret$n() {~    String password = "p$n-$v";~    /* apiKey = "not code" */~  }
 java 14|  public void scanRow$n(String grid) {~    for (int row = 0; row <= grid.length(); row++) {~      audit(grid.charAt(row));~    }~  }
-java 15|  public synchronized void sync$n() {~    count = count + 1;~  }
+java 15|  public synchronized void sync$n() {~    visits = visits + 1;~  }
 java 16|  public int probe$n(String path) throws Exception {~    FileReader r = new FileReader(path);~    int b = 4;~    return b;~  }
 java 17|  public void maybe$n(boolean done) throws Exception {~    FileInputStream $v = new FileInputStream("c");~    if (done) {~      $v.close();~    }~  }
 java 18|  public int pick$n(boolean vip) {~    String $v = null;~    if (vip) {~      $v = "gold";~    }~    return $v.length();~  }
 java 19|  public void tell$n() {~    String $v = null;~    if ($v == null) {~      audit("none");~    }~    audit($v.trim());~  }
 java 20|  public void quiet$n() {~    String $v = null;~    if ($v == null) {~      return;~    }~    audit($v.trim());~  }
 java 21|  private long limit$n = 60 * SPAN;~  public long span$n() {~    return SPAN + 1;~  }
-java 22|  public boolean over$n(int n) {~    return n > count;~  }
-java 23|  public void sweep$n(List<String> ids, boolean dry) {~    for (String id : ids)~      if (!dry) {~        userRepository.findOne(id);~        userRepository.deleteAll(id);~      }~  }
-java 24|  public void pages$n(List<String> qs) {~    for (String q : qs) {~      userRepository.queryFor(q).getRows();~    }~  }
+java 22|  public boolean over$n(int n) {~    return n > visits;~  }
+java 23|  public void sweep$n(List<String> ids, boolean dry) {~    for (String id : ids)~      if (!dry) {~        badgeRepository.findOne(id);~        badgeRepository.deleteAll(id);~      }~  }
+java 24|  public void pages$n(List<String> qs) {~    for (String q : qs) {~      badgeRepository.queryFor(q).getRows();~    }~  }
 java 25|  public void tiny$n() { int a = 1; audit(a); }
 java 26|  public void shut$n(boolean done) throws Exception {~    FileInputStream $v = new FileInputStream("c");~    try {~      audit($v.read());~    } finally {~      if (done) $v.close();~    }~  }
+java 27|  public void either$n(boolean done) throws Exception {~    Reader $v = open("e");~    if (done) {~      $v.close();~    } else {~      audit("late");~      $v.close();~    }~  }
+java 28|  public void early$n(boolean bad) throws Exception {~    Reader $v = open("f");~    if (bad) {~      return;~    }~    $v.close();~  }
+java 29|  public int given$n(boolean vip) {~    String $v = null;~    if (vip) {~      $v = "gold";~    } else {~      $v = "tin";~    }~    return $v.length();~  }
+java 30|  public void round$n(String $v) {~    for (int i = 0; i < 3; i++) { audit($v.trim()); $v = null; }~  }
+java 31|  public void refuse$n(int k) throws Exception {~    Reader $v = open("g");~    if (k < 0) throw new IllegalStateException();~    else if (k == 0) $v.close();~    else {~      $v.close();~    }~  }
+java 32|  public void cases$n(int k) throws Exception {~    Reader $v = open("h");~    switch (k) {~      case 1: $v.close(); break;~      default: audit("none");~    }~  }
+java 33|  public void nested$n(boolean a, boolean b) throws Exception {~    Reader $v = open("i");~    if (a) {~      if (b) {~        $v.close();~      } else {~        $v.close();~      }~    } else {~      $v.close();~    }~  }
+java 34|  public int again$n(int k) {~    String $v = null;~    while (k > 0) {~      if (k == 7) break;~      $v = "seven";~      k--;~    }~    return $v.length();~  }
+java 35|  public int once$n(int k) {~    String $v = null;~    do {~      $v = "set";~    } while (k > 1);~    return $v.length();~  }
 cpp 0|void a$n() {~  FILE* $v = fopen("x", "r");~  puts("open http://x");~}
 cpp 1|void b$n() {~  char* $v = malloc(8);~  free($v);~}
 cpp 2|void c$n() {~  T* $v = nullptr;~  $v->run();~}
@@ -79,9 +88,9 @@ EXTS = ["java", "cpp", "py", "js", "go"]
 JAVA_HEADER_TOP = "import java.util.*;~"
 JAVA_HEADER_SERVICE = "@Service~"
 JAVA_HEADER_CLASS = (
-    "public class F$d {~  private int count;~"
-    "  private Map<String,String> map = new HashMap<>();~"
-    "  private UserRepository userRepository;"
+    "public class F$d {~  private long visits;~"
+    "  private Map<String,String> desks = new TreeMap<>();~"
+    "  private BadgeRepository badgeRepository;"
 )
 JAVA_FOOTER = "}"
 # review_id groups code files into reviews of ten files (our own choice).
