@@ -592,6 +592,24 @@ chain AS (
 )"""
 
 
+def stream_sql(key_sql: str, gap_s: int, delay_s: int) -> str:
+    """``walk``: the events of a key one after the other, in order of arrival, then time, then id."""
+    g, dl = gap_s * 1_000_000, delay_s * 1_000_000
+    return f"""
+ev AS (SELECT {key_sql} AS k, event_id AS id, epoch_us(ts) AS t,
+              CAST(least((day(ts) - 1) // 8 + CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END, 3) AS INTEGER) AS slice FROM events),
+wm AS (SELECT slice, max(max(t)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {dl} AS mark FROM ev GROUP BY slice),
+o AS (SELECT ev.*, mark, coalesce(t < mark, false) AS late, row_number() OVER (PARTITION BY k ORDER BY slice, t, id) AS n FROM ev JOIN wm USING (slice)),
+walk AS (
+  SELECT k, n, id, slice, late, true AS accepted, id AS set_id, t AS last, slice AS last_slice FROM o WHERE n = 1
+  UNION ALL
+  SELECT k, n, id, slice, late, ok, CASE WHEN ok THEN id ELSE set_id END, CASE WHEN ok THEN t ELSE last END, CASE WHEN ok THEN slice ELSE last_slice END
+  FROM (SELECT o.k, o.n, o.id, o.slice, o.late, o.t, w.set_id, w.last, w.last_slice,
+               o.t >= w.last + {g} OR (w.last_slice < o.slice AND w.last + {g} <= o.mark) AS ok
+        FROM walk w JOIN o ON o.k = w.k AND o.n = w.n + 1) x
+)"""
+
+
 def w_sql() -> dict[str, str]:
     out = {}
     w1 = "WITH " + webhooks_sql() + ", " + intake_sql() + " SELECT * FROM intake"
@@ -600,13 +618,15 @@ def w_sql() -> dict[str, str]:
     w2 = "WITH " + chain_sql("user_id", 10 * 3600) + """
 SELECT e.k AS user_id, e.id AS event_id, e.id IN (SELECT id FROM chain) AS accepted FROM ev e"""
     out["w2_throttle"] = w2
-    out["w2_throttle_stream"] = w2
+    out["w2_throttle_stream"] = "WITH RECURSIVE " + stream_sql("user_id", 10 * 3600, 10 * 3600) + """
+SELECT k AS user_id, id AS event_id, accepted, late, slice FROM walk"""
     g = 3600 * 1_000_000
     out["w3_first_version"] = "WITH " + chain_sql("user_id % 20", 3600) + f""",
 sets AS (SELECT ev.k, ev.id AS set_id, ev.t AS st FROM ev JOIN chain ON chain.id = ev.id)
 SELECT e.k AS ttl_key, e.id AS event_id, s.set_id FROM ev e JOIN sets s ON s.k = e.k
 WHERE (s.st < e.t OR (s.st = e.t AND s.set_id <= e.id)) AND e.t < s.st + {g}"""
-    out["w3_first_version_stream"] = out["w3_first_version"]
+    out["w3_first_version_stream"] = "WITH RECURSIVE " + stream_sql("user_id % 20", 3600, 3600) + """
+SELECT k AS ttl_key, id AS event_id, set_id, late, slice FROM walk"""
     out["w5_live_history"] = f"""WITH f AS ({FINDINGS_SQL}), r AS ({REVIEWS_SQL})
 SELECT r.id AS review_id, count(f.review_id) AS finding_count, count(*) FILTER (WHERE f.severity = 'ERROR') AS error_count
 FROM r LEFT JOIN f ON f.review_id = r.id GROUP BY r.id"""

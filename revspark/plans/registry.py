@@ -333,9 +333,16 @@ def _flow_queries():
 THROTTLE_GAP = 10 * 3600   # fixture: 10 hours on events by user_id (the service uses 10 s per client)
 TTL_GAP = 3600             # fixture: 1 hour on key user_id % 20
 TTL_KEYS = 20
+SLICES = 4                 # fixture: runs in which the events of the throttle streams arrive
 PRS_PER_REVIEW = 100       # fixture: PR number (event_id) div 100 names the code review it touches
 
 
+def arrival():
+    """Fixture: the run in which an event arrives: by day of the month, every 20th event a run later."""
+    own = F.floor((F.dayofmonth("ts") - 1) / 8) + F.when(F.col("event_id") % 20 == 0, 1).otherwise(0)
+    return F.least(own, F.lit(SLICES - 1))
+
+
 def stream_table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A driver table as a file stream (glob path: the source needs a folder pattern)."""
     schema = table(spark, d, name).schema
@@ -363,13 +370,17 @@ def _w_queries():
     q["w2_throttle"] = lambda s, d: WT.throttle(_events(s, d), "user_id", "ts", "event_id", THROTTLE_GAP) \
         .select("user_id", "event_id", "accepted")
 
+    def throttled(s, d, name, key, gap, delay):
+        """The stream's answers when the events arrive in SLICES runs, some of them late."""
+        path = WR.fresh_dir(s, name)
+        ev = _events(s, d).withColumn(name, key)
+        for n in range(SLICES):
+            ev.filter(arrival() == n).write.mode("append").parquet(path + "/in")
+            WT.throttle_stream(s.readStream.schema(ev.schema).parquet(path + "/in"), name, "ts", "event_id", gap, path + "/out", path + "/ck", delay)
+        return WT.read_answers(s, path + "/out").withColumnRenamed("batch_id", "slice")
+
     def w2s(s, d):
-        path = WR.fresh_dir(s, "w2")
-        st = WT.throttle_stream(stream_table(s, d, "events"), "user_id", "ts", "event_id", THROTTLE_GAP,
-                                watermark="10 hours")
-        st.writeStream.format("parquet").option("path", path + "/out").outputMode("append") \
-            .option("checkpointLocation", path + "/ck").trigger(availableNow=True).start().awaitTermination()
-        return s.read.parquet(path + "/out").select("user_id", "event_id", "accepted")
+        return throttled(s, d, "user_id", F.col("user_id"), THROTTLE_GAP, THROTTLE_GAP).select("user_id", "event_id", "accepted", "late", "slice")
     q["w2_throttle_stream"] = w2s
 
     def w3(s, d):
@@ -378,13 +389,7 @@ def _w_queries():
     q["w3_first_version"] = w3
 
     def w3s(s, d):
-        path = WR.fresh_dir(s, "w3")
-        ev = stream_table(s, d, "events").withColumn("ttl_key", F.col("user_id") % TTL_KEYS)
-        st = WT.throttle_stream(ev, "ttl_key", "ts", "event_id", TTL_GAP, watermark="1 hour")
-        st.select("ttl_key", "event_id", "set_id").writeStream.format("parquet").option("path", path + "/out") \
-            .outputMode("append").option("checkpointLocation", path + "/ck").trigger(availableNow=True) \
-            .start().awaitTermination()
-        return s.read.parquet(path + "/out")
+        return throttled(s, d, "ttl_key", F.col("user_id") % TTL_KEYS, TTL_GAP, TTL_GAP).select("ttl_key", "event_id", "set_id", "late", "slice")
     q["w3_first_version_stream"] = w3s
 
     def w4_run(s, d):
@@ -398,20 +403,23 @@ def _w_queries():
         return path
 
     def w4(s, d):
-        return s.read.parquet(w4_run(s, d) + "/findings").select(
+        return WR.read_output(s, w4_run(s, d), "findings").select(
             "repo_name", "pr_number", "commit_sha", "review_id", "rule_id", "severity", "file", "line",
             "code_snippet", "message", "priority_score")
     q["w4_continuous_review"] = w4
-    q["w4_reviews"] = lambda s, d: s.read.parquet(w4_run(s, d) + "/reviews").select(
+    q["w4_reviews"] = lambda s, d: WR.read_output(s, w4_run(s, d), "reviews").select(
         "repo_name", "pr_number", "commit_sha", "review_id", "status", "file_count", "finding_count")
-    q["w4_files"] = lambda s, d: s.read.parquet(w4_run(s, d) + "/files").select(
+    q["w4_files"] = lambda s, d: WR.read_output(s, w4_run(s, d), "files").select(
         "repo_name", "pr_number", "commit_sha", "review_id", "file")
 
     def w5(s, d):
         path = WR.fresh_dir(s, "w5")
-        st = stream_table(s, d, "lineitem")
-        WR.live_history(s, A.findings_from_lineitem(st), A.reviews(s, d), path + "/out", path + "/ck")
-        return WR.read_history(s, path + "/out").select(
+        rows = A.findings_from_lineitem(table(s, d, "lineitem"))
+        # a review's findings arrive in several runs, so its counts change
+        for n in range(SLICES - 1):
+            rows.filter(F.pmod("line_number", F.lit(SLICES - 1)) == n).write.mode("append").parquet(path + "/in")
+            WR.live_history(s, s.readStream.schema(rows.schema).parquet(path + "/in"), path + "/out", path + "/ck")
+        return WR.read_history(s, path + "/out", A.reviews(s, d)).select(
             "review_id", F.col("finding_count").cast("long").alias("finding_count"),
             F.col("error_count").cast("long").alias("error_count"))
     q["w5_live_history"] = w5

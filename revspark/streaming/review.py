@@ -3,22 +3,21 @@
 W4: webhook deliveries stream -> W1 intake -> triggered PRs ->
 ``foreachBatch``: join the PR's files and diff -> rules (D3) -> diff scope
 (D2) -> enrichment (E1) -> reviews, files, findings and documents (K1, E3, E4).
-Each micro-batch writes into its own ``batch_id`` folder with overwrite, so a
-replayed batch (after a failure) replaces its own output: exactly-once
+The outputs of a micro-batch become visible together with its commit
+(``batch_tables``); a replayed batch replaces its own output: exactly-once
 effect on top of the checkpointed source offsets.  Reviews are keyed by
 (repo, pr, sha); deliveries that repeat one, in the same batch or a later
 one, add nothing.
 
-W5: a streaming aggregate of stored findings per review in ``complete``
-mode, joined to the reviews (a review without findings counts 0); each
-trigger writes the whole history into a folder of its own.
+W5: a streaming aggregate of stored findings per review in ``update`` mode;
+each trigger writes the counts of the reviews that changed, readers merge
+them and join the reviews (a review without findings counts 0).
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +26,7 @@ from revspark.operators import diffs as DF
 from revspark.operators import enrich as EN
 from revspark.plans import review as RV
 from revspark.session import cut_lineage, scratch_table_dir
+from revspark.streaming.batch_tables import BatchTables, compact
 from revspark.streaming.intake import intake
 
 
@@ -59,24 +59,16 @@ def review_batch(prs: DataFrame, files: DataFrame, diffs: DataFrame | None) -> d
     n_found = found.groupBy("review_id").agg(F.count(F.lit(1)).alias("finding_count"))
     reviews = prs.join(n_files, "review_id", "left").join(n_found, "review_id", "left").fillna(0, ["file_count", "finding_count"]) \
         .withColumn("status", F.when(F.col("file_count") == 0, "NO_CODE_FILES").otherwise("SUCCESS"))
-    one = prs.groupBy("review_id").agg(F.min("commit_sha").alias("commit_sha"))
-    summary = EN.review_summary(one, found)
-    comments = EN.review_request(one, summary, found).drop("commit_sha")
-    documents = prs.select(*KEYS).join(summary, "review_id").join(comments, "review_id")
+    # a document belongs to one PR and commit, also where several touch the same review
+    per_pr = prs.withColumn("request_id", F.sha2(F.to_json(F.struct(*KEYS[:3])), 256))
+    own = per_pr.select("request_id", "review_id").join(found, "review_id")
+    summary = EN.review_summary(per_pr, own, key="request_id")
+    comments = EN.review_request(per_pr, summary, own, key="request_id")
+    documents = per_pr.join(summary, "request_id").join(comments, "request_id").select(*KEYS, "summary", "request_json")
     return {"reviews": reviews, "files": prs.join(code.select("review_id", "file"), "review_id"),
             "findings": prs.join(found, "review_id"), "documents": documents}
 
 
-def stored_reviews(spark: SparkSession, out_dir: str, before: int) -> DataFrame | None:
-    """Reviews that batches before this one have stored."""
-    try:
-        return spark.read.parquet(f"{out_dir}/reviews").filter(F.col("batch_id") < before)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
 def continuous_review(spark: SparkSession, webhook_stream: DataFrame, files: DataFrame, diffs: DataFrame | None,
                       secret: str, out_dir: str, checkpoint: str, pr_to_review, trigger: dict | None = None) -> None:
     """Run W4 until the source is drained (or by ``trigger``, arguments of the stream's trigger)."""
@@ -85,45 +77,54 @@ def continuous_review(spark: SparkSession, webhook_stream: DataFrame, files: Dat
 
     def run(batch: DataFrame, batch_id: int) -> None:
         prs = batch.select(*KEYS).dropDuplicates(KEYS[:3])
-        known = stored_reviews(spark, out_dir, batch_id)
+        tables = BatchTables(spark, out_dir, batch_id)
+        known = tables.read("reviews")
         if known is not None:
             prs = prs.join(known.select(*KEYS[:3]), KEYS[:3], "left_anti")
         # written once: the signatures are checked once per batch
         for name, out in review_batch(cut_lineage(prs), files, diffs).items():
-            out.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
+            tables.write(name, out, batch_id)
+        tables.commit(batch_id)
 
     q = (trig.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
          .trigger(**(trigger or {"availableNow": True})).start())
     q.awaitTermination()
 
 
-def live_history(spark: SparkSession, findings_stream: DataFrame, reviews: DataFrame, out_dir: str, checkpoint: str,
-                 trigger: dict | None = None) -> None:
-    """Per-review counts over the stored-findings stream, complete mode.
+def read_output(spark: SparkSession, out_dir: str, name: str) -> DataFrame | None:
+    """One of OUTPUTS, all committed batches; None before the first commit."""
+    return BatchTables(spark, out_dir).read(name)
+
 
-    Every review has a row, also without findings.  Each trigger writes a
-    folder of its own; ``read_history`` reads the latest finished one, so a
-    reader never sees half a table.  ``trigger``: arguments of the stream's
-    trigger (default: until the source is drained)."""
+def live_history(spark: SparkSession, findings_stream: DataFrame, out_dir: str, checkpoint: str, trigger: dict | None = None) -> None:
+    """Counts per review over the stored-findings stream, update mode.
+
+    A trigger writes one row per review that got findings.  ``trigger``:
+    arguments of the stream's trigger (default: until the source is drained)."""
     agg = findings_stream.groupBy("review_id").agg(
         F.count(F.lit(1)).alias("finding_count"),
         F.count_if(F.col("severity") == "ERROR").alias("error_count"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = reviews.select(F.col("id").alias("review_id"), "repo_name", "pr_number", "commit_sha", "analyzed_at").join(batch, "review_id", "left")
-        rows = rows.fillna(0, ["finding_count", "error_count"])
-        rows.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(run).option("checkpointLocation", checkpoint)
+        tables = BatchTables(spark, out_dir, batch_id)
+        tables.write("counts", batch, batch_id)
+        base = tables.compacts(batch_id)
+        if base:
+            compact(tables, "counts", ["review_id"], batch_id)
+        tables.commit(batch_id, base=base)
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
          .trigger(**(trigger or {"availableNow": True})).start())
     q.awaitTermination()
 
 
-def read_history(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The history as of the latest trigger."""
-    rows = spark.read.parquet(out_dir)
-    latest = rows.agg(F.max("batch_id")).first()[0]
-    return rows.filter(F.col("batch_id") == latest).drop("batch_id")
+def read_history(spark: SparkSession, out_dir: str, reviews: DataFrame) -> DataFrame:
+    """Every review with its counts as of the latest commit; 0 without findings."""
+    rows = reviews.select(F.col("id").alias("review_id"), "repo_name", "pr_number", "commit_sha", "analyzed_at")
+    counts = BatchTables(spark, out_dir).latest("counts", ["review_id"])
+    if counts is None:
+        return rows.withColumns({"finding_count": F.lit(0).cast("long"), "error_count": F.lit(0).cast("long")})
+    return rows.join(counts, "review_id", "left").fillna(0, ["finding_count", "error_count"])
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -12,20 +12,22 @@ Batch twin (exact, distributed):
      found by pointer doubling: log2(chain length) rounds of joins on event
      ids (unique keys, so no hot key), each round checkpointed.
 
-Streaming form: ``applyInPandasWithState`` keyed by the key, state = time
-of the last accepted event, rows of a micro-batch sorted per key; the state
-is dropped once the watermark passes last + gap.  Events arriving after a
-later event of the same key was already processed (across micro-batches)
-are judged in arrival order; in-order input gives the batch result.
+Streaming form (``throttle_stream``): each micro-batch joins its events to the
+last accepted event of their key, answers what lies inside that window at once
+and gives the rest to the batch twin, so a key's rows are spread over its time
+buckets there as well and never gathered.  The keys' last accepted events are
+a keyed table of changes (``batch_tables``).  No watermark filters rows: every
+event of the stream gets an answer, late ones too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from revspark.session import cut_lineage
+from revspark.streaming.batch_tables import BatchTables, compact
+
 
 def _cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
@@ -117,50 +119,68 @@ def first_version(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: i
 
 # ------------------------------------------------------------------ streaming
 
-def throttle_stream(stream: DataFrame, key: str, ts: str, eid: str, gap_seconds: int,
-                    watermark: str | None = None) -> DataFrame:
-    """W2 / W3 on a streaming DataFrame with keyed state (time and id of the
-    last accepted event).  ``accepted`` answers W2; ``set_id`` (the accepted
-    event whose version is served) answers W3."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    gap_us = gap_seconds * 1_000_000
-    s = stream.select(F.col(key).cast("long").alias("k"), F.col(eid).cast("long").alias("id"),
-                      F.col(ts).cast("timestamp").alias("ts"),
-                      F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    if watermark:
-        s = s.withWatermark("ts", watermark)
-    out_schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("id", T.LongType()),
-                               T.StructField("accepted", T.BooleanType()), T.StructField("set_id", T.LongType())])
-    state_schema = T.StructType([T.StructField("last", T.LongType()), T.StructField("last_id", T.LongType())])
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, last_id = (state.get[0], state.get[1]) if state.exists else (None, None)
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "id"], kind="stable")
-        acc, served = [], []
-        for t, i in zip(rows["t"].tolist(), rows["id"].tolist()):
-            ok = last is None or t - last >= gap_us
-            if ok:
-                last, last_id = t, int(i)
-            acc.append(ok)
-            served.append(last_id)
-        if watermark:
-            expires_ms = int((last + gap_us) // 1000)
-            if expires_ms <= state.getCurrentWatermarkMs():
-                # every later on-time event is accepted anyway: the state is no longer needed
-                state.remove()
-            else:
-                state.update((int(last), int(last_id)))
-                state.setTimeoutTimestamp(expires_ms)
-        else:
-            state.update((int(last), int(last_id)))
-        yield pd.DataFrame({"k": rows["k"].astype("int64"), "id": rows["id"].astype("int64"), "accepted": acc,
-                            "set_id": pd.Series(served, dtype="int64")})
-
-    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    return s.groupBy("k").applyInPandasWithState(fn, out_schema, state_schema, "append", timeout) \
-        .select(F.col("k").alias(key), F.col("id").alias(eid), "accepted", "set_id")
+def answer_batch(events: DataFrame, known: DataFrame | None, gap_seconds: int) -> DataFrame:
+    """(k, id, ts, accepted, set_id) of a batch's events (k, id, ts), judged against ``known`` (k, last, last_id).
+
+    An event less than the gap after the key's last accepted event, or before
+    it, is rejected and served by it.  The others are judged among themselves
+    in (time, id) order."""
+    t = F.unix_micros("ts")
+    if known is None:
+        rest, shut = events, None
+    else:
+        met = events.join(known, "k", "left")
+        inside = F.coalesce(t < F.col("last") + gap_seconds * 1_000_000, F.lit(False))
+        shut = met.filter(inside).select("k", "id", "ts", F.lit(False).alias("accepted"), F.col("last_id").alias("set_id"))
+        rest = cut_lineage(met.filter(~inside).select("k", "id", "ts"))
+    served = rest.join(first_version(rest, "k", "ts", "id", gap_seconds), ["k", "id"])
+    served = served.select("k", "id", "ts", (F.col("id") == F.col("set_id")).alias("accepted"), "set_id")
+    return served if shut is None else served.unionByName(shut)
+
+
+def throttle_stream(stream: DataFrame, key: str, ts: str, eid: str, gap_seconds: int, out_dir: str, checkpoint: str,
+                    delay_seconds: int, trigger: dict | None = None) -> None:
+    """W2 / W3 over a stream until it is drained (or by ``trigger``).
+
+    Batches are answered in order; inside a batch events go in (time, id)
+    order.  ``accepted`` answers W2; ``set_id``, the accepted event whose version
+    is served, answers W3.  ``late`` marks events more than ``delay_seconds``
+    behind the latest time that earlier batches have seen (the watermark).
+    They are answered like any other.  A key's last accepted event is forgotten
+    once the watermark has passed its window: a later event of the key that is
+    on time would be accepted anyway.  Ids are unique in a batch; a null key is
+    a key; events without a time are answered as rejected, served by nothing."""
+    gap = gap_seconds * 1_000_000
+    rows = stream.select(F.col(key).cast("long").alias("k"), F.col(eid).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        tables = BatchTables(spark, out_dir, batch_id)
+        seen = tables.last.seen_until if tables.last else None
+        watermark = F.lit(None if seen is None else seen - delay_seconds * 1_000_000).cast("long")
+        live = F.coalesce(F.col("last") + gap > watermark, F.lit(True))
+        known = tables.latest("state", ["k"])
+        # a struct is never null, so that a null key joins like any other
+        events = cut_lineage(batch.withColumn("k", F.struct("k")))
+        timed = events.filter("ts is not null")
+        answers = cut_lineage(answer_batch(timed, None if known is None else known.filter(live), gap_seconds))
+        untimed = events.filter("ts is null").select("k", "id", "ts", F.lit(False).alias("accepted"), F.lit(None).cast("long").alias("set_id"))
+        late = F.coalesce(F.unix_micros("ts") < watermark, F.lit(False)).alias("late")
+        tables.write("answers", answers.unionByName(untimed).select(F.col("k.k").alias(key), F.col("id").alias(eid), "ts", "accepted", "set_id", late), batch_id)
+        last = F.max(F.struct(F.unix_micros("ts").alias("last"), F.col("id").alias("last_id"))).alias("v")
+        tables.write("state", answers.filter("accepted").groupBy("k").agg(last).select("k", "v.*"), batch_id)
+        now = timed.agg(F.max(F.unix_micros("ts"))).first()[0]
+        seen = max((x for x in (seen, now) if x is not None), default=None)
+        base = tables.compacts(batch_id)
+        if base:
+            old = F.lit(None if seen is None else seen - delay_seconds * 1_000_000).cast("long")
+            compact(tables, "state", ["k"], batch_id, F.coalesce(F.col("last") + gap > old, F.lit(True)))
+        tables.commit(batch_id, seen, base)
+
+    q = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    q.awaitTermination()
+
+
+def read_answers(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The answers of all committed batches (None before the first): key, id, ts, accepted, set_id, late, batch_id."""
+    return BatchTables(spark, out_dir).read("answers")
