@@ -56,13 +56,13 @@ class WordTokens:
     hold a special token's string are encoded whole, since the library cuts
     those out first."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_WORDS):
         import json
 
         import regex
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.cache = Tokenizer.from_file(path), cache
         with open(path, encoding="utf-8") as f:
             split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
         self.split = regex.compile(split["pattern"]["Regex"]).findall
@@ -97,9 +97,9 @@ class WordTokens:
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string column without nulls."""
-        if len(self.new) > CACHE_WORDS:
+        if len(self.new) > self.cache:
             self.old, self.new = self.new, {}
-        if len(self.pieces) > CACHE_WORDS:
+        if len(self.pieces) > self.cache:
             self.pieces.clear()
         whole = {}
         for s in self.special:
@@ -121,10 +121,10 @@ class WordTokens:
         return [whole[i] if i in whole else all_ids[cuts[i]:cuts[i + 1]] for i in range(len(texts))]
 
 
-def token_encoder(path: str) -> WordTokens:
+def token_encoder(path: str, cache: int = CACHE_WORDS) -> WordTokens:
     """This Python worker's encoder of the tokenizer file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return worker_cache(("words", path), lambda: WordTokens(path))
+    return worker_cache(("words", path, cache), lambda: WordTokens(path, cache))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,

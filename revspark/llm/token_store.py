@@ -36,8 +36,8 @@ END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 256
-#: Bytes of text that are encoded at once, unless a single text has more.
-ENCODE_BYTES = 8 << 20
+#: Words remembered per Python worker (two generations of this many, and as many pieces): about 350 MB.
+CACHE_WORDS = 600_000
 TOKENS_DDL = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 #: Writer settings: version 2 pages (delta encoding of integers), a dictionary for the ids only.
 WRITER = {
@@ -52,33 +52,22 @@ WRITER = {
 }
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of several batches at once: each distinct word of a stretch is looked up once."""
-    parts, size = [], 0
-    for b in batches:
-        parts.append(b)
-        size += b.column(1).nbytes
-        if size >= ENCODE_BYTES:
-            yield tuple(pa.concat_arrays([x.column(k) for x in parts]) for k in (0, 1))
-            parts, size = [], 0
-    if sum(x.num_rows for x in parts):
-        yield tuple(pa.concat_arrays([x.column(k) for x in parts]) for k in (0, 1))
-
-
 def _encode(tokenizer_path: str, end_id: int):
     """Sorted (doc_id, text) rows of one file -> rows of the file format."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc: WordTokens = token_encoder(tokenizer_path)
+        enc: WordTokens = token_encoder(tokenizer_path, CACHE_WORDS)
         part, at = TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.int32)
-        for docs, texts in _gathered(batches):
-            own = enc.ids(texts)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = enc.ids(b.column(1))
             n = np.array([len(x) + 1 for x in own], np.int64)
             ends = np.cumsum(n)
             flat = np.concatenate([y for x in own for y in (x, end)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), docs, pa.array(at + ends - n), pa.array(n), ids],
+                [pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(at + ends - n), pa.array(n), ids],
                 names=["part", "doc_id", "local_start", "n_tokens", "ids"])
             at += int(ends[-1])
     return run
