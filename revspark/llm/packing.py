@@ -16,7 +16,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -196,15 +195,18 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHA
     Every piece gets exactly one place; places in a sequence are gapless from
     0.  Repeated rows and null ids are pieces like any other; an empty table
     gives an empty result."""
-    df = stored(pieces_df, "pieces")
+    # The row number, written with the pieces, tells equal rows apart: a shard's size does not depend on their values.
+    df = stored(pieces_df.withColumn("row_no", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-df.count() // shard_pieces))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
-    schema = df.schema.simpleString()[len("struct<"):-1].replace(":", " ").replace(",", ", ")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        where, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        shard = int(pdf["shard"].iloc[0])
-        return pdf.drop(columns="shard").assign(sequence_id=shard * 2**32 + where, offset=offset)
-
-    return df.withColumn("shard", spread).groupBy("shard").applyInPandas(run, schema + ", sequence_id long, offset long")
+    spread = F.pmod(F.xxhash64("row_no"), F.lit(shards)).cast("int")
+    schema = pieces_df.schema.simpleString()[len("struct<"):-1].replace(":", " ").replace(",", ", ")
+
+    def run(rows: pa.Table) -> pa.Table:
+        lengths = rows.column("length").to_numpy()
+        order = np.lexsort((rows.column("row_no").to_numpy(), -lengths))
+        where, offset = sum_of_squares(lengths[order], capacity)
+        shard = rows.column("shard")[0].as_py()
+        out = rows.take(pa.array(order)).drop_columns(["shard", "row_no"])
+        return out.append_column("sequence_id", pa.array(shard * 2**32 + where)).append_column("offset", pa.array(offset))
+
+    return df.withColumn("shard", spread).groupBy("shard").applyInArrow(run, schema + ", sequence_id long, offset long")

@@ -100,3 +100,22 @@ def test_packing_places_every_piece_once(messy, empty):
         assert at <= 4096
     assert len(bins) <= -(-sum(r.length for r in got) // 4096) + 1
     assert packing.pack(packing.pieces(empty, WORDS)).collect() == []
+
+
+def test_packing_keeps_large_ids_beside_null_and_spreads_equal_rows(spark):
+    rows = [(2**53 + 1, "a"), (2**53 + 3, "b"), (None, "c"), (None, None)] + [(5, "same")] * 200
+    pieces = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.pack(pieces, capacity=8, shard_pieces=20).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted((r[0] for r in rows), key=repr)
+    # Equal rows fall into many shards, none much larger than asked for.
+    shards = [r.sequence_id >> 32 for r in got]
+    assert len(set(shards)) == 11 and max(map(shards.count, shards)) < 60
+    seen = {}
+    for r in got:
+        seen.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in seen.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 8
