@@ -118,8 +118,8 @@ def _features(words: int):
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(band_keys(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "keys"])
+                [b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "digest", "keys"])
     return run
 
 
@@ -239,19 +239,27 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     shingle sets; component_id is the smallest id reachable over links, kept
     is doc_id = component_id.  Null, empty and white texts have an empty set
     and are linked with nothing.  A null id takes no part in links and keeps
-    itself (component_id null, kept true).  Rows that repeat an id are linked
-    through it; if their texts differ, the greatest text is compared.  Other columns
-    are never read.  An empty table gives an empty result."""
+    itself (component_id null, kept true).  Every row's own text takes part; rows
+    that repeat an id are linked through it.  Other columns are never read.  An
+    empty table gives an empty result."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = id_text(docs, id_col, text_col)
-    feats = stored(base.mapInArrow(_features(words), "doc_id long, n_shingles long, digest binary, keys array<long>"), "minhash")
+    base = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    feats = stored(base.select("doc_id", "text", "text_key").mapInArrow(_features(words), "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>"), "minhash")
 
-    # Equal sets: one class, spoken for by its smallest id.
+    # Equal sets: one class with a number of its own, spoken for by one of its rows.
     usable = feats.filter("doc_id is not null and digest is not null")
-    reps = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"),
-                                               F.first("keys").alias("keys"), F.first("n_shingles").alias("size")), "classes")
-    same = usable.join(reps.filter("n > 1").select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    classes = usable.groupBy("digest").agg(first, F.first("keys").alias("keys"), F.first("n_shingles").alias("size"))
+    reps = stored(classes.select("digest", "first.*", "keys", "size", F.monotonically_increasing_id().alias("rep")), "classes")
+
+    # Classes of rows that share an id, rarely any: linked through the smallest of them.
+    ids = stored(usable.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count("*").alias("n"))
+                 .filter("n > 1").select("doc_id", "least", (F.col("least") != F.col("most")).alias("differ")), "repeated-ids")
+    named = reps.select("digest", "rep")
+    split = usable.select("doc_id", "digest").join(ids.filter("differ").select("doc_id", "least"), "doc_id").filter("digest <> least").select("digest", "least").distinct()
+    same = (split.join(named.withColumnRenamed("rep", "b"), "digest")
+            .join(named.select(F.col("digest").alias("least"), F.col("rep").alias("a")), "least").select("a", "b"))
 
     # One row per (bucket, class); buckets with a single class are gone.
     slots = reps.select("rep", "size", F.posexplode("keys").alias("band", "key"))
@@ -261,11 +269,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     centre = stored(slots.groupBy("key").agg(F.min(F.struct("rank", "rep", "size")).alias("c"), F.count("*").alias("n")).filter("n > 1"), "centres")
     buckets = stored(slots.join(centre.select("key", "c"), "key").select("key", "rep", "size", F.col("c.rep").alias("centre"), F.col("c.size").alias("csize")), "buckets")
 
-    # The texts that can be compared move once; the join is the same at every size.
-    texts = base.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(feats) else base
-    near = buckets.select("rep").distinct().join(reps.select("rep", "keys"), "rep")
-    texts = stored(texts.withColumnRenamed("doc_id", "rep").hint("merge").join(near, "rep")
-                   .select("rep", "keys", F.col("text").cast("binary").alias("text")), "near-texts")
+    # The texts that can be compared move once, each class's by one row of its own.
+    one = base.groupBy("doc_id", "text_key").agg(F.first("text").alias("text")) if not ids.isEmpty() else base
+    near = buckets.select("rep").distinct().join(reps.select("rep", "doc_id", "text_key", "keys"), "rep")
+    texts = stored(one.hint("merge").join(near, ["doc_id", "text_key"]).select("rep", "keys", F.col("text").cast("binary").alias("text")), "near-texts")
 
     fits = (F.least("size", "csize") * 100 >= F.greatest("size", "csize") * percent) & (F.col("rep") != F.col("centre"))
     edges = stored(buckets.filter(fits).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "edges")
@@ -274,11 +281,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     rest = stored(_rest(buckets.select("key", "rep", "size"), comp, texts, words, percent), "links")
     if not rest.isEmpty():
         comp = stored(components(links.unionByName(rest)), "components")
-    out = feats.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    # The smallest id of each component, back to its classes and their rows.
+    placed = reps.select("digest", "doc_id", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = stored(placed.select("digest", "component").join(smallest, "component").select("digest", "component_id"), "classes-placed")
+    mine = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
+    out = feats.select("doc_id", "n_shingles", mine.alias("digest")).join(found, "digest", "left")
+    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
-
-
-def _repeats(feats: DataFrame) -> bool:
-    n = feats.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    return n[0] != n[1]

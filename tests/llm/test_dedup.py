@@ -93,6 +93,17 @@ def test_near_dedup_repeated_rows_null_ids_and_empty(spark, messy, empty):
     assert minhash_dedup.near_dedup(empty).collect() == []
 
 
+def test_near_dedup_of_an_id_with_several_texts(spark):
+    """Each row's own text takes part, and the id links them: 7 joins the near copies of both of its texts."""
+    rng = random.Random(9)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    near = lambda ws: " ".join([*ws[:-1], "other"])
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (7, " ".join(two)), (9, near(one)), (5, near(two)), (11, "something else"), (12, None), (12, "x")]
+    got = minhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [
+        (5, 5, True), (7, 5, False), (7, 5, False), (7, 5, False), (9, 5, False), (11, 11, True), (12, 12, True), (12, 12, True)]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(100, 200)] + [(500, k) for k in range(501, 600)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
