@@ -75,12 +75,15 @@ def nearest_in_cell(cand_ids, cand, query_ids, queries, k: int) -> list[tuple[in
             err = q_err[:, None] * c_norm[None, part] + q_norm[:, None] * c_err[None, part] + q_err[:, None] * c_err[None, part]
             err += 1e-12 * (q_norm[:, None] + q_err[:, None]) * (c_norm[None, part] + c_err[None, part])
             own = q_ids[:, None] == cand_ids[None, part]
-            low = np.where(own, -np.inf, near - err)
+            # where a bound overflows it decides nothing: such pairs are all computed
+            low = np.where(own | ~np.isfinite(near) | ~np.isfinite(err), -np.inf, near - err)
             floor = worst
             if low.shape[1] >= k:
                 floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, -k])
-            qi, ci = np.nonzero((near + err >= floor[:, None]) & ~own)
+            qi, ci = np.nonzero(~(near + err < floor[:, None]) & ~own)
             for i, c, s in zip(qi.tolist(), cand_ids[part][ci].tolist(), exact_scores(qs[qi], cand[part][ci]).tolist()):
+                if s != s:
+                    continue
                 heap = heaps[i]
                 if len(heap) < k:
                     heapq.heappush(heap, (s, -c))
@@ -102,7 +105,6 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         .filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)))
         .filter(F.exists(v, lambda x: x != 0))
         .withColumn("dim", F.size("v"))
-        .dropDuplicates(["vec_id", "v"])
     )
 
 
@@ -112,7 +114,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     Queries are the rows whose id is divisible by ``every``; candidates are
     all rows of the same dimension with another id.  Ties go to the smaller
     id.  Null, zero, empty, partly null or non-finite vectors and rows without
-    an id take no part; fully repeated rows count once.  With fewer than k
+    an id take no part.  Every row is a candidate, so repeated rows come out
+    repeatedly; a query that is repeated is asked once, and the rows of an id
+    with several vectors are one query whose best candidates count.  A pair
+    whose product overflows to no number takes no part.  With fewer than k
     candidates all are returned; a query with none, or an empty table, gives
     no rows.  Other columns are never read."""
     small_batches(vectors.sparkSession, 4096)
@@ -122,7 +127,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     g_n, h_n = max(1, -(-size[0] // CELL_CANDIDATES)), max(1, -(-size[1] // CELL_QUERIES))
     cells = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
     base = rows.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(g_n)).cast("int").alias("g"), cells(h_n, "h"))
-    queries = rows.filter(is_query).select("vec_id", "v", "dim", cells(g_n, "g"), F.pmod(F.xxhash64("vec_id"), F.lit(h_n)).cast("int").alias("h"))
+    queries = rows.filter(is_query).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", "dim", cells(g_n, "g"), F.pmod(F.xxhash64("vec_id"), F.lit(h_n)).cast("int").alias("h"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
