@@ -36,14 +36,24 @@ def test_nearest_equals_brute_force(spark):
         ann.CELL_CANDIDATES = ann_cells
     want = []
     for q in range(0, 400, 20):
-        s = [(-in_order(v[q], v[c]), c) for c in range(400) if c != q]
+        # row 5 stands in the table twice
+        s = [(-in_order(v[q], v[c]), c) for c in [*range(400), 5] if c != q]
         want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(sorted(s)[:20])]
     want += [(1120, 1, 1121, 11.0)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert ann.nearest(df.limit(0)).collect() == []
 
 
-def toxic_corpus(spark):
+def test_nearest_of_repeated_rows_and_overflow(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.0, 1.0]), (20, [1e200, 1.0]), (21, [-1e200, 1.0]), (22, [1e200, 5.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, every=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got[0]) == [(1, 20, 1e200 + 2), (2, 22, 1e200 + 10), (3, 1, 5.0), (4, 1, 5.0)]
+    assert sorted(got[20])[:3] == [(1, 22, float("inf")), (2, 1, 3e200 + 1), (3, 1, 3e200 + 1)]
+
+
+def toxic_corpus(spark, label=lambda insult, group: insult and group):
     """A label that depends on a pair: an insult counts only where a group is named."""
     rng = random.Random(6)
     rows, labels = [], []
@@ -53,7 +63,7 @@ def toxic_corpus(spark):
         ws += ["insultxx"] * insult + ["groupyyy"] * group
         rng.shuffle(ws)
         rows.append((k, " ".join(ws)))
-        labels.append((k, int(insult and group)))
+        labels.append((k, int(label(insult, group))))
     rows += [(5000, None), (5001, ""), (5002, "groupyyy " * 20000 + "insultxx"), (None, "insultxx")]
     labels += [(None, 1), (5001, None), (9999, 1)]
     return (spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, label int").repartition(4),
@@ -74,6 +84,51 @@ def test_toxicity_learns_a_pair_and_never_the_held_out_labels(spark):
     assert all(again[r.doc_id] == r.score for r in got)
 
 
+def test_toxicity_learns_what_only_the_pair_decides(spark):
+    """Either word alone says nothing: the label is that exactly one of them is there."""
+    docs, labels = toxic_corpus(spark, lambda insult, group: insult != group)
+    truth = dict((r.doc_id, r.toxic) for r in labels.collect())
+    held = [r for r in toxicity.toxicity(docs, docs, labels).collect() if r.held_out and r.doc_id is not None and r.doc_id < 1500]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.9
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    docs = spark.range(3000).select((F.col("id") % 3 * F.when(F.col("id") < 2000, 0).otherwise(F.col("id"))).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    got = toxicity.sample(docs, labels, rows=100).collect()
+    assert 0 < len(got) <= 100
+
+
+def test_factorization_machine_score_and_gradient():
+    """Scores by the double sum over pairs; the first training step follows the numerical gradient."""
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(np.arange(6), rng.normal(size=7), rng.normal(size=(7, toxicity.FACTORS)))
+    rows = [np.array([0, 2, 5]), np.array([], np.int64), np.array([1]), np.array([0, 1, 2, 3, 4, 5])]
+
+    def plain(w, v, f):
+        f = [*f, 6]
+        z = sum(w[i] for i in f) + sum(float(v[f[i]] @ v[f[j]]) for i in range(len(f)) for j in range(i))
+        return 1 / (1 + np.exp(-z))
+
+    assert np.allclose(model.scores(rows), [plain(model.w, model.v, f) for f in rows])
+    y = np.array([True, False, True, False])
+    idx, seg, starts = toxicity._flat(rows, 6)
+    gw, gv = toxicity.gradient(model.w, model.v, idx, seg, starts, y)
+
+    def loss(w, v):
+        p = np.array([plain(w, v, f) for f in rows])
+        return -np.mean(np.where(y, np.log(p), np.log(1 - p)))
+
+    for at in [(3,), (6,), (0,)]:
+        step = np.zeros_like(model.w)
+        step[at] = 1e-6
+        assert abs((loss(model.w + step, model.v) - loss(model.w - step, model.v)) / 2e-6 - gw[at]) < 1e-5
+    for at in [(2, 1), (5, 7), (1, 0)]:
+        step = np.zeros_like(model.v)
+        step[at] = 1e-6
+        assert abs((loss(model.w, model.v + step) - loss(model.w, model.v - step)) / 2e-6 - gv[at]) < 1e-5
+
+
 def test_toxicity_without_labels_or_documents(spark, empty):
     docs, labels = toxic_corpus(spark)
     assert {r.score for r in toxicity.toxicity(docs.limit(5), docs, labels.limit(0)).collect()} == {0.0}
