@@ -46,28 +46,49 @@ def unescape_role(x: Column) -> Column:
     return unescape(F.replace(x, F.lit(ESC + "2"), F.lit("\n")))
 
 
-def leaf_paths(messages: DataFrame) -> DataFrame:
-    """(conv_id, leaf, up, msg_id): msg_id is ``up`` replies above ``leaf``, for every leaf and every message above it.
+def ancestors(messages: DataFrame) -> list[DataFrame]:
+    """Tables (conv_id, msg_id, to, sum): the message 1, 2, 4, ... replies above each, and the scores from it up to there.
 
-    messages: conv_id, msg_id (unique in its conversation), parent_id.  A
-    message whose parent is null or absent is a root.  Messages on a reply
-    cycle are on no path from a leaf to a root and raise an error."""
-    keys = messages.select("conv_id", "msg_id", "parent_id")
+    messages: conv_id, msg_id (unique in its conversation), parent_id, score.
+    A message whose parent is null or absent is a root.  Messages on a reply
+    cycle raise an error.  The last table is empty."""
+    keys = messages.select("conv_id", "msg_id", "parent_id", "score")
     known = keys.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("p"))
     ups = [stored(
         keys.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent_id") == F.col("p")), "left_semi")
-        .select("conv_id", "msg_id", F.col("parent_id").alias("to")), "ancestors")]
+        .select("conv_id", "msg_id", F.col("parent_id").alias("to"), F.col("score").alias("sum")), "ancestors")]
     n, rounds = keys.count(), 0
     while not ups[-1].isEmpty():
         if 2**rounds > n:
             raise ValueError("the messages hold a reply cycle")
         a, b = ups[-1].alias("a"), ups[-1].alias("b")
         same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.to") == F.col("b.msg_id"))
-        ups.append(stored(a.join(b, same).select("a.conv_id", "a.msg_id", "b.to"), "ancestors"))
+        ups.append(stored(a.join(b, same).select("a.conv_id", "a.msg_id", "b.to", (F.col("a.sum") + F.col("b.sum")).alias("sum")), "ancestors"))
         rounds += 1
+    return ups
+
+
+def leaf_scores(messages: DataFrame, ups: list[DataFrame]) -> DataFrame:
+    """(conv_id, leaf, score, depth): the sum over each leaf's path and the number of replies above the leaf.
+
+    One row per leaf throughout: the steps up take the largest jump first."""
+    own = messages.select("conv_id", "msg_id", "score")
     parents = ups[0].select(F.col("conv_id").alias("c"), F.col("to").alias("p"))
-    leaves = keys.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("p")), "left_anti")
-    paths = leaves.select("conv_id", F.col("msg_id").alias("leaf"), F.lit(0).cast("long").alias("up"), "msg_id")
+    leaves = own.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("p")), "left_anti")
+    rows = leaves.select("conv_id", F.col("msg_id").alias("leaf"), F.col("msg_id").alias("at"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("depth"))
+    for k in reversed(range(len(ups) - 1)):
+        step = ups[k].select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "to", "sum")
+        met = rows.join(step, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("m")), "left")
+        rows = met.select("conv_id", "leaf", F.coalesce("to", "at").alias("at"), (F.col("score") + F.coalesce("sum", F.lit(0.0))).alias("score"),
+                          (F.col("depth") + F.when(F.col("to").isNotNull(), 2**k).otherwise(0)).alias("depth"))
+    root = own.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.col("score").alias("root_score"))
+    met = rows.join(root, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("m")))
+    return stored(met.select("conv_id", "leaf", (F.col("score") + F.col("root_score")).alias("score"), "depth"), "leaf-scores")
+
+
+def leaf_paths(leaves: DataFrame, ups: list[DataFrame]) -> DataFrame:
+    """(conv_id, leaf, up, msg_id): msg_id is ``up`` replies above ``leaf``, for every message above the given leaves."""
+    paths = leaves.select("conv_id", "leaf", F.lit(0).cast("long").alias("up"), F.col("leaf").alias("msg_id"))
     for k in reversed(range(len(ups) - 1)):
         step = ups[k].select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "to")
         above = paths.join(step, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("m")))
@@ -86,12 +107,13 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     An empty table gives an empty result; other columns are never read."""
     rows = stored(messages.select("conv_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"),
                                   F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
-    paths = leaf_paths(rows)
-    scored = rows.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "score")
-    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("m"))
-    ranked = (paths.join(scored, on).groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"), F.max("up").alias("depth"))
+    # all leaves are ranked by their sums; only the chosen ones are expanded to messages
+    ups = ancestors(rows)
+    ranked = (leaf_scores(rows, ups)
               .withColumn("branch", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("score").desc(), F.col("depth").desc(), "leaf")))
               .filter(F.col("branch") <= branches))
+    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("m"))
+    paths = leaf_paths(ranked, ups)
     chosen = ranked.select(F.col("conv_id").alias("rc"), F.col("leaf").alias("rl"), "score", "branch", "depth")
     turns = paths.join(chosen, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("leaf") == F.col("rl")))
     texts = rows.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
