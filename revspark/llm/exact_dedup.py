@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, small_batches, stored
+from revspark.llm.common import byte_batches, id_text, stored
 
 #: Deleted before texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     exactly one has kept = true.  An empty table gives an empty result.  Other
     columns are never read, so their names cannot clash."""
     spark = docs.sparkSession
-    small_batches(spark)
+    byte_batches(spark)
     norm = F.regexp_replace("text", WHITE, "")
     rows = (
         id_text(docs, id_col, text_col)
@@ -96,7 +96,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
         .withColumn("edge", F.lit(True))
     )
-    joined = runs.join(F.broadcast(edges), ["sha", "edge"], "left")
+    # Only rows at the edge of a range meet the sums; the others are done.
+    inner = runs.filter(~F.col("edge")).withColumns({"all_n": F.lit(None).cast("long"), "b": F.lit(None).cast(edges.schema["b"].dataType)})
+    joined = runs.filter("edge").join(edges.drop("edge"), "sha", "left").unionByName(inner)
     whole = F.col("all_n").isNull()
     return joined.select(
         "doc_id",
