@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from revspark.llm.common import small_batches
+from revspark.llm.common import byte_batches
 
 #: Components of the candidates and of the queries of one cell, at most on average.
 CELL_CANDIDATES = 8192 * 64
@@ -120,7 +120,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     whose product overflows to no number takes no part.  With fewer than k
     candidates all are returned; a query with none, or an empty table, gives
     no rows.  Other columns are never read."""
-    small_batches(vectors.sparkSession, 4096)
+    byte_batches(vectors.sparkSession)
     rows = usable(vectors, id_col, vec_col)
     is_query = F.col("vec_id") % every == 0
     size = rows.agg(F.coalesce(F.sum("dim"), F.lit(0)), F.coalesce(F.sum(F.when(is_query, F.col("dim"))), F.lit(0))).first()

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, small_batches, worker_cache
+from revspark.llm.common import byte_batches, id_text, worker_cache
 
 #: Encoded matches remembered per Python worker (two generations of this many).
 CACHE_MATCHES = 250_000
@@ -240,11 +240,11 @@ def decoder(path: str, pattern: str):
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids: one row per input row, whole texts, no special tokens; only these two columns are read."""
-    small_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
     return id_text(docs, id_col, text_col).select("doc_id", encoder(path, pattern)("text").alias("ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Adds decoded (binary) to rows with ids."""
-    small_batches(encoded.sparkSession)
+    byte_batches(encoded.sparkSession)
     return encoded.withColumn("decoded", decoder(path, pattern)("ids"))

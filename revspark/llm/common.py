@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from revspark.session import ensure_checkpoint_dir
 
-#: Rows per Arrow batch sent to Python.  Rows hold whole texts, so a batch is
-#: kept to a few megabytes; the session default of 10,000 rows is not bounded
-#: tightly enough for long texts.
-BATCH_ROWS = 256
 #: The folder that holds the package.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -32,12 +28,6 @@ def byte_batches(spark: SparkSession) -> None:
     package_path(spark)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Set the session's Arrow batch size for the operator that is being built."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    package_path(spark)
-
-
 def package_path(spark: SparkSession) -> None:
     environment = spark.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):

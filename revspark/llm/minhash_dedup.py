@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, small_batches, stored, worker_cache
+from revspark.llm.common import byte_batches, id_text, stored, worker_cache
 from revspark.llm.components import components
 
 BINS = 128
@@ -243,7 +243,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     that repeat an id are linked through it.  Other columns are never read.  An
     empty table gives an empty result."""
     spark = docs.sparkSession
-    small_batches(spark)
+    byte_batches(spark)
     base = id_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     feats = stored(base.select("doc_id", "text", "text_key").mapInArrow(_features(words), "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>"), "minhash")
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, small_batches, stored, worker_cache
+from revspark.llm.common import byte_batches, id_text, stored, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     A document's ids are those of its whole text, then ``end_id``; null or
     empty text gives the single ``end_id``.  Only documents longer than
     ``capacity`` are cut."""
-    small_batches(docs.sparkSession, 1024)
+    byte_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = token_encoder(tokenizer_path)

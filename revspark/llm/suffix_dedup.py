@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.llm.common import id_text, shared_path, shuffle_partitions, small_batches, stored, worker_cache
+from revspark.llm.common import byte_batches, id_text, shared_path, shuffle_partitions, stored, worker_cache
 
 LENGTH = 200
 PERIOD = 133
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lose everything).  An empty table gives an empty result.  Other columns
     are never read."""
     spark = docs.sparkSession
-    small_batches(spark)
+    byte_batches(spark)
     table = f"revspark_chunks_{uuid.uuid4().hex}"
     (id_text(docs, id_col, text_col).mapInArrow(_chunks, "chunk long, ids array<long>, lens array<int>, blob binary")
      .write.bucketBy(shuffle_partitions(spark), "chunk").option("path", shared_path(spark, "chunks"))
@@ -259,8 +259,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = spark.table(table)
     add = lambda a, x: a + x.cast("long")
     total = chunks.agg(F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), add)), F.lit(0))).first()[0]
-    # The rows of a chunk are large; few of them make an Arrow batch.
-    small_batches(spark, 16)
 
     samples = max(1, total * len(COVER) // PERIOD)
     width = min(8, math.ceil((math.log2(samples) + SPARE_BITS) / 8))
