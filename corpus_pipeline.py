@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revspark.llm import exact_dedup, minhash_dedup, packing, pii, queries, toxicity
-from revspark.llm.common import read_table, small_batches, stored
+from revspark.llm.common import byte_batches, read_table, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The classifier learns from the labels table.  Null and empty texts stay."""
     model = toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    small_batches(spark)
+    byte_batches(spark)
     has_text = F.length(F.coalesce("text", F.lit(""))) > 0
     return docs.filter(~(has_text & (toxicity.scorer(model)("text") >= 0.5)))
 
