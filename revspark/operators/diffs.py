@@ -87,28 +87,17 @@ def scope_to_diff(findings: DataFrame, changed: DataFrame | None, key: str = "re
     """Keep a finding when its own line, or any step of its dataflow path,
     is a changed line of its review.  ``changed=None`` keeps everything.
 
-    Findings without a path are one semi-join on (key, file, line).  Findings
-    with a path are grouped to distinct rows with a copy count (bag
-    semantics survive), their steps exploded and semi-joined, and the copies
-    restored with ``array_repeat``.
+    Findings are written once with a row number; one row per (row number,
+    place) of its own line and its steps meets the changed lines, and the row
+    numbers that do bring their findings back, copies included.  Texts and
+    paths are never keys.
     """
     if changed is None:
         return findings
-    # findings are read by both branches below and are small next to their inputs: materialise once
-    findings = cut_lineage(findings)
-    ch = changed.select(key, "file", "line").dropDuplicates()
-    own = findings.join(ch, [key, "file", "line"], "left_semi")
-    with_path = findings.filter(F.col("dataflow_path").isNotNull() & (F.size("dataflow_path") > 0))
-    not_own = with_path.join(ch, [key, "file", "line"], "left_anti")
-    cols = not_own.columns
-    grouped = not_own.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    steps = grouped.select(
-        *cols, "_copies", F.explode("dataflow_path").alias("_s")
-    ).select(*cols, "_copies", F.col("_s.file").alias("_sf"), F.col("_s.line").alias("_sl"))
-    hit = steps.join(
-        ch.select(F.col(key), F.col("file").alias("_sf"), F.col("line").alias("_sl")),
-        [key, "_sf", "_sl"], "left_semi",
-    ).select(*cols, "_copies").dropDuplicates(cols)
-    restored = hit.select(*cols, F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_x")) \
-        .drop("_x")
-    return own.unionByName(restored)
+    findings = cut_lineage(findings.withColumn("_row", F.monotonically_increasing_id()))
+    own = F.array(F.struct(F.col("file").alias("f"), F.col("line").alias("l")))
+    steps = F.transform(F.col("dataflow_path"), lambda s: F.struct(s["file"].alias("f"), s["line"].alias("l")))
+    places = findings.select("_row", key, F.explode(F.array_distinct(F.concat(own, F.coalesce(steps, F.array().cast("array<struct<f:string,l:int>>"))))).alias("p"))
+    places = places.select("_row", key, F.col("p.f").alias("file"), F.col("p.l").alias("line"))
+    hit = places.join(changed.select(key, "file", "line"), [key, "file", "line"], "left_semi").select("_row").distinct()
+    return findings.join(hit, "_row", "left_semi").drop("_row")

@@ -62,15 +62,20 @@ def file_content(files: DataFrame, review_id: int | None = None, file_path: str
 
     The reference returns an Optional from a derived finder; with duplicate
     rows it would fail.  We return the smallest content and ``n_copies``.
+    Which keys have several rows is decided on the keys alone, so only their
+    texts are grouped; all others stay where they are while those keys are few
+    enough for Spark to broadcast by size.
     """
     if review_id is not None:
         files = files.filter(F.col("review_id") == review_id)
     if file_path is not None:
         files = files.filter(F.col("file_path") == file_path)
-    return files.groupBy("review_id", "file_path").agg(
-        F.min("content").alias("content"),
-        F.count(F.lit(1)).alias("n_copies"),
-    ).withColumn("duplicated", F.col("n_copies") > 1)
+    # a struct is never null, so null keys meet like others
+    rows = files.select(F.struct("review_id", "file_path").alias("k"), "content")
+    many = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    single = rows.join(many, "k", "left_anti").select("k", "content", F.lit(1).cast("long").alias("n_copies"))
+    several = rows.join(many, "k", "left_semi").groupBy("k").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_copies"))
+    return single.unionByName(several).select("k.*", "content", "n_copies", (F.col("n_copies") > 1).alias("duplicated"))
 
 
 def status_totals(reviews: DataFrame, findings: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Texts are stored whole, with a flag where they exceed the reference's column
 limits.  Rows get dense, deterministic ids without a global single-task window:
-range-partition by the sort key, number rows inside each partition, and add
+range-partition and sort by the key, take each row's place in its partition, and add
 the running total of the per-partition counts (a table with one row per
 partition, so its broadcast is bounded by the partition count).
 """
@@ -24,20 +24,16 @@ def with_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", parti
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(n, *order_cols)
-        .withColumn("_pid", F.spark_partition_id())
-        .checkpoint(eager=True)  # fixes the partition assignment; survives executor loss
-    )
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_off"),
+    placed = (
+        df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+        .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+        .checkpoint(eager=True)  # fixes partitions and places; survives executor loss
     )
+    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row per partition: bounded by the partition count, safe to broadcast
-    out = local.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(id_col, (F.col("_off") + F.col("_rn") + after).cast("long")).drop("_pid", "_rn", "_off")
+    out = placed.join(F.broadcast(counts.select("_pid", (before - F.col("_first") + 1).alias("_shift"))), "_pid")
+    return out.withColumn(id_col, (F.col("_mid") + F.col("_shift") + after).cast("long")).drop("_pid", "_mid", "_shift")
 
 
 def flag_overflow(df: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
