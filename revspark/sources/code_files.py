@@ -92,7 +92,10 @@ JAVA_HEADER_CLASS = (
     "  private Map<String,String> desks = new TreeMap<>();~"
     "  private BadgeRepository badgeRepository;"
 )
-JAVA_FOOTER = "}"
+#: The method that holds the text: its head, what stands before and after each line, and its end with the class's.
+JAVA_NOTES = ("  public void notes() {\n", '    audit("', '");', "\n  }\n}")
+#: Characters that would end or escape a string literal, and what they become.
+LITERAL_FROM, LITERAL_TO = '"\\', "'/"
 # review_id groups code files into reviews of ten files (our own choice).
 FILES_PER_REVIEW = 10
 
@@ -152,8 +155,7 @@ def code_files_from_documents(docs: DataFrame) -> DataFrame:
         .when(F.col("ext") == "py", F.lit("# F$d"))
         .otherwise(F.lit("// F$d"))
     )
-    footer = F.when(F.col("ext") == "java", F.lit(JAVA_FOOTER)).otherwise(F.lit(""))
-    raw = F.concat_ws("~", header, F.array_join(chunks, "~"), footer)
+    raw = F.concat_ws("~", header, F.array_join(chunks, "~"), F.lit(""))
     content = F.replace(
         F.replace(
             F.replace(raw, F.lit("$d"), F.col("doc_id").cast("string")),
@@ -164,7 +166,11 @@ def code_files_from_documents(docs: DataFrame) -> DataFrame:
         F.lit("\n"),
     )
     mark = F.when(F.col("ext") == "py", F.lit("# ")).otherwise(F.lit("// "))
-    content = F.concat(content, F.lit("\n"), mark, F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\n"), mark)))
+    comments = F.concat(F.lit("\n"), mark, F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\n"), mark)))
+    head, before, after, end = JAVA_NOTES
+    literals = F.replace(F.translate("text", LITERAL_FROM, LITERAL_TO), F.lit("\n"), F.lit(f"{after}\n{before}"))
+    notes = F.concat(F.lit(head + before), literals, F.lit(after + end))
+    content = F.concat(content, F.when(F.col("ext") == "java", notes).otherwise(comments))
     file = F.concat(F.lit("src/"), F.col("source"), F.lit("/F"), F.col("doc_id").cast("string"),
                     F.lit("."), F.col("ext"))
     return d.select(
@@ -192,16 +198,19 @@ def oracle_code_files_sql() -> str:
         f"{_sql_str(JAVA_HEADER_TOP)} || CASE WHEN d.doc_id % 2 = 0 THEN {_sql_str(JAVA_HEADER_SERVICE)} "
         f"ELSE '' END || {_sql_str(JAVA_HEADER_CLASS)}"
     )
+    head, before, after, end = JAVA_NOTES
     return f"""
 SELECT doc_id, review_id, file,
        replace(replace(replace(raw, '$d', CAST(doc_id AS VARCHAR)), '$v', 'v' || CAST(doc_id % 7 AS VARCHAR)), '~', chr(10))
-         || chr(10) || mark || replace(text, chr(10), chr(10) || mark) AS content
+         || CASE ext WHEN 'java' THEN {_sql_str(head + before)} || replace(translate(text, {_sql_str(LITERAL_FROM)}, {_sql_str(LITERAL_TO)}), chr(10), {_sql_str(after)} || chr(10) || {_sql_str(before)})
+                                      || {_sql_str(after + end)}
+                     ELSE chr(10) || mark || replace(text, chr(10), chr(10) || mark) END AS content
 FROM (
-  SELECT d.doc_id, any_value(d.text) AS text, CASE d.ext WHEN 'py' THEN '# ' ELSE '// ' END AS mark, d.doc_id // {FILES_PER_REVIEW} AS review_id,
+  SELECT d.doc_id, d.ext, any_value(d.text) AS text, CASE d.ext WHEN 'py' THEN '# ' ELSE '// ' END AS mark, d.doc_id // {FILES_PER_REVIEW} AS review_id,
          'src/' || d.source || '/F' || CAST(d.doc_id AS VARCHAR) || '.' || d.ext AS file,
          CASE d.ext WHEN 'java' THEN {java_header} WHEN 'py' THEN '# F$d' ELSE '// F$d' END
            || '~' || string_agg(replace(t.body, '$n', CAST(c.k AS VARCHAR)), '~' ORDER BY c.k)
-           || '~' || CASE d.ext WHEN 'java' THEN {_sql_str(JAVA_FOOTER)} ELSE '' END AS raw
+           || '~' AS raw
   FROM (SELECT doc_id, source, coalesce(text, '') AS text, {ext_list}[doc_id % 5 + 1] AS ext FROM documents) d
   JOIN (SELECT doc_id, unnest(range(0, 2 + (doc_id // 5) % 6)) AS k FROM documents) c ON c.doc_id = d.doc_id
   JOIN (VALUES {values}) t(ext, idx, body)
