@@ -1,7 +1,8 @@
 """W4 continuous review and W5 live history on Structured Streaming.
 
 W4: webhook deliveries stream -> W1 intake -> triggered PRs ->
-``foreachBatch``: join the PR's files and diff -> rules (D3) -> diff scope
+``foreachBatch``: read the PR's files and diff, stored by bucket of their review
+(``store_by_review``) so that a batch opens the buckets of its own reviews only -> rules (D3) -> diff scope
 (D2) -> enrichment (E1) -> reviews, files, findings and documents (K1, E3, E4).
 The outputs of a micro-batch become visible together with its commit
 (``batch_tables``); a replayed batch replaces its own output: exactly-once
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revspark.functions.text import is_supported
@@ -31,6 +32,8 @@ from revspark.streaming.intake import intake
 
 
 KEYS = ["repo_name", "pr_number", "commit_sha", "review_id"]
+#: Folders that the files and diffs of W4 are stored in.
+BUCKETS = 128
 OUTPUTS = ("reviews", "files", "findings", "documents")
 
 
@@ -69,9 +72,32 @@ def review_batch(prs: DataFrame, files: DataFrame, diffs: DataFrame | None) -> d
             "findings": prs.join(found, "review_id"), "documents": documents}
 
 
-def continuous_review(spark: SparkSession, webhook_stream: DataFrame, files: DataFrame, diffs: DataFrame | None,
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("review_id"), F.lit(BUCKETS)).cast("int")
+
+
+def store_by_review(df: DataFrame, path: str) -> str:
+    """Writes a table with a review_id as folders of BUCKETS buckets; returns the path.
+
+    Rows are dealt out by (bucket, row digest), so a review with a third of
+    all rows is many files of its bucket."""
+    rows = df.withColumn("bucket", _bucket())
+    rows.repartitionByRange("bucket", F.xxhash64(*df.columns)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return path
+
+
+def of_reviews(spark: SparkSession, source: DataFrame | str, buckets: list[int]) -> DataFrame:
+    """The table, of a stored one the given buckets only: the others are never opened."""
+    if not isinstance(source, str):
+        return source
+    return spark.read.parquet(source).filter(F.col("bucket").isin(buckets)).drop("bucket")
+
+
+def continuous_review(spark: SparkSession, webhook_stream: DataFrame, files: DataFrame | str, diffs: DataFrame | str | None,
                       secret: str, out_dir: str, checkpoint: str, pr_to_review, trigger: dict | None = None) -> None:
-    """Run W4 until the source is drained (or by ``trigger``, arguments of the stream's trigger)."""
+    """Run W4 until the source is drained (or by ``trigger``, arguments of the stream's trigger).
+
+    files and diffs: tables, or paths of ``store_by_review``."""
     trig = intake(webhook_stream, secret).filter("triggered")
     trig = trig.withColumn("review_id", pr_to_review(F.col("pr_number")))
 
@@ -82,7 +108,11 @@ def continuous_review(spark: SparkSession, webhook_stream: DataFrame, files: Dat
         if known is not None:
             prs = prs.join(known.select(*KEYS[:3]), KEYS[:3], "left_anti")
         # written once: the signatures are checked once per batch
-        for name, out in review_batch(cut_lineage(prs), files, diffs).items():
+        prs = cut_lineage(prs)
+        # at most BUCKETS numbers
+        buckets = [r.bucket for r in prs.select(_bucket().alias("bucket")).distinct().collect()]
+        own = [None if t is None else of_reviews(spark, t, buckets) for t in (files, diffs)]
+        for name, out in review_batch(prs, *own).items():
             tables.write(name, out, batch_id)
         tables.commit(batch_id)
 

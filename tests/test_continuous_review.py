@@ -66,3 +66,19 @@ def test_history_writes_changed_reviews_only(spark, tmp_path, monkeypatch):
         assert got == want
     counts = spark.read.parquet(f"{out}/counts")
     assert sorted((r.batch_id, r.review_id) for r in counts.collect()) == [(0, 1), (0, 2), (1, 1), (2, 3), (3, 1), (4, 4)]
+
+
+def test_a_batch_opens_its_own_buckets(spark, tmp_path):
+    schema = "event_id long, payload string, signature string, event string"
+    files = spark.range(300).select(F.col("id").alias("review_id"), F.concat(F.lit("src/f"), "id", F.lit(".py")).alias("file"), F.lit("f = open('x')\nf.read()\n").alias("content"))
+    path = WR.store_by_review(files, f"{tmp_path}/code")
+    assert spark.read.parquet(path).select(*files.columns).exceptAll(files).isEmpty()
+    few = WR.of_reviews(spark, path, [3, 5])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket#" in plan and "IN (3,5)" in plan
+    assert 0 < len(few.inputFiles()) <= len(spark.read.parquet(path).inputFiles())
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for rows in ([delivery(1, 17, "s1")], [delivery(2, 40, "s2"), delivery(3, 17, "s1")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        WR.continuous_review(spark, spark.readStream.schema(schema).parquet(src), path, None, SECRET, out, f"{tmp_path}/ck", lambda pr: pr.cast("long"))
+    assert sorted((r.pr_number, r.file, r.line, r.batch_id) for r in WR.read_output(spark, out, "findings").collect()) == [(17, "src/f17.py", 1, 0), (40, "src/f40.py", 1, 1)]
