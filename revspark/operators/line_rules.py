@@ -9,7 +9,7 @@ rule is a set-based job over the line table:
   candidates on (review_id, file, var) plus ``a.line <= d.line``.  Every
   joined pair is one finding - the reference's bag semantics (a variable
   assigned null twice reports twice);
-* loop rules (L3, L6, L8, L9): keyword filter + the P5 semi-join.
+* loop rules (L3, L6, L8, L9): keyword filter + the P5 flag of the line.
 
 Substring tests such as ``code.contains(var + "->")`` become equi-joins by
 expanding each line into the variable names it could match: for ``var->``

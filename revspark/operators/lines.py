@@ -1,11 +1,8 @@
 """Line table (P3), comment strip (P4), inside-loop flag (P5), blank filter.
 
-``lines(files)`` is a narrow transform: ``posexplode`` of each file's content,
-no shuffle.  The inside-loop flag is computed without a per-file window: every
-loop-marker line is expanded to the 10 line numbers that follow it and the
-candidates are semi-joined on (review_id, file, line).  That join key spreads
-evenly even when one file holds a large share of all lines, and only marker
-and candidate rows (a small fraction of all lines) are shuffled.
+``lines(files)`` is a narrow transform: the inside-loop flag is computed on the
+array of a file's lines, inside its row, and one ``posexplode`` makes the line
+rows.  No window and no shuffle.
 """
 
 from __future__ import annotations

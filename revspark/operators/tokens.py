@@ -15,8 +15,8 @@ Partitioning: the compact file rows are hash-partitioned by (review_id,
 file) once; every window below is partitioned by (review_id, file[, ...]),
 so none of them adds an exchange.  Containment tests ("token inside scope")
 are equi-joins on (review_id, file, line) after exploding each scope into
-the lines it spans, which is linear in (tokens x nesting depth) and spreads
-even one huge file over many tasks.
+the lines it spans: linear in (tokens x nesting depth) for code of usual line
+lengths, quadratic in a line that holds very many scopes.
 
 Regexes avoid nested alternation under ``*`` (java.util.regex recursion) and
 look-around, so DuckDB (RE2) runs the same patterns.

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from revspark.functions.text import SUPPORTED_EXTS
+from revspark.operators import diffs as ops
 from revspark.operators.diffs import changed_lines
 
 SUP = re.compile(r"\.(" + "|".join(SUPPORTED_EXTS) + r")$")
@@ -46,10 +47,26 @@ lines = st.lists(st.one_of(headers, hunks, bodies, bodies), min_size=1, max_size
 
 
 @settings(max_examples=15, deadline=None)
-@given(diffs=st.lists(lines, min_size=1, max_size=3))
-def test_diff_parse_matches_walk(spark, diffs):
+@given(block=st.sampled_from([1, 3, 4096]), diffs=st.lists(lines, min_size=1, max_size=3))
+def test_diff_parse_matches_walk(spark, block, diffs):
+    """Whatever the block length: one line, a few, all."""
+    ops.BLOCK_LINES = block
     texts = ["\n".join(d) for d in diffs]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "diff_id long, diff_text string")
-    got = {(r.diff_id, r.file, r.line) for r in changed_lines(df).collect()}
+    try:
+        got = {(r.diff_id, r.file, r.line) for r in changed_lines(df).collect()}
+    finally:
+        ops.BLOCK_LINES = 4096
     exp = {(i, f, n) for i, t in enumerate(texts) for f, n in walk(t)}
     assert got == exp
+
+
+def test_no_window_by_the_diff_alone_over_its_lines(spark):
+    """A diff of a quarter million lines: its lines are in many partitions, only block summaries meet by diff."""
+    n = 250_000
+    text = "diff --git a/x.py b/x.py\n@@ -1 +1 @@\n" + "\n".join("+a" if k % 2 else " b" for k in range(n))
+    df = spark.createDataFrame([(None, text)], "diff_id long, diff_text string")
+    out = changed_lines(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "block#" in plan and out.count() == n // 2
+    assert {r.line for r in out.collect()} == {k + 1 for k in range(n) if k % 2}
