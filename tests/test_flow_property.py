@@ -109,3 +109,22 @@ def test_leaks_and_null_uses_on_named_tables(spark):
     guards = spark.createDataFrame([(7, "check", "skip", "x")], "graph_id long, src string, dst string, var string")
     out = FL.unguarded_null_uses(edges, nodes, defs, uses, guards, reach).collect()
     assert {r.node for r in out} == {"read", "peek"}
+
+
+def test_equal_graphs_are_solved_once_and_for_all(spark):
+    """Copies of a graph, one with another edge and one with another definition: the copies share a representative."""
+    from pyspark.sql import functions as F
+
+    edges, defs = [], []
+    for g in range(12):
+        edges += [(g, a, b) for a, b in (("ENTRY", "a"), ("a", "b"), ("b", "a"), ("b", "EXIT"))] + ([(g, "a", "EXIT")] if g == 7 else [])
+        defs += [(g, "a", "x", "d1"), (g, "b", "y" if g == 9 else "x", "d2")]
+    e = spark.createDataFrame(edges, "graph_id long, src string, dst string").withColumn("edge_type", F.lit("UNCONDITIONAL")).repartition(5)
+    d = spark.createDataFrame(defs, "graph_id long, node string, var string, def_id string").repartition(3)
+    reps = {r.graph_id: r.rep for r in FL.same_graphs(e, d).collect()}
+    assert reps == {g: g if g in (7, 9) else 0 for g in range(12)}
+    facts = {}
+    for r in FL.reaching_definitions(e, d).collect():
+        facts.setdefault(r.graph_id, set()).add((r.node, r.def_id))
+    assert set(facts) == set(range(12)) and all(facts[g] == facts[0] for g in range(12) if g not in (7, 9))
+    assert facts[7] != facts[0] and ("EXIT", "d1") in facts[9] and ("EXIT", "d1") not in facts[0]
