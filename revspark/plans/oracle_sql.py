@@ -372,13 +372,16 @@ FROM routed r LEFT JOIN nf ON nf.review_id = r.request_id LEFT JOIN ne ON ne.rev
         return (f"CASE WHEN empty THEN '' WHEN NOT ok THEN {q(fb_r if name == 'rationale' else fb_f)} "
                 f"WHEN {jt} IS NULL THEN '' WHEN {jt} = 'NULL' THEN 'null' WHEN {jt} IN ('OBJECT', 'ARRAY') THEN '' "
                 f"ELSE coalesce(json_extract_string(clean, '$.{name}'), '') END")
+    def as_int(d):
+        return f"CASE WHEN isnan({d}) THEN 0 ELSE CAST(trunc(greatest(least({d}, 2147483647.0), -2147483648.0)) AS INTEGER) END"
+    number = "TRY_CAST(json_extract(clean, '$.priorityScore') AS DOUBLE)"
     pj = "json_type(clean, '$.priorityScore')"
     prio = (f"CASE WHEN empty THEN {EN.MISSING_PRIORITY} WHEN NOT ok THEN {EN.FALLBACK_PRIORITY} "
             f"WHEN {pj} IS NULL OR {pj} = 'NULL' THEN {EN.MISSING_PRIORITY} "
             f"WHEN {pj} = 'BOOLEAN' THEN CASE WHEN CAST(json_extract(clean, '$.priorityScore') AS BOOLEAN) THEN 1 ELSE 0 END "
-            f"WHEN {pj} = 'VARCHAR' THEN coalesce(CAST(trunc(TRY_CAST({jtrim_sql(chr(34) + 'x' + chr(34))} AS DOUBLE)) AS INTEGER), {EN.MISSING_PRIORITY}) "
+            f"WHEN {pj} = 'VARCHAR' THEN coalesce({as_int(f'TRY_CAST({jtrim_sql(chr(34) + chr(120) + chr(34))} AS DOUBLE)')}, {EN.MISSING_PRIORITY}) "
             f"WHEN {pj} IN ('OBJECT', 'ARRAY') THEN {EN.MISSING_PRIORITY} "
-            f"ELSE coalesce(CAST(trunc(TRY_CAST(json_extract(clean, '$.priorityScore') AS DOUBLE)) AS INTEGER), {EN.MISSING_PRIORITY}) END")
+            f"ELSE coalesce({as_int(number)}, {EN.MISSING_PRIORITY}) END")
     prio = prio.replace('"x"', "json_extract_string(clean, '$.priorityScore')")
     out["e2_response_guard"] = f"""
 WITH {FX.RESPONSES_SQL},
@@ -533,7 +536,7 @@ from revspark.streaming import intake as WI  # noqa: E402
 
 def webhooks_sql() -> str:
     acts = "[" + ", ".join(q(a) for a in FX.WEBHOOK_ACTIONS) + "]"
-    full = ("'{\"action\": \"' || " + acts + "[event_id % 5 + 1] || '\", \"number\": ' || CAST(event_id AS VARCHAR) "
+    full = ("'{\"action\": \"' || " + acts + "[event_id % 5 + 1] || '\", \"number\": ' || CAST(event_id AS VARCHAR) || CASE WHEN event_id % 29 = 0 THEN '0000000000' ELSE '' END "
             "|| ', \"repository\": {\"full_name\": \"o/r' || CAST(user_id AS VARCHAR) || "
             "'\"}, \"pull_request\": {\"head\": {\"sha\": \"' || sha256(CAST(event_id AS VARCHAR)) || '\"}}}'")
     return f"""

@@ -19,14 +19,15 @@ WEBHOOK_ACTIONS = ["opened", "synchronize", "reopened", "closed", "edited"]
 
 def diffs_from_code_files(cf: DataFrame) -> DataFrame:
     """One unified diff per file: hunks of 10 lines, '+' on every 3rd line,
-    '-' on every 7th, context otherwise."""
+    '-' on every 7th, context otherwise.  Every eleventh diff has after each
+    hunk head another whose number is no int: it changes nothing."""
     cf = cf.withColumn("_lines", F.split(F.col("content"), "\n"))
     lines = F.col("_lines")
     n = F.size(lines)
 
     def one(i: Column) -> Column:
         hunk = F.when(i % 10 == 1, F.concat(F.lit("@@ -"), i.cast("string"), F.lit(",10 +"), i.cast("string"),
-                                           F.lit(",10 @@\n"))).otherwise(F.lit(""))
+                                           F.lit(",10 @@\n"), F.when(F.col("doc_id") % 11 == 3, F.lit("@@ -1 +99999999999 @@\n")).otherwise(F.lit("")))).otherwise(F.lit(""))
         prefix = F.when(i % 3 == 0, F.lit("+")).when(i % 7 == 0, F.lit("-")).otherwise(F.lit(" "))
         return F.concat(hunk, prefix, F.element_at(lines, i))
 
@@ -59,13 +60,15 @@ changed AS (SELECT DISTINCT diff_id, review_id, file, CAST(new_line AS INTEGER)
 
 def responses_from_conversations(conv: DataFrame) -> DataFrame:
     """{fenced JSON, plain JSON, JSON without score, score as string, raw text,
-    empty}[turn % 6], built around each conversation turn's text."""
+    empty}[turn % 6], built around each conversation turn's text.  Some of the
+    string scores are no number or far beyond int."""
     fix = F.concat(F.lit("fix #"), F.col("conv_id").cast("string"))
     prio = (1 + F.col("conv_id") % 10).cast("int")
     full = F.to_json(F.struct(F.col("text").alias("rationale"), fix.alias("fix"), prio.alias("priorityScore")))
     noscore = F.to_json(F.struct(F.col("text").alias("rationale"), fix.alias("fix")))
+    odd = F.when(F.col("conv_id") % 9 == 4, "NaN").when(F.col("conv_id") % 9 == 5, "-1e300")
     strscore = F.to_json(F.struct(F.col("text").alias("rationale"), fix.alias("fix"),
-                                  prio.cast("string").alias("priorityScore")))
+                                  F.coalesce(odd, prio.cast("string")).alias("priorityScore")))
     k = F.col("turn") % 6
     resp = (F.when(k == 0, F.concat(F.lit("```json\n"), full, F.lit("\n```")))
             .when(k == 1, full).when(k == 2, noscore).when(k == 3, strscore)
@@ -79,7 +82,7 @@ responses AS (
     WHEN 0 THEN '```json' || chr(10) || json_object('rationale', text, 'fix', 'fix #' || conv_id, 'priorityScore', CAST(1 + conv_id % 10 AS INTEGER))::VARCHAR || chr(10) || '```'
     WHEN 1 THEN json_object('rationale', text, 'fix', 'fix #' || conv_id, 'priorityScore', CAST(1 + conv_id % 10 AS INTEGER))::VARCHAR
     WHEN 2 THEN json_object('rationale', text, 'fix', 'fix #' || conv_id)::VARCHAR
-    WHEN 3 THEN json_object('rationale', text, 'fix', 'fix #' || conv_id, 'priorityScore', CAST(1 + conv_id % 10 AS VARCHAR))::VARCHAR
+    WHEN 3 THEN json_object('rationale', text, 'fix', 'fix #' || conv_id, 'priorityScore', CASE conv_id % 9 WHEN 4 THEN 'NaN' WHEN 5 THEN '-1e300' ELSE CAST(1 + conv_id % 10 AS VARCHAR) END)::VARCHAR
     WHEN 4 THEN text ELSE '' END AS response
   FROM conversations
 )
@@ -145,7 +148,8 @@ def webhooks_from_events(events: DataFrame, secret: str = WEBHOOK_SECRET) -> Dat
     eid = F.col("event_id")
     action = F.element_at(F.array(*[F.lit(a) for a in WEBHOOK_ACTIONS]), (eid % 5 + 1).cast("int"))
     full = F.concat(
-        F.lit('{"action": "'), action, F.lit('", "number": '), eid.cast("string"),
+        # every 29th number is beyond int
+        F.lit('{"action": "'), action, F.lit('", "number": '), eid.cast("string"), F.when(eid % 29 == 0, F.lit("0000000000")).otherwise(F.lit("")),
         F.lit(', "repository": {"full_name": "o/r'), F.col("user_id").cast("string"),
         F.lit('"}, "pull_request": {"head": {"sha": "'), F.sha2(eid.cast("string"), 256), F.lit('"}}}'))
     # every 17th payload is cut to half its length (bad JSON, signed after the cut)
