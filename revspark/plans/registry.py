@@ -392,7 +392,13 @@ def _w_queries():
         return throttled(s, d, "ttl_key", F.col("user_id") % TTL_KEYS, TTL_GAP, TTL_GAP).select("ttl_key", "event_id", "set_id", "late", "slice")
     q["w3_first_version_stream"] = w3s
 
+    runs: dict[tuple[str, str], str] = {}
+
     def w4_run(s, d):
+        """One run of the stream writes all outputs; the queries of an application read the same one."""
+        run = s.sparkContext.applicationId, d
+        if run in runs:
+            return runs[run]
         path = WR.fresh_dir(s, "w4")
         cf = code_files(s, d)
         files = WR.store_by_review(cf.select("review_id", "file", "content"), path + "/code")
@@ -405,6 +411,7 @@ def _w_queries():
             hooks.filter(own | again).write.mode("append").parquet(path + "/in")
             WR.continuous_review(s, s.readStream.schema(hooks.schema).parquet(path + "/in"), files, diffs, FX.WEBHOOK_SECRET, path, path + "/ck",
                                  lambda pr: F.floor(pr / PRS_PER_REVIEW).cast("long"))
+        runs[run] = path
         return path
 
     def w4(s, d):
