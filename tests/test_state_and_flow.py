@@ -74,9 +74,9 @@ def test_stream_with_late_rows_over_many_batches(spark, tmp_path, monkeypatch):
     rng = random.Random(3)
     base, schema = dt.datetime(2024, 5, 1), "event_id long, ts timestamp, user_id long"
     src, out, batches, i = f"{tmp_path}/in", f"{tmp_path}/out", [], 0
-    for n in range(7):
+    for n in range(5):
         rows = []
-        for _ in range(60):
+        for _ in range(80):
             i += 1
             t = 100 * n + rng.randint(0, 99) - (rng.choice([150, 300, 600]) if rng.random() < 0.2 else 0)
             rows.append((rng.choice([1, 1, 1, 2, 3, None]), None if rng.random() < 0.03 else t, i))
