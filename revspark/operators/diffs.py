@@ -119,5 +119,6 @@ def scope_to_diff(findings: DataFrame, changed: DataFrame | None, key: str = "re
     steps = F.transform(F.col("dataflow_path"), lambda s: F.struct(s["file"].alias("f"), s["line"].alias("l")))
     places = findings.select("_row", key, F.explode(F.array_distinct(F.concat(own, F.coalesce(steps, F.array().cast("array<struct<f:string,l:int>>"))))).alias("p"))
     places = places.select("_row", key, F.col("p.f").alias("file"), F.col("p.l").alias("line"))
-    hit = places.join(changed.select(key, "file", "line"), [key, "file", "line"], "left_semi").select("_row").distinct()
-    return findings.join(hit, "_row", "left_semi").drop("_row")
+    # both sides grow with the input, and compressed sizes say little: neither is broadcast
+    hit = places.join(changed.select(key, "file", "line").hint("merge"), [key, "file", "line"], "left_semi").select("_row").distinct()
+    return findings.join(hit.hint("merge"), "_row", "left_semi").drop("_row")

@@ -67,7 +67,7 @@ def review_batch(prs: DataFrame, files: DataFrame, diffs: DataFrame | None) -> d
     own = per_pr.select("request_id", "review_id").join(found, "review_id")
     summary = EN.review_summary(per_pr, own, key="request_id")
     comments = EN.review_request(per_pr, summary, own, key="request_id")
-    documents = per_pr.join(summary, "request_id").join(comments, "request_id").select(*KEYS, "summary", "request_json")
+    documents = per_pr.join(summary.hint("merge"), "request_id").join(comments.hint("merge"), "request_id").select(*KEYS, "summary", "request_json")
     return {"reviews": reviews, "files": prs.join(code.select("review_id", "file"), "review_id"),
             "findings": prs.join(found, "review_id"), "documents": documents}
 
