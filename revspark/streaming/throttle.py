@@ -11,6 +11,9 @@ Batch twin (exact, distributed):
   2. the accepted events are the chain head, next(head), next(next(head)), ...
      found by pointer doubling: log2(chain length) rounds of joins on event
      ids (unique keys, so no hot key), each round checkpointed.
+Every table here grows with the events, and a written one looks small to the
+planner (ids compress well): the joins are sort-merge joins, so that no round
+sends its pointers through the driver.
 
 Streaming form (``throttle_stream``): each micro-batch joins its events to the
 last accepted event of their key, answers what lies inside that window at once
@@ -67,9 +70,9 @@ def next_pointers(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: i
         Window.unboundedPreceding, -1)
     later = look.withColumn("later", F.last("first_id", ignorenulls=True).over(wb)) \
         .filter(F.col("kind") == 0).select("k", "b", "later")
-    nxt = u.join(later, ["k", "b"], "left").select(
+    nxt = u.join(later.hint("merge"), ["k", "b"], "left").select(
         "k", "id", F.coalesce(F.col("nxt"), F.col("later")).alias("nxt"))
-    return e.select("k", "id", "t").join(nxt, ["k", "id"])
+    return e.select("k", "id", "t").join(nxt.hint("merge"), ["k", "id"])
 
 
 def accepted_ids(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: int) -> DataFrame:
@@ -81,12 +84,12 @@ def accepted_ids(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: in
     jump = _cut(jump)
     # pointers double every round and only lead forward in time: the loop ends when none is left
     while True:
-        step = reached.join(jump, "id").select("k", F.col("to").alias("id"))
+        step = reached.join(jump.hint("merge"), "id").select("k", F.col("to").alias("id"))
         step = _cut(step)
         if step.isEmpty():
             break
         reached = _cut(reached.unionByName(step))
-        j2 = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")) \
+        j2 = jump.alias("a").join(jump.alias("b").hint("merge"), F.col("a.to") == F.col("b.id")) \
             .select(F.col("a.id").alias("id"), F.col("b.to").alias("to"))
         jump = _cut(j2)
     return reached.select(F.col("k").alias(key), F.col("id").alias(eid))
@@ -95,7 +98,7 @@ def accepted_ids(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: in
 def throttle(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: int) -> DataFrame:
     """W2 batch twin: every event with ``accepted``."""
     acc = accepted_ids(events, key, ts, eid, gap_seconds).withColumn("accepted", F.lit(True))
-    return events.join(acc, [key, eid], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    return events.join(acc.hint("merge"), [key, eid], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 def first_version(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: int) -> DataFrame:
@@ -106,12 +109,12 @@ def first_version(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: i
     acc = accepted_ids(events, key, ts, eid, gap_seconds)
     t_us = F.unix_micros(F.col(ts).cast("timestamp"))
     g = gap_seconds * 1_000_000
-    sets = events.join(acc, [key, eid]).select(F.col(key).alias("k"), F.col(eid).alias("set_id"),
+    sets = events.join(acc.hint("merge"), [key, eid]).select(F.col(key).alias("k"), F.col(eid).alias("set_id"),
                                                t_us.alias("st"))
     sets = sets.withColumn("bucket", F.explode(F.array(F.floor(F.col("st") / g), F.floor(F.col("st") / g) + 1)))
     ev = events.select(F.col(key).alias("k"), F.col(eid).alias("id"), t_us.alias("t")) \
         .withColumn("bucket", F.floor(F.col("t") / g))
-    j = ev.join(sets, ["k", "bucket"]).filter(
+    j = ev.join(sets.hint("merge"), ["k", "bucket"]).filter(
         ((F.col("st") < F.col("t")) | ((F.col("st") == F.col("t")) & (F.col("set_id") <= F.col("id"))))
         & (F.col("t") < F.col("st") + g))
     return j.select(F.col("k").alias(key), F.col("id").alias(eid), "set_id")
@@ -129,11 +132,11 @@ def answer_batch(events: DataFrame, known: DataFrame | None, gap_seconds: int) -
     if known is None:
         rest, shut = events, None
     else:
-        met = events.join(known, "k", "left")
+        met = events.join(known.hint("merge"), "k", "left")
         inside = F.coalesce(t < F.col("last") + gap_seconds * 1_000_000, F.lit(False))
         shut = met.filter(inside).select("k", "id", "ts", F.lit(False).alias("accepted"), F.col("last_id").alias("set_id"))
         rest = cut_lineage(met.filter(~inside).select("k", "id", "ts"))
-    served = rest.join(first_version(rest, "k", "ts", "id", gap_seconds), ["k", "id"])
+    served = rest.join(first_version(rest, "k", "ts", "id", gap_seconds).hint("merge"), ["k", "id"])
     served = served.select("k", "id", "ts", (F.col("id") == F.col("set_id")).alias("accepted"), "set_id")
     return served if shut is None else served.unionByName(shut)
 
