@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revspark.session import cut_lineage
+
 KEY = ["review_id", "file"]
 LINE_BITS = 32
 #: Bytes of text whose tokens are one partition (a task sorts about 80 bytes for each).
@@ -66,10 +68,10 @@ def blank_comments(content: Column) -> Column:
 
 
 def _partitions(files: DataFrame) -> int:
-    """Partitions of the token table: the session's number, more where the texts are longer than
-    PARTITION_BYTES each, so that the memory of one task does not grow with the input."""
+    """Partitions of the token table of ``files`` (..., size): the session's number, more where the texts are longer
+    than PARTITION_BYTES each, so that the memory of one task does not grow with the input."""
     spark = files.sparkSession
-    size = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    size = files.agg(F.sum("size")).first()[0] or 0
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
@@ -81,14 +83,21 @@ def _kind(tok: Column) -> Column:
 
 def tokens(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """T1 over files(review_id, file, content)."""
-    n = partitions or _partitions(files)
-    f = files.select(*KEY, "content").repartition(n, *KEY)
+    f = files.select(*KEY, "content")
+    if not partitions:
+        # the texts are made once, and their sizes are read from the written table
+        f = cut_lineage(f.withColumn("size", F.octet_length("content").cast("long")))
+        partitions = _partitions(f)
+    # the few rows of the files are sorted before they are exploded: the tokens' sort finds one run
+    f = f.select(*KEY, "content").repartition(partitions, *KEY).sortWithinPartitions(*KEY)
     f = f.select(*KEY, blank_comments(F.col("content")).alias("clean"))
     ln = f.select(*KEY, F.posexplode(F.split(F.col("clean"), "\n")).alias("l0", "text"))
     t = ln.select(*KEY, (F.col("l0") + 1).cast("int").alias("line"),
                   F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(TOKEN_RE), 0)).alias("idx", "tok"))
     t = t.withColumn("pos", F.shiftleft(F.col("line").cast("long"), LINE_BITS) + F.col("idx")) \
          .withColumn("kind", _kind(F.col("tok")))
+    # a neighbouring string literal is its quote only (n2: whole): texts are not carried along nine times
+    t = t.withColumn("short", F.when(F.col("kind") == "str", F.lit('"')).otherwise(F.col("tok")))
     # columns of one order are made together: each withColumns is one pass of a window over the rows
     w = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     nd_delta = F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
@@ -97,8 +106,9 @@ def tokens(files: DataFrame, partitions: int | None = None) -> DataFrame:
     wo = Window.partitionBy(*KEY).orderBy("pos")
     t = t.withColumns({
         **{name: F.sum(delta).over(w).cast("int") for name, delta in (("nd", nd_delta), ("bd", bd_delta), ("angle", angle))},
-        **{f"p{i}": F.lag("tok", i).over(wo) for i in range(1, 6)}, "p1_pos": F.lag("pos", 1).over(wo),
-        **{f"n{i}": F.lead("tok", i).over(wo) for i in (1, 2, 3)}, "n1_pos": F.lead("pos", 1).over(wo)})
+        **{f"p{i}": F.lag("short", i).over(wo) for i in range(1, 6)}, "p1_pos": F.lag("pos", 1).over(wo), "p1_kind": F.lag("kind", 1).over(wo),
+        "n1": F.lead("short", 1).over(wo), "n2": F.lead("tok", 2).over(wo), "n3": F.lead("short", 3).over(wo), "n1_pos": F.lead("pos", 1).over(wo)}) \
+        .drop("short")
     # statement start: last ; { } before the token (a declaration's first token follows it), and the
     # last position of a few markers before it -- all one growing-frame window pass, linear per file
     before = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,20 +128,20 @@ def tokens(files: DataFrame, partitions: int | None = None) -> DataFrame:
     angle0 = F.last(F.when(tok.isin(";", "{", "}"), F.col("angle")), ignorenulls=True).over(before)
     t = t.withColumns({name: F.coalesce(F.last(F.when(cond, F.col("pos")), ignorenulls=True).over(before), F.lit(-1).cast("long"))
                        for name, cond in marks.items()} | {"angle": F.col("angle") - F.coalesce(angle0, F.lit(0))})
+    # next ';' and next '{' after the token: a growing frame over the reversed order stays linear
+    after = Window.partitionBy(*KEY).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumns({"next_semi": F.last(F.when(tok == ";", F.col("pos")), ignorenulls=True).over(after),
+                       "next_brace": F.last(F.when(tok == "{", F.col("pos")), ignorenulls=True).over(after)})
     # start of the postfix chain (a.b(c).d) that the token belongs to: a token that does not carry one on
-    word = tok.rlike(r"^[A-Za-z_$]") & ~tok.isin(*STMT_KEYWORDS, *EXPR_KEYWORDS)
+    word = (F.col("kind") == "id") & ~tok.isin(*STMT_KEYWORDS, *EXPR_KEYWORDS)
     p1 = F.coalesce(F.col("p1"), F.lit(""))
-    after_word = p1.rlike(r"^[A-Za-z_$]") & ~p1.isin(*[k for k in STMT_KEYWORDS if k not in ("this", "super")], *EXPR_KEYWORDS)
+    after_word = F.coalesce(F.col("p1_kind") == "id", F.lit(False)) & ~p1.isin(*[k for k in STMT_KEYWORDS if k not in ("this", "super")], *EXPR_KEYWORDS)
     carries = (tok.isin(".", ")", "]") | (p1 == ".") | ((tok == "(") & after_word) | ((tok == "[") & (after_word | p1.isin(")", "]")))
                | (word & (p1 == "new")))
     level = Window.partitionBy(*KEY, "lvl").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("lvl", F.least(F.col("nd"), F.col("nd") - nd_delta)) \
          .withColumn("chain_start", F.last(F.when(~carries, F.col("pos")), ignorenulls=True).over(level)) \
-         .drop("lvl")
-    # next ';' and next '{' after the token: a growing frame over the reversed order stays linear
-    after = Window.partitionBy(*KEY).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"next_semi": F.last(F.when(tok == ";", F.col("pos")), ignorenulls=True).over(after),
-                       "next_brace": F.last(F.when(tok == "{", F.col("pos")), ignorenulls=True).over(after)})
+         .drop("lvl", "p1_kind", "p5")
     return t
 
 
