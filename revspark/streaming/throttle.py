@@ -25,6 +25,8 @@ event of the stream gets an answer, late ones too.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,21 +80,26 @@ def next_pointers(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: i
 def accepted_ids(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: int) -> DataFrame:
     """Batch twin: (key, id) of accepted events."""
     nodes = _cut(next_pointers(events, key, ts, eid, gap_seconds))
-    heads = nodes.groupBy("k").agg(F.min_by("id", F.struct("t", "id")).alias("id"))
-    reached = _cut(heads)
-    jump = nodes.select("id", F.col("nxt").alias("to")).filter(F.col("to").isNotNull())
-    jump = _cut(jump)
-    # pointers double every round and only lead forward in time: the loop ends when none is left
+    reached = [_cut(nodes.groupBy("k").agg(F.min_by("id", F.struct("t", "id")).alias("id")))]
+    jump = nodes.filter(F.col("nxt").isNotNull()).select("id", F.col("nxt").alias("to"))
+    # pointers double every round and only lead forward in time: the loop ends when none is left.  A round moves the
+    # reached events (k, at) and the pointers' ends (id, at) in one join and writes what it adds
     while True:
-        step = reached.join(jump.hint("merge"), "id").select("k", F.col("to").alias("id"))
-        step = _cut(step)
+        ends = jump.select(F.lit(None).cast(nodes.schema["k"].dataType).alias("k"), "id", F.col("to").alias("at"))
+        here = _union(reached).select("k", F.lit(None).cast(nodes.schema["id"].dataType).alias("id"), F.col("id").alias("at"))
+        ahead = jump.select(F.col("id").alias("at"), "to")
+        moved = _cut(here.withColumn("head", F.lit(True)).unionByName(ends.withColumn("head", F.lit(False)))
+                     .join(ahead.hint("merge"), "at").select("head", "k", "id", "to"))
+        step = moved.filter("head").select("k", F.col("to").alias("id"))
         if step.isEmpty():
             break
-        reached = _cut(reached.unionByName(step))
-        j2 = jump.alias("a").join(jump.alias("b").hint("merge"), F.col("a.to") == F.col("b.id")) \
-            .select(F.col("a.id").alias("id"), F.col("b.to").alias("to"))
-        jump = _cut(j2)
-    return reached.select(F.col("k").alias(key), F.col("id").alias(eid))
+        reached.append(step)
+        jump = moved.filter("not head").select("id", "to")
+    return _union(reached).select(F.col("k").alias(key), F.col("id").alias(eid))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def throttle(events: DataFrame, key: str, ts: str, eid: str, gap_seconds: int) -> DataFrame:
