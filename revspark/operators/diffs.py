@@ -45,7 +45,8 @@ def _carried(rows: DataFrame, keys: list[str], carry: dict[str, Column], lasts:
         summary = summary.withColumn(name, value)
     names = {c: f"_k{k}" for k, c in enumerate(block)}
     on = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
-    return rows.join(summary.select(*block, *carry).withColumnsRenamed(names), on).drop(*names.values())
+    # a summary row per block of every diff grows with the diffs: not broadcast
+    return rows.join(summary.select(*block, *carry).withColumnsRenamed(names).hint("merge"), on).drop(*names.values())
 
 
 def changed_lines(diffs: DataFrame, keys: tuple[str, ...] = ("diff_id",)) -> DataFrame:

@@ -97,6 +97,56 @@ def test_line_tables_and_request_tables_are_not_broadcast(spark, monkeypatch):
     assert RV.run_rules(files, with_java=False).count() == 40
 
 
+RULE_CODE = """@Service
+public class A {
+  private List<String> items = new ArrayList<>();
+  private int hits;
+  private UserRepository repository;
+  public List<String> items() { return items; }
+  public void add(String s) { this.items.add(s); hits = hits + 1; }
+  public void load(List<Long> ids) {
+    FileInputStream in = new FileInputStream("f");
+    for (Long id : ids) { repository.findById(id); }
+    ids.forEach(id -> repository.findById(id));
+    statement.executeQuery("select " + ids);
+    for (int i = 0; i <= ids.size(); i++) { add("x"); }
+    if (items == null) { items.add("y"); }
+  }
+}
+"""
+
+
+def test_no_join_of_a_rule_run_is_broadcast_at_run_time(spark, monkeypatch):
+    """Whatever sizes the shuffles show, tables that grow with the files are not sent through the driver."""
+    seen = {}
+
+    def ran(name, df):
+        df.collect()
+        seen[name] = "BroadcastHashJoin" in plan(df)
+        return df
+
+    monkeypatch.setattr(JR, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(JR, "cut_lineage", lambda df: cut_lineage(ran(f"table {len(seen)}: {df.columns}", df)))
+    monkeypatch.setattr(DF, "cut_lineage", lambda df: cut_lineage(ran(f"table {len(seen)}: {df.columns}", df)))
+    files = spark.range(40).select(F.col("id").alias("review_id"), F.lit("A.java").alias("file"), F.lit(RULE_CODE).alias("content"))
+    diffs = spark.range(40).selectExpr("id diff_id", "'diff --git a/A.java b/A.java\n@@ -1 +1,2 @@\n+x\n y\n+z' diff_text")
+    limits = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for c in limits:
+        spark.conf.set(c, "1g")
+    try:
+        jt = JR.JavaTables(files)
+        assert jt.fields.count() == 40 * 3
+        assert ran("J3a", JR.shared_field_access(jt)).count() == 40 * 4
+        assert ran("J3c", JR.unsafe_publication(jt)).count() == 40
+        for fn in (JR.query_in_loop, JR.loop_bound):
+            assert ran(fn.__name__, fn(jt)).count() == 40
+        assert ran("D1", DF.changed_lines(diffs)).count() == 80
+    finally:
+        for c in limits:
+            spark.conf.unset(c)
+    assert [name for name, broadcast in seen.items() if broadcast] == []
+
+
 def test_texts_of_literals_are_not_repeated(spark):
     """A neighbouring literal is its quote; the secret rule still shows the whole literal."""
     code = 'class A {\n  String apiKey = "a long literal";\n  void f() { g("another", apiKey); }\n}\n'
