@@ -147,6 +147,27 @@ def test_no_join_of_a_rule_run_is_broadcast_at_run_time(spark, monkeypatch):
     assert [name for name, broadcast in seen.items() if broadcast] == []
 
 
+def test_a_rule_run_plans_one_rule_at_a_time(spark, monkeypatch):
+    """The plans and stages of all rules are not in the driver together: what a run returns only reads."""
+    from revspark.operators import line_rules as LR
+    from revspark.plans import review as RV
+
+    py = "def f():\n    v = None\n    v.x()\n    h = open(p)\n"
+    code = 'class A {\n  String apiKey = "a literal";\n}\n'
+    files = spark.createDataFrame([(k, name, c) for k in range(2) for name, c in (("A.java", code), ("a.py", py), ("a.py", py))],
+                                  "review_id long, file string, content string")
+    monkeypatch.setattr(JR, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(JR, "JAVA_RULES", {"j6_hardcoded_secret": JR.hardcoded_secrets})
+    monkeypatch.setattr(LR, "LINE_RULES", {k: LR.LINE_RULES[k] for k in ("l1_cpp_leak", "l4_py_leak", "l5_py_none_access")})
+    got = RV.run_rules(files)
+    assert not any(word in plan(got) for word in ("Join", "Window", "Exchange", "Generate"))
+    rows = sorted((r.review_id, r.rule_id, r.file, r.line) for r in got.collect())
+    # equal files are one file to the join of assignments with dereferences: 2 x 2 pairs
+    assert rows == sorted(x for k in range(2) for x in [(k, JR.R_SECRET, "A.java", 2), (k, JR.R_LEAK, "a.py", 4)] + 4 * [(k, JR.R_NULL, "a.py", 3)])
+    # findings grow with the files: a join with them is not broadcast, however small they are on disk
+    assert "BroadcastHashJoin" not in plan(spark.range(3).withColumnRenamed("id", "review_id").join(got, "review_id"))
+
+
 def test_texts_of_literals_are_not_repeated(spark):
     """A neighbouring literal is its quote; the secret rule still shows the whole literal."""
     code = 'class A {\n  String apiKey = "a long literal";\n  void f() { g("another", apiKey); }\n}\n'
