@@ -147,6 +147,61 @@ def test_no_join_of_a_rule_run_is_broadcast_at_run_time(spark, monkeypatch):
     assert [name for name, broadcast in seen.items() if broadcast] == []
 
 
+def test_tables_of_the_java_rules_are_dealt_out_by_file_once(spark, monkeypatch):
+    """The text is moved to its file's partition for the token table; no table and no rule after that moves or broadcasts it."""
+    seen, cut_by = {}, JR.cut_by
+
+    def ran(df, keys, partitions, order=()):
+        seen[f"table {len(seen)}: {df.columns}"] = plan(df)
+        return cut_by(df, keys, partitions, order)
+
+    monkeypatch.setattr(JR, "cut_by", ran)
+    files = spark.range(40).select(F.col("id").alias("review_id"), F.lit("A.java").alias("file"), F.lit(RULE_CODE).alias("content"))
+    limits = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for c in limits:
+        spark.conf.set(c, "1g")
+    try:
+        jt = JR.JavaTables(files)
+        rows = sorted(map(str, jt.t.collect()))
+        assert rows == sorted(map(str, T.tokens(files).select(*jt.t.columns).collect()))
+        for name, fn in JR.JAVA_RULES.items():
+            seen[name] = plan(fn(jt))
+    finally:
+        for c in limits:
+            spark.conf.unset(c)
+    tables = list(seen.items())[1:]
+    assert [name for name, p in tables if "BroadcastHashJoin" in p] == []
+    # J1 and J2 deal their methods' rows out to the path walk, and what it finds back by file; the loops of J4a are two tables in one
+    assert [name for name, p in tables if "Exchange" in p and "def_pos" not in name and "'at'" not in name] == ["j4a_query_in_loop"]
+
+
+def test_lines_that_no_rule_looks_at_are_not_written(spark):
+    """Every finding comes from a written line, at any length of comments and plain text around it."""
+    from revspark.operators import line_rules as LR
+    from revspark.operators.lines import lines
+
+    code = {"a.cpp": "T* v = nullptr;\nv->run();\nchar* p = malloc(8);\nfor (;;) {\n  db.query(1);\n}\n", "a.py": "h = open(f)\nv = None\nv.x()\nfor i in x:\n  db.execute(i)\n",
+            "a.js": "let v = null;\nv.run();\nfor (;;) {\n  await load();\n}\n", "a.go": "for {\n  rows := conn.query(1)\n}\nfor (;;) {\n  sql()\n}\n"}
+    plain = "// plain words\n" * 50 + "plain words\n" * 50
+    files = spark.createDataFrame([(1, name, text + plain) for name, text in code.items()], "review_id long, file string, content string")
+    ln = lines(files)
+    kept = LR.rule_lines(ln)
+    assert "code" not in kept.columns and kept.count() < 20 < ln.count()
+    whole = {str(r) for fn in LR.LINE_RULES.values() for r in fn(ln).collect()}
+    assert whole == {str(r) for fn in LR.LINE_RULES.values() for r in fn(LR.with_code(kept)).collect()}
+    assert {x for x in (LR.RULE_LEAK, LR.RULE_NULL, LR.RULE_LOOP) if any(x in w for w in whole)} == {LR.RULE_LEAK, LR.RULE_NULL, LR.RULE_LOOP}
+
+
+def test_tables_written_at_a_time(spark):
+    """Tables of jobs that run together do not touch each other's files, and come back whole."""
+    from revspark.session import written_together
+
+    makers = [lambda k=k: spark.range(1000 * k, 1000 * k + 1000).selectExpr("id", f"{k} k") for k in range(6)]
+    for at_once in (1, 3):
+        got = written_together(makers, at_once)
+        assert [tuple(r) for r in got.groupBy("k").count().orderBy("k").collect()] == [(k, 1000) for k in range(6)]
+
+
 def test_a_rule_run_plans_one_rule_at_a_time(spark, monkeypatch):
     """The plans and stages of all rules are not in the driver together: what a run returns only reads."""
     from revspark.operators import line_rules as LR
