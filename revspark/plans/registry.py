@@ -25,7 +25,7 @@ from revspark.operators import diffs as DF
 from revspark.operators import enrich as EN
 from revspark.operators.lines import code_lines
 from revspark.plans import review as RV
-from revspark.session import cut_lineage, scratch_table_dir
+from revspark.session import cut_lineage, scratch_table_dir, together
 from revspark.sources import fixtures as FX
 from revspark.sources import scan as SC
 from revspark.operators import java_rules as JR
@@ -173,8 +173,12 @@ def _more_queries():
                                                        keys=("diff_id", "review_id"))
 
     def d2(s, d):
-        ch = DF.changed_lines(FX.diffs_from_code_files(code_files(s, d)), keys=("diff_id", "review_id"))
-        return DF.scope_to_diff(all_findings(s, d), ch.select("review_id", "file", "line")).select(*FINDING_OUT)
+        def changed():
+            ch = DF.changed_lines(FX.diffs_from_code_files(code_files(s, d)), keys=("diff_id", "review_id"))
+            return cut_lineage(ch.select("review_id", "file", "line"))
+        # the diffs are parsed while the rules run
+        found, ch = together([lambda: all_findings(s, d), changed])
+        return DF.scope_to_diff(found, ch).select(*FINDING_OUT)
     q["d2_diff_scope"] = d2
     q["d3_run_rules"] = lambda s, d: RV.run_rules(code_files(s, d)).select(*FINDING_OUT)
     q["d4_rule_stats"] = lambda s, d: RV.rule_stats(RV.run_rules(code_files(s, d)))
