@@ -404,7 +404,8 @@ def _w_queries():
         if run in runs:
             return runs[run]
         path = WR.fresh_dir(s, "w4")
-        cf = code_files(s, d)
+        # dealing out by range reads its input twice, and both tables are made of the same texts
+        cf = cut_lineage(code_files(s, d))
         files = WR.store_by_review(cf.select("review_id", "file", "content"), path + "/code")
         diffs = WR.store_by_review(FX.diffs_from_code_files(cf), path + "/diffs")
         hooks = FX.webhooks_from_events(_events(s, d))
